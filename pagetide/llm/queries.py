@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagetide.llm import exact_dedup, simhash
+from pagetide.llm import exact_dedup, simhash, substring_dedup
 
-QUERIES = {"op4_simhash": simhash.op4_simhash, "op5_exact_dedup": exact_dedup.op5_exact_dedup}
+QUERIES = {"op10_substring_dedup": substring_dedup.op10_substring_dedup, "op4_simhash": simhash.op4_simhash, "op5_exact_dedup": exact_dedup.op5_exact_dedup}
 ORACLE_SQL = {"op5_exact_dedup": exact_dedup.OP5_SQL}
