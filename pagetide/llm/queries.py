@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pagetide.llm import bpe, exact_dedup, fingerprints, html_extract, mixing, quality, simhash, substring_dedup, token_counts, warc
 
-QUERIES = {"op9_html": html_extract.op9_html, "op7_warc": warc.op7_warc, "op2_quality": quality.op2_quality, "op6_mixing": mixing.op6_mixing, "op1_fingerprints": fingerprints.op1_fingerprints, "op3_token_counts": token_counts.op3_token_counts, "op8_byte_bpe": bpe.op8_byte_bpe, "op10_substring_dedup": substring_dedup.op10_substring_dedup, "op4_simhash": simhash.op4_simhash, "op5_exact_dedup": exact_dedup.op5_exact_dedup}
-ORACLE_SQL = {"op7_warc": warc.OP7_SQL, "op5_exact_dedup": exact_dedup.OP5_SQL}
+QUERIES = {
+    "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op2_quality": quality.op2_quality,
+    "op3_token_counts": token_counts.op3_token_counts,
+    "op4_simhash": simhash.op4_simhash,
+    "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_mixing": mixing.op6_mixing,
+    "op7_warc": warc.op7_warc,
+    "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op9_html": html_extract.op9_html,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "pipeline": corpus_pipeline.run,
+}
+ORACLE_SQL = {"op5_exact_dedup": exact_dedup.OP5_SQL, "op7_warc": warc.OP7_SQL}
