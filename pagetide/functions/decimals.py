@@ -7,6 +7,7 @@ from decimal import Decimal, InvalidOperation
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 CANONICAL = r"^(0|[1-9][0-9]*)(\.[0-9]*[1-9])?$"
 
@@ -38,6 +39,6 @@ def decoded(text: Column) -> Column:
     return F.when(text.rlike(CANONICAL), text.try_cast("decimal(38,18)"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_position(values: pd.Series) -> pd.Series:
     return values.map(lambda v: position(v, False), na_action="ignore")

@@ -9,6 +9,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 
 @lru_cache(maxsize=1)
@@ -27,17 +28,17 @@ def readable_text(value: str) -> str:
     return " ".join(unicodedata.normalize("NFC", value).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_main_text(values: pd.Series) -> pd.Series:
     return values.map(main_text, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_readable_text(values: pd.Series) -> pd.Series:
     return values.map(readable_text, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold(values: pd.Series) -> pd.Series:
     return values.map(str.casefold, na_action="ignore")
 
@@ -77,7 +78,7 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def long_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 

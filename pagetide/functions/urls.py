@@ -7,6 +7,7 @@ from urllib.parse import SplitResult, urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 DEFAULT_PORTS = {"http": 80, "https": 443}
 
@@ -61,16 +62,16 @@ def displayable(url: str | None) -> str | None:
     return url if normalized(url) is not None else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_url(urls: pd.Series) -> pd.Series:
     return urls.map(normalized, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def host_of(urls: pd.Series) -> pd.Series:
     return urls.map(bare_host, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def external_url(urls: pd.Series) -> pd.Series:
     return urls.map(displayable, na_action="ignore")

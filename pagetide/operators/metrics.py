@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from pagetide.functions.decimals import canonical_position
 from pagetide.functions.urls import host_of, normalize_url
@@ -126,7 +127,7 @@ def provider_rows(rows: DataFrame, site_url: str) -> DataFrame:
     return out.withColumn("clicks", fail(F.coalesce(F.col("clicks") <= F.col("impressions"), F.lit(True)), F.col("clicks"), "clicks over impressions", "long"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def zero_position(values):
     from pagetide.functions.decimals import position
 

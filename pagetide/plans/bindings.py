@@ -57,19 +57,19 @@ pages AS (SELECT l_orderkey * 10 + slug AS page_id, l_orderkey AS run_id, 'https
 PAIRS = "pairs AS (SELECT run_id AS current_run_id, site_id, completed_at AS current_completed_at, lag(run_id) OVER (PARTITION BY site_id ORDER BY completed_at, run_id) AS previous_run_id FROM runs WHERE status = 'completed')"
 MATCHED = """cur AS (SELECT p.*, g.* FROM pairs p JOIN pages g ON g.run_id = p.current_run_id WHERE previous_run_id IS NOT NULL),
 prev AS (SELECT p.*, g.* FROM pairs p JOIN pages g ON g.run_id = p.previous_run_id),
-both AS (SELECT c.current_run_id, c.previous_run_id, c.current_completed_at, c.url, c.page_id AS cp, p.page_id AS pp, c.title AS ct, p.title AS pt, c.description AS cd, p.description AS pd, c.h1 AS ch, p.h1 AS ph,
+twins AS (SELECT c.current_run_id, c.previous_run_id, c.current_completed_at, c.url, c.page_id AS cp, p.page_id AS pp, c.title AS ct, p.title AS pt, c.description AS cd, p.description AS pd, c.h1 AS ch, p.h1 AS ph,
   c.normalized_text AS cx, p.normalized_text AS px, c.internal_links AS cl, p.internal_links AS pl, c.price AS c_price, p.price AS p_price FROM cur c JOIN prev p ON c.current_run_id = p.current_run_id AND c.url = p.url)"""
 WEIGH = "CASE WHEN 10 * {n} < {d} THEN 1 WHEN 10 * {n} < 3 * {d} THEN 2 ELSE 3 END"
-EVENTS = f"""textd AS (SELECT *, levenshtein(cx, px) AS n, greatest(length(cx), length(px)) AS d FROM both WHERE cx <> px),
-linkd AS (SELECT *, len(list_filter(cl, lambda x: NOT list_contains(pl, x))) + len(list_filter(pl, lambda x: NOT list_contains(cl, x))) AS n, len(list_distinct(list_concat(cl, pl))) AS d FROM both),
+EVENTS = f"""textd AS (SELECT *, levenshtein(cx, px) AS n, greatest(length(cx), length(px)) AS d FROM twins WHERE cx <> px),
+linkd AS (SELECT *, len(list_filter(cl, lambda x: NOT list_contains(pl, x))) + len(list_filter(pl, lambda x: NOT list_contains(cl, x))) AS n, len(list_distinct(list_concat(cl, pl))) AS d FROM twins),
 events AS (
 SELECT current_run_id, previous_run_id, 'page_added' AS event_type, url, page_id AS current_page_id, CAST(NULL AS BIGINT) AS previous_page_id, current_completed_at, 2 AS weight, CAST(NULL AS INT) AS text_distance, CAST(NULL AS BIGINT) AS ratio_numerator, CAST(NULL AS BIGINT) AS ratio_denominator
   FROM cur c WHERE NOT EXISTS (SELECT 1 FROM prev p WHERE p.current_run_id = c.current_run_id AND p.url = c.url)
 UNION ALL SELECT current_run_id, previous_run_id, 'page_removed', url, NULL, page_id, current_completed_at, 3, NULL, NULL, NULL
   FROM prev p WHERE NOT EXISTS (SELECT 1 FROM cur c WHERE p.current_run_id = c.current_run_id AND p.url = c.url)
-UNION ALL SELECT current_run_id, previous_run_id, 'title_changed', url, cp, pp, current_completed_at, 3, NULL, NULL, NULL FROM both WHERE ct IS DISTINCT FROM pt
-UNION ALL SELECT current_run_id, previous_run_id, 'description_changed', url, cp, pp, current_completed_at, 2, NULL, NULL, NULL FROM both WHERE cd IS DISTINCT FROM pd
-UNION ALL SELECT current_run_id, previous_run_id, 'h1_changed', url, cp, pp, current_completed_at, 3, NULL, NULL, NULL FROM both WHERE ch IS DISTINCT FROM ph
+UNION ALL SELECT current_run_id, previous_run_id, 'title_changed', url, cp, pp, current_completed_at, 3, NULL, NULL, NULL FROM twins WHERE ct IS DISTINCT FROM pt
+UNION ALL SELECT current_run_id, previous_run_id, 'description_changed', url, cp, pp, current_completed_at, 2, NULL, NULL, NULL FROM twins WHERE cd IS DISTINCT FROM pd
+UNION ALL SELECT current_run_id, previous_run_id, 'h1_changed', url, cp, pp, current_completed_at, 3, NULL, NULL, NULL FROM twins WHERE ch IS DISTINCT FROM ph
 UNION ALL SELECT current_run_id, previous_run_id, 'text_changed', url, cp, pp, current_completed_at, {WEIGH.format(n="n", d="d")}, CAST(n AS INT), CAST(n // gcd(n, d) AS BIGINT), CAST(d // gcd(n, d) AS BIGINT) FROM textd
 UNION ALL SELECT current_run_id, previous_run_id, 'internal_links_changed', url, cp, pp, current_completed_at, {WEIGH.format(n="n", d="d")}, NULL, CAST(n // gcd(n, d) AS BIGINT), CAST(d // gcd(n, d) AS BIGINT) FROM linkd WHERE n > 0
 )"""
@@ -96,7 +96,7 @@ SELECT coalesce(current_page_id, previous_page_id) * 10 + list_position({RANKS},
   FROM events e JOIN runs r ON r.run_id = e.current_run_id JOIN sites s USING (site_id)
 UNION ALL
 SELECT cp * 10 + 7, 'price', 1, r.site_id, s.name, s.url, s.site_type, 'price_changed', e.url, current_completed_at, NULL, NULL, current_run_id, previous_run_id, cp, pp, NULL, NULL, NULL, 'price', 'USD'
-  FROM both e JOIN runs r ON r.run_id = e.current_run_id JOIN sites s USING (site_id) WHERE c_price <> p_price
+  FROM twins e JOIN runs r ON r.run_id = e.current_run_id JOIN sites s USING (site_id) WHERE c_price <> p_price
 ), seen AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN current_completed_at + INTERVAL 1 DAY END AS viewed_at FROM feed)"""
 
 

@@ -92,7 +92,7 @@ def pages_removed(spark, sf_dir):
     return of_type(events(spark, sf_dir, "title"), "page_removed")
 
 
-@query(f"{b.DIFF} SELECT current_run_id, previous_run_id, url, cp AS current_page_id, pp AS previous_page_id FROM both")
+@query(f"{b.DIFF} SELECT current_run_id, previous_run_id, url, cp AS current_page_id, pp AS previous_page_id FROM twins")
 def pages_matched(spark, sf_dir):
     rows = matched(spark, sf_dir, ["page_id"]).where("cur IS NOT NULL AND prev IS NOT NULL")
     return rows.select("current_run_id", "previous_run_id", "url", F.col("cur.page_id").alias("current_page_id"), F.col("prev.page_id").alias("previous_page_id"))
@@ -113,7 +113,7 @@ def link_set_changes(spark, sf_dir):
     return c.select("current_run_id", "url", "c.added", "c.removed", F.col("c.num").alias("ratio_numerator"), F.col("c.den").alias("ratio_denominator"), ratio.weight(F.col("c.num"), F.col("c.den")).alias("weight"))
 
 
-@query(f"{b.DIFF} SELECT current_run_id, previous_run_id, url, 'price' AS price_profile, 'USD' AS price_currency, CAST(p_price AS DOUBLE) AS previous_low, CAST(c_price AS DOUBLE) AS current_low FROM both WHERE c_price <> p_price")
+@query(f"{b.DIFF} SELECT current_run_id, previous_run_id, url, 'price' AS price_profile, 'USD' AS price_currency, CAST(p_price AS DOUBLE) AS previous_low, CAST(c_price AS DOUBLE) AS current_low FROM twins WHERE c_price <> p_price")
 def price_changes(spark, sf_dir):
     p = diff.price_events(matched(spark, sf_dir, ["page_id", "prices"]))
     return p.select("current_run_id", "previous_run_id", "url", "price_profile", "price_currency", F.col("previous_low").cast("double"), F.col("current_low").cast("double"))
