@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,24 +80,58 @@ def html_graph(pages: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, e.where(F.col("target_id").isNotNull()).join(ids, ["run_id", "target_id"], "left_semi").select("run_id", "source_id", "target_id").distinct()
 
 
-def pagerank(nodes: DataFrame, arcs: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, max_iterations: int = MAX_ITERATIONS, cut: int = 8) -> DataFrame:
-    """run_id, page_id, pagerank: ranks within each run sum to 1; dead ends spread theirs evenly. Stops when every run moves by at most tolerance, else fails."""
+def site_ranks(ids: list[int], targets: list[list[int]], damping: float = DAMPING, tolerance: float = TOLERANCE, max_iterations: int = MAX_ITERATIONS) -> np.ndarray:
+    """PageRank of one graph by power iteration; dead ends spread theirs evenly. Fails if the last step still moves more than tolerance."""
+    n = len(ids)
+    place = {v: i for i, v in enumerate(ids)}
+    src = np.array([i for i, t in enumerate(targets) for _ in t], np.int64)
+    dst = np.array([place[w] for t in targets for w in t], np.int64)
+    out = np.bincount(src, minlength=n)
+    rank = np.full(n, 1.0 / max(n, 1))
+    for _ in range(max_iterations):
+        got = np.bincount(dst, rank[src] / out[src], minlength=n) + rank[out == 0].sum() / n
+        new = (1 - damping) / n + damping * got
+        moved, rank = np.abs(new - rank).sum(), new
+        if moved <= tolerance:
+            return rank
+    raise ValueError(f"PageRank didn't settle in {max_iterations} steps")
+
+
+def pagerank(nodes: DataFrame, arcs: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, max_iterations: int = MAX_ITERATIONS) -> DataFrame:
+    """run_id, page_id, pagerank: ranks within each run sum to 1. A run's graph is held in one task; see large_pagerank() for graphs that a crawl's limit doesn't bound."""
+    lists = arcs.groupBy("run_id", F.col("source_id").alias("page_id")).agg(F.sort_array(F.collect_list("target_id")).alias("targets"))
+    rows = nodes.select("run_id", "page_id").join(lists, ["run_id", "page_id"], "left")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("page_id")
+        targets = [[] if t is None else [int(x) for x in t] for t in pdf.targets]
+        return pd.DataFrame({"run_id": pdf.run_id, "page_id": pdf.page_id, "pagerank": site_ranks([int(i) for i in pdf.page_id], targets, damping, tolerance, max_iterations)})
+
+    return rows.groupBy("run_id").applyInPandas(one, "run_id long, page_id long, pagerank double")
+
+
+def large_pagerank(nodes: DataFrame, arcs: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, max_iterations: int = MAX_ITERATIONS, steps: int = 6) -> DataFrame:
+    """As pagerank(), by joins, for graphs of any size.
+
+    Spreading the rank of dead ends evenly only scales the solution of x = 1 + damping * (what x sends along links), so x is
+    iterated and scaled at the end: each step reads the last one once, and a job takes several steps.
+    """
     out = arcs.groupBy("run_id", "source_id").agg(F.count(F.lit(1)).alias("out"))
-    size = nodes.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
-    base = written(nodes.select("run_id", "page_id").join(size, "run_id").join(out.withColumnRenamed("source_id", "page_id"), ["run_id", "page_id"], "left"))
-    arcs = written(arcs)
-    ranks = base.withColumn("pagerank", 1.0 / F.col("n"))
+    links = written(arcs.join(out, ["run_id", "source_id"]))
+    x = written(nodes.select("run_id", "page_id", F.lit(1.0).alias("x"), F.lit(1.0).alias("moved")))
+    ids = written(nodes.select("run_id", "page_id"))
     for i in range(1, max_iterations + 1):
-        sent = arcs.join(ranks.select("run_id", F.col("page_id").alias("source_id"), (F.col("pagerank") / F.col("out")).alias("share")), ["run_id", "source_id"])
-        got = sent.groupBy("run_id", F.col("target_id").alias("page_id")).agg(F.sum("share").alias("got"))
-        lost = ranks.groupBy("run_id").agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("pagerank"))), F.lit(0.0)).alias("lost"))
-        new = (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("n"))
-        ranks = ranks.join(got, ["run_id", "page_id"], "left").join(lost, "run_id").select("run_id", "page_id", "n", "out", new.alias("pagerank"), F.abs(new - F.col("pagerank")).alias("moved"))
-        if i % cut == 0 or i == max_iterations:  # a few steps to a job; the last step's movement tells
-            ranks = written(ranks)
-            worst = ranks.groupBy("run_id").agg(F.sum("moved").alias("d")).agg(F.max("d")).first()[0]
+        sent = links.join(x.select("run_id", F.col("page_id").alias("source_id"), "x", "moved"), ["run_id", "source_id"])
+        # The step's change is what the last step's change sends.
+        got = sent.groupBy("run_id", F.col("target_id").alias("page_id")).agg(F.sum(damping * F.col("x") / F.col("out")).alias("got"), F.sum(damping * F.col("moved") / F.col("out")).alias("went"))
+        zero = lambda c: F.coalesce(c, F.lit(0.0))
+        x = ids.join(got, ["run_id", "page_id"], "left").select("run_id", "page_id", (1.0 + zero("got")).alias("x"), zero("went").alias("moved"))
+        if i % steps == 0 or i == max_iterations:
+            x = written(x)
+            sums = x.groupBy("run_id").agg(F.sum("x").alias("total"), (F.sum("moved") / F.sum("x")).alias("part"))
+            worst = sums.agg(F.max("part")).first()[0]
             if worst is None or worst <= tolerance:
-                return ranks.select("run_id", "page_id", "pagerank")
+                return x.join(sums, "run_id").select("run_id", "page_id", (F.col("x") / F.col("total")).alias("pagerank"))
     raise ValueError(f"PageRank didn't settle in {max_iterations} steps")
 
 

@@ -18,11 +18,13 @@ QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, dates: tuple[str, ...] = ()):
+    """Registers a query under its function's name; its dates are returned as text, which all engines print alike."""
+
     def register(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = (lambda spark, sf_dir: f(spark, sf_dir).withColumns({d: F.col(d).cast("string") for d in dates})) if dates else f
         if sql:
-            ORACLE_SQL[f.__name__] = sql
+            ORACLE_SQL[f.__name__] = f"SELECT * REPLACE ({', '.join(f'CAST({d} AS VARCHAR) AS {d}' for d in dates)}) FROM ({sql})" if dates else sql
         return f
 
     return register
@@ -213,12 +215,12 @@ def export_json_rows(spark, sf_dir):
     return feed.json_rows(feed.with_sides(whole_feed(spark, sf_dir), b.pages(spark, sf_dir)))
 
 
-@query(f"WITH {b.METRICS} SELECT site_id, metric_date, impressions, clicks, clicks / impressions AS ctr FROM metrics")
+@query(f"WITH {b.METRICS} SELECT site_id, metric_date, impressions, clicks, clicks / impressions AS ctr FROM metrics", ("metric_date",))
 def metrics_ctr(spark, sf_dir):
     return b.daily_metrics(spark, sf_dir).withColumn("ctr", metrics.ctr(F.col("clicks"), F.col("impressions")))
 
 
-@query(f"WITH {b.METRICS} SELECT DISTINCT site_id, CAST(date_trunc('week', metric_date) AS DATE) AS period_start, CAST(date_trunc('week', metric_date) + INTERVAL 6 DAY AS DATE) AS period_end FROM metrics")
+@query(f"WITH {b.METRICS} SELECT DISTINCT site_id, CAST(date_trunc('week', metric_date) AS DATE) AS period_start, CAST(date_trunc('week', metric_date) + INTERVAL 6 DAY AS DATE) AS period_end FROM metrics", ("period_start", "period_end"))
 def metrics_periods(spark, sf_dir):
     week = F.to_date(F.date_trunc("week", "metric_date"))
     return metrics.periods(b.daily_metrics(spark, sf_dir).withColumns({"period_start": week, "period_end": F.date_add(week, 6)}))
@@ -226,7 +228,7 @@ def metrics_periods(spark, sf_dir):
 
 @query(f"""WITH {b.RUNS}, {b.PAGES}, {b.METRICS}, latest AS (SELECT site_id, run_id FROM runs WHERE status IN ('completed', 'partial') QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY completed_at DESC, run_id DESC) = 1)
 SELECT m.site_id, metric_date, 'https://example.com/p/' || (impressions % 10) AS normalized_url, CASE WHEN l.run_id IS NULL THEN NULL ELSE EXISTS (SELECT 1 FROM pages g WHERE g.run_id = l.run_id AND g.url = 'https://example.com/p/' || (m.impressions % 10)) END AS in_crawl
-FROM metrics m LEFT JOIN latest l ON l.site_id = m.site_id""")
+FROM metrics m LEFT JOIN latest l ON l.site_id = m.site_id""", ("metric_date",))
 def metrics_coverage(spark, sf_dir):
     m = b.daily_metrics(spark, sf_dir).withColumn("normalized_url", F.concat(F.lit("https://example.com/p/"), (F.col("impressions") % 10).cast("string")))
     found = metrics.coverage(m, run_ops.latest(b.runs(spark, sf_dir)), b.pages(spark, sf_dir).select("run_id", "url"))
@@ -236,7 +238,7 @@ def metrics_coverage(spark, sf_dir):
 @query("""WITH h AS (SELECT user_id AS site_id, CAST(ts AS DATE) AS metric_date, CASE WHEN hour(ts) < 12 THEN 0 ELSE 1 END AS half, count(*) AS impressions, count(*) FILTER (event_type = 'click') AS clicks FROM events GROUP BY 1, 2, 3)
 SELECT coalesce(n.site_id, o.site_id) AS site_id, coalesce(n.metric_date, o.metric_date) AS metric_date, coalesce(n.clicks, o.clicks) AS clicks, coalesce(n.impressions, o.impressions) AS impressions, CASE WHEN n.site_id IS NULL THEN 0 ELSE 1 END AS import_id,
 CASE WHEN n.site_id IS NULL THEN 'kept' WHEN o.site_id IS NULL THEN 'added' WHEN n.clicks = o.clicks AND n.impressions = o.impressions THEN 'unchanged' ELSE 'updated' END AS action
-FROM (SELECT * FROM h WHERE half = 1) n FULL OUTER JOIN (SELECT * FROM h WHERE half = 0) o ON n.site_id = o.site_id AND n.metric_date = o.metric_date""")
+FROM (SELECT * FROM h WHERE half = 1) n FULL OUTER JOIN (SELECT * FROM h WHERE half = 0) o ON n.site_id = o.site_id AND n.metric_date = o.metric_date""", ("metric_date",))
 def metrics_upsert(spark, sf_dir):
     """The afternoon's counts over the morning's."""
     m = b.daily_metrics(spark, sf_dir, halves=True).withColumn("import_id", F.col("half"))
@@ -262,7 +264,7 @@ def metrics_validation(spark, sf_dir):
     return x.select("line", flag("no clicks").alias("no_clicks"), flag("bad clicks").alias("bad_clicks"), flag("clicks over impressions").alias("over"), F.when(F.exists("errors", lambda s: s.startswith("same url")), F.regexp_extract(same, r"(\d+)$", 1).cast("int")).alias("same_as"))
 
 
-@query(f"WITH {b.METRICS} SELECT metric_date, 'https://example.com/u/' || site_id AS url, CAST(clicks AS VARCHAR) AS clicks, CAST(impressions AS VARCHAR) AS impressions, CAST(NULL AS VARCHAR) AS position FROM metrics")
+@query(f"WITH {b.METRICS} SELECT metric_date, 'https://example.com/u/' || site_id AS url, CAST(clicks AS VARCHAR) AS clicks, CAST(impressions AS VARCHAR) AS impressions, CAST(NULL AS VARCHAR) AS position FROM metrics", ("metric_date",))
 def nested_pivot(spark, sf_dir):
     """Daily metrics as a service nests them, read back and turned to columns."""
     from pagetide.sources import payloads
