@@ -21,7 +21,7 @@ def reduced(numerator: Column, denominator: Column) -> Column:
 
 def weight(numerator: Column, denominator: Column) -> Column:
     """1 below a tenth, 2 below three tenths, else 3. A ratio of 0 or less is no change and an error."""
-    n, d = numerator.cast("long"), denominator.cast("long")
+    n, d = numerator.cast("decimal(20,0)"), denominator.cast("decimal(20,0)")  # ten times a long is no long
     return F.when(n <= 0, F.raise_error(F.lit("a change ratio must be positive")).cast("int")).when(10 * n < d, 1).when(10 * n < 3 * d, 2).otherwise(3)
 
 
