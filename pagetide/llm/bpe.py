@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from pagetide.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pre-tokens whose ids a Python worker remembers, at most; it then starts anew.
-REMEMBERED = 300_000
+#: Pre-tokens whose ids a Python worker remembers, at most twice: when so many are new, those not met since the last time go.
+REMEMBERED = 500_000
 
 
 class PerfectHash:
@@ -131,15 +131,18 @@ class Codec:
 
 
 class Known(dict):
-    """Ids of the pre-tokens met so far in this worker."""
+    """Ids of the pre-tokens met lately in this worker, in two generations, so that frequent ones stay."""
 
     def __init__(self, codec: Codec):
-        self.codec = codec
+        self.codec, self.older = codec, {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        self[piece] = ids = self.codec.pretoken(piece.encode())
+        if (ids := self.older.get(piece)) is None:
+            ids = self.codec.pretoken(piece.encode())
+        self[piece] = ids
         return ids
 
 
