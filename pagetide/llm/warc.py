@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetide.llm.common import content, shared_dir, table
+from pagetide.llm.common import content, shared_dir, table, written
 
 CRLF = "\r\n"
 REVISIT_BYTES = 1000
@@ -45,7 +45,8 @@ def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     rows = rows.withColumn("digest", F.sha1("payload"))
     key = ["digest", F.sha2("payload", 256).alias("strong"), F.octet_length("payload").alias("size")]  # SHA-1 alone can be made to collide
     first = rows.where(F.octet_length("payload") >= revisit_bytes).groupBy(*key).agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("strong", "first")
-    named = rows.withColumn("own", F.when(F.octet_length("payload") >= revisit_bytes, F.sha2("payload", 256)))
+    # What can't revisit has a key that nothing has, rather than a null that they would all share.
+    named = rows.withColumn("own", F.concat(F.when(F.octet_length("payload") >= revisit_bytes, "").otherwise("-"), F.sha2("payload", 256)))
     joined = named.join(first, F.col("own") == F.col("strong"), "left")
     return joined.select("id", "url", "payload", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
@@ -164,15 +165,18 @@ def transactions(spark: SparkSession, path: str, with_payload: bool = True) -> D
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     write_archives(table(spark, sf_dir, "pages"), path)
-    whole = transactions(spark, path, with_payload=False)
+    records = written(read_records(spark, path, with_payload=False))  # so that an archive is read once
+    whole = assemble(records)
     note = lambda name: F.nullif(F.regexp_extract("metadata.fields", rf"(?m)^{name}: *([^\r\n]*)", 1), F.lit(""))
-    rows = whole.select("record_id", note("page-id").cast("long").alias("page_id"), note("payload-length").cast("long").alias("said"), "response.*")
-    first = rows.where("kind = 'response'").select(F.col("record_id").alias("first"), F.col("page_id").alias("first_page"), F.col("payload_bytes").alias("first_bytes")).dropDuplicates(["first"])
-    # A revisit's full payload is that of the response it names.
-    joined = rows.join(first, F.col("refers_to") == F.col("first"), "left")
-    full = F.when(F.col("kind") == "revisit", F.col("first_bytes")).otherwise(F.col("payload_bytes"))
-    digest = F.when(F.col("kind") == "revisit", F.substring_index("payload_digest", ":", -1)).otherwise(F.col("payload_sha1"))
-    return joined.select("page_id", full.alias("payload_bytes"), digest.alias("payload_digest"), F.col("kind").alias("record_type"), F.col("first_page").alias("refers_to"))
+    rows = written(whole.select("record_id", note("page-id").cast("long").alias("page_id"), "response.kind", "response.refers_to", "response.payload_digest", "response.payload_sha1", "response.payload_bytes"))
+    again = F.col("kind") == "revisit"
+    # A revisit's full payload is that of the response it names. Responses need no other's.
+    named = rows.where(again).select(F.col("refers_to").alias("named")).distinct()
+    first = rows.where(~again).join(named, F.col("record_id") == F.col("named"), "left_semi")
+    first = written(first.groupBy(F.col("record_id").alias("first")).agg(F.max("page_id").alias("first_page"), F.max("payload_bytes").alias("first_bytes")))
+    revisits = rows.where(again).join(first, F.col("refers_to") == F.col("first"), "left").select("page_id", F.col("first_bytes").alias("payload_bytes"), F.substring_index("payload_digest", ":", -1).alias("payload_digest"), F.col("kind").alias("record_type"), F.col("first_page").alias("refers_to"))
+    responses = rows.where(~again).select("page_id", "payload_bytes", F.col("payload_sha1").alias("payload_digest"), F.col("kind").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    return responses.unionByName(revisits)
 
 
 OP7_SQL = """
