@@ -254,7 +254,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = components(links)
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(named.select("fp", "root"), "fp").join(least, "root").select("doc_id", "fp", "component_id")
+    found = written(named.join(written(least), "root").select("fp", "component_id"))
+    return prints.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
