@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetide.functions.calendar import midnight_utc, utc_iso
+from pagetide.operators.diff import price_profile
 from pagetide.schemas import EVENT_TYPES
 
 COLUMNS = [
@@ -15,17 +16,35 @@ COLUMNS = [
     "current_page_id", "previous_page_id", "text_distance", "ratio_numerator", "ratio_denominator", "viewed_at", "price_profile", "price_currency",
 ]
 MAX_PAGE = 200
-#: Titles of types and classes in exports.
+#: Titles, explanations and words of the exports.
 TITLES = {
-    "page_added": "Page added",
-    "page_removed": "Page removed",
-    "title_changed": "Title changed",
-    "description_changed": "Description changed",
-    "h1_changed": "H1 changed",
-    "text_changed": "Text changed",
-    "internal_links_changed": "Internal links changed",
-    "price_changed": "Price changed",
+    "page_added": "Новая страница",
+    "page_removed": "Удалённая страница",
+    "title_changed": "Изменение Title",
+    "description_changed": "Изменение Description",
+    "h1_changed": "Изменение H1",
+    "text_changed": "Изменение текста",
+    "internal_links_changed": "Изменение внутренних ссылок",
+    "price_changed": "Изменение цены",
 }
+EXPLANATIONS = {
+    "page_added": "В текущем завершённом обходе найдена страница, которой не было в предыдущем завершённом обходе.",
+    "page_removed": "Страница была в предыдущем завершённом обходе, но отсутствует в текущем завершённом обходе.",
+    "title_changed": "Значение Title страницы отличается от предыдущего завершённого обхода.",
+    "description_changed": "Значение Description страницы отличается от предыдущего завершённого обхода.",
+    "h1_changed": "Значение H1 страницы отличается от предыдущего завершённого обхода.",
+    "text_changed": "Нормализованный текст страницы отличается от предыдущего завершённого обхода.",
+    "internal_links_changed": "Набор внутренних ссылок страницы отличается от предыдущего завершённого обхода.",
+    "price_changed": "Точная цена однозначной товарной посадочной страницы отличается от предыдущего завершённого обхода.",
+}
+IMPORTANCE_TITLES = {"low": "Низкая", "medium": "Средняя", "high": "Высокая"}
+NOT_RATED = "Не оценивалась"
+VIEWED, NOT_VIEWED = "Просмотрено", "Не просмотрено"
+STATE_TITLES = {"absent_side": "Сторона отсутствует", "none": "Нет значения", "empty_text": "Пустая строка", "empty_links": "Пустой список ссылок"}
+
+
+def lookup(table: dict[str, str], key: Column) -> Column:
+    return F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[key]
 
 
 def feed(snapshot_events: DataFrame, price_events: DataFrame, runs: DataFrame, sites: DataFrame, views: DataFrame) -> DataFrame:
@@ -97,25 +116,36 @@ def exists(events: DataFrame) -> bool:
     return not events.isEmpty()
 
 
-def side(event_type: Column, url: Column, version: Column, price: Column | None = None) -> Column:
-    """struct(state, text, links) of what an event shows of one side: absent_side, none, empty_text, text, empty_links, links or price."""
+def amount_text(c: Column) -> Column:
+    """A decimal without final zeros."""
+    return F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
+def side(event_type: Column, url: Column, version: Column) -> Column:
+    """struct(state, text, links, currency, low, high) of what an event shows of one side.
+
+    state is absent_side, none, empty_text, text, empty_links, links, price or price_range.
+    """
     value = F.when(event_type == "title_changed", version["title"]).when(event_type == "description_changed", version["description"]).when(event_type == "h1_changed", version["h1"]).otherwise(version["normalized_text"])
+    whole = event_type.isin("page_added", "page_removed")
+    price = F.when(event_type == "price_changed", price_profile(version["prices"]))
     state = (
         F.when(version.isNull(), "absent_side")
-        .when(event_type == "price_changed", "price")
-        .when(event_type.isin("page_added", "page_removed"), "text")
+        .when(event_type == "price_changed", F.when(price["profile"] == "range", "price_range").otherwise("price"))
+        .when(whole, "text")
         .when(event_type == "internal_links_changed", F.when(F.coalesce(F.size(version["internal_links"]), F.lit(0)) == 0, "empty_links").otherwise("links"))
         .when(value.isNull(), "none")
         .when(value == "", "empty_text")
         .otherwise("text")
     )
-    text = F.when(state == "text", F.when(event_type.isin("page_added", "page_removed"), url).otherwise(value))
-    return F.struct(state.alias("state"), text.alias("text"), F.when(state == "links", F.array_sort(F.array_distinct(version["internal_links"]))).alias("links"))
+    text = F.when(state == "text", F.when(whole, url).otherwise(value))
+    links = F.when(state == "links", F.array_sort(F.array_distinct(version["internal_links"])))
+    return F.struct(state.alias("state"), text.alias("text"), links.alias("links"), price["currency"].alias("currency"), amount_text(price["low"]).alias("low"), amount_text(price["high"]).alias("high"))
 
 
 def with_sides(events: DataFrame, pages: DataFrame) -> DataFrame:
     """events with current and previous sides, from the page versions that they name; each is read once."""
-    version = F.struct("title", "description", "h1", "normalized_text", "internal_links")
+    version = F.struct("title", "description", "h1", "normalized_text", "internal_links", "prices")
     at = lambda key, name: pages.select(F.col("page_id").alias(key), version.alias(name))
     joined = events.join(at("current_page_id", "c"), "current_page_id", "left").join(at("previous_page_id", "p"), "previous_page_id", "left")
     kind, url = F.col("event_type"), F.col("url")
@@ -149,12 +179,12 @@ def safe_cell(c: Column) -> Column:
 
 
 def side_text(s: Column) -> Column:
-    return F.when(s["state"] == "text", s["text"]).when(s["state"] == "links", F.array_join(s["links"], "\n")).otherwise(s["state"])
+    price = F.concat(F.concat_ws("–", s["low"], s["high"]), F.lit(" "), s["currency"])
+    return F.when(s["state"] == "text", s["text"]).when(s["state"] == "links", F.array_join(s["links"], "\n")).when(s["state"].isin("price", "price_range"), price).otherwise(lookup(STATE_TITLES, s["state"]))
 
 
 def csv_rows(events: DataFrame, zone: str = "UTC") -> DataFrame:
     """The 15 columns of the CSV export, cells made safe. events: with_sides() of the feed."""
-    title = F.create_map(*(F.lit(x) for pair in TITLES.items() for x in pair))[F.col("event_type")]
     local = lambda c: F.date_format(F.from_utc_timestamp(c, zone), "yyyy-MM-dd'T'HH:mm:ss")
     cells = {
         "site_id": F.col("site_id"),
@@ -162,13 +192,13 @@ def csv_rows(events: DataFrame, zone: str = "UTC") -> DataFrame:
         "site_url": F.col("site_url"),
         "source": F.col("source"),
         "event_id": F.col("event_id"),
-        "event_type": title,
+        "event_type": lookup(TITLES, F.col("event_type")),
         "detected_at": local("current_completed_at"),
         "url": F.col("url"),
-        "importance": F.coalesce("importance", F.lit("not rated")),
+        "importance": F.coalesce(lookup(IMPORTANCE_TITLES, F.col("importance")), F.lit(NOT_RATED)),
         "weight": F.coalesce(F.col("weight").cast("string"), F.lit("")),
-        "explanation": F.col("event_type"),
-        "view_status": F.when(F.col("viewed_at").isNull(), "not viewed").otherwise("viewed"),
+        "explanation": lookup(EXPLANATIONS, F.col("event_type")),
+        "view_status": F.when(F.col("viewed_at").isNull(), NOT_VIEWED).otherwise(VIEWED),
         "viewed_at": F.coalesce(local("viewed_at"), F.lit("")),
         "current": side_text(F.col("current")),
         "previous": side_text(F.col("previous")),
@@ -179,7 +209,7 @@ def csv_rows(events: DataFrame, zone: str = "UTC") -> DataFrame:
 def json_rows(events: DataFrame) -> DataFrame:
     """value: an event's JSON object, for write.text(); nulls are kept."""
     fields = F.struct(
-        "site_id", "site_name", "site_url", "source", "event_id", "event_type", utc_iso(F.col("current_completed_at")).alias("detected_at"), "url", "importance", F.col("weight").alias("importance_weight"),
+        "site_id", "site_name", "site_url", "source", "event_id", "event_type", utc_iso(F.col("current_completed_at")).alias("detected_at"), "url", "importance", F.col("weight").alias("importance_weight"), lookup(EXPLANATIONS, F.col("event_type")).alias("explanation"),
         F.col("viewed_at").isNotNull().alias("viewed"), utc_iso(F.col("viewed_at")).alias("viewed_at"), "current", "previous",
     )
     return events.select(F.to_json(fields, {"ignoreNullFields": "false"}).alias("value"))

@@ -198,14 +198,14 @@ def side_states(spark, sf_dir):
     return rows.select("current_run_id", "event_type", "url", F.col("current.state").alias("current_state"), F.col("current.text").alias("current_text"), F.col("previous.state").alias("previous_state"), F.col("previous.text").alias("previous_text"))
 
 
-def cell(state: str, text: str, links: str) -> str:
-    return f"CASE {state} WHEN 'text' THEN {text} WHEN 'links' THEN replace(array_to_string({links}, chr(10)), chr(10), chr(13) || chr(10)) ELSE {state} END"
+def cell(state: str, text: str, links: str, price: str) -> str:
+    return f"CASE {state} WHEN 'text' THEN {text} WHEN 'links' THEN replace(array_to_string({links}, chr(10)), chr(10), chr(13) || chr(10)) WHEN 'price' THEN regexp_replace(CAST({price} AS VARCHAR), '\\.?0+$', '') || ' USD' ELSE map_extract_value(MAP {feed.STATE_TITLES}, {state}) END"
 
 
-@query(f"""{b.FEED}, x AS (SELECT e.*, c.internal_links AS cl, p.internal_links AS pl, CASE WHEN source = 'price' THEN 'price' ELSE {SIDE.format(id="current_page_id", v="c")} END AS cs, {SIDE_TEXT.format(id="current_page_id", v="c")} AS ctx,
+@query(f"""{b.FEED}, x AS (SELECT e.*, c.internal_links AS cl, p.internal_links AS pl, c.price AS cpr, p.price AS ppr, CASE WHEN source = 'price' THEN 'price' ELSE {SIDE.format(id="current_page_id", v="c")} END AS cs, {SIDE_TEXT.format(id="current_page_id", v="c")} AS ctx,
 CASE WHEN source = 'price' THEN 'price' ELSE {SIDE.format(id="previous_page_id", v="p")} END AS ps, {SIDE_TEXT.format(id="previous_page_id", v="p")} AS ptx {SIDES.format(t="seen")})
-SELECT CAST(site_id AS VARCHAR) AS site_id, site_name, site_url, source, CAST(event_id AS VARCHAR) AS event_id, map_extract_value(MAP {feed.TITLES}, event_type) AS event_type, strftime(current_completed_at, '%Y-%m-%dT%H:%M:%S') AS detected_at, url, coalesce(importance, 'not rated') AS importance,
-coalesce(CAST(weight AS VARCHAR), '') AS weight, event_type AS explanation, CASE WHEN viewed_at IS NULL THEN 'not viewed' ELSE 'viewed' END AS view_status, coalesce(strftime(viewed_at, '%Y-%m-%dT%H:%M:%S'), '') AS viewed_at, {cell("cs", "ctx", "cl")} AS current, {cell("ps", "ptx", "pl")} AS previous FROM x""")
+SELECT CAST(site_id AS VARCHAR) AS site_id, site_name, site_url, source, CAST(event_id AS VARCHAR) AS event_id, map_extract_value(MAP {feed.TITLES}, event_type) AS event_type, strftime(current_completed_at, '%Y-%m-%dT%H:%M:%S') AS detected_at, url, coalesce(map_extract_value(MAP {feed.IMPORTANCE_TITLES}, importance), '{feed.NOT_RATED}') AS importance,
+coalesce(CAST(weight AS VARCHAR), '') AS weight, map_extract_value(MAP {feed.EXPLANATIONS}, event_type) AS explanation, CASE WHEN viewed_at IS NULL THEN '{feed.NOT_VIEWED}' ELSE '{feed.VIEWED}' END AS view_status, coalesce(strftime(viewed_at, '%Y-%m-%dT%H:%M:%S'), '') AS viewed_at, {cell("cs", "ctx", "cl", "cpr")} AS current, {cell("ps", "ptx", "pl", "ppr")} AS previous FROM x""")
 def export_csv_rows(spark, sf_dir):
     return feed.csv_rows(feed.with_sides(whole_feed(spark, sf_dir), b.pages(spark, sf_dir)))
 
