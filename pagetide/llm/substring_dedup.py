@@ -26,7 +26,9 @@ from pagetide.llm.hashing import HASHES, runs_of
 WINDOW = 35
 PHRASE = 8
 #: Words that one automaton holds at most, unless a single passage is longer: about 100 bytes each.
-AUTOMATON_WORDS = 300_000
+AUTOMATON_WORDS = 200_000
+#: Texts that a task works on at once.
+BATCH = 500
 
 
 def anchors(words: list[bytes], window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,12 +41,19 @@ def anchors(words: list[bytes], window: int, phrase: int) -> tuple[np.ndarray, n
     return whole, at, grams
 
 
-def first_pass(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """row, doc_id, digest, n_words, kept_sha256 (of all words), anchors (hashes, one for each anchor position)."""
+def small(batches, rows: int = BATCH):
+    """The batches in pieces, so that what is made of one stays small."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
+def first_pass(docs: DataFrame, window: int, phrase: int, with_text: bool) -> DataFrame:
+    """row, doc_id, digest, n_words, kept_sha256 (of all words), anchors (hashes, one for each anchor position), all_text (null unless with_text)."""
 
     def of(batches):
         row = TaskContext.get().partitionId() << 40
-        for b in batches:
+        for b in small(batches):
             out = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 raw = (text.as_py() or "").encode()
@@ -53,20 +62,20 @@ def first_pass(docs: DataFrame, window: int, phrase: int) -> DataFrame:
                 if len(words) >= window:
                     _, at, grams = anchors(words, window, phrase)
                     hashes = grams[np.unique(at)].view(np.int64)
-                out.append((row, doc_id, hashlib.sha256(raw).digest(), len(words), hashlib.sha256(b" ".join(words)).hexdigest(), hashes))
+                out.append((row, doc_id, hashlib.sha256(raw).digest(), len(words), hashlib.sha256(joined := b" ".join(words)).hexdigest(), hashes, joined.decode() if with_text else None))
                 row += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), TYPES, strict=True)], NAMES)
 
-    NAMES = ["row", "doc_id", "digest", "n_words", "kept_sha256", "anchors"]
-    TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.list_(pa.int64())]
-    return docs.mapInArrow(of, "row long, doc_id long, digest binary, n_words long, kept_sha256 string, anchors array<long>")
+    NAMES = ["row", "doc_id", "digest", "n_words", "kept_sha256", "anchors", "all_text"]
+    TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string()]
+    return docs.mapInArrow(of, "row long, doc_id long, digest binary, n_words long, kept_sha256 string, anchors array<long>, all_text string")
 
 
 def windows_at(texts: DataFrame, window: int, phrase: int) -> DataFrame:
     """row, copies, windows, starts: the windows of each text whose anchor is among recurring. texts: row, copies, text, recurring."""
 
     def of(batches):
-        for b in batches:
+        for b in small(batches):
             out = [[], [], [], []]
             for row, copies, text, recurring in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 whole, at, grams = anchors((text.as_py() or "").encode().split(), window, phrase)
@@ -112,19 +121,17 @@ def removed_words(texts: DataFrame, window: int, shard_texts: int = 200) -> Data
     """digest, n_removed, kept_sha256, text of what stays. texts: digest, text, starts (of confirmed windows)."""
 
     def of(batches):
-        for b in batches:
-            for k in range(0, b.num_rows, shard_texts):
-                part = b.slice(k, shard_texts)
-                number: dict[bytes, int] = {}
-                words = [(t.as_py() or "").encode().split() for t in part.column(1)]
-                texts = [[number.setdefault(w, len(number) + 1) for w in ws] for ws in words]
-                passages = {tuple(t[i:j]) for t, s in zip(texts, part.column(2), strict=True) for i, j in merged(np.sort(np.asarray(s.values)), window)}
-                kept, gone = [], []
-                for ws, mask in zip(words, locate(texts, passages), strict=True):
-                    gone.append(int(mask.sum()))
-                    kept.append(b" ".join([w for w, m in zip(ws, mask.tolist(), strict=True) if not m]))
-                sha = [hashlib.sha256(x).hexdigest() for x in kept]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(gone, pa.int64()), pa.array(sha), pa.array([x.decode() for x in kept])], ["digest", "n_removed", "kept_sha256", "kept_text"])
+        for part in small(batches, shard_texts):
+            number: dict[bytes, int] = {}
+            words = [(t.as_py() or "").encode().split() for t in part.column(1)]
+            texts = [[number.setdefault(w, len(number) + 1) for w in ws] for ws in words]
+            passages = {tuple(t[i:j]) for t, s in zip(texts, part.column(2), strict=True) for i, j in merged(np.sort(np.asarray(s.values)), window)}
+            kept, gone = [], []
+            for ws, mask in zip(words, locate(texts, passages), strict=True):
+                gone.append(int(mask.sum()))
+                kept.append(b" ".join([w for w, m in zip(ws, mask.tolist(), strict=True) if not m]))
+            sha = [hashlib.sha256(x).hexdigest() for x in kept]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(gone, pa.int64()), pa.array(sha), pa.array([x.decode() for x in kept])], ["digest", "n_removed", "kept_sha256", "kept_text"])
 
     return texts.mapInArrow(of, "digest binary, n_removed long, kept_sha256 string, kept_text string")
 
@@ -140,11 +147,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not 1 <= phrase <= window:
         raise ValueError("phrase must lie between 1 and window")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    first = written(first_pass(rows, window, phrase))
+    first = written(first_pass(rows, window, phrase, with_text))
     own = first.where(F.size("anchors") > 0).groupBy("digest").agg(F.min(F.struct("row", "doc_id")).alias("own"), F.count(F.lit(1)).alias("copies"), F.first("anchors").alias("anchors"))
     distinct = written(own.select("digest", "copies", "own.row", F.col("own.doc_id").alias("own_id"), "anchors"))
     at = distinct.select("row", F.explode("anchors").alias("anchor"))
-    recurring = at.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # Written, so that both sides of the join are dealt out for it alone and a common anchor's can be split.
+    recurring = written(at.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
     hits = at.join(recurring, "anchor").groupBy("row").agg(F.collect_list("anchor").alias("recurring"))
     asked = distinct.select("row", "digest", "own_id", "copies").join(hits, "row")
     # Of the copies of a text, the first is read again. Where rows repeat it comes twice, which tells nothing new: such a text recurs.
@@ -152,14 +160,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = written(own_text.join(asked, (F.col("own_digest") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select("row", "digest", "copies", "text", "recurring"))
     found = written(windows_at(texts.select("row", "copies", "text", "recurring"), window, phrase))
     windows = found.select("row", "copies", F.explode(F.arrays_zip("windows", "starts")).alias("w")).select("row", "copies", F.col("w.windows").alias("window"), F.col("w.starts").alias("start"))
-    confirmed = windows.groupBy("window").agg(F.sum(F.least("copies", F.lit(2))).alias("n")).where("n > 1").select("window")
+    confirmed = written(windows.groupBy("window").agg(F.sum(F.least("copies", F.lit(2))).alias("n")).where("n > 1").select("window"))
     starts = windows.where("copies = 1").select("row", "window", "start").join(confirmed, "window").groupBy("row").agg(F.collect_list("start").alias("starts"))
     shards = texts.where("copies = 1").join(starts, "row").select("digest", "text", "starts")
     less = removed_words(shards, window)
     if not with_text:
         less = less.drop("kept_text")
     copied = distinct.where("copies > 1").select("digest", F.lit(True).alias("copied"))
-    out = first.select("doc_id", "digest", "n_words", F.col("kept_sha256").alias("all_sha256")).join(copied, "digest", "left").join(less, "digest", "left")
+    out = first.select("doc_id", "digest", "n_words", F.col("kept_sha256").alias("all_sha256"), "all_text").join(copied, "digest", "left").join(less, "digest", "left")
     gone = F.coalesce("copied", F.lit(False))
     columns = [
         "doc_id",
@@ -167,6 +175,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "all_sha256")).alias("kept_sha256"),
     ]
+    if with_text:
+        columns.append(F.when(gone, "").otherwise(F.coalesce("kept_text", "all_text")).alias("kept_text"))
     return out.select(*columns)
 
 
