@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagetide.functions import ratio
@@ -33,17 +34,21 @@ def versions(records: DataFrame, prices: DataFrame) -> DataFrame:
 def matched(pairs: DataFrame, pages: DataFrame, compared: list[str] | None = None) -> DataFrame:
     """current_run_id, previous_run_id, current_completed_at, url, cur, prev: the pages of both runs of each pair by url.
 
-    pairs: as predecessors() gives them; baselines take no part. Each side gets its pair before the join, so a pair whose
-    current run has no pages still loses its previous ones.
+    pairs: as predecessors() gives them; baselines take no part. A run is the current one of its own pair and the previous
+    one of the next, so each page is read once and dealt out in both roles, and the two versions of a url meet in one sort.
+    A pair whose current run has no pages still has its previous ones. A url that a run has twice is an error.
     """
     columns = [c for c in (compared or COMPARED) if c in pages.columns]
-    both = pairs.where(F.col("previous_run_id").isNotNull()).select("current_run_id", "previous_run_id", "current_completed_at")
-    version = F.struct(*columns)
-    side = lambda run, name: both.join(pages.select(F.col("run_id").alias(run), "url", version.alias(name)), run).select("current_run_id", "url", name, "previous_run_id", "current_completed_at")
-    cur = side("current_run_id", "cur")
-    prev = side("previous_run_id", "prev").withColumnsRenamed({"previous_run_id": "p", "current_completed_at": "t"})
-    joined = cur.join(prev, ["current_run_id", "url"], "full_outer")
-    return joined.select("current_run_id", F.coalesce("previous_run_id", "p").alias("previous_run_id"), F.coalesce("current_completed_at", "t").alias("current_completed_at"), "url", "cur", "prev")
+    known = pairs.where(F.col("previous_run_id").isNotNull())
+    role = lambda name, is_current: F.struct(F.col(name).alias("run_id"), F.lit(is_current).alias("is_current"))
+    roles = known.select("current_run_id", "previous_run_id", "current_completed_at", F.explode(F.array(role("current_run_id", True), role("previous_run_id", False))).alias("r"))
+    dealt = roles.select("current_run_id", "previous_run_id", "current_completed_at", "r.run_id", "r.is_current").join(pages.select("run_id", "url", F.struct(*columns).alias("version")), "run_id")
+    order = W.partitionBy("current_run_id", "url").orderBy("is_current")
+    rows = dealt.withColumns({"before": F.lag("version").over(order), "role": F.lag("is_current").over(order), "last": F.lead("is_current").over(order).isNull()})
+    twice = F.raise_error(F.concat(F.lit("a run has a url twice: "), "url")).cast("boolean")
+    rows = rows.where(F.when(F.col("role") == F.col("is_current"), twice).otherwise(F.col("last")))
+    current = F.col("is_current")
+    return rows.select("current_run_id", "previous_run_id", "current_completed_at", "url", F.when(current, F.col("version")).alias("cur"), F.when(current, F.col("before")).otherwise(F.col("version")).alias("prev"))
 
 
 def text_change(cur: Column, prev: Column) -> Column:
@@ -75,14 +80,18 @@ def price_profile(prices: Column) -> Column:
     return F.when(sound & (F.size(prices) == 1) & (F.get(prices, F.lit(0))["kind"] == "price"), single).when(sound & two, pair)
 
 
-def snapshot_events(pages: DataFrame) -> DataFrame:
-    """The columns of EVENT_COLUMNS for each change on matched() pages: one pass, a list of events to a page."""
+def all_events(pages: DataFrame) -> DataFrame:
+    """Snapshot and price events of matched() pages in one pass, a list of events to a page.
+
+    The columns of EVENT_COLUMNS, price_profile and price_currency. A field that pages don't carry isn't compared.
+    """
     cur, prev = F.col("cur"), F.col("prev")
     fields = [f.name for f in pages.schema["cur"].dataType.fields]
-    none, long = F.lit(None).cast("int"), F.lit(None).cast("long")
+    none, long, word = F.lit(None).cast("int"), F.lit(None).cast("long"), F.lit(None).cast("string")
 
-    def event(kind, weight, when, text_distance=none, num=long, den=long):
-        return F.when(when, F.struct(F.lit(kind).alias("event_type"), weight.cast("int").alias("weight"), text_distance.cast("int").alias("text_distance"), num.cast("long").alias("ratio_numerator"), den.cast("long").alias("ratio_denominator")))
+    def event(kind, weight, when, text_distance=none, num=long, den=long, profile=word, currency=word):
+        values = {"weight": weight.cast("int"), "text_distance": text_distance.cast("int"), "ratio_numerator": num.cast("long"), "ratio_denominator": den.cast("long"), "price_profile": profile, "price_currency": currency}
+        return F.when(when, F.struct(F.lit(kind).alias("event_type"), *(v.alias(k) for k, v in values.items())))
 
     both = cur.isNotNull() & prev.isNotNull()
     events = [event("page_added", F.lit(2), prev.isNull()), event("page_removed", F.lit(3), cur.isNull())]
@@ -96,17 +105,33 @@ def snapshot_events(pages: DataFrame) -> DataFrame:
         rows = rows.withColumn("__links", F.when(both, link_change(cur["internal_links"], prev["internal_links"])))
         k = F.col("__links")
         events.append(event("internal_links_changed", F.when(k.isNotNull(), ratio.weight(k["num"], k["den"])), k.isNotNull(), none, k["num"], k["den"]))
+    if "prices" in fields:
+        c, p = F.when(both, price_profile(cur["prices"])), F.when(both, price_profile(prev["prices"]))
+        rows = rows.withColumns({"__new": c, "__old": p})
+        c, p = F.col("__new"), F.col("__old")
+        events.append(event("price_changed", none, price_moved(c, p), profile=c["profile"], currency=c["currency"]))
     listed = rows.select("*", F.explode(F.array_compact(F.array(*events))).alias("e"))
-    flat = listed.select("current_run_id", "previous_run_id", "e.event_type", "url", cur["page_id"].alias("current_page_id"), prev["page_id"].alias("previous_page_id"), "current_completed_at", ratio.importance(F.col("e.weight")).alias("importance"), "e.weight", "e.text_distance", "e.ratio_numerator", "e.ratio_denominator")
-    return flat.select(*EVENT_COLUMNS)
+    flat = listed.select("current_run_id", "previous_run_id", "url", cur["page_id"].alias("current_page_id"), prev["page_id"].alias("previous_page_id"), "current_completed_at", ratio.importance(F.col("e.weight")).alias("importance"), "e.*")
+    return flat.select(*EVENT_COLUMNS, "price_profile", "price_currency")
+
+
+def price_moved(c: Column, p: Column) -> Column:
+    """Whether a profile kept its kind and currency and changed its amounts."""
+    same = (c["profile"] == p["profile"]) & (c["currency"] == p["currency"])
+    return F.coalesce(same & ~(c["low"].eqNullSafe(p["low"]) & c["high"].eqNullSafe(p["high"])), F.lit(False))
+
+
+def snapshot_events(pages: DataFrame) -> DataFrame:
+    """The columns of EVENT_COLUMNS for each change but those of prices."""
+    version = [f.name for f in pages.schema["cur"].dataType.fields if f.name != "prices"]
+    trim = lambda name: F.when(F.col(name).isNotNull(), F.struct(*(F.col(name)[f].alias(f) for f in version)))
+    return all_events(pages.withColumns({"cur": trim("cur"), "prev": trim("prev")})).select(*EVENT_COLUMNS)
 
 
 def price_events(pages: DataFrame) -> DataFrame:
     """A row for each page whose price profile kept its kind and currency and changed its amounts; where a price is stated doesn't matter."""
     rows = pages.where(F.col("cur").isNotNull() & F.col("prev").isNotNull()).withColumns({"c": price_profile(F.col("cur.prices")), "p": price_profile(F.col("prev.prices"))})
-    same = (F.col("c.profile") == F.col("p.profile")) & (F.col("c.currency") == F.col("p.currency"))
-    moved = ~(F.col("c.low").eqNullSafe(F.col("p.low")) & F.col("c.high").eqNullSafe(F.col("p.high")))
-    return rows.where(same & moved).select("current_run_id", "previous_run_id", "url", F.col("cur.page_id").alias("current_page_id"), F.col("prev.page_id").alias("previous_page_id"), "current_completed_at", F.col("c.profile").alias("price_profile"), F.col("c.currency").alias("price_currency"), F.col("p.low").alias("previous_low"), F.col("c.low").alias("current_low"), F.col("p.high").alias("previous_high"), F.col("c.high").alias("current_high"))
+    return rows.where(price_moved(F.col("c"), F.col("p"))).select("current_run_id", "previous_run_id", "url", F.col("cur.page_id").alias("current_page_id"), F.col("prev.page_id").alias("previous_page_id"), "current_completed_at", F.col("c.profile").alias("price_profile"), F.col("c.currency").alias("price_currency"), F.col("p.low").alias("previous_low"), F.col("c.low").alias("current_low"), F.col("p.high").alias("previous_high"), F.col("c.high").alias("current_high"))
 
 
 def page_importance(events: DataFrame) -> DataFrame:

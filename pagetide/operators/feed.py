@@ -47,14 +47,19 @@ def lookup(table: dict[str, str], key: Column) -> Column:
     return F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[key]
 
 
-def feed(snapshot_events: DataFrame, price_events: DataFrame, runs: DataFrame, sites: DataFrame, views: DataFrame) -> DataFrame:
-    """The columns of COLUMNS. Events of both kinds have an event_id of their kind; views: source, event_id, viewed_at."""
-    left = snapshot_events.withColumns({"source": F.lit("snapshot"), "source_rank": F.lit(0)})
-    right = price_events.withColumns({"source": F.lit("price"), "source_rank": F.lit(1), "event_type": F.lit("price_changed")})
-    both = left.unionByName(right.drop("previous_low", "current_low", "previous_high", "current_high"), allowMissingColumns=True)
+def feed(events: DataFrame, runs: DataFrame, sites: DataFrame, views: DataFrame | None = None) -> DataFrame:
+    """The columns of COLUMNS of events as diff.all_events() gives them, with an event_id that is unique within their source.
+
+    views: source, event_id, viewed_at of the events that have been viewed.
+    """
+    price = F.col("event_type") == "price_changed"
+    both = events.withColumns({"source": F.when(price, "price").otherwise("snapshot"), "source_rank": F.when(price, 1).otherwise(0)})
     run = runs.select(F.col("run_id").alias("current_run_id"), "site_id")
     site = sites.select("site_id", F.col("name").alias("site_name"), F.col("url").alias("site_url"), "site_type")
-    return both.join(run, "current_run_id").join(site, "site_id").join(views.select("source", "event_id", "viewed_at"), ["source", "event_id"], "left").select(*COLUMNS)
+    named = both.join(run, "current_run_id").join(site, "site_id")
+    if views is None:
+        return named.withColumn("viewed_at", F.lit(None).cast("timestamp")).select(*COLUMNS)
+    return named.join(views.select("source", "event_id", "viewed_at"), ["source", "event_id"], "left").select(*COLUMNS)
 
 
 def filtered(

@@ -32,7 +32,8 @@ LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_qu
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page for each run and slug: its first line. The run's parts are the links of all its pages."""
     lines = table(spark, sf_dir, "lineitem").withColumn("slug", F.col("l_suppkey") % 10)
-    first = lines.groupBy(F.col("l_orderkey").alias("run_id"), "slug").agg(F.min(F.struct(*LINE_ORDER)).alias("l"))
+    order = W.partitionBy("l_orderkey", "slug").orderBy(*LINE_ORDER)
+    first = lines.withColumn("rn", F.row_number().over(order)).where("rn = 1").select(F.col("l_orderkey").alias("run_id"), "slug", F.struct(*LINE_ORDER).alias("l"))
     links = lines.groupBy(F.col("l_orderkey").alias("run_id")).agg(F.array_sort(F.collect_set(F.concat(F.lit("/p/"), (F.col("l_partkey") % 50).cast("string")))).alias("internal_links"))
     text = F.concat_ws(" ", "l.l_returnflag", "l.l_linestatus", F.date_format("l.l_shipdate", "yyyy-MM-dd"), F.col("l.l_quantity").cast("int").cast("string"))
     price = F.array(F.struct(F.regexp_replace(F.col("l.l_extendedprice").cast("decimal(18,2)").cast("string"), r"\.?0+$", "").alias("amount"), F.lit("USD").alias("currency"), F.lit("price").alias("kind"), F.lit("json-ld").alias("source")))
@@ -84,11 +85,6 @@ def event_ids(events: DataFrame) -> DataFrame:
     return events.withColumn("event_id", F.coalesce("current_page_id", "previous_page_id") * 10 + rank)
 
 
-def views(events: DataFrame) -> DataFrame:
-    """Every third event has been viewed a day after it was found."""
-    return events.where(F.col("event_id") % 3 == 0).select("source", "event_id", (F.col("current_completed_at") + F.expr("INTERVAL 1 DAY")).alias("viewed_at"))
-
-
 FEED = f"""{DIFF}, {EVENTS}, {SITES},
 feed AS (
 SELECT coalesce(current_page_id, previous_page_id) * 10 + list_position({RANKS}, event_type) - 1 AS event_id, 'snapshot' AS source, 0 AS source_rank, r.site_id, s.name AS site_name, s.url AS site_url, s.site_type, event_type, e.url,

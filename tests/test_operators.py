@@ -68,6 +68,9 @@ def test_text_from_nothing(spark):
 def test_repeated_url(spark):
     with pytest.raises(Exception, match="twice"):
         diff.unique_urls(pages(spark, page(1, 1), page(2, 1))).collect()
+    for double in ((page(1, 1), page(2, 1)), (page(1, 2), page(2, 2)), (page(1, 1), page(2, 1), page(3, 2)), (page(1, 1), page(2, 2), page(3, 2))):
+        with pytest.raises(Exception, match="twice"):
+            diff.process(two_runs(spark), pages(spark, *double))[0].collect()
 
 
 LOW, HIGH = {**PRICE, "kind": "low"}, {**PRICE, "kind": "high", "amount": "20"}
