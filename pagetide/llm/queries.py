@@ -18,4 +18,4 @@ QUERIES = {
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL = {"op5_exact_dedup": exact_dedup.OP5_SQL, "op7_warc": warc.OP7_SQL}
+ORACLE_SQL = {"op5_exact_dedup": exact_dedup.OP5_SQL, "op7_warc": warc.OP7_SQL, "op10_substring_dedup": substring_dedup.OP10_SQL}

@@ -163,11 +163,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     confirmed = written(windows.groupBy("window").agg(F.sum(F.least("copies", F.lit(2))).alias("n")).where("n > 1").select("window"))
     starts = windows.where("copies = 1").select("row", "window", "start").join(confirmed, "window").groupBy("row").agg(F.collect_list("start").alias("starts"))
     shards = texts.where("copies = 1").join(starts, "row").select("digest", "text", "starts")
-    less = removed_words(shards, window)
+    less = removed_words(shards, window).withColumn("copied", F.lit(False))
     if not with_text:
         less = less.drop("kept_text")
     copied = distinct.where("copies > 1").select("digest", F.lit(True).alias("copied"))
-    out = first.select("doc_id", "digest", "n_words", F.col("kept_sha256").alias("all_sha256"), "all_text").join(copied, "digest", "left").join(less, "digest", "left")
+    # One table of verdicts, so that a text of many copies meets them in one join, which can be split.
+    verdicts = written(less.unionByName(copied, allowMissingColumns=True))
+    out = first.select("doc_id", "digest", "n_words", F.col("kept_sha256").alias("all_sha256"), "all_text").join(verdicts, "digest", "left")
     gone = F.coalesce("copied", F.lit(False))
     columns = [
         "doc_id",
@@ -182,3 +184,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, i, array_to_string(ws[i : i + 34], ' ') AS k FROM w, unnest(range(1, len(ws) - 33)) t(i)),
+r AS (SELECT k FROM s GROUP BY k HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, i + j AS p FROM s JOIN r USING (k), unnest(range(0, 35)) u(j)),
+e AS (SELECT doc_id, p, ws[p] AS word FROM w, unnest(range(1, len(ws) + 1)) t(p)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM e WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = e.doc_id AND c.p = e.p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
