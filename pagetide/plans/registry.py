@@ -104,14 +104,14 @@ def metadata_changes(spark, sf_dir):
     return events(spark, sf_dir, "title", "description", "h1").where(F.col("event_type").isin("title_changed", "description_changed", "h1_changed")).select("current_run_id", "url", "event_type", "importance", "weight")
 
 
-@query(f"""{b.DIFF}, {b.EVENTS} SELECT current_run_id, url, list_sort(list_filter(cl, lambda x: NOT list_contains(pl, x))) AS added, list_sort(list_filter(pl, lambda x: NOT list_contains(cl, x))) AS removed,
+@query(f"""{b.DIFF}, {b.EVENTS} SELECT current_run_id, url, array_to_string(list_sort(list_filter(cl, lambda x: NOT list_contains(pl, x))), ' ') AS added, array_to_string(list_sort(list_filter(pl, lambda x: NOT list_contains(cl, x))), ' ') AS removed,
 CAST(n // gcd(n, d) AS BIGINT) AS ratio_numerator, CAST(d // gcd(n, d) AS BIGINT) AS ratio_denominator, {b.WEIGH.format(n="n", d="d")} AS weight FROM linkd WHERE n > 0""")
 def link_set_changes(spark, sf_dir):
     from pagetide.functions import ratio
 
     rows = matched(spark, sf_dir, ["internal_links"]).where("cur IS NOT NULL AND prev IS NOT NULL")
     c = rows.select("current_run_id", "url", diff.link_change(F.col("cur.internal_links"), F.col("prev.internal_links")).alias("c")).where("c IS NOT NULL")
-    return c.select("current_run_id", "url", "c.added", "c.removed", F.col("c.num").alias("ratio_numerator"), F.col("c.den").alias("ratio_denominator"), ratio.weight(F.col("c.num"), F.col("c.den")).alias("weight"))
+    return c.select("current_run_id", "url", F.array_join("c.added", " ").alias("added"), F.array_join("c.removed", " ").alias("removed"), F.col("c.num").alias("ratio_numerator"), F.col("c.den").alias("ratio_denominator"), ratio.weight(F.col("c.num"), F.col("c.den")).alias("weight"))
 
 
 @query(f"{b.DIFF} SELECT current_run_id, previous_run_id, url, 'price' AS price_profile, 'USD' AS price_currency, CAST(p_price AS DOUBLE) AS previous_low, CAST(c_price AS DOUBLE) AS current_low FROM twins WHERE c_price <> p_price")
@@ -209,7 +209,16 @@ def export_csv_rows(spark, sf_dir):
     return feed.csv_rows(feed.with_sides(whole_feed(spark, sf_dir), b.pages(spark, sf_dir)))
 
 
-@query()
+def json_side(state: str, text: str, links: str, price: str) -> str:
+    amount = f"regexp_replace(CAST({price} AS VARCHAR), '\\.?0+$', '')"
+    held = f"CASE WHEN {state} = 'price' THEN"
+    return f"{{'state': {state}, 'text': {text}, 'links': CASE WHEN {state} = 'links' THEN {links} END, 'currency': {held} 'USD' END, 'low': {held} {amount} END, 'high': CAST(NULL AS VARCHAR)}}"
+
+
+@query(f"""{b.FEED}, x AS (SELECT e.*, c.internal_links AS cl, p.internal_links AS pl, c.price AS cpr, p.price AS ppr, CASE WHEN source = 'price' THEN 'price' ELSE {SIDE.format(id="current_page_id", v="c")} END AS cs, {SIDE_TEXT.format(id="current_page_id", v="c")} AS ctx,
+CASE WHEN source = 'price' THEN 'price' ELSE {SIDE.format(id="previous_page_id", v="p")} END AS ps, {SIDE_TEXT.format(id="previous_page_id", v="p")} AS ptx {SIDES.format(t="seen")})
+SELECT CAST(to_json({{'site_id': site_id, 'site_name': site_name, 'site_url': site_url, 'source': source, 'event_id': event_id, 'event_type': event_type, 'detected_at': strftime(current_completed_at, '%Y-%m-%dT%H:%M:%SZ'), 'url': url, 'importance': importance, 'importance_weight': weight,
+'explanation': map_extract_value(MAP {feed.EXPLANATIONS}, event_type), 'viewed': viewed_at IS NOT NULL, 'viewed_at': strftime(viewed_at, '%Y-%m-%dT%H:%M:%SZ'), 'current': {json_side("cs", "ctx", "cl", "cpr")}, 'previous': {json_side("ps", "ptx", "pl", "ppr")}}}) AS VARCHAR) AS value FROM x""")
 def export_json_rows(spark, sf_dir):
     return feed.json_rows(feed.with_sides(whole_feed(spark, sf_dir), b.pages(spark, sf_dir)))
 
@@ -362,40 +371,77 @@ def content_hash(spark, sf_dir):
     return b.table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
 
 
-@query()
+#: Reachability of all pairs, and with each page left out in turn: what the per-run algorithms must come to.
+CLOSURE = f"""{b.GRAPH}, html AS (SELECT run_id, page_id, depth, sequence_number FROM gpages WHERE outcome = 'html'),
+walk AS (SELECT source_id AS a, target_id AS b FROM arcs UNION SELECT w.a, c.target_id FROM walk w JOIN arcs c ON c.source_id = w.b),
+without AS (SELECT s.run_id, r.page_id AS gone, s.page_id FROM starts s JOIN reached r ON r.run_id = s.run_id AND r.page_id <> s.page_id UNION SELECT w.run_id, w.gone, a.target_id FROM without w JOIN arcs a ON a.source_id = w.page_id AND a.target_id <> w.gone),
+sizes AS (SELECT run_id, count(*) AS n FROM reached GROUP BY 1),
+lost AS (SELECT w.run_id, gone AS page_id, any_value(n) - 1 - count(*) AS stranded, greatest(2, ceil(0.10 * (any_value(n) - 1))) AS least FROM without w JOIN sizes USING (run_id) GROUP BY 1, 2),
+dead AS (SELECT run_id, page_id FROM html h WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.a = h.page_id AND NOT EXISTS (SELECT 1 FROM walk v WHERE v.a = w.b AND v.b = h.page_id))),
+ranked AS (SELECT h.*, row_number() OVER (PARTITION BY h.run_id ORDER BY h.depth) AS k, n FROM reached r JOIN html h USING (page_id) JOIN sizes s ON s.run_id = h.run_id),
+p90 AS (SELECT run_id, depth AS bar FROM ranked WHERE k = ceil(0.9 * n) AND n >= 10)"""
+#: PageRank as the linear system that spreading the rank of dead ends only scales; html is a table before it.
+PAGERANK = """outs AS (SELECT source_id, count(*) AS n FROM arcs GROUP BY 1),
+powers AS (SELECT 0 AS k, run_id, page_id, CAST(1.0 AS DOUBLE) AS x FROM html UNION ALL
+SELECT any_value(kk.k) + 1, h.run_id, h.page_id, 1.0 + 0.85 * coalesce(sum(i.x / o.n), 0.0) FROM html h CROSS JOIN (SELECT max(k) AS k FROM powers) kk LEFT JOIN arcs a ON a.target_id = h.page_id LEFT JOIN powers i ON i.page_id = a.source_id LEFT JOIN outs o ON o.source_id = a.source_id WHERE kk.k < 180 GROUP BY h.run_id, h.page_id),
+pr AS (SELECT run_id, page_id, round(x / sum(x) OVER (PARTITION BY run_id), 9) AS pagerank FROM powers WHERE k = 180)"""
+FOUND = """found AS (
+SELECT run_id, page_id, 'dead_end' AS signal FROM dead
+UNION ALL SELECT run_id, page_id, 'cycle_trap' FROM dead d WHERE EXISTS (SELECT 1 FROM walk w WHERE w.a = d.page_id AND w.b = d.page_id)
+UNION ALL SELECT run_id, page_id, 'island' FROM html h WHERE sequence_number > 1 AND NOT EXISTS (SELECT 1 FROM reached r WHERE r.page_id = h.page_id)
+UNION ALL SELECT r.run_id, page_id, 'anomalous_depth' FROM ranked r JOIN p90 USING (run_id) WHERE depth >= 5 AND depth > bar
+UNION ALL SELECT run_id, page_id, 'bottleneck' FROM lost WHERE stranded >= least)"""
+
+
+@query(f"""{b.GRAPH}, c AS (SELECT e.target_id AS page_id, arg_min(e.source_id, g.sequence_number) AS parent_id FROM edges e JOIN gpages g ON g.page_id = e.source_id WHERE e.target_id IS NOT NULL AND e.target_id <> e.source_id GROUP BY 1),
+par AS (SELECT run_id, page_id, CASE WHEN sequence_number > 1 THEN parent_id END AS parent_id FROM gpages LEFT JOIN c USING (page_id)),
+up AS (SELECT page_id AS a, parent_id AS b FROM par WHERE parent_id IS NOT NULL UNION SELECT u.a, p.parent_id FROM up u JOIN par p ON p.page_id = u.b WHERE p.parent_id IS NOT NULL),
+cuts AS (SELECT a FROM up GROUP BY a HAVING bool_or(a = b) AND min(b) = a),
+forest AS (SELECT run_id, page_id, CASE WHEN page_id IN (SELECT a FROM cuts) THEN NULL ELSE parent_id END AS parent_id FROM par),
+lev AS (SELECT run_id, page_id, parent_id, page_id AS root_id, 0 AS level FROM forest WHERE parent_id IS NULL UNION ALL SELECT f.run_id, f.page_id, f.parent_id, l.root_id, l.level + 1 FROM lev l JOIN forest f ON f.parent_id = l.page_id)
+SELECT * FROM lev""")
 def structure_tree(spark, sf_dir):
     pages = b.graph_pages(spark, sf_dir)
     return graph.tree(pages, graph.edges(pages))
 
 
-@query()
+@query(f"{b.GRAPH}, html AS (SELECT run_id, page_id, sequence_number FROM gpages WHERE outcome = 'html'), {PAGERANK} SELECT f.run_id, f.page_id, pagerank, CAST(row_number() OVER (PARTITION BY f.run_id ORDER BY pagerank DESC, sequence_number) AS INT) AS rank FROM pr f JOIN html USING (page_id)")
 def pagerank(spark, sf_dir):
     pages = b.graph_pages(spark, sf_dir)
     nodes, arcs = graph.html_graph(pages, graph.edges(pages))
     return graph.ranked(graph.pagerank(nodes, arcs), nodes)
 
 
-@query()
+@query(f"""{CLOSURE}, {PAGERANK}, {FOUND},
+cand AS (SELECT p.*, row_number() OVER (PARTITION BY p.run_id ORDER BY pagerank) AS k, count(*) OVER (PARTITION BY p.run_id) AS n FROM pr p JOIN reached r USING (page_id) WHERE p.page_id NOT IN (SELECT page_id FROM starts)),
+bars AS (SELECT run_id, pagerank AS bar FROM cand WHERE k = ceil(0.2 * n) AND n >= 10),
+low AS (SELECT c.run_id, page_id, 'low_connectivity' AS signal FROM cand c JOIN bars USING (run_id) WHERE pagerank < bar AND (SELECT count(*) FROM arcs a WHERE a.target_id = c.page_id) <= 1),
+listed AS (SELECT page_id, list(signal) AS s FROM (SELECT * FROM found UNION ALL SELECT * FROM low) GROUP BY 1),
+loops AS (SELECT d.page_id, array_to_string(list(w.b ORDER BY w.b), ' ') AS cycle FROM dead d JOIN walk w ON w.a = d.page_id JOIN walk v ON v.a = d.page_id AND v.b = d.page_id GROUP BY 1)
+SELECT g.run_id, g.page_id, coalesce(array_to_string(list_filter({list(graph.SIGNALS)}, lambda x: list_contains(s, x)), ' '), '') AS signals, d.page_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM arcs a WHERE a.source_id = g.page_id) AS dead_end_is_page, coalesce(cycle, '') AS cycle, CAST(coalesce(stranded, 0) AS INT) AS stranded
+FROM gpages g LEFT JOIN listed l USING (page_id) LEFT JOIN dead d USING (page_id) LEFT JOIN loops o USING (page_id) LEFT JOIN (SELECT * FROM lost WHERE stranded >= least) x USING (page_id)""")
 def structure_signals(spark, sf_dir):
-    """All six signals, low connectivity among them."""
+    """All six signals, low connectivity among them; lists as text."""
     pages = b.graph_pages(spark, sf_dir)
     e = graph.edges(pages)
-    return graph.signals(pages, e, graph.pagerank(*graph.html_graph(pages, e)))
+    found = graph.signals(pages, e, graph.pagerank(*graph.html_graph(pages, e)))
+    return found.withColumns({"signals": F.array_join("signals", " "), "cycle": F.array_join(F.col("cycle").cast("array<string>"), " ")})
 
 
-@query()
+@query(f"{CLOSURE}, {FOUND} SELECT run_id, signal, count(*) AS pages FROM found GROUP BY 1, 2")
 def scc_signals(spark, sf_dir):
     pages = b.graph_pages(spark, sf_dir)
     return graph.signal_counts(graph.signals(pages, graph.edges(pages)))
 
 
-@query()
+@query(f"{CLOSURE} SELECT run_id, page_id, CAST(stranded AS INT) AS stranded FROM lost WHERE stranded >= least")
 def bottlenecks(spark, sf_dir):
     pages = b.graph_pages(spark, sf_dir)
     return graph.signals(pages, graph.edges(pages)).where(F.array_contains("signals", "bottleneck")).select("run_id", "page_id", "stranded")
 
 
-@query()
+@query(f"""{b.GRAPH}, n AS (SELECT *, -pi() / 2 + 2 * pi() * (row_number() OVER (PARTITION BY run_id ORDER BY sequence_number) - 1) / count(*) OVER (PARTITION BY run_id) AS angle FROM gpages)
+SELECT run_id, page_id, round(450.0 + 285.0 * cos(angle), 2) AS x, round(330.0 + 285.0 * sin(angle), 2) AS y FROM n""")
 def graph_layout(spark, sf_dir):
     return graph.layout(b.graph_pages(spark, sf_dir))
 
@@ -405,7 +451,11 @@ def extract_page(spark, sf_dir):
     return extract_pages(b.table(spark, sf_dir, "pages"))
 
 
-@query()
+#: Right for letters whose lower case folds no further, but for the German sharp s; other tests hold the rest.
+FOLDED = r"trim(regexp_replace(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[\p{P}\p{S}]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, {FOLDED} AS normalized_text, sha256({FOLDED}) AS content_hash FROM documents")
 def normalize_text_unicode(spark, sf_dir):
     text = normalize_main_text(F.col("text"))
     return b.table(spark, sf_dir, "documents").select("doc_id", text.alias("normalized_text"), F.sha2(text, 256).alias("content_hash"))
