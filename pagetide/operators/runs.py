@@ -78,3 +78,22 @@ def transferable(sites: DataFrame, *blocking: DataFrame) -> DataFrame:
     for table in blocking:
         sites = sites.join(table.select("site_id"), "site_id", "left_anti")
     return sites
+
+
+def recent(runs: DataFrame, key: str, order: list[str], n: int = 10) -> DataFrame:
+    """The n latest of each key, newest first by order."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy(key).orderBy(*(F.desc(c) for c in order))
+    return runs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+
+
+def with_source(sources: DataFrame, connection_id: int, resource: str) -> DataFrame:
+    """sources (connection_id, version, resource, active) after a connection takes another resource: a new active version, and no other. Taking the active one again changes nothing."""
+    own = F.col("connection_id") == connection_id
+    same = sources.where(own & F.col("active") & (F.col("resource") == resource))
+    last = sources.where(own).agg(F.coalesce(F.max("version"), F.lit(0)).alias("v"))
+    new = last.select(F.lit(connection_id).cast("long").alias("connection_id"), (F.col("v") + 1).cast("int").alias("version"), F.lit(resource).alias("resource"), F.lit(True).alias("active"))
+    if not same.isEmpty():
+        return sources
+    return sources.withColumn("active", F.col("active") & ~own).unionByName(new)
