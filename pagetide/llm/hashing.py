@@ -6,6 +6,8 @@ import numpy as np
 import xxhash
 
 MULT = np.uint64(0x9E3779B97F4A7C15)
+#: For a second hash, where 64 bits are too few.
+MULT_2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class WordHashes(dict):
@@ -29,9 +31,9 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def runs_of(h: np.ndarray, n: int) -> np.ndarray:
+def runs_of(h: np.ndarray, n: int, multiplier: np.uint64 = MULT) -> np.ndarray:
     """The hash of each n consecutive words, by doubling: that of a + b words is that of a, times a power, plus that of the b after it."""
-    out, have, power, width = None, 0, MULT, 1
+    out, have, power, width = None, 0, multiplier, 1
     step = h
     while True:
         if n & width:

@@ -2,7 +2,7 @@
 
 1. Every text is cut to anchors: of the phrases of 8 words in each window, the one with the smallest hash. Equal windows have
    the same anchor, so only windows whose anchor recurs (about one position in 15 is an anchor) can recur.
-2. Windows at recurring anchors are counted by hash over the whole corpus; those counted twice or more are confirmed.
+2. Windows at recurring anchors are counted by a hash of 128 bits over the whole corpus; those counted twice or more are confirmed.
 3. Texts with confirmed windows are dealt out in shards. Each shard compiles its confirmed passages to Aho-Corasick automata
    over word numbers and streams its texts through them, which locates every occurrence word by word.
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetide.llm.common import table, written
-from pagetide.llm.hashing import HASHES, runs_of
+from pagetide.llm.hashing import HASHES, MULT, MULT_2, runs_of
 
 WINDOW = 35
 PHRASE = 8
@@ -32,13 +32,13 @@ BATCH = 500
 
 
 def anchors(words: list[bytes], window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the windows, for each the position of its anchor, and hashes of the phrases. Of equal hashes, the first is the anchor."""
+    """Hashes of the words, for each window the position of its anchor, and hashes of the phrases. Of equal hashes, the first is the anchor."""
     h = HASHES.of(words)
     with np.errstate(over="ignore"):
-        grams, whole = runs_of(h, phrase), runs_of(h, window)
+        grams = runs_of(h, phrase)
     span = np.lib.stride_tricks.sliding_window_view(grams, window - phrase + 1)
     at = np.concatenate([span[i : i + 65536].argmin(axis=1) + np.arange(i, min(i + 65536, len(span))) for i in range(0, len(span), 65536)])
-    return whole, at, grams
+    return h, at, grams
 
 
 def small(batches, rows: int = BATCH):
@@ -72,20 +72,23 @@ def first_pass(docs: DataFrame, window: int, phrase: int, with_text: bool) -> Da
 
 
 def windows_at(texts: DataFrame, window: int, phrase: int) -> DataFrame:
-    """row, copies, windows, starts: the windows of each text whose anchor is among recurring. texts: row, copies, text, recurring."""
+    """row, copies, first, second, starts: two hashes and the start of each window of a text whose anchor is among recurring. texts: row, copies, text, recurring."""
 
     def of(batches):
         for b in small(batches):
-            out = [[], [], [], []]
+            out = [[], [], [], [], []]
             for row, copies, text, recurring in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                whole, at, grams = anchors((text.as_py() or "").encode().split(), window, phrase)
+                h, at, grams = anchors((text.as_py() or "").encode().split(), window, phrase)
                 known = np.asarray(recurring.values).view(np.uint64)
                 starts = np.flatnonzero(np.isin(grams[at], known))
-                for column, x in zip(out, (row, copies, whole[starts].view(np.int64), starts.astype(np.int32)), strict=True):
+                with np.errstate(over="ignore"):
+                    both = [runs_of(h, window, m)[starts].view(np.int64) for m in (MULT, MULT_2)]
+                for column, x in zip(out, (row, copies, *both, starts.astype(np.int32)), strict=True):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())), strict=True)], ["row", "copies", "windows", "starts"])
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["row", "copies", "first", "second", "starts"])
 
-    return texts.mapInArrow(of, "row long, copies long, windows array<long>, starts array<int>")
+    return texts.mapInArrow(of, "row long, copies long, first array<long>, second array<long>, starts array<int>")
 
 
 def merged(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -159,9 +162,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own_text = rows.withColumn("own_digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
     texts = written(own_text.join(asked, (F.col("own_digest") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select("row", "digest", "copies", "text", "recurring"))
     found = written(windows_at(texts.select("row", "copies", "text", "recurring"), window, phrase))
-    windows = found.select("row", "copies", F.explode(F.arrays_zip("windows", "starts")).alias("w")).select("row", "copies", F.col("w.windows").alias("window"), F.col("w.starts").alias("start"))
-    confirmed = written(windows.groupBy("window").agg(F.sum(F.least("copies", F.lit(2))).alias("n")).where("n > 1").select("window"))
-    starts = windows.where("copies = 1").select("row", "window", "start").join(confirmed, "window").groupBy("row").agg(F.collect_list("start").alias("starts"))
+    windows = found.select("row", "copies", F.explode(F.arrays_zip("first", "second", "starts")).alias("w")).select("row", "copies", "w.first", "w.second", F.col("w.starts").alias("start"))
+    key = ["first", "second"]  # 128 bits: no two of all windows that there can be will share them
+    confirmed = written(windows.groupBy(*key).agg(F.sum(F.least("copies", F.lit(2))).alias("n")).where("n > 1").select(*key))
+    starts = windows.where("copies = 1").select("row", *key, "start").join(confirmed, key).groupBy("row").agg(F.collect_list("start").alias("starts"))
     shards = texts.where("copies = 1").join(starts, "row").select("digest", "text", "starts")
     less = removed_words(shards, window).withColumn("copied", F.lit(False))
     if not with_text:
