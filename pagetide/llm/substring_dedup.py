@@ -2,7 +2,7 @@
 
 1. Every text is cut to anchors: of the phrases of 8 words in each window, the one with the smallest hash. Equal windows have
    the same anchor, so only windows whose anchor recurs (about one position in 15 is an anchor) can recur.
-2. Windows at recurring anchors are counted by a hash of 128 bits over the whole corpus; those counted twice or more are confirmed.
+2. Windows at recurring anchors are counted by a hash of 96 bits over the whole corpus; those counted twice or more are confirmed.
 3. Texts with confirmed windows are dealt out in shards. Each shard compiles its confirmed passages to Aho-Corasick automata
    over word numbers and streams its texts through them, which locates every occurrence word by word.
 
@@ -82,13 +82,14 @@ def windows_at(texts: DataFrame, window: int, phrase: int) -> DataFrame:
                 known = np.asarray(recurring.values).view(np.uint64)
                 starts = np.flatnonzero(np.isin(grams[at], known))
                 with np.errstate(over="ignore"):
-                    both = [runs_of(h, window, m)[starts].view(np.int64) for m in (MULT, MULT_2)]
-                for column, x in zip(out, (row, copies, *both, starts.astype(np.int32)), strict=True):
+                    first, second = (runs_of(h, window, m)[starts] for m in (MULT, MULT_2))
+                short = (second >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                for column, x in zip(out, (row, copies, first.view(np.int64), short, starts.astype(np.int32)), strict=True):
                     column.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["row", "copies", "first", "second", "starts"])
 
-    return texts.mapInArrow(of, "row long, copies long, first array<long>, second array<long>, starts array<int>")
+    return texts.mapInArrow(of, "row long, copies long, first array<long>, second array<int>, starts array<int>")
 
 
 def merged(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -161,9 +162,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Of the copies of a text, the first is read again. Where rows repeat it comes twice, which tells nothing new: such a text recurs.
     own_text = rows.withColumn("own_digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
     texts = written(own_text.join(asked, (F.col("own_digest") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select("row", "digest", "copies", "text", "recurring"))
-    found = written(windows_at(texts.select("row", "copies", "text", "recurring"), window, phrase))
+    # Found anew for each of its two uses: hashing windows again costs less than keeping them.
+    found = windows_at(texts.select("row", "copies", "text", "recurring"), window, phrase)
     windows = found.select("row", "copies", F.explode(F.arrays_zip("first", "second", "starts")).alias("w")).select("row", "copies", "w.first", "w.second", F.col("w.starts").alias("start"))
-    key = ["first", "second"]  # 128 bits: no two of all windows that there can be will share them
+    key = ["first", "second"]  # 96 bits: of 10^12 windows, no two that differ are likely to share them
     confirmed = written(windows.groupBy(*key).agg(F.sum(F.least("copies", F.lit(2))).alias("n")).where("n > 1").select(*key))
     starts = windows.where("copies = 1").select("row", *key, "start").join(confirmed, key).groupBy("row").agg(F.collect_list("start").alias("starts"))
     shards = texts.where("copies = 1").join(starts, "row").select("digest", "text", "starts")
