@@ -23,18 +23,18 @@ from pagetide.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens whose ids a Python worker remembers, at most twice: when so many are new, those not met since the last time go.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 class PerfectHash:
-    """A minimal perfect hash of byte strings (hash and displace): n slots for n keys, and a seed for each bucket of about four.
+    """A minimal perfect hash of byte strings (hash and displace): n slots for n keys, and a seed for each bucket of about two, which is found sooner than for larger ones.
 
     get() also compares the key, since a string that isn't a key falls on some slot too.
     """
 
     def __init__(self, keys: list[bytes]):
         n = len(keys)
-        self.size, self.buckets = n, max(1, (n + 3) // 4)
+        self.size, self.buckets = n, max(1, (n + 1) // 2)
         self.slots: list[bytes | None] = [None] * n
         self.values = [0] * n
         members: list[list[int]] = [[] for _ in range(self.buckets)]
