@@ -11,12 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetide.llm.common import table, written
+from pagetide.llm.hashing import HASHES, mixed, runs_of
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
 #: Blocks with more fingerprints than this aren't compared pair by pair; balls() settles them.
 MAX_BLOCK = 20_000
+#: What near copies are without a radius: a Jaccard similarity of 4/5 or more of their sets of five-word shingles.
+WORDS = 5
+SIMILAR = (4, 5)
+#: Two texts are compared if all minima of a band are equal. At 4/5 a pair is missed with a chance of (1 - 0.8 ** 5) ** 32, or 3 in a million.
+BANDS, MINIMA = 32, 5
+#: So many members of a block are compared with one before them at first, and in so many orders.
+FAN, ORDERS = 16, 4
+_SEEDS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * MINIMA), np.uint64, endpoint=False)
 ONE = np.uint64(1)
 ALL = np.uint64(2**64 - 1)
 
@@ -223,15 +232,166 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, max_block: int = MAX_BLOCK) -> DataFrame:
+def shingles(text: str | None) -> np.ndarray:
+    """The set of a text's five-word shingles, as sorted hashes; a text of fewer words is one shingle. Words are those of fingerprint()."""
+    words = (text or "").encode().lower().split()
+    if len(words) < WORDS:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    with np.errstate(over="ignore"):
+        return np.unique(runs_of(HASHES.of(words), WORDS))
+
+
+def set_print(hashes: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(hashes.tobytes())
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of min-wise hashes; keys of different bands differ."""
+    least = np.full(BANDS * MINIMA, ALL)
+    for k in range(0, len(hashes), 2048):
+        least = np.minimum(least, ((hashes[k : k + 2048, None] ^ _SEEDS[0]) * (_SEEDS[1] | ONE)).min(axis=0))
+    with np.errstate(over="ignore"):
+        return mixed((mixed(least) * _SEEDS[0]).reshape(BANDS, MINIMA).sum(axis=1))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sorted sets reaches SIMILAR, exactly."""
+    common = len(a) + len(b) - len(np.union1d(a, b))
+    return common * SIMILAR[1] >= (len(a) + len(b) - common) * SIMILAR[0]
+
+
+def sizes_fit(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return np.minimum(n, m) * SIMILAR[1] >= np.maximum(n, m) * SIMILAR[0]
+
+
+def whole_blocks(batches):
+    """Columns as arrays, of whole blocks of rows sorted by the first column; and where each row's block begins and ends."""
+    left = None
+    for batch in _ended(batches):
+        own = None if batch is None else [np.asarray(c) for c in batch.columns]
+        rows = own if left is None else left if own is None else [np.concatenate(x) for x in zip(left, own, strict=True)]
+        if rows is None or not len(rows[0]):
+            continue
+        last = len(rows[0]) if batch is None else int(np.searchsorted(rows[0], rows[0][-1]))
+        left, rows = [c[last:] for c in rows], [c[:last] for c in rows]
+        if last:
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(rows[0])) + 1, [last]])
+            yield rows, np.repeat(cut[:-1], np.diff(cut)), np.repeat(cut[1:], np.diff(cut))
+
+
+def _ended(batches):
+    yield from batches
+    yield None
+
+
+def similar_pairs(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of nodes that are similar, by comparing their shingles."""
+
+    def sets(batches):
+        for b in batches:
+            found = [shingles(t.as_py()) for t in b.column(0)]
+            fp = np.array([set_print(x) for x in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["fp", "shingles"])
+
+    def check(batches):
+        for b in batches:
+            rows = zip(b.column(2), b.column(3), strict=True)
+            yield b.select(["a", "b"]).filter(pa.array([similar(*(np.frombuffer(x.as_buffer(), np.uint64) for x in r)) for r in rows], pa.bool_()))
+
+    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
+    ids = nodes.join(asked, "fp", "left_semi").select(F.col("least").alias("__id"))
+    texts = docs.select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).alias("text"))
+    texts = texts.join(ids, F.col("__doc") == F.col("__id"), "left_semi").unionByName(texts.where("__doc IS NULL")).select("text")
+    known = written(texts.mapInArrow(sets, "fp long, shingles binary").join(asked, "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles")))
+    one, other = (known.select(F.col("fp").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As near_groups(), but texts link if their sets of five-word shingles are similar (SIMILAR); fp is the hash of the set.
+
+    Texts that share a band of min-wise hashes are a block. In each block, some pairs are compared that would connect it if all
+    were similar; then all pairs of the block that are still in different components and whose sizes allow the similarity.
+    So no pair of a block goes unanswered, and a large group of near copies takes as many comparisons as it has members.
+    """
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def sketch(batches):
+        for b in batches:
+            found = [shingles(t.as_py()) for t in b.column(1)]
+            fp = np.array([set_print(x) for x in found], np.uint64).view(np.int64)
+            keys = np.concatenate([bands(x) for x in found] or [np.empty(0, np.uint64)]).view(np.int64)
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * BANDS, pa.int32()), pa.array(keys))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array([len(x) for x in found], pa.int64()), keys], ["doc_id", "fp", "n", "bands"])
+
+    def tree(batches):
+        for (block, _, fp, size), start, end in whole_blocks(batches):
+            at = np.arange(len(block))
+            up = np.where(at > start, start + (at - start - 1) // FAN, at)
+            many = end - start > 1
+            fits = many & (at > start) & sizes_fit(size, size[up])
+            up = pa.array(fp[up][many], pa.int64(), mask=~fits[many])
+            yield pa.RecordBatch.from_arrays([pa.array(block[many]), pa.array(fp[many]), pa.array(size[many]), up], ["block", "fp", "n", "up"])
+
+    def rest(batches):
+        for (block, fp, size, root), start, end in whole_blocks(batches):
+            begin = np.unique(start)
+            mixed_blocks = begin[np.minimum.reduceat(root, begin) != np.maximum.reduceat(root, begin)]
+            found, held = [], 0
+            for s in mixed_blocks.tolist():
+                for i in range(s, int(end[s]) - 1):
+                    to = np.arange(i + 1, int(end[s]))
+                    to = to[(root[to] != root[i]) & sizes_fit(size[to], size[i])]
+                    found.append(np.stack([np.minimum(fp[to], fp[i]), np.maximum(fp[to], fp[i])]))
+                    held += len(to)
+                    if held > 100_000:
+                        yield pair_batch(found)
+                        found, held = [], 0
+            if held:
+                yield pair_batch(found)
+
+    def pair_batch(found):
+        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    sketches = written(rows.mapInArrow(sketch, "doc_id long, fp long, n long, bands array<long>"))
+    nodes = written(sketches.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    members = nodes.select("fp", "n", F.posexplode("bands").alias("band", "block")).select("block", F.xxhash64("fp", F.col("band") % ORDERS).alias("place"), "fp", "n")
+    shared = written(members.repartition(n, "block").sortWithinPartitions("block", "place", "fp").mapInArrow(tree, "block long, fp long, n long, up long"))
+    first = written(shared.where("up IS NOT NULL").select(F.least("fp", "up").alias("a"), F.greatest("fp", "up").alias("b")).distinct())
+    links = written(similar_pairs(docs, nodes, first, id_col, text_col))
+    roots = components(links)
+    named = shared.join(roots, shared.fp == roots.node, "left").select("block", "fp", "n", F.coalesce("root", "fp").alias("root"))
+    second = named.repartition(n, "block").sortWithinPartitions("block", "fp").mapInArrow(rest, "a long, b long").distinct()
+    second = written(second.join(first, ["a", "b"], "left_anti"))
+    if not second.isEmpty():
+        links = written(similar_pairs(docs, nodes, second, id_col, text_col)).unionByName(links)
+    return named_by(sketches.select("doc_id", "fp"), nodes.select("fp", "least"), links)
+
+
+def named_by(prints: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id: the smallest doc_id that links between fingerprints reach."""
+    roots = components(links)
+    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = written(named.join(written(least), "root").select("fp", "component_id"))
+    return prints.join(found, "fp").select("doc_id", "fp", "component_id")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int | None = None, max_block: int = MAX_BLOCK) -> DataFrame:
     """doc_id, fp, component_id: fingerprints link at radius or fewer differing bits; component_id is the smallest doc_id that links reach.
 
+    Without a radius, texts link by the similarity of their five-word shingles: see similar_groups().
+
     Equal fingerprints are one node, so copies are never paired. Fingerprints within the radius agree on two or more of
     radius + 2 parts, so nodes are compared within blocks that share two parts; whatever the block's size, no link is lost.
     Null and empty texts have fingerprint 0 and link like any other. Rows that repeat give a row each. A null doc_id comes
     before all others only where its whole component has no id. An empty table gives no rows. Other columns aren't looked at.
     radius: 0, 2 or 4 (balls() needs it even).
     """
+    if radius is None:
+        return similar_groups(docs, id_col, text_col)
     if radius not in (0, 2, 4):
         raise ValueError("radius must be 0, 2 or 4")
     prints = written(fingerprints(docs, id_col, text_col))
@@ -251,14 +411,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hot = found.where("hot").select(F.col("a").alias("fp")).distinct()
     if not hot.isEmpty():
         links = links.unionByName(balls(hot, radius))
-    roots = components(links)
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = written(named.join(written(least), "root").select("fp", "component_id"))
-    return prints.join(found, "fp").select("doc_id", "fp", "component_id")
+    return named_by(prints, nodes, links)
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int | None = None) -> DataFrame:
     """The rows of docs that are the first of their group, with their columns. Of rows with the same doc_id each one stays whose id does; rows without an id stay."""
     groups = near_groups(docs, id_col, text_col, radius)
     lost = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
@@ -266,5 +422,5 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = near_groups(table(spark, sf_dir, "documents"))
+    groups = near_groups(table(spark, sf_dir, "documents"), radius=RADIUS)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -144,6 +144,55 @@ def test_near_dedup(spark):
         simhash.near_groups(docs, radius=3)
 
 
+def brute_similar(rows):
+    sets, up = [], list(range(len(rows)))
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    return {d: min(rows[j][0] for j in range(len(rows)) if root(j) == root(i)) for i, (d, _) in enumerate(rows)}
+
+
+def test_pairs_planted_at_a_similarity(spark):
+    """Ends replaced, so that the similarity is known: 0.8 to 0.95 are near copies, and 0.79 isn't one."""
+    rnd = random.Random(11)
+    rows, near = [], {}
+    for k in range(240):
+        share = (0.79, 0.8, 0.85, 0.9, 0.95)[k % 5]
+        text = [f"{k}x{rnd.randrange(10**6)}" for _ in range(183 + 4)]
+        # n shingles each, c of them common: c / (2 n - c)
+        lost = next(m for m in range(1, 183) if (183 - m) / (183 + m) < share) - 1 if share != 0.79 else 21
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text[: len(text) - lost] + [f"{k}new{i}" for i in range(lost)]))]
+        near[2 * k + 1] = 2 * k if share >= 0.8 else 2 * k + 1
+    want = brute_similar(rows)
+    assert {d: want[d] for d in near} == near
+    docs = spark.createDataFrame(rows, DOCS)
+    assert {r.doc_id: r.component_id for r in simhash.near_groups(docs).collect()} == want
+    assert sorted(r.doc_id for r in simhash.near_dedup(docs).collect()) == sorted(set(want.values()))
+
+
+def test_similar_chains_and_short_texts(spark):
+    """Chains of edits, of which neighbours alone are similar; texts of a few words; and words in which many texts agree."""
+    rnd = random.Random(4)
+    rows = [(1, ""), (2, None), (3, "a b"), (4, "A  b"), (5, "a c"), (6, "a b c d e"), (7, "a b c d f")]
+    for k in range(12):
+        text = [f"w{rnd.randrange(9)}" for _ in range(60)] + ["common"] * 20
+        for i in range(20):
+            text[3 * i] = f"new{k}"
+            rows.append((100 * k + 10 + i, " ".join(text)))
+    got_ = {r.doc_id: r.component_id for r in simhash.near_groups(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got_ == brute_similar(rows)
+
+
 def test_long_chain_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(1000, 1001), (7, 7)], "a long, b long")
     roots = {r.node: r.root for r in simhash.components(links).collect()}
