@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 #: Words are runs of anything but ASCII white space; bytes.split() cuts at the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,21 +25,62 @@ def content(text: str | Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's spark.checkpoint.dir, or a temporary one where that is unset, as in tests."""
+    """The folder that all executors share: the cluster's spark.checkpoint.dir. Where it is unset a temporary folder serves, but only in one process, as in tests."""
     if not (base := spark.conf.get("spark.checkpoint.dir", None)):
-        base = f"file://{tempfile.gettempdir()}/pagetide-shared"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{os.path.join(tempfile.gettempdir(), 'pagetide-shared')}"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: For each open scratch(), the folders written within it.
+_OPEN: list[list[str]] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage, and what is used twice is computed once.
 
-    Unlike checkpoint(), this doesn't compute the last stage twice. The files stay until the folder is emptied, as checkpoints do.
+    Unlike checkpoint(), this doesn't compute the last stage twice. The files stay until the folder is emptied, as checkpoints
+    do, unless a scratch() is open.
     """
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes, at its end, what is written within it. For work whose result is itself written outside of it, or collected."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        removed(spark, _OPEN.pop())
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ..., so that whatever names they had, none clashes with those of an operator."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def orderable(kind: DataType) -> bool:
+    """Whether rows can be ordered by a column of that type, as all but maps and variants can."""
+    if isinstance(kind, StructType):
+        return all(orderable(f.dataType) for f in kind.fields)
+    return orderable(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, (MapType, VariantType))
+
+
+def sort_key(df: DataFrame, column: str) -> Column:
+    return F.col(column) if orderable(df.schema[column].dataType) else F.to_json(F.struct(column))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagetide.llm.common import WORD, content, partitions, table, written
+from pagetide.llm.common import WORD, content, numbered, partitions, sort_key, table, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -21,6 +21,8 @@ CAP = 2.0
 SEED = 20
 #: Documents that one flight handles on average.
 FLIGHT = 50_000
+#: Repeated rows that are written out at a time.
+STEP = 10_000
 
 
 def sizes(text: str | Column) -> Column:
@@ -137,49 +139,71 @@ def sampled(rows: DataFrame, last: bool) -> DataFrame:
     return rows.mapInArrow(of, "unit string, grp string, p double, size double, draw double, taken boolean")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: how many times each document is taken, and so how many words.
-
-    Reruns agree: chance comes from a hash of doc_id, text and seed. A null source is a source of its own, the last; a null
-    text has size 0, and what has size 0 is taken 0 times. Rows that repeat doc_id, source and text are taken alike and give
-    one row, in which size and taken are those of all of them together. An empty table gives no rows. Other columns aren't read.
-    Each source's words come within about two documents of its target, where its documents are whole.
-    """
+def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, cap: float, seed: int) -> DataFrame:
+    """unit, doc_id, source, digest, size, source_size, target, rows, whole, more: for each distinct (doc_id, source, text), how
+    many rows have it, how often each of them is taken at least, and how many of them are taken once more."""
     spark = docs.sparkSession
-    text = content(text_col)
-    each = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), sizes(text_col).alias("size"), F.sha2(text, 256).alias("digest"))
-    rows = written(each.groupBy("doc_id", "source", "digest").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")))
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
+    each = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), sizes(text_col).alias("size"), F.sha2(content(text_col), 256).alias("digest"))
+    rows = written(each.groupBy("doc_id", "source", "digest").agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("rows")))
+    sums = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"))
     aims = written(targets(sums, weights, share, cap))
     count = rows.count()
     flights = max(1, -(-count // FLIGHT))
     spread = F.xxhash64("doc_id", "digest", F.lit(seed))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = rows.join(aims.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    promised = F.greatest(F.lit(0.0), F.col("ratio") - F.col("whole")) * F.col("rows")  # copies beyond the whole ones, of all rows alike
     planned = written(
-        joined.withColumn("ratio", ratio)
+        joined.withColumn("ratio", F.when(F.col("size") > 0, ratio).otherwise(0.0))
         .withColumn("whole", F.floor(F.col("ratio") + 1e-9))
-        .withColumn("p", F.greatest(F.lit(0.0), F.col("ratio") - F.col("whole")))
+        .withColumn("sure", F.floor(promised + 1e-9))
+        .withColumn("p", F.greatest(F.lit(0.0), promised - F.col("sure")))
         .withColumn("unit", F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "digest", F.hex(F.coalesce("source", F.lit("\x00")))))
         .withColumn("draw", F.shiftrightunsigned(spread, 11) / F.lit(2.0**53))
+        .drop("ratio")
     )
-    chance = planned.where("size > 0 and p > 1e-9").select("unit", F.hex(F.coalesce("source", F.lit("\x00"))).alias("grp"), "p", F.col("size").cast("double").alias("size"), "draw")
+    chance = planned.where("p > 1e-9").select("unit", F.hex(F.coalesce("source", F.lit("\x00"))).alias("grp"), "p", F.col("size").cast("double").alias("size"), "draw")
     parts = chance.withColumn("grp", F.concat_ws("|", "grp", F.pmod(F.xxhash64("unit", F.lit(seed + 1)), F.lit(flights)).cast("string")))
     n = partitions(spark)
     first = written(sampled(parts.repartition(n, "grp").sortWithinPartitions("grp", F.desc("size"), "draw", "unit"), last=False))
     left = first.where("taken is null").withColumn("grp", F.substring_index("grp", "|", 1))
     second = sampled(left.drop("taken").repartition(n, "grp").sortWithinPartitions("grp", F.desc("size"), "draw", "unit"), last=True)
     decided = first.where("taken is not null").select("unit", "taken").unionByName(second.select("unit", "taken"))
-    out = planned.join(decided, "unit", "left")
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce(F.col("taken").cast("int"), F.lit(0))).otherwise(0).cast("long")
+    more = (F.col("sure") + F.coalesce(F.col("taken").cast("int"), F.lit(0))).cast("long")
+    return planned.join(decided, "unit", "left").withColumn("more", more).drop("taken", "sure", "p", "draw")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """doc_id, source, digest, size, source_size, target, copies, taken: for each row of docs, how many times it is taken, and so how many words.
+
+    Reruns agree: chance comes from a hash of doc_id, text and seed. A null source is a source of its own, the last; a null
+    text has size 0, and what has size 0 is taken 0 times. Rows that repeat doc_id, source and text give a row each, with
+    their own size; as they can't be told apart, it is fixed how many of them are taken how often. An empty table gives no
+    rows. Other columns aren't read. Each source's words come within about two documents of its target, where its documents
+    are whole.
+    """
+    out = plan(docs, id_col, text_col, source_col, weights, share, cap, seed)
+    # In two steps, so that no row holds a long list where many rows repeat.
+    step = F.lit(STEP)
+    out = out.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / step))))
+    out = out.withColumn("place", F.explode(F.sequence(F.col("part") * step + 1, F.least("rows", (F.col("part") + 1) * step))))
+    copies = (F.col("whole") + (F.col("place") <= F.col("more")).cast("int")).cast("long")
     return out.select("doc_id", "source", "digest", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with their columns."""
-    takes = mix(docs, id_col, text_col, source_col, **how).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("digest").alias("__digest"), F.col("copies").alias("__copies"))
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.sha2(content(text_col), 256) == F.col("__digest"))
-    return docs.join(takes, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """The rows of docs as often as mix() takes them, with their columns. Of rows that repeat doc_id, source and text, those that
+    come first by their other columns are taken more often; only these are numbered, group by group."""
+    names, rows = docs.columns, numbered(docs)
+    own = [f"c{names.index(c)}" for c in (id_col, text_col, source_col)]
+    others = [c for c in rows.columns if c not in own]
+    takes = plan(rows, *own, weights, share, cap, seed).where("whole + more > 0").select("unit", "rows", "whole", "more", F.col("doc_id").alias("id"), F.col("source").alias("of"), "digest")
+    on = F.col(own[0]).cast("long").eqNullSafe(F.col("id")) & F.col(own[2]).eqNullSafe(F.col("of")) & (F.sha2(content(own[1]), 256) == F.col("digest"))
+    alone = rows.join(takes.where("rows = 1"), on).withColumn("place", F.lit(1))
+    again = rows.join(takes.where("rows > 1"), on).withColumn("place", F.row_number().over(W.partitionBy("unit").orderBy(*(sort_key(rows, c) for c in others), own[1])))
+    copies = F.col("whole").cast("int") + (F.col("place") <= F.col("more")).cast("int")
+    taken = alone.unionByName(again).withColumn("copies", copies).where("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*rows.columns).toDF(*names)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetide.llm.common import table, written
+from pagetide.llm.common import content, numbered, table, written
+from pagetide.llm.exact_dedup import exact_dedup
 from pagetide.llm.hashing import HASHES, mixed, runs_of
 
 SHINGLE = 3
@@ -25,6 +26,8 @@ SIMILAR = (4, 5)
 BANDS, MINIMA = 32, 5
 #: So many members of a block are compared with one before them at first, and in so many orders.
 FAN, ORDERS = 16, 4
+#: Bits of the wide fingerprints.
+NARROWEST, WIDEST = 256, 65536
 _SEEDS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * MINIMA), np.uint64, endpoint=False)
 ONE = np.uint64(1)
 ALL = np.uint64(2**64 - 1)
@@ -46,16 +49,20 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def own_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, digest, text: a row is told by its id and its text's digest."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(content(text_col), 256)).alias("digest"), F.col(text_col).alias("text"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a long). A null text counts as empty and gives 0."""
+    """doc_id, digest, fp (the fingerprint's bits as a long). A null text counts as empty and gives 0."""
 
     def of(batches):
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], ["doc_id", "digest", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(of, "doc_id long, fp long")
+    return own_rows(docs, id_col, text_col).mapInArrow(of, "doc_id long, digest binary, fp long")
 
 
 def planes(fps: np.ndarray, starts: np.ndarray, lanes: np.ndarray) -> np.ndarray:
@@ -63,31 +70,48 @@ def planes(fps: np.ndarray, starts: np.ndarray, lanes: np.ndarray) -> np.ndarray
     return np.stack([np.bitwise_or.reduceat(((fps >> np.uint64(b)) & ONE) << lanes, starts) for b in range(64)])
 
 
-def within(block: np.ndarray, query: np.ndarray, alive: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes of alive whose fingerprint differs from the query's in radius bits or fewer.
+#: Planes that are added up before words without a live lane are given up.
+CHUNK = 8
+
+
+def within(block: np.ndarray, query: np.ndarray, word: np.ndarray, asked: np.ndarray, alive: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Which lanes' fingerprints differ from a query's in radius bits or fewer.
 
-    block: bit planes; query: for each plane, all ones where the query has the bit, of block's shape or one that spreads to it.
-    The carry-save counter has a plane for each binary digit of the count; what it can't hold is out of the radius for good.
-    Words are abandoned together once every lane of them is.
+    block: bit planes of words of 64 lanes; query: for each plane and query, all ones where the query has the bit. word and
+    asked say which word is compared with which query, alive which of its lanes. The carry-save counters have a plane for
+    each binary digit of the count; what they can't hold is out of the radius for good. A word is abandoned for a query as
+    soon as all its lanes are out. Returns the comparisons that are left, by their place, their lanes within the radius, and
+    the counters' planes.
     """
     digits = max(1, radius.bit_length())
-    count = [np.zeros(alive.shape, np.uint64) for _ in range(digits)]
-    for b in range(64):
-        carry = (block[b] ^ query[b]) & alive
-        for d in range(digits):
-            count[d], carry = count[d] ^ carry, count[d] & carry
-        alive = alive & ~carry
-        if b % 8 == 7:
-            if not alive.any():
-                return alive
-    over = np.zeros(alive.shape, np.uint64)
-    equal = np.full(alive.shape, ALL)
+    place = np.arange(len(word))
+    count = [np.zeros(len(word), np.uint64) for _ in range(digits)]
+    for first in range(0, len(block), CHUNK):
+        for b in range(first, min(first + CHUNK, len(block))):
+            carry = (block[b][word] ^ query[b][asked]) & alive
+            for d in range(digits):
+                count[d], carry = count[d] ^ carry, count[d] & carry
+            alive = alive & ~carry
+        live = alive != 0
+        if (n := int(np.count_nonzero(live))) < 0.7 * len(live):
+            place, word, asked, alive, count = place[live], word[live], asked[live], alive[live], [c[live] for c in count]
+            if not n:
+                break
+    over = np.zeros(len(alive), np.uint64)
+    equal = np.full(len(alive), ALL)
     for d in reversed(range(digits)):  # count > radius, from the highest digit on
         if radius >> d & 1:
             equal = equal & count[d]
         else:
             over, equal = over | (equal & count[d]), equal & ~count[d]
-    return alive & ~over
+    near = alive & ~over
+    left = near != 0
+    return place[left], near[left], [c[left] for c in count]
+
+
+def lanes_of(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of words of lanes, the place of the word and the lane of each bit that is set."""
+    return np.nonzero(np.unpackbits(near[:, None].view(np.uint8), axis=1, bitorder="little"))
 
 
 class Forest:
@@ -111,6 +135,18 @@ class Forest:
             self.links.append((i, j))
 
 
+def later(queries: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query (an index below n) with each word of 64 lanes that has a later index: the query's place, the word, its later lanes."""
+    words = -(-n // 64)
+    asked, word = np.nonzero(np.arange(words)[None, :] >= (queries // 64)[:, None])
+    alive = np.full(len(word), ALL)
+    if n % 64:
+        alive[word == words - 1] = (ONE << np.uint64(n % 64)) - ONE
+    own = word == queries[asked] // 64
+    alive[own] &= (ALL << (queries[asked[own]] % 64).astype(np.uint64)) << ONE
+    return asked, word, alive
+
+
 def linked(fps: np.ndarray, sizes: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Index pairs that span the links within each block; the blocks lie in fps one after another."""
     forest, begin = Forest(len(fps)), np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -123,36 +159,26 @@ def linked(fps: np.ndarray, sizes: np.ndarray, radius: int) -> list[tuple[int, i
         block = planes(fps[take], starts, lane)
         for s in range(int(size.max()) - 1):
             has = np.flatnonzero(size > s + 1)
-            part = block[:, has]
-            query = ((part >> np.uint64(s)) & ONE) * ALL
+            query = ((block[:, has] >> np.uint64(s)) & ONE) * ALL
             full = np.where(size[has] == 64, ALL, (ONE << size[has].astype(np.uint64)) - ONE)
-            near = within(part, query, full & (ALL << np.uint64(s + 1)), radius)
-            for k in np.flatnonzero(near):
-                bits, first = int(near[k]), int(own[has[k]])
-                while bits:
-                    low = bits & -bits
-                    forest.join(first + s, first + low.bit_length() - 1)
-                    bits ^= low
-    for first, n in zip(begin[sizes > 64], sizes[sizes > 64], strict=True):  # many words to a block, many queries at a time
+            place, near, _ = within(block, query, has, np.arange(len(has)), full & (ALL << np.uint64(s + 1)), radius)
+            at, lanes = lanes_of(near)
+            base = own[has[place[at]]]
+            for first, other in zip((base + s).tolist(), (base + lanes).tolist(), strict=True):
+                forest.join(first, other)
+    for first, n in zip(begin[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):  # many words to a block, many queries at a time
         own = fps[first : first + n]
         starts, lane = np.arange(0, n, 64), (np.arange(n) % 64).astype(np.uint64)
         block = planes(own, starts, lane)
-        full = np.full(len(starts), ALL)
-        if n % 64:
-            full[-1] = (ONE << np.uint64(n % 64)) - ONE
-        step = max(1, 400_000 // len(starts))
-        for q in range(0, int(n), step):
-            asked, w = own[q : q + step], q // 64
-            query = np.stack([((asked >> np.uint64(b)) & ONE) * ALL for b in range(64)])[:, :, None]
-            near = within(block[:, None, w:], query, np.broadcast_to(full[w:], (len(asked), len(starts) - w)), radius)
-            for i, k in zip(*np.nonzero(near), strict=True):
-                bits, at = int(near[i, k]), int(first) + 64 * (w + int(k))
-                me = int(first) + q + int(i)
-                while bits:
-                    low = bits & -bits
-                    if (other := at + low.bit_length() - 1) > me:
-                        forest.join(me, other)
-                    bits ^= low
+        step = max(1, 200_000 // len(starts))
+        for q in range(0, n, step):
+            ask = own[q : q + step]
+            query = ((ask >> np.arange(64, dtype=np.uint64)[:, None]) & ONE) * ALL
+            asked, word, alive = later(np.arange(q, q + len(ask)), n)
+            place, near, _ = within(block, query, word, asked, alive, radius)
+            at, lanes = lanes_of(near)
+            for i, j in zip((q + asked[place[at]]).tolist(), (64 * word[place[at]] + lanes).tolist(), strict=True):
+                forest.join(first + i, first + j)
     return forest.links
 
 
@@ -264,11 +290,74 @@ def sizes_fit(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.minimum(n, m) * SIMILAR[1] >= np.maximum(n, m) * SIMILAR[0]
 
 
-def whole_blocks(batches):
-    """Columns as arrays, of whole blocks of rows sorted by the first column; and where each row's block begins and ends."""
+def apart(n, m):
+    """How many shingles two sets of n and m may have that the other lacks, if they are similar."""
+    return (n + m) * (SIMILAR[1] - SIMILAR[0]) // (SIMILAR[1] + SIMILAR[0])
+
+
+def width(n: int) -> int:
+    """Bits of the wide fingerprint of n shingles: a power of 2, twice n at least."""
+    return min(WIDEST, max(NARROWEST, 1 << (2 * max(1, n) - 1).bit_length()))
+
+
+def wide(hashes: np.ndarray) -> np.ndarray:
+    """A fingerprint of width() bits: bit b is the parity of the shingles whose hash falls on b.
+
+    Two sets' fingerprints never differ in more bits than there are shingles that only one of them has, so a radius of
+    apart() loses no similar pair; SimHash's majorities promise no such thing. Half the width is that of the halves' xor.
+    """
+    bits = np.bincount((hashes & np.uint64(width(len(hashes)) - 1)).astype(np.int64), minlength=width(len(hashes)))
+    return np.packbits((bits & 1).astype(np.uint8), bitorder="little").view("<u8")
+
+
+def folded(fp: np.ndarray, words: int) -> np.ndarray:
+    while len(fp) > words:
+        fp = fp[: len(fp) // 2] ^ fp[len(fp) // 2 :]
+    return fp
+
+
+def near(a: np.ndarray, b: np.ndarray, n: int, m: int) -> bool:
+    """Whether two wide fingerprints, of n and m shingles, allow the sets to be similar."""
+    words = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum()) <= apart(n, m)
+
+
+def near_in_block(prints: list[np.ndarray], sizes: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """Index pairs of a block whose wide fingerprints are near, whose sizes allow similarity, and whose roots differ.
+
+    Bit planes of all prints of a width, and of the next one folded to it, are compared with each print of the width: sizes
+    that differ by more can't be similar.
+    """
+    out = [np.empty((2, 0), np.int64)]
+    widths = np.array([len(p) for p in prints])
+    for w in np.unique(widths):
+        own = np.flatnonzero(widths == w)
+        both = np.concatenate([own, np.flatnonzero(widths == 2 * w)])
+        n = len(both)
+        bits = np.unpackbits(np.stack([folded(prints[i], w) for i in both]).view(np.uint8), axis=1, bitorder="little")
+        lanes = np.zeros((bits.shape[1], -(-n // 64) * 64), np.uint8)
+        lanes[:, :n] = bits.T
+        block = np.packbits(lanes, axis=1, bitorder="little").view("<u8")
+        step = max(1, 200_000 // block.shape[1])
+        for q in range(0, len(own), step):
+            query = bits[q : min(q + step, len(own))].T * ALL
+            asked, word, alive = later(np.arange(q, q + query.shape[1]), n)
+            ask = both[q : q + step]
+            most = int(apart(sizes[ask].max(), sizes[both].max()))
+            place, left, count = within(block, query, word, asked, alive, most)
+            at, lane = lanes_of(left)
+            differ = sum(((c[at] >> lane.astype(np.uint64)) & ONE).astype(np.int64) << d for d, c in enumerate(count))
+            i, j = both[q + asked[place[at]]], both[64 * word[place[at]] + lane]
+            fit = (differ <= apart(sizes[i], sizes[j])) & sizes_fit(sizes[i], sizes[j]) & (roots[i] != roots[j])
+            out.append(np.stack([i[fit], j[fit]]))
+    return np.concatenate(out, axis=1)
+
+
+def whole_blocks(batches, binary: int | None = None):
+    """Columns as arrays, of whole blocks of rows sorted by the first column; and where each row's block begins and ends. binary: the column that holds bytes, if one does."""
     left = None
     for batch in _ended(batches):
-        own = None if batch is None else [np.asarray(c) for c in batch.columns]
+        own = None if batch is None else [np.array(c.to_pylist(), object) if k == binary else np.asarray(c) for k, c in enumerate(batch.columns)]
         rows = own if left is None else left if own is None else [np.concatenate(x) for x in zip(left, own, strict=True)]
         if rows is None or not len(rows[0]):
             continue
@@ -298,31 +387,45 @@ def similar_pairs(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: s
             rows = zip(b.column(2), b.column(3), strict=True)
             yield b.select(["a", "b"]).filter(pa.array([similar(*(np.frombuffer(x.as_buffer(), np.uint64) for x in r)) for r in rows], pa.bool_()))
 
-    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
-    ids = nodes.join(asked, "fp", "left_semi").select(F.col("least").alias("__id"))
-    texts = docs.select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).alias("text"))
-    texts = texts.join(ids, F.col("__doc") == F.col("__id"), "left_semi").unionByName(texts.where("__doc IS NULL")).select("text")
-    known = written(texts.mapInArrow(sets, "fp long, shingles binary").join(asked, "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles")))
+    asked = written(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi").select(F.col("least").alias("of"), F.col("digest").alias("own")))
+    rows = own_rows(docs, id_col, text_col)
+    texts = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("own")), "left_semi").select("text")
+    known = written(texts.mapInArrow(sets, "fp long, shingles binary").groupBy("fp").agg(F.first("shingles").alias("shingles")))
     one, other = (known.select(F.col("fp").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
     return pairs.join(one, "a").join(other, "b").select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
 
 
+def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those whose wide fingerprints are near."""
+
+    def check(batches):
+        for b in batches:
+            n, m = b.column(2).to_pylist(), b.column(4).to_pylist()
+            prints = ([np.frombuffer(x.as_buffer(), "<u8") for x in b.column(k)] for k in (3, 5))
+            yield b.select(["a", "b"]).filter(pa.array([near(*x) for x in zip(*prints, n, m, strict=True)], pa.bool_()))
+
+    one, other = (nodes.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"wide_{x}")) for x in "ab")
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "n_a", "wide_a", "n_b", "wide_b").mapInArrow(check, "a long, b long")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As near_groups(), but texts link if their sets of five-word shingles are similar (SIMILAR); fp is the hash of the set.
 
-    Texts that share a band of min-wise hashes are a block. In each block, some pairs are compared that would connect it if all
-    were similar; then all pairs of the block that are still in different components and whose sizes allow the similarity.
-    So no pair of a block goes unanswered, and a large group of near copies takes as many comparisons as it has members.
+    Texts that share a band of min-wise hashes are a block. In each block, some pairs are compared that would connect it if
+    all were similar, so that a large group of near copies takes as many comparisons as it has members. Then the wide
+    fingerprints of what is still in different components are compared bit-sliced, all with all; only pairs within the
+    radius leave the task, and their shingles are compared. The radius is one that no similar pair exceeds.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def sketch(batches):
         for b in batches:
-            found = [shingles(t.as_py()) for t in b.column(1)]
+            found = [shingles(t.as_py()) for t in b.column(2)]
             fp = np.array([set_print(x) for x in found], np.uint64).view(np.int64)
             keys = np.concatenate([bands(x) for x in found] or [np.empty(0, np.uint64)]).view(np.int64)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * BANDS, pa.int32()), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array([len(x) for x in found], pa.int64()), keys], ["doc_id", "fp", "n", "bands"])
+            prints = pa.array([wide(x).tobytes() for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp), pa.array([len(x) for x in found], pa.int64()), prints, keys], ["doc_id", "digest", "fp", "n", "wide", "bands"])
 
     def tree(batches):
         for (block, _, fp, size), start, end in whole_blocks(batches):
@@ -331,56 +434,50 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             many = end - start > 1
             fits = many & (at > start) & sizes_fit(size, size[up])
             up = pa.array(fp[up][many], pa.int64(), mask=~fits[many])
-            yield pa.RecordBatch.from_arrays([pa.array(block[many]), pa.array(fp[many]), pa.array(size[many]), up], ["block", "fp", "n", "up"])
+            yield pa.RecordBatch.from_arrays([pa.array(block[many]), pa.array(fp[many]), up], ["block", "fp", "up"])
 
     def rest(batches):
-        for (block, fp, size, root), start, end in whole_blocks(batches):
-            begin = np.unique(start)
-            mixed_blocks = begin[np.minimum.reduceat(root, begin) != np.maximum.reduceat(root, begin)]
+        names = ["a", "b"]
+        for (block, fp, size, root, prints), start, end in whole_blocks(batches, 4):
             found, held = [], 0
-            for s in mixed_blocks.tolist():
-                for i in range(s, int(end[s]) - 1):
-                    to = np.arange(i + 1, int(end[s]))
-                    to = to[(root[to] != root[i]) & sizes_fit(size[to], size[i])]
-                    found.append(np.stack([np.minimum(fp[to], fp[i]), np.maximum(fp[to], fp[i])]))
-                    held += len(to)
-                    if held > 100_000:
-                        yield pair_batch(found)
-                        found, held = [], 0
+            for s in np.unique(start).tolist():
+                e = int(end[s])
+                pair = near_in_block([np.frombuffer(x, "<u8") for x in prints[s:e]], size[s:e], root[s:e])
+                found.append(np.sort(fp[s:e][pair], axis=0))
+                held += pair.shape[1]
+                if held > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(found, axis=1), axis=1)], names)
+                    found, held = [], 0
             if held:
-                yield pair_batch(found)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(found, axis=1), axis=1)], names)
 
-    def pair_batch(found):
-        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = written(rows.mapInArrow(sketch, "doc_id long, fp long, n long, bands array<long>"))
-    nodes = written(sketches.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    sketches = written(own_rows(docs, id_col, text_col).mapInArrow(sketch, "doc_id long, digest binary, fp long, n long, wide binary, bands array<long>"))
+    nodes = written(sketches.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "n", "wide", "bands")).alias("x")).select("fp", F.col("x.doc_id").alias("least"), "x.digest", "x.n", "x.wide", "x.bands"))
     members = nodes.select("fp", "n", F.posexplode("bands").alias("band", "block")).select("block", F.xxhash64("fp", F.col("band") % ORDERS).alias("place"), "fp", "n")
-    shared = written(members.repartition(n, "block").sortWithinPartitions("block", "place", "fp").mapInArrow(tree, "block long, fp long, n long, up long"))
-    first = written(shared.where("up IS NOT NULL").select(F.least("fp", "up").alias("a"), F.greatest("fp", "up").alias("b")).distinct())
-    links = written(similar_pairs(docs, nodes, first, id_col, text_col))
+    shared = written(members.repartition(n, "block").sortWithinPartitions("block", "place", "fp").mapInArrow(tree, "block long, fp long, up long"))
+    first = shared.where("up IS NOT NULL").select(F.least("fp", "up").alias("a"), F.greatest("fp", "up").alias("b")).distinct()
+    links = written(similar_pairs(docs, nodes, written(near_pairs(first, nodes)), id_col, text_col))
     roots = components(links)
-    named = shared.join(roots, shared.fp == roots.node, "left").select("block", "fp", "n", F.coalesce("root", "fp").alias("root"))
-    second = named.repartition(n, "block").sortWithinPartitions("block", "fp").mapInArrow(rest, "a long, b long").distinct()
-    second = written(second.join(first, ["a", "b"], "left_anti"))
+    named = written(shared.select("block", "fp").join(roots, shared.fp == roots.node, "left").select("block", "fp", F.coalesce("root", "fp").alias("root")))
+    open_blocks = named.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("block")
+    asked = named.join(open_blocks, "block").join(nodes.select("fp", "n", "wide"), "fp").select("block", "fp", "n", "root", "wide")
+    second = written(asked.repartition(n, "block").sortWithinPartitions("block", "fp").mapInArrow(rest, "a long, b long").distinct())
     if not second.isEmpty():
         links = written(similar_pairs(docs, nodes, second, id_col, text_col)).unionByName(links)
-    return named_by(sketches.select("doc_id", "fp"), nodes.select("fp", "least"), links)
+    return named_by(sketches.select("doc_id", "digest", "fp"), nodes.select("fp", "least"), links)
 
 
 def named_by(prints: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id that links between fingerprints reach."""
+    """doc_id, digest, fp, root, component_id: what names the component, and the smallest doc_id that links between fingerprints reach."""
     roots = components(links)
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = written(named.join(written(least), "root").select("fp", "component_id"))
-    return prints.join(found, "fp").select("doc_id", "fp", "component_id")
+    found = written(named.join(written(least), "root").select("fp", "root", "component_id"))
+    return prints.join(found, "fp").select("doc_id", "digest", "fp", "root", "component_id")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int | None = None, max_block: int = MAX_BLOCK) -> DataFrame:
-    """doc_id, fp, component_id: fingerprints link at radius or fewer differing bits; component_id is the smallest doc_id that links reach.
+    """doc_id, digest, fp, root, component_id: fingerprints link at radius or fewer differing bits; component_id is the smallest doc_id that links reach.
 
     Without a radius, texts link by the similarity of their five-word shingles: see similar_groups().
 
@@ -415,10 +512,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int | None = None) -> DataFrame:
-    """The rows of docs that are the first of their group, with their columns. Of rows with the same doc_id each one stays whose id does; rows without an id stay."""
-    groups = near_groups(docs, id_col, text_col, radius)
-    lost = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(lost, F.col(id_col) == F.col("__id"), "left_anti")
+    """One row of docs for each group, with its columns: that of the smallest doc_id, rows without an id coming last.
+
+    Rows that repeat a doc_id are told apart by their texts, of which the smaller digest stays; of rows that repeat both,
+    the one that exact_dedup() keeps. An empty table gives no rows.
+    """
+    names, rows = docs.columns, numbered(docs)
+    own = [f"c{names.index(c)}" for c in (id_col, text_col)]
+    alike = near_groups(rows, *own, radius).groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("rows"))
+    stays = alike.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "rows")).alias("x")).select(F.col("x.doc_id").alias("of"), F.col("x.digest").alias("own"), "x.rows")
+    stays = written(stays)
+    on = F.col(own[0]).cast("long").eqNullSafe(F.col("of")) & (F.unhex(F.sha2(content(own[1]), 256)) == F.col("own"))
+    alone = rows.join(stays.where("rows = 1"), on, "left_semi")
+    again = rows.join(stays.where("rows > 1"), on, "left_semi")
+    return alone.unionByName(exact_dedup(again, *own)).toDF(*names)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,36 +15,50 @@ def brute_groups(rows):
     for i, t in rows:
         groups.setdefault(t or "", []).append(i)
     best = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
-    return {(i, best[t or ""], len(groups[t or ""]), i == best[t or ""], hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows}
+    return sorted(((i, best[t or ""], len(groups[t or ""]), i == best[t or ""]) for i, t in rows), key=str)
 
 
 def got(df):
-    return {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in df.collect()}
+    return sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in df.collect()), key=str)
 
 
 @pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda t: F.lit("same"), lambda t: F.length(t).cast("string")])
 def test_exact_groups(spark, digest):
     """Also with digests that collide: contents alone decide."""
     out = exact_dedup.exact_groups(spark.createDataFrame(ROWS, DOCS), digest=digest)
-    assert got(out) == {x[:4] for x in brute_groups(ROWS)}
+    assert got(out) == brute_groups(ROWS)
 
 
-def test_one_row_for_each_document(spark):
-    assert exact_dedup.exact_groups(spark.createDataFrame(ROWS, DOCS)).count() == len(ROWS) - 1  # (5, "b") twice is one document
-    assert exact_dedup.exact_groups(spark.createDataFrame([], DOCS)).count() == 0
+def test_no_rows(spark):
+    docs = spark.createDataFrame([], DOCS)
+    assert exact_dedup.exact_groups(docs).count() == exact_dedup.exact_dedup(docs).count() == 0
+
+
+CLASH = ("__id", "__digest", "__again", "c0", "c1", "digest", "content", "salt", "row", "key", "unit", "rows", "fp", "root", "own", "of")
 
 
 def test_exact_dedup_keeps_columns(spark):
-    docs = spark.createDataFrame(ROWS, DOCS).withColumns({"digest": F.lit(1), "kept": F.lit("x"), "content": F.lit(2), "keep_id": F.lit(0), "group_size": F.lit(0)})
-    out = exact_dedup.exact_dedup(docs)
-    assert out.columns == docs.columns
-    assert sorted((r.doc_id, r.text and r.text[:1]) for r in out.collect()) == [(2, "a"), (4, ""), (5, "b"), (6, "x"), (7, "A")]
+    docs = spark.createDataFrame(ROWS, DOCS).withColumns({c: F.lit(k) for k, c in enumerate(CLASH)}).withColumn("map", F.create_map(F.lit("a"), F.col("doc_id")))
+    for d in (docs, docs.drop("map")):
+        out = exact_dedup.exact_dedup(d)
+        assert out.schema.simpleString() == d.schema.simpleString()
+        assert sorted((r.doc_id, (r.text or "")[:1], r.fp) for r in out.collect()) == [(2, "a", CLASH.index("fp")), (4, "", CLASH.index("fp")), (5, "b", CLASH.index("fp")), (6, "x", CLASH.index("fp")), (7, "A", CLASH.index("fp"))]
+
+
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda t: F.lit("same")])
+def test_exact_dedup_chooses_by_all_columns(spark, digest):
+    """Equal texts under one id: the largest by the other columns stays, whatever order the rows come in."""
+    rows = [(1, "same", "a", None), (1, "same", "b", 2), (1, "same", "b", None), (0, "same", "z", 9), (None, "same", "z", 9), (3, None, "a", 1), (3, "", "a", 1), (None, "w", None, None)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string, n long")
+        out = exact_dedup.exact_dedup(docs, digest=digest)
+        assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "same", "b", 2), (3, "", "a", 1), (None, "w", None, None)], key=str)
 
 
 def test_exact_random(spark):
     rnd = random.Random(1)
     rows = [(i, rnd.choice("abcde") * rnd.randrange(1, 4)) for i in range(3000)]
-    assert got(exact_dedup.exact_groups(spark.createDataFrame(rows, DOCS))) == {x[:4] for x in brute_groups(rows)}
+    assert got(exact_dedup.exact_groups(spark.createDataFrame(rows, DOCS))) == brute_groups(rows)
 
 
 def slow_fingerprint(text):
@@ -134,16 +148,76 @@ def test_near_groups(spark, max_block, radius):
     assert sorted((r.doc_id, r.component_id) for r in out.collect() if r.doc_id is not None) == brute_components(rows, radius)
 
 
-def test_near_dedup(spark):
+@pytest.mark.parametrize("radius", [None, 2])
+def test_near_dedup(spark, radius):
     rows = [(5, "a b c"), (3, "a b c"), (4, "something else entirely"), (None, "a b c"), (9, None)]
-    docs = spark.createDataFrame(rows, DOCS).withColumns({"fp": F.lit(1), "component_id": F.lit(2), "root": F.lit(3)})
-    out = simhash.near_dedup(docs)
-    assert out.columns == docs.columns and sorted(str(r.doc_id) for r in out.collect()) == ["3", "4", "9", "None"]
-    assert simhash.near_dedup(docs.limit(0)).count() == 0
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(k) for k, c in enumerate((*CLASH, "component_id", "doc"))})
+    out = simhash.near_dedup(docs, radius=radius)
+    assert out.columns == docs.columns and sorted(str(r.doc_id) for r in out.collect()) == ["3", "4", "9"]
+    assert simhash.near_dedup(docs.limit(0), radius=radius).count() == 0
     with pytest.raises(ValueError):
         simhash.near_groups(docs, radius=3)
 
 
+@pytest.mark.parametrize("radius", [None, 2])
+def test_near_dedup_of_repeated_ids(spark, radius):
+    """An id may stand for several texts; each group keeps one row, and what resembles nothing stays."""
+    rows = [(1, "w", "a"), (2, "w", "a"), (2, "v", "a"), (1, "w", "b"), (None, "u", "a"), (None, "u", "b"), (None, "t", "a"), (7, "", "a"), (8, None, "a")]
+    out = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string"), radius=radius)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "w", "b"), (2, "v", "a"), (None, "u", "b"), (None, "t", "a"), (7, "", "a")], key=str)
+
+
+def test_wide_fingerprints():
+    """Two sets' prints never differ in more bits than the sets do, and folding changes nothing of that."""
+    rnd = np.random.default_rng(5)
+    for _ in range(300):
+        pool = rnd.integers(0, 2**63, int(rnd.integers(2, 900)), dtype=np.uint64)
+        a, b = (np.unique(pool[rnd.random(len(pool)) < x]) for x in (0.95, 0.9))
+        words = min(len(simhash.wide(a)), len(simhash.wide(b)))
+        differ = int(np.bitwise_count(simhash.folded(simhash.wide(a), words) ^ simhash.folded(simhash.wide(b), words)).sum())
+        assert differ <= len(np.setxor1d(a, b))
+        assert simhash.near(simhash.wide(a), simhash.wide(b), len(a), len(b)) >= simhash.similar(a, b)
+
+
+@pytest.mark.parametrize("size", [2, 63, 64, 65, 200])
+def test_near_in_block(size):
+    """Bit-sliced comparison of wide prints against one by one, over several widths."""
+    rnd = np.random.default_rng(size)
+    base = rnd.integers(0, 2**63, 150, dtype=np.uint64)
+    sets = []
+    for _ in range(size):
+        own = base[rnd.random(150) < 0.97]
+        sets.append(np.unique(np.concatenate([own, rnd.integers(0, 2**63, int(rnd.integers(0, 40)), dtype=np.uint64)])))
+    prints, sizes, roots = [simhash.wide(x) for x in sets], np.array([len(x) for x in sets]), rnd.integers(0, 3, size)
+    got_ = {tuple(sorted(x)) for x in simhash.near_in_block(prints, sizes, roots).T.tolist()}
+    want = {(i, j) for i in range(size) for j in range(i + 1, size) if roots[i] != roots[j] and simhash.sizes_fit(sizes[i], sizes[j]) and simhash.near(prints[i], prints[j], sizes[i], sizes[j])}
+    assert got_ == want
+
+
+def test_words_are_abandoned():
+    """A word without a live lane isn't compared any further, whatever others do."""
+    fps = np.concatenate([np.zeros(64, np.uint64), np.full(64, simhash.ALL)])
+    block = simhash.planes(fps, np.arange(0, 128, 64), (np.arange(128) % 64).astype(np.uint64))
+    query = np.zeros((64, 1), np.uint64)
+    seen = []
+
+    class Watched(np.ndarray):
+        def __getitem__(self, key):
+            seen.append(len(key))
+            return np.asarray(super().__getitem__(key))
+
+    class Planes:
+        def __len__(self):
+            return 64
+
+        def __getitem__(self, b):
+            return block[b].view(Watched)
+
+    place, near, _ = simhash.within(Planes(), query, np.array([0, 1]), np.array([0, 0]), np.full(2, simhash.ALL), 2)
+    assert place.tolist() == [0] and near.tolist() == [2**64 - 1]
+    assert seen == [2] * simhash.CHUNK + [1] * (64 - simhash.CHUNK)
+
+
 def brute_similar(rows):
     sets, up = [], list(range(len(rows)))
     for _, t in rows:

@@ -64,13 +64,33 @@ def test_mix_balances_documents_too(spark):
 
 def test_mixed_rows(spark):
     rows = corpus(200) + [(5, "w w", "hot"), (7, None, "hot")]
-    docs = spark.createDataFrame(rows, DOCS).withColumn("copies", F.lit("c"))
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("c") for c in ("copies", "__id", "__copies", "c0", "unit", "rows", "whole", "more", "id", "of", "digest", "place", "copy")})
     out = mixing.mixed(docs)
     counts = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
-    assert out.columns == docs.columns and set(counts.values()) <= {1, 2} and 7 in counts
+    assert out.columns == docs.columns and set(counts.values()) <= {1, 2, 3, 4} and 7 in counts
     assert mixing.mixed(docs.limit(0)).count() == 0 and mixing.mix(docs.withColumn("text", F.lit(""))).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_mix_of_repeated_rows(spark, monkeypatch):
+    """Each row gives one, with its own size; rows alike are taken as often as their share, not all or none."""
+    monkeypatch.setattr(mixing, "STEP", 7)
+    rows = [(1, "a b c", "s")] * 500 + [(2, "d e f", "t")] * 2 + [(i, "g h", "t") for i in range(10, 200)] + [(3, "", "u")] * 3
+    docs = spark.createDataFrame(rows, DOCS)
+    out = mixing.mix(docs).collect()
+    assert len(out) == len(rows) and {r.size for r in out if r.doc_id in (1, 2)} == {3} and all(r.taken <= 2 * r.size for r in out)
+    size = {"s": 1500, "t": 386, "u": 0}
+    want = brute_targets(size)
+    for s, aim in want.items():
+        own = [r for r in out if r.source == s]
+        assert {r.source_size for r in own} == {size[s]} and abs(sum(r.taken for r in own) - aim) <= 6
+    more = docs.withColumn("k", F.monotonically_increasing_id())
+    taken = mixing.mixed(more)
+    assert taken.columns == more.columns
+    assert sorted(r.doc_id for r in taken.collect()) == sorted(r.doc_id for r in out for _ in range(r.copies))
+    first = {r.k: r["count"] for r in taken.where("doc_id = 1").groupBy("k").count().collect()}
+    assert max(first.values()) - min(first.values()) <= 1
+
+
 def test_flight_keeps_sums():
     rnd = random.Random(7)
     for n in (0, 1, 2, 3, 50, 500):
