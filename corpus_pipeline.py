@@ -1,11 +1,16 @@
-"""The corpus pipeline: reject poor documents, drop exact copies and near copies, mix the sources, and encode what is left."""
+"""The corpus pipeline: reject poor documents, drop exact copies and near copies, mix the sources, and encode what is left.
+
+Null counts as an empty text and a null source as a source of its own; a null doc_id takes no part in training and comes
+last where one row of a group stays. Rows that repeat are copies like others. Empty tables pass every stage without rows.
+All stages but the last keep the columns they find, whatever their names.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from pagetide.llm import bpe, exact_dedup, mixing, quality, simhash
-from pagetide.llm.common import table, written
+from pagetide.llm.common import removed, scratch, shared_dir, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +51,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage's rows are written to the shared folder and read again as the next one's documents."""
+    """Each stage's rows are written to the shared folder and read again as the next one's documents.
+
+    A stage's own tables go when its rows are written, and its documents when the next one's are: only what the last stage
+    reads stays.
+    """
     docs = table(spark, sf_dir, "documents")
+    before: list[str] = []
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        with scratch(spark):
+            rows = stage(spark, docs, sf_dir)
+            path = shared_dir(spark)
+            rows.write.parquet(path)
+        removed(spark, before)
+        docs, before = spark.read.schema(rows.schema).parquet(path), [path]
     return STAGES[-1][1](spark, docs, sf_dir)
