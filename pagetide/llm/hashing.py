@@ -35,14 +35,15 @@ def runs_of(h: np.ndarray, n: int, multiplier: np.uint64 = MULT) -> np.ndarray:
     """The hash of each n consecutive words, by doubling: that of a + b words is that of a, times a power, plus that of the b after it."""
     out, have, power, width = None, 0, multiplier, 1
     step = h
-    while True:
-        if n & width:
-            if out is None:
-                out, have = step, width
-            else:
-                m = len(h) - have - width + 1
-                out, have = out[:m] * power + step[have : have + m], have + width
-        if have == n:
-            return mixed(out)
-        m = len(step) - width
-        step, power, width = step[:m] * power + step[width:], power * power, 2 * width
+    with np.errstate(over="ignore"):
+        while True:
+            if n & width:
+                if out is None:
+                    out, have = step, width
+                else:
+                    m = len(h) - have - width + 1
+                    out, have = out[:m] * power + step[have : have + m], have + width
+            if have == n:
+                return mixed(out)
+            m = len(step) - width
+            step, power, width = step[:m] * power + step[width:], power * power, 2 * width

@@ -1,12 +1,16 @@
-"""Substring deduplication: passages of 35 words or more that recur anywhere are located by automata and removed.
-
-1. Every text is cut to anchors: of the phrases of 8 words in each window, the one with the smallest hash. Equal windows have
-   the same anchor, so only windows whose anchor recurs (about one position in 15 is an anchor) can recur.
-2. Windows at recurring anchors are counted by a hash of 96 bits over the whole corpus; those counted twice or more are confirmed.
-3. Texts with confirmed windows are dealt out in shards. Each shard compiles its confirmed passages to Aho-Corasick automata
-   over word numbers and streams its texts through them, which locates every occurrence word by word.
-
-Texts of many copies take part once: that they recur is known.
+"""Substring deduplication: passages of 35 words or more that recur anywhere are confirmed, compiled to automata, and located.
+
+1. Every window of 35 words has an anchor, the one of its phrases of 8 words with the smallest hash, and a key: the 22 words
+   about the anchor that the window surely holds. Equal windows have equal keys, so only windows whose key recurs can recur;
+   there is about one place of a key to 7 words.
+2. Windows whose key recurs are counted by a hash of 96 bits over the whole corpus: those counted twice or more are
+   confirmed. One text that holds a confirmed window gives its words, so that a confirmed passage is known once, not where
+   it occurs.
+3. Confirmed passages are dealt by key to shards, each of which compiles Aho-Corasick automata over word numbers. The
+   stretches of all texts about the places of recurring keys, which are all that the passages can lie in, are streamed
+   through the shard of their key. What the automata locate there, word by word, is removed.
+
+Equal texts take part once, with the number of their copies.
 """
 
 from __future__ import annotations
@@ -20,25 +24,53 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetide.llm.common import table, written
-from pagetide.llm.hashing import HASHES, MULT, MULT_2, runs_of
+from pagetide.llm.common import partitions, table, written
+from pagetide.llm.hashing import HASHES, MULT_2, runs_of
 
 WINDOW = 35
 PHRASE = 8
-#: Words that one automaton holds at most, unless a single passage is longer: about 100 bytes each.
-AUTOMATON_WORDS = 200_000
-#: Texts that a task works on at once.
+#: Words of the windows that one automaton holds, about: some 100 bytes each.
+AUTOMATON_WORDS = 400_000
+#: Texts that a task works on at once, and stretches.
 BATCH = 500
-
-
-def anchors(words: list[bytes], window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words, for each window the position of its anchor, and hashes of the phrases. Of equal hashes, the first is the anchor."""
-    h = HASHES.of(words)
-    with np.errstate(over="ignore"):
-        grams = runs_of(h, phrase)
-    span = np.lib.stride_tricks.sliding_window_view(grams, window - phrase + 1)
-    at = np.concatenate([span[i : i + 65536].argmin(axis=1) + np.arange(i, min(i + 65536, len(span))) for i in range(0, len(span), 65536)])
-    return h, at, grams
+#: Stretches of one key that go to one shard; those of a more frequent key are split, each part with the key's passages.
+HOT = 500
+
+
+class Windows:
+    """A text's words, and for each of its windows where its key begins, on which side of the anchor, and the key's hash."""
+
+    def __init__(self, words: list[bytes], window: int, phrase: int):
+        self.words, self.window = words, window
+        self.hashes = HASHES.of(words)
+        grams = runs_of(self.hashes, phrase)
+        span = np.lib.stride_tricks.sliding_window_view(grams, window - phrase + 1)  # of equal hashes, the first is the anchor
+        at = np.concatenate([span[i : i + 65536].argmin(axis=1) + np.arange(i, min(i + 65536, len(span))) for i in range(0, len(span), 65536)])
+        slack = window - phrase
+        half = (slack + 1) // 2
+        self.left = at - np.arange(len(at)) >= half  # so many words of the window lie before the anchor
+        self.begin = np.where(self.left, at - half, at)
+        self.key = np.empty(len(at), np.uint64)
+        for side, length in ((self.left, phrase + half), (~self.left, phrase + slack - half + 1)):
+            if side.any():
+                self.key[side] = runs_of(self.hashes, length)[self.begin[side]]
+
+    def keys(self) -> np.ndarray:
+        """The key of each place where one lies."""
+        new = (np.diff(self.begin) != 0) | (self.left[1:] != self.left[:-1])
+        return self.key[np.concatenate([[0], np.flatnonzero(new) + 1])].view(np.int64)
+
+    def pieces(self, chosen: np.ndarray) -> list[tuple[int, int]]:
+        """First and last start of each run of chosen windows that have their key in one place."""
+        starts = np.flatnonzero(chosen)
+        if not len(starts):
+            return []
+        new = (np.diff(starts) > 1) | (np.diff(self.begin[starts]) != 0) | (self.left[starts][1:] != self.left[starts][:-1])
+        cut = np.concatenate([[0], np.flatnonzero(new) + 1, [len(starts)]])
+        return [(int(starts[i]), int(starts[j - 1])) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+
+    def piece(self, first: int, last: int) -> str:
+        return b" ".join(self.words[first : last + self.window]).decode()
 
 
 def small(batches, rows: int = BATCH):
@@ -49,7 +81,7 @@ def small(batches, rows: int = BATCH):
 
 
 def first_pass(docs: DataFrame, window: int, phrase: int, with_text: bool) -> DataFrame:
-    """row, doc_id, digest, n_words, kept_sha256 (of all words), anchors (hashes, one for each anchor position), all_text (null unless with_text)."""
+    """row, doc_id, digest, n_words, kept_sha256 (of all words), keys (a hash for each place of a key), all_text (null unless with_text)."""
 
     def of(batches):
         row = TaskContext.get().partitionId() << 40
@@ -58,89 +90,147 @@ def first_pass(docs: DataFrame, window: int, phrase: int, with_text: bool) -> Da
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 raw = (text.as_py() or "").encode()
                 words = raw.split()
-                hashes = []
-                if len(words) >= window:
-                    _, at, grams = anchors(words, window, phrase)
-                    hashes = grams[np.unique(at)].view(np.int64)
-                out.append((row, doc_id, hashlib.sha256(raw).digest(), len(words), hashlib.sha256(joined := b" ".join(words)).hexdigest(), hashes, joined.decode() if with_text else None))
+                keys = Windows(words, window, phrase).keys() if len(words) >= window else []
+                out.append((row, doc_id, hashlib.sha256(raw).digest(), len(words), hashlib.sha256(joined := b" ".join(words)).hexdigest(), keys, joined.decode() if with_text else None))
                 row += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), TYPES, strict=True)], NAMES)
 
-    NAMES = ["row", "doc_id", "digest", "n_words", "kept_sha256", "anchors", "all_text"]
+    NAMES = ["row", "doc_id", "digest", "n_words", "kept_sha256", "keys", "all_text"]
     TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string()]
-    return docs.mapInArrow(of, "row long, doc_id long, digest binary, n_words long, kept_sha256 string, anchors array<long>, all_text string")
+    return docs.mapInArrow(of, "row long, doc_id long, digest binary, n_words long, kept_sha256 string, keys array<long>, all_text string")
+
 
+def opened(batch: pa.RecordBatch, window: int, phrase: int):
+    """For each text of row, text, keys, ...: its row, its place in the batch, its windows, and which have one of its keys."""
+    for k, (row, text, keys) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True)):
+        w = Windows((text.as_py() or "").encode().split(), window, phrase)
+        yield row, k, w, np.isin(w.key, np.asarray(keys.values).view(np.uint64))
 
-def windows_at(texts: DataFrame, window: int, phrase: int) -> DataFrame:
-    """row, copies, first, second, starts: two hashes and the start of each window of a text whose anchor is among recurring. texts: row, copies, text, recurring."""
+
+def windows_of(texts: DataFrame, window: int, phrase: int) -> DataFrame:
+    """row, copies, key, first, second: the key and two hashes of each window that has one of its text's keys. texts: row, text, keys, copies."""
 
     def of(batches):
         for b in small(batches):
             out = [[], [], [], [], []]
-            for row, copies, text, recurring in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                h, at, grams = anchors((text.as_py() or "").encode().split(), window, phrase)
-                known = np.asarray(recurring.values).view(np.uint64)
-                starts = np.flatnonzero(np.isin(grams[at], known))
-                with np.errstate(over="ignore"):
-                    first, second = (runs_of(h, window, m)[starts] for m in (MULT, MULT_2))
+            copies = b.column(3).to_pylist()
+            for row, k, w, asked in opened(b, window, phrase):
+                first, second = (runs_of(w.hashes, window, *m)[asked] for m in ((), (MULT_2,)))
                 short = (second >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                for column, x in zip(out, (row, copies, first.view(np.int64), short, starts.astype(np.int32)), strict=True):
+                for column, x in zip(out, (np.full(len(first), row), np.full(len(first), copies[k]), w.key[asked].view(np.int64), first.view(np.int64), short), strict=True):
                     column.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["row", "copies", "first", "second", "starts"])
-
-    return texts.mapInArrow(of, "row long, copies long, first array<long>, second array<int>, starts array<int>")
-
-
-def merged(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """The passages [begin, end) that windows at these ascending starts make: one for each run of consecutive starts."""
-    cut = np.flatnonzero(np.diff(starts) > 1) + 1
-    return [(int(x[0]), int(x[-1]) + window) for x in np.split(starts, cut) if len(x)]
-
-
-def locate(texts: list[list[int]], passages: set[tuple[int, ...]], automaton_words: int = AUTOMATON_WORDS) -> list[np.ndarray]:
-    """For each text, a mask of the words that occurrences of the passages cover. As many automata as the passages need, each streamed over all texts."""
-    masks = [np.zeros(len(t) + 1, np.int32) for t in texts]
-    shard: list[tuple[int, ...]] = []
-    held = 0
-    ordered = sorted(passages, key=lambda p: (len(p), p))
-    for k, p in enumerate(ordered):
-        shard.append(p)
-        held += len(p)
-        if held < automaton_words and k + 1 < len(ordered):
-            continue
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for x in shard:
-            automaton.add_word(x, len(x))
-        automaton.make_automaton()
-        for mask, t in zip(masks, texts, strict=True):
-            for end, n in automaton.iter(tuple(t)):
-                mask[end + 1 - n] += 1
-                mask[end + 1] -= 1
-        shard, held = [], 0
-    return [np.cumsum(m[:-1]) > 0 for m in masks]
-
-
-def removed_words(texts: DataFrame, window: int, shard_texts: int = 200) -> DataFrame:
-    """digest, n_removed, kept_sha256, text of what stays. texts: digest, text, starts (of confirmed windows)."""
+            arrays = [np.concatenate(x) for x in out]
+            for i in range(0, len(arrays[0]), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in arrays], ["row", "copies", "key", "first", "second"])
+
+    return texts.mapInArrow(of, "row long, copies long, key long, first long, second int")
+
+
+def pieces_of(texts: DataFrame, window: int, phrase: int, confirmed: bool) -> DataFrame:
+    """key, row, start, piece: the words of windows with one key place. texts: row, text, keys and, if confirmed, the first hashes of those windows that are, which alone are given then."""
+
+    def of(batches):
+        for b in small(batches):
+            out = []
+            for row, k, w, asked in opened(b, window, phrase):
+                if confirmed:
+                    asked &= np.isin(runs_of(w.hashes, window), np.asarray(b.column(3)[k].values).view(np.uint64))
+                out += [(int(w.key[i : i + 1].view(np.int64)[0]), row, i, w.piece(i, j)) for i, j in w.pieces(asked)]
+                if len(out) >= 10_000:
+                    yield batch(out)
+                    out = []
+            if out:
+                yield batch(out)
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], ["key", "row", "start", "piece"])
+
+    return texts.mapInArrow(of, "key long, row long, start int, piece string")
+
+
+class Automata:
+    """A shard's confirmed windows in as many automata as they need, over numbers of their words."""
+
+    def __init__(self, window: int, limit: int = AUTOMATON_WORDS):
+        self.window, self.most = window, max(1, limit // window)
+        self.number: dict[bytes, int] = {}
+        self.compiled: list[ahocorasick.Automaton] = []
+        self.open = None
+
+    def add(self, piece: bytes) -> None:
+        """Takes up all windows of a passage."""
+        numbers = [self.number.setdefault(w, len(self.number) + 1) for w in piece.split()]
+        for i in range(len(numbers) - self.window + 1):
+            if self.open is None:
+                self.open = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+            self.open.add_word(tuple(numbers[i : i + self.window]), 1)
+            if len(self.open) >= self.most:
+                self.close()
+
+    def close(self) -> None:
+        if self.open is not None:
+            self.open.make_automaton()
+            self.compiled.append(self.open)
+            self.open = None
+
+    def locate(self, stretch: bytes) -> list[tuple[int, int]]:
+        """Where windows of the shard cover words of the stretch: [begin, end) of each run, ascending."""
+        self.close()
+        numbers = tuple(self.number.get(w, 0) for w in stretch.split())
+        ends = sorted({end for a in self.compiled for end, _ in a.iter(numbers)})
+        out: list[tuple[int, int]] = []
+        for end in ends:
+            if out and end + 1 - self.window <= out[-1][1]:
+                out[-1] = out[-1][0], end + 1
+            else:
+                out.append((end + 1 - self.window, end + 1))
+        return out
+
+
+def located(dealt: DataFrame, window: int, limit: int = AUTOMATON_WORDS) -> DataFrame:
+    """row, begin, end: where confirmed passages cover words. dealt: shard, stretch (whether it is one, or a passage), row, start, piece; sorted so that a shard's passages come before its stretches."""
+
+    def of(batches):
+        shard, automata = None, None
+        for b in small(batches, 5_000):
+            out = []
+            for at, stretch, row, start, piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), strict=True):
+                if at != shard:
+                    shard, automata = at, Automata(window, limit)
+                words = piece.as_py().encode()
+                if stretch:
+                    out += [(row, start + i, start + j) for i, j in automata.locate(words)]
+                else:
+                    automata.add(words)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["row", "begin", "end"])
+
+    return dealt.mapInArrow(of, "row long, begin int, end int")
+
+
+def removed_words(texts: DataFrame, with_text: bool) -> DataFrame:
+    """digest, n_removed, kept_sha256, kept_text (null unless with_text). texts: digest, text, spans [begin, end) that go."""
 
     def of(batches):
-        for part in small(batches, shard_texts):
-            number: dict[bytes, int] = {}
-            words = [(t.as_py() or "").encode().split() for t in part.column(1)]
-            texts = [[number.setdefault(w, len(number) + 1) for w in ws] for ws in words]
-            passages = {tuple(t[i:j]) for t, s in zip(texts, part.column(2), strict=True) for i, j in merged(np.sort(np.asarray(s.values)), window)}
-            kept, gone = [], []
-            for ws, mask in zip(words, locate(texts, passages), strict=True):
+        for b in small(batches):
+            gone, sha, kept = [], [], []
+            for text, spans in zip(b.column(1), b.column(2), strict=True):
+                words = (text.as_py() or "").encode().split()
+                change = np.zeros(len(words) + 1, np.int64)
+                begin, end = (np.asarray(spans.values.field(k)) for k in (0, 1))
+                np.add.at(change, begin, 1)
+                np.add.at(change, end, -1)
+                mask = np.cumsum(change[:-1]) > 0
+                left = b" ".join([w for w, m in zip(words, mask.tolist(), strict=True) if not m])
                 gone.append(int(mask.sum()))
-                kept.append(b" ".join([w for w, m in zip(ws, mask.tolist(), strict=True) if not m]))
-            sha = [hashlib.sha256(x).hexdigest() for x in kept]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(gone, pa.int64()), pa.array(sha), pa.array([x.decode() for x in kept])], ["digest", "n_removed", "kept_sha256", "kept_text"])
+                sha.append(hashlib.sha256(left).hexdigest())
+                kept.append(left.decode() if with_text else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gone, pa.int64()), pa.array(sha), pa.array(kept, pa.string())], ["digest", "n_removed", "kept_sha256", "kept_text"])
 
     return texts.mapInArrow(of, "digest binary, n_removed long, kept_sha256 string, kept_text string")
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE, with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE, with_text: bool = False, hot: int = HOT, automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text): a row for each row of docs.
 
     A word goes if a window of that many consecutive words covers it whose words also start anywhere else, in the same text
@@ -152,39 +242,47 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("phrase must lie between 1 and window")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     first = written(first_pass(rows, window, phrase, with_text))
-    own = first.where(F.size("anchors") > 0).groupBy("digest").agg(F.min(F.struct("row", "doc_id")).alias("own"), F.count(F.lit(1)).alias("copies"), F.first("anchors").alias("anchors"))
-    distinct = written(own.select("digest", "copies", "own.row", F.col("own.doc_id").alias("own_id"), "anchors"))
-    at = distinct.select("row", F.explode("anchors").alias("anchor"))
-    # Written, so that both sides of the join are dealt out for it alone and a common anchor's can be split.
-    recurring = written(at.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
-    hits = at.join(recurring, "anchor").groupBy("row").agg(F.collect_list("anchor").alias("recurring"))
+    own = first.where(F.size("keys") > 0).groupBy("digest").agg(F.min(F.struct("row", "doc_id")).alias("own"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
+    distinct = written(own.select("digest", F.least("copies", F.lit(2)).alias("copies"), "own.row", F.col("own.doc_id").alias("own_id"), "keys"))
+    at = distinct.select("row", "copies", F.explode("keys").alias("key"))
+    # Written, so that both sides of the join are dealt out for it alone and a common key's rows can be split.
+    recurring = written(at.groupBy("key").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("places")).where("n > 1").select("key", F.ceil(F.col("places") / F.lit(hot)).cast("int").alias("parts")))
+    hits = at.join(recurring.select("key"), "key").groupBy("row").agg(F.collect_set("key").alias("keys"))
     asked = distinct.select("row", "digest", "own_id", "copies").join(hits, "row")
-    # Of the copies of a text, the first is read again. Where rows repeat it comes twice, which tells nothing new: such a text recurs.
+    # Of the copies of a text, the first is read again. Where rows repeat it comes twice, which changes nothing: such a text recurs, and its verdicts are alike.
     own_text = rows.withColumn("own_digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    texts = written(own_text.join(asked, (F.col("own_digest") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select("row", "digest", "copies", "text", "recurring"))
-    # Found anew for each of its two uses: hashing windows again costs less than keeping them.
-    found = windows_at(texts.select("row", "copies", "text", "recurring"), window, phrase)
-    windows = found.select("row", "copies", F.explode(F.arrays_zip("first", "second", "starts")).alias("w")).select("row", "copies", "w.first", "w.second", F.col("w.starts").alias("start"))
-    key = ["first", "second"]  # 96 bits: of 10^12 windows, no two that differ are likely to share them
-    confirmed = written(windows.groupBy(*key).agg(F.sum(F.least("copies", F.lit(2))).alias("n")).where("n > 1").select(*key))
-    starts = windows.where("copies = 1").select("row", *key, "start").join(confirmed, key).groupBy("row").agg(F.collect_list("start").alias("starts"))
-    shards = texts.where("copies = 1").join(starts, "row").select("digest", "text", "starts")
-    less = removed_words(shards, window).withColumn("copied", F.lit(False))
-    if not with_text:
-        less = less.drop("kept_text")
-    copied = distinct.where("copies > 1").select("digest", F.lit(True).alias("copied"))
-    # One table of verdicts, so that a text of many copies meets them in one join, which can be split.
-    verdicts = written(less.unionByName(copied, allowMissingColumns=True))
+    texts = written(own_text.join(asked, (F.col("own_digest") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select("row", "text", "keys", "copies", "digest"))
+    # 96 bits: of 10^12 windows, no two that differ are likely to share them.
+    counted = windows_of(texts.select("row", "text", "keys", "copies"), window, phrase).groupBy("first", "second").agg(F.sum("copies").alias("n"), F.min("row").alias("row"), F.first("key").alias("key"))
+    confirmed = written(counted.where("n > 1").select("row", "key", "first"))
+    sources = texts.select("row", "text", "keys").join(confirmed.groupBy("row").agg(F.collect_list("first").alias("windows")), "row")
+    passages = pieces_of(sources.select("row", "text", "keys", "windows"), window, phrase, confirmed=True)
+    stretches = pieces_of(texts.select("row", "text", "keys"), window, phrase, confirmed=False)
+    # A frequent key's stretches are split, and each part meets all passages; where passages are many they are split too, and each part meets all stretches.
+    most = max(1, automaton_words // window)
+    heavy = confirmed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key", F.ceil(F.col("n") / F.lit(most)).cast("int").alias("subs"))
+    split = written(recurring.where("parts > 1").join(heavy, "key", "full").select("key", F.coalesce("parts", F.lit(1)).alias("parts"), F.coalesce("subs", F.lit(1)).alias("subs")))
+    parts, subs = F.lit(1), F.lit(1)
+    if not split.isEmpty():
+        parts, subs = F.coalesce("parts", parts), F.coalesce("subs", subs)
+        passages, stretches = passages.join(split, "key", "left"), stretches.join(split, "key", "left")
+    passages = passages.withColumn("sub", F.pmod(F.xxhash64("piece"), subs).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    stretches = stretches.withColumn("part", F.pmod(F.xxhash64("row"), parts).cast("int")).withColumn("sub", F.explode(F.sequence(F.lit(0), subs - 1)))
+    n = partitions(rows.sparkSession)
+    shards = max(n, -(-confirmed.count() * window // automaton_words))
+    both = passages.withColumn("stretch", F.lit(False)).unionByName(stretches.withColumn("stretch", F.lit(True)))
+    dealt = both.select(F.pmod(F.xxhash64("key", "part", "sub"), F.lit(shards)).alias("shard"), "stretch", "row", "start", "piece").repartition(n, "shard").sortWithinPartitions("shard", "stretch")
+    spans = located(dealt, window, automaton_words).groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    verdicts = written(removed_words(texts.select("row", "digest", "text").join(spans, "row").select("digest", "text", "spans"), with_text).dropDuplicates(["digest"]))
     out = first.select("doc_id", "digest", "n_words", F.col("kept_sha256").alias("all_sha256"), "all_text").join(verdicts, "digest", "left")
-    gone = F.coalesce("copied", F.lit(False))
     columns = [
         "doc_id",
         "n_words",
-        F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "all_sha256")).alias("kept_sha256"),
+        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("kept_sha256", "all_sha256").alias("kept_sha256"),
     ]
     if with_text:
-        columns.append(F.when(gone, "").otherwise(F.coalesce("kept_text", "all_text")).alias("kept_text"))
+        columns.append(F.coalesce("kept_text", "all_text").alias("kept_text"))
     return out.select(*columns)
 
 

@@ -128,12 +128,36 @@ def test_kept_text(spark):
 
 def test_automata_in_shards():
     rnd = random.Random(4)
-    texts = [[rnd.randrange(1, 5) for _ in range(rnd.randrange(60))] for _ in range(20)]
-    passages = {tuple(t[i : i + n]) for t in texts for i in (0, 3) for n in (2, 5) if len(t) >= i + n}
+    texts = [[b"%d" % rnd.randrange(1, 4) for _ in range(rnd.randrange(60))] for _ in range(20)]
+    passages = [t[i : i + n] for t in texts for i, n in ((0, 4), (3, 6)) if len(t) >= i + n]
+    known = {tuple(p[i : i + 4]) for p in passages for i in range(len(p) - 3)}
     for limit in (1, 10, 10**6):
-        for t, mask in zip(texts, substring_dedup.locate(texts, passages, limit), strict=True):
-            want = [any(tuple(t[i : i + len(p)]) == p and i <= k < i + len(p) for p in passages for i in range(len(t))) for k in range(len(t))]
-            assert mask.tolist() == want
+        automata = substring_dedup.Automata(4, limit)
+        for p in passages:
+            automata.add(b" ".join(p))
+        for t in texts:
+            hit = {k for i in range(len(t) - 3) if tuple(t[i : i + 4]) in known for k in range(i, i + 4)}
+            spans = automata.locate(b" ".join(t))
+            assert {k for i, j in spans for k in range(i, j)} == hit and spans == sorted(spans)
+        assert (len(automata.compiled) == 1) == (limit == 10**6)
+
+
+@pytest.mark.parametrize(("hot", "words"), [(1, 10**6), (2, 20), (10**6, 1)])
+def test_substring_dedup_of_frequent_keys(spark, hot, words):
+    """With keys split by their texts, by their passages, and by both."""
+    rnd = random.Random(hot)
+    line = random_text(rnd, 9)
+    rows = [(i, " ".join([random_text(rnd, 5, 3), line, random_text(rnd, 5, 3), line])) for i in range(120)]
+    got = [(str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, DOCS), window=10, phrase=3, hot=hot, automaton_words=words).collect()]
+    assert sorted(got) == brute_removal(rows, 10)
+
+
+def test_occurrences_come_from_the_automata(spark, monkeypatch):
+    rows = [(i, "p q r s " * 10 + str(i)) for i in range(3)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert {r.n_removed for r in substring_dedup.substring_dedup(docs).collect()} == {40}
+    monkeypatch.setattr(substring_dedup, "located", lambda dealt, *_: dealt.selectExpr("row", "start as begin", "start as end").limit(0))
+    assert {r.n_removed for r in substring_dedup.substring_dedup(docs).collect()} == {0}
 
 
 def test_bradley_terry_learns_order():
