@@ -322,37 +322,87 @@ def near(a: np.ndarray, b: np.ndarray, n: int, m: int) -> bool:
     return int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum()) <= apart(n, m)
 
 
-def near_in_block(prints: list[np.ndarray], sizes: np.ndarray, roots: np.ndarray) -> np.ndarray:
-    """Index pairs of a block whose wide fingerprints are near, whose sizes allow similarity, and whose roots differ.
+def near_in_blocks(prints: list[np.ndarray], sizes: np.ndarray, roots: np.ndarray, start: np.ndarray, rows: int = 4096) -> np.ndarray:
+    """Index pairs whose wide fingerprints are near, whose sizes allow similarity, and whose roots differ, of each block (start: where a row's block begins).
 
-    Bit planes of all prints of a width, and of the next one folded to it, are compared with each print of the width: sizes
-    that differ by more can't be similar.
+    Within a block, bit planes of all prints of a width, and of the next one folded to it, are compared with each print of
+    the width: sizes that differ by more can't be similar. Blocks are taken up together, about so many rows of 1024 bits at a
+    time, each with words of its own.
     """
     out = [np.empty((2, 0), np.int64)]
     widths = np.array([len(p) for p in prints])
     for w in np.unique(widths):
-        own = np.flatnonzero(widths == w)
-        both = np.concatenate([own, np.flatnonzero(widths == 2 * w)])
-        n = len(both)
-        bits = np.unpackbits(np.stack([folded(prints[i], w) for i in both]).view(np.uint8), axis=1, bitorder="little")
-        lanes = np.zeros((bits.shape[1], -(-n // 64) * 64), np.uint8)
-        lanes[:, :n] = bits.T
-        block = np.packbits(lanes, axis=1, bitorder="little").view("<u8")
-        step = max(1, 200_000 // block.shape[1])
-        for q in range(0, len(own), step):
-            query = bits[q : min(q + step, len(own))].T * ALL
-            asked, word, alive = later(np.arange(q, q + query.shape[1]), n)
-            ask = both[q : q + step]
-            most = int(apart(sizes[ask].max(), sizes[both].max()))
-            place, left, count = within(block, query, word, asked, alive, most)
-            at, lane = lanes_of(left)
-            differ = sum(((c[at] >> lane.astype(np.uint64)) & ONE).astype(np.int64) << d for d, c in enumerate(count))
-            i, j = both[q + asked[place[at]]], both[64 * word[place[at]] + lane]
-            fit = (differ <= apart(sizes[i], sizes[j])) & sizes_fit(sizes[i], sizes[j]) & (roots[i] != roots[j])
-            out.append(np.stack([i[fit], j[fit]]))
+        own = (widths == w) | (widths == 2 * w)
+        lanes = np.flatnonzero(own)
+        lanes = lanes[np.lexsort((sizes[lanes], widths[lanes], start[lanes]))]  # by block, with those that ask first
+        begins = np.flatnonzero(np.diff(start[lanes], prepend=-1))
+        ends = np.append(begins[1:], len(lanes))
+        many = (ends - begins > 1) & (widths[lanes[begins]] == w)
+        begins, ends = begins[many], ends[many]
+        k = 0
+        while k < len(begins):
+            j = max(k + 1, int(np.searchsorted(np.cumsum(ends[k:] - begins[k:]), max(1, 16 * rows // int(w)))) + k)
+            out.append(_near(prints, sizes, roots, [lanes[a:b] for a, b in zip(begins[k:j], ends[k:j], strict=True)], int(w), widths))
+            k = j
     return np.concatenate(out, axis=1)
 
 
+def _near(prints, sizes, roots, blocks: list[np.ndarray], w: int, widths: np.ndarray) -> np.ndarray:
+    rows = np.concatenate(blocks)
+    count = np.array([len(x) for x in blocks])
+    first = np.concatenate([[0], np.cumsum(count)[:-1]])
+    words = -(-count // 64)
+    first_word = np.concatenate([[0], np.cumsum(words)[:-1]])
+    block_of = np.repeat(np.arange(len(blocks)), count)
+    inside = np.arange(len(rows)) - first[block_of]
+    lane, word_of = (inside % 64).astype(np.uint64), first_word[block_of] + inside // 64
+    row_at = np.full(int(words.sum()) * 64, -1)
+    row_at[64 * word_of + lane.astype(np.int64)] = np.arange(len(rows))
+    bits = np.unpackbits(np.stack([folded(prints[i], w) for i in rows]).view(np.uint8), axis=1, bitorder="little").T
+    starts = np.flatnonzero(lane == 0)
+    block = np.concatenate([np.bitwise_or.reduceat(bits[b : b + 64].astype(np.uint64) << lane, starts, axis=1) for b in range(0, len(bits), 64)])
+    full = np.bitwise_or.reduceat(ONE << lane, starts)
+    n, ids, sides = sizes[rows], roots[rows], widths[rows]
+    least = np.minimum.reduceat(n, starts)
+    out = []
+    ask = np.flatnonzero(sides == w)
+    reach = first_word[block_of[ask]] + words[block_of[ask]] - word_of[ask]  # words from a row's own to its block's last
+    step = 200_000
+    cut = np.searchsorted(np.cumsum(reach), np.arange(step, int(reach.sum()) + step, step))
+    for part in np.split(np.arange(len(ask)), np.unique(cut[cut < len(ask)])):
+        if not len(part):
+            continue
+        asked = np.repeat(ask[part], reach[part])
+        word = word_of[asked] + np.arange(len(asked)) - np.repeat(np.cumsum(reach[part]) - reach[part], reach[part])
+        alive = full[word].copy()
+        same = word == word_of[asked]
+        alive[same] &= (ALL << lane[asked[same]]) << ONE
+        fits = (alive != 0) & (least[word] * SIMILAR[0] <= n[asked] * SIMILAR[1])
+        asked, word, alive = asked[fits], word[fits], alive[fits]
+        if not len(asked):
+            continue
+        used, at = np.unique(asked, return_inverse=True)
+        # A later row of these words may be larger, but not by more than sizes that fit allow.
+        most = int(apart(n[used], n[used] * SIMILAR[1] // SIMILAR[0]).max())
+        place, left, digits = within(block, _Spread(bits[:, used]), word, at, alive, most)
+        hit, lane_hit = lanes_of(left)
+        differ = sum(((c[hit] >> lane_hit.astype(np.uint64)) & ONE).astype(np.int64) << d for d, c in enumerate(digits))
+        i, j = asked[place[hit]], row_at[64 * word[place[hit]] + lane_hit]
+        good = (differ <= apart(n[i], n[j])) & sizes_fit(n[i], n[j]) & (ids[i] != ids[j])
+        out.append(np.stack([rows[i[good]], rows[j[good]]]))
+    return np.concatenate([np.empty((2, 0), np.int64), *out], axis=1)
+
+
+class _Spread:
+    """A plane of query bits as words of all ones or none, made when it is asked for."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def __getitem__(self, plane: int) -> np.ndarray:
+        return self.bits[plane] * ALL
+
+
 def whole_blocks(batches, binary: int | None = None):
     """Columns as arrays, of whole blocks of rows sorted by the first column; and where each row's block begins and ends. binary: the column that holds bytes, if one does."""
     left = None
@@ -437,19 +487,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(block[many]), pa.array(fp[many]), up], ["block", "fp", "up"])
 
     def rest(batches):
-        names = ["a", "b"]
-        for (block, fp, size, root, prints), start, end in whole_blocks(batches, 4):
-            found, held = [], 0
-            for s in np.unique(start).tolist():
-                e = int(end[s])
-                pair = near_in_block([np.frombuffer(x, "<u8") for x in prints[s:e]], size[s:e], root[s:e])
-                found.append(np.sort(fp[s:e][pair], axis=0))
-                held += pair.shape[1]
-                if held > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(found, axis=1), axis=1)], names)
-                    found, held = [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(found, axis=1), axis=1)], names)
+        for (_, fp, size, root, prints), start, _ in whole_blocks(batches, 4):
+            pair = fp[near_in_blocks([np.frombuffer(x, "<u8") for x in prints], size, root, start)]
+            pair = np.unique(np.sort(pair, axis=0), axis=1)
+            for i in range(0, pair.shape[1], 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in pair], ["a", "b"])
 
     sketches = written(own_rows(docs, id_col, text_col).mapInArrow(sketch, "doc_id long, digest binary, fp long, n long, wide binary, bands array<long>"))
     nodes = written(sketches.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "n", "wide", "bands")).alias("x")).select("fp", F.col("x.doc_id").alias("least"), "x.digest", "x.n", "x.wide", "x.bands"))

@@ -179,9 +179,10 @@ def test_wide_fingerprints():
         assert simhash.near(simhash.wide(a), simhash.wide(b), len(a), len(b)) >= simhash.similar(a, b)
 
 
-@pytest.mark.parametrize("size", [2, 63, 64, 65, 200])
-def test_near_in_block(size):
-    """Bit-sliced comparison of wide prints against one by one, over several widths."""
+@pytest.mark.parametrize("rows", [1, 50, 4096])
+@pytest.mark.parametrize("size", [2, 63, 64, 65, 300])
+def test_near_in_blocks(size, rows):
+    """Bit-sliced comparison of wide prints against one by one, over several widths and blocks."""
     rnd = np.random.default_rng(size)
     base = rnd.integers(0, 2**63, 150, dtype=np.uint64)
     sets = []
@@ -189,9 +190,11 @@ def test_near_in_block(size):
         own = base[rnd.random(150) < 0.97]
         sets.append(np.unique(np.concatenate([own, rnd.integers(0, 2**63, int(rnd.integers(0, 40)), dtype=np.uint64)])))
     prints, sizes, roots = [simhash.wide(x) for x in sets], np.array([len(x) for x in sets]), rnd.integers(0, 3, size)
-    got_ = {tuple(sorted(x)) for x in simhash.near_in_block(prints, sizes, roots).T.tolist()}
-    want = {(i, j) for i in range(size) for j in range(i + 1, size) if roots[i] != roots[j] and simhash.sizes_fit(sizes[i], sizes[j]) and simhash.near(prints[i], prints[j], sizes[i], sizes[j])}
-    assert got_ == want
+    for blocks in ([0], [0, size // 2], sorted({0, 1, 3, 4, size // 3, size - 1})):
+        start = np.array([max(b for b in blocks if b <= i) for i in range(size)])
+        got_ = {tuple(sorted(x)) for x in simhash.near_in_blocks(prints, sizes, roots, start, rows).T.tolist()}
+        want = {(i, j) for i in range(size) for j in range(i + 1, size) if start[i] == start[j] and roots[i] != roots[j] and simhash.sizes_fit(sizes[i], sizes[j]) and simhash.near(prints[i], prints[j], sizes[i], sizes[j])}
+        assert got_ == want
 
 
 def test_words_are_abandoned():
