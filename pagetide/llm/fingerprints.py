@@ -6,11 +6,12 @@ import base64
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetide.llm.common import partitions, table
+from pagetide.llm.common import content, partitions, table
 from pagetide.llm.hashing import HASHES, runs_of
 
 SHINGLE = 5
@@ -86,40 +87,46 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(of, "doc_id long, fingerprint string, n_shingles double")
 
 
-def bucket_of(key: Column, bounds: list[int]) -> Column:
-    """The number of bounds below key, by halving."""
-
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(key <= bounds[middle], tree(low, middle)).otherwise(tree(middle + 1, high))
-
-    return tree(0, len(bounds))
+def range_of(keys: np.ndarray, marks: np.ndarray, first_keys: np.ndarray, first_marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each (key, mark) the range it lies in, of ranges that begin at these ascending pairs, and whether it is the range's first pair."""
+    at = np.searchsorted(first_keys, keys, "right") - 1
+    low = np.searchsorted(first_keys, keys, "left")
+    for key in np.unique(keys[low <= at]):  # where ranges begin within a key, marks tell; elsewhere the last range before does
+        own = keys == key
+        i, j = int(np.searchsorted(first_keys, key, "left")), int(np.searchsorted(first_keys, key, "right"))
+        at[own] = i - 1 + np.searchsorted(first_marks[i:j], marks[own], "right")
+    at = np.maximum(at, 0)
+    return at, (first_keys[at] == keys) & (first_marks[at] == marks)
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """bucket, doc_id, text, guest: documents in ranges of doc_id, each with the first of the next range as a guest at its end.
 
-    The bounds are at most one for each shuffle partition, and so are the guests; texts move once.
+    Ranges are of doc_id and a hash of the text, so that an id that many rows have, or lack, is split as well. There are as many
+    as shuffle partitions at most, and so many pairs of numbers are all that comes to the driver. Texts move once.
     """
     spark = docs.sparkSession
-    least = -(2**63)
-    keys = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("key"))
-    n = partitions(spark)
-    found = keys.agg(F.percentile_approx("key", F.array(*(F.lit(i / n) for i in range(1, n))), 100 * n).alias("bounds")).first()[0] if n > 1 else []
-    bounds = sorted(set(found or []))
-    firsts = {r["bucket"]: r["first"] for r in keys.groupBy(bucket_of(F.col("key"), bounds).alias("bucket")).agg(F.min("key").alias("first")).toLocalIterator()}
-    order = sorted(firsts)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(least)))
-    own = rows.withColumn("bucket", bucket_of(F.col("key"), bounds)).withColumn("guest", F.lit(False))
-    if order:
-        home = {firsts[b]: order[i - 1] for i, b in enumerate(order)}
-        where = rows.where(F.col("key").isin(*home))
-        host = F.create_map(*(F.lit(x) for pair in home.items() for x in pair))[F.col("key")]
-        own = own.unionByName(where.withColumn("bucket", host).withColumn("guest", F.lit(True)))
-    dealt = own.repartitionById(max(1, len(bounds) + 1), F.col("bucket")) if bounds else own.coalesce(1)
-    return dealt.sortWithinPartitions("bucket", "guest", "key", "text").select("bucket", "doc_id", "text", "guest")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("mark", F.xxhash64(content("text")))
+    parted = rows.select("key", "mark").repartitionByRange(partitions(spark), "key", "mark").withColumn("part", F.spark_partition_id())
+    firsts = sorted((r[0].key, r[0].mark) for r in parted.groupBy("part").agg(F.min(F.struct("key", "mark"))).select(F.col("min(struct(key, mark))")).toLocalIterator())
+    if not firsts:
+        return rows.select(F.lit(0).alias("bucket"), "doc_id", "text", F.lit(False).alias("guest"))
+    first_keys, first_marks = np.array([k for k, _ in firsts]), np.array([m for _, m in firsts])
+
+    @F.pandas_udf("long")
+    def place(key: pd.Series, mark: pd.Series) -> pd.Series:
+        at, first = range_of(key.to_numpy(), mark.to_numpy(), first_keys, first_marks)
+        return pd.Series(2 * at + first)
+
+    placed = rows.withColumn("place", place("key", "mark")).withColumn("bucket", (F.col("place") / 2).cast("int")).withColumn("first", F.col("place") % 2 == 1)
+    own = placed.select("bucket", "doc_id", "text", F.lit(False).alias("guest"), "key", "mark")
+    # One of the rows that begin a range, and not all that may repeat it.
+    begin = placed.where("first").groupBy("bucket", "key", "mark").agg(F.min(F.struct("text", "doc_id")).alias("x"))
+    host = F.pmod(F.col("bucket") - 1, F.lit(len(firsts))).cast("int")
+    guests = begin.select(host.alias("bucket"), "x.doc_id", "x.text", F.lit(True).alias("guest"), "key", "mark")
+    dealt = own.unionByName(guests).repartitionById(len(firsts), F.col("bucket"))
+    return dealt.sortWithinPartitions("bucket", "guest", "key", "mark", "text").select("bucket", "doc_id", "text", "guest")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, k: int = K) -> DataFrame:
@@ -128,8 +135,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A text's edit replaces its last quarter (in whole code points) by as many first code points of the next document's, or
     all of them. The next document has the next doc_id, and after the last comes the first; a sole document is its own next.
     Null and empty texts have no code points and no shingles; two texts without shingles are alike (1), one without and one
-    with are not (0). Documents without an id come first; documents of equal ids follow each other by text, null first. An empty table
-    gives no rows. Other columns aren't read.
+    with are not (0). Documents without an id come first; documents of equal ids follow each other by a
+    hash of the text, then by the text, null first. An empty table gives no rows. Other columns aren't read.
     """
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
