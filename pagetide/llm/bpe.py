@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from pagetide.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pre-tokens whose ids a Python worker remembers, at most twice: when so many are new, those not met since the last time go.
-REMEMBERED = 200_000
+#: Pre-tokens whose ids a Python worker remembers, and their bytes, at most twice: when so many are new, those not met since
+#: the last time go. Longer ones than LONGEST aren't remembered.
+REMEMBERED, REMEMBERED_BYTES, LONGEST = 200_000, 8_000_000, 200
 
 
 class PerfectHash:
@@ -134,15 +135,18 @@ class Known(dict):
     """Ids of the pre-tokens met lately in this worker, in two generations, so that frequent ones stay."""
 
     def __init__(self, codec: Codec):
-        self.codec, self.older = codec, {}
+        self.codec, self.older, self.held = codec, {}, 0
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
+        if len(piece) > LONGEST:
+            return self.codec.pretoken(piece.encode())
+        if len(self) >= REMEMBERED or self.held >= REMEMBERED_BYTES:
+            self.older, self.held = dict(self), 0
             self.clear()
         if (ids := self.older.get(piece)) is None:
             ids = self.codec.pretoken(piece.encode())
         self[piece] = ids
+        self.held += len(piece) + len(ids)
         return ids
 
 

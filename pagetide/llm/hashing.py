@@ -11,12 +11,14 @@ MULT_2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class WordHashes(dict):
-    """Word to 64-bit hash; forgets all when full, so that its memory is bounded."""
+    """Word to 64-bit hash; forgets all when full, and never knows long words, so that its memory is bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 100:
+            if len(self) >= 300_000:
+                self.clear()
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
