@@ -19,8 +19,10 @@ from pagetide.llm.common import content, shared_dir, table, written
 
 CRLF = "\r\n"
 REVISIT_BYTES = 1000
-#: Captures in an archive at most. A reader holds one archive at a time.
-ARCHIVE_CAPTURES = 2_000
+#: Captures in an archive at most, and bytes of their payloads on average. A reader holds one zipped archive and one record at a time.
+ARCHIVE_CAPTURES, ARCHIVE_BYTES = 2_000, 1 << 27
+#: Bytes that are unzipped at a time, and bytes of records that are passed on together.
+CHUNK, BATCH = 1 << 20, 1 << 24
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -74,45 +76,70 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     request = record("request", record_id("request", key), [target, ("WARC-Concurrent-To", name), ("Content-Type", F.lit("application/http; msgtype=request"))], F.concat(F.lit("GET "), path_of, F.lit(f" HTTP/1.1{CRLF}Host: "), host, F.lit(CRLF + CRLF)))
     about = record("metadata", record_id("metadata", key), [target, ("WARC-Concurrent-To", name), ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("page-id: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(f"{CRLF}payload-length: "), size, F.lit(CRLF)))
     lines = rows.select(F.explode(F.array(request, F.when(again, revisit).otherwise(response), about)).alias("value"))
-    lines.write.option("lineSep", CRLF + CRLF).option("compression", compression).option("maxRecordsPerFile", 3 * ARCHIVE_CAPTURES).text(path)
+    n, total = pages.agg(F.count(F.lit(1)), F.sum(F.octet_length(content(html_col)))).first()
+    captured = max(1, min(ARCHIVE_CAPTURES, ARCHIVE_BYTES * n // max(1, total or 0)))
+    lines.write.option("lineSep", CRLF + CRLF).option("compression", compression).option("maxRecordsPerFile", 3 * captured).text(path)
 
 
-HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r?\n")
+HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)")
+BLANK = re.compile(rb"\r?\n\r?\n")
 
 
-def parsed(data: bytes):
-    """kind, fields (lower-case names), block of each record. Records end where their Content-Length says, whatever their block holds."""
-    at = 0
+def parsed(chunks):
+    """kind, fields (lower-case names), block of each record in the bytes that come in chunks. Records end where their Content-Length says, whatever their block holds."""
+    chunks, data, at = iter(chunks), b"", 0
+
+    def more() -> bool:
+        nonlocal data, at
+        if (new := next(chunks, None)) is None:
+            return False
+        data, at = data[at:] + new, 0
+        return True
+
     while True:
-        while data[at : at + 1] in (b"\r", b"\n"):
+        while at < len(data) and data[at] in b"\r\n":
             at += 1
-        if at >= len(data):
+        if at == len(data):
+            if more():
+                continue
             return
+        while not (end := BLANK.search(data, at)):
+            if not more():
+                raise ValueError("a record is cut off" if data[at : at + 5] == b"WARC/" else "no WARC record")
         if data[at : at + 5] != b"WARC/":
-            raise ValueError(f"no WARC record at byte {at}")
-        at = data.index(b"\n", at) + 1
-        fields = {}
-        while m := HEADER.match(data, at):
-            fields[m[1].strip().lower().decode()] = m[2].strip().decode("utf-8", "replace")
-            at = m.end()
-        at += 2 if data[at : at + 2] == b"\r\n" else 1
-        size = int(fields["content-length"])
-        if at + size > len(data):
-            raise ValueError("a record is cut off")
-        yield fields.get("warc-type", ""), fields, data[at : at + size]
-        at += size
-
-
-def unzipped(data: bytes) -> bytes:
-    """The data of gzip members, of which an archive may have one or one for each record; or data as it is."""
+            raise ValueError("no WARC record")
+        lines = data[at : end.start()].split(b"\n")[1:]
+        fields = {m[1].strip().lower().decode(): m[2].strip().decode("utf-8", "replace") for x in lines if (m := HEADER.match(x))}
+        at = end.end()
+        size, parts, have = int(fields["content-length"]), [], 0
+        while True:
+            part = data[at : at + size - have]
+            parts.append(part)
+            have, at = have + len(part), at + len(part)
+            if have == size:
+                break
+            if not more():
+                raise ValueError("a record is cut off")
+        yield fields.get("warc-type", ""), fields, b"".join(parts)
+
+
+def unzipped(data: bytes):
+    """The data of gzip members, of which an archive may have one or one for each record, in chunks; or data as it is."""
     if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data:
+        yield data
+        return
+    view, at = memoryview(data), 0
+    while at < len(data):
         z = zlib.decompressobj(31)
-        out.append(z.decompress(data) + z.flush())
-        data = z.unused_data
-    return b"".join(out)
+        while not z.eof:
+            feed = z.unconsumed_tail or view[at : at + CHUNK]
+            if not z.unconsumed_tail:
+                at += len(feed)
+            if not (out := z.decompress(feed, CHUNK)) and not len(feed):
+                raise ValueError("an archive is cut off")
+            if out:
+                yield out
+        at -= len(z.unused_data)
 
 
 RECORD = "record_id string, kind string, uri string, concurrent_to string, refers_to string, payload_digest string, content_type string, block_bytes long, payload_bytes long, payload_sha1 string, fields string, payload binary"
@@ -129,15 +156,16 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
     def of(batches):
         for b in batches:
             for data in b.column(0):
-                out = []
+                out, held = [], 0
                 for kind, f, block in parsed(unzipped(data.as_py())):
                     media = f.get("content-type", "")
                     payload = block.partition(b"\r\n\r\n")[2] if media.startswith("application/http") else block
                     fields = block.decode("utf-8", "replace") if media.startswith("application/warc-fields") else None
                     out.append((f.get("warc-record-id"), kind, f.get("warc-target-uri"), f.get("warc-concurrent-to"), f.get("warc-refers-to"), f.get("warc-payload-digest"), media, len(block), len(payload), hashlib.sha1(payload).hexdigest(), fields, payload if with_payload else None))
-                    if len(out) >= 500:
+                    held += len(payload) if with_payload else len(fields or "")
+                    if len(out) >= 500 or held >= BATCH:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
-                        out = []
+                        out, held = [], 0
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 

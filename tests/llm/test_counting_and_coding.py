@@ -54,6 +54,17 @@ def test_memory_of_pretokens(reference, monkeypatch):
         assert np.frombuffer(codec.encode(text), "<u4").tolist() == reference.encode_ordinary(text)
 
 
+def test_memory_is_bounded_by_bytes(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 2000)
+    codec = bpe.Codec(bpe.codec(public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN).ranks, public_tokenizers.PATTERN)
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choices("abcdefgh", k=150)) for _ in range(100)] + ["z" * 5000]
+    for text in texts:
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == reference.encode_ordinary(text)
+    held = [*codec.known.items(), *codec.known.older.items()]
+    assert "z" * 5000 not in dict(held) and sum(len(k) + len(v) for k, v in held) <= 2 * (2000 + 150 * 5)
+
+
 def test_round_trip(spark, reference):
     rows = [*enumerate(odd_texts(60)), (None, None), (7, "x"), (7, "x")]
     docs = spark.createDataFrame(rows, DOCS).withColumn("ids", F.lit("clash"))
@@ -79,3 +90,27 @@ def test_token_counts(spark, head):
     want = sorted((str(i), len((t or "").encode()), len(e.ids), len(e.ids) > 100) for (i, t), e in zip(rows, enc, strict=True))
     assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in out.collect()) == want
     assert token_counts.token_counts(docs.limit(0)).count() == 0
+
+
+def test_units_are_pretokens():
+    """Beyond Latin-1 too, and about special strings; pieces of the units sum to the library's."""
+    path = public_tokenizers.path(token_counts.VOCABULARY)
+    t = token_counts.tokenizer(path)
+    assert token_counts.units("東京、大阪 東京<|endoftext|>สวัสดี123!?", path) == ["東京", "、", "大阪", "東京", "<|endoftext|>", *token_counts.units("สวัสดี123!?", path)]
+    assert len(set(token_counts.units("我们，你们。" * 1000, path))) == 4
+    points = [c for c in range(0, 0x30000, 11) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)}1{chr(c)}e{chr(c)} {chr(c)}{chr(c + 1) if c + 1 < 0xD800 else ''}Σ" for c in points] + odd_texts()
+    whole = token_counts.pieces_of(texts, path)
+    parts = [token_counts.units(x, path) for x in texts]
+    known = sorted({u for p in parts for u in p})
+    pieces = dict(zip(known, token_counts.pieces_of(known, path), strict=True))
+    assert [sum(pieces[u] for u in p) for p in parts] == whole and t is token_counts.tokenizer(path)
+
+
+def test_long_pretokens_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "LONGEST", 2)
+    monkeypatch.setattr(token_counts, "SEEN", 10)
+    rows = [(i, "abcdefghi xy z " + "q" * i) for i in range(30)]
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(spark.createDataFrame(rows, DOCS)).collect()}
+    path = public_tokenizers.path(token_counts.VOCABULARY)
+    assert [got[i] for i, _ in rows] == token_counts.pieces_of([t for _, t in rows], path)

@@ -151,10 +151,35 @@ def test_warc_of_other_writers():
     record = lambda kind, block, extra=b"": b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nContent-Length: %d\r\n" % len(block) + extra + b"\r\n" + block + b"\r\n\r\n"
     data = b"".join(gzip.compress(record(k, b)) for k, b in ((b"warcinfo", b"x"), (b"response", b"\r\n\r\n"), (b"response", b"")))
     assert [(k, b) for k, _, b in warc.parsed(warc.unzipped(data))] == [("warcinfo", b"x"), ("response", b"\r\n\r\n"), ("response", b"")]
-    assert list(warc.parsed(b"")) == []
-    for broken in (b"not a record", record(b"response", b"12345")[:-6]):
+    assert list(warc.parsed([])) == list(warc.parsed([b""])) == list(warc.parsed([b"\r\n"])) == []
+    for broken in (b"not a record", record(b"response", b"12345")[:-6], b"WARC/1.0\r\nContent-"):
         with pytest.raises(ValueError):
-            list(warc.parsed(broken))
+            list(warc.parsed([broken]))
+    with pytest.raises(ValueError):
+        list(warc.unzipped(data[: len(data) - 3]))
+
+
+@pytest.mark.parametrize("step", [1, 7, 100, 10**6])
+def test_records_in_pieces(step, monkeypatch):
+    """Records come whole, however the archive's bytes are cut; little more than a record is held at a time."""
+    monkeypatch.setattr(warc, "CHUNK", 64)
+    blocks = [b"x" * 500, b"", b"\r\n\r\nWARC/1.0\r\n", b"y" * 3]
+    data = b"".join(b"WARC/1.0\r\nWARC-Type: t\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(x), x) for x in blocks)
+    assert [x for _, _, x in warc.parsed(data[i : i + step] for i in range(0, len(data), step))] == blocks
+    pieces = list(warc.unzipped(gzip.compress(data) + gzip.compress(data)))
+    assert b"".join(pieces) == data + data and max(map(len, pieces)) <= 64
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 10_000)
+    pages = spark.createDataFrame([(i, "u", f"{i}" * 3000) for i in range(1, 9)], PAGES).coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "w"))
+    assert len(list((tmp_path / "w").glob("part*"))) >= 3 and warc.transactions(spark, str(tmp_path / "w")).count() == 8
+
+
+def test_warc_of_no_pages(spark, tmp_path):
+    spark.createDataFrame([], PAGES).write.parquet(str(tmp_path / "pages.parquet"))
+    assert warc.op7_warc(spark, str(tmp_path)).count() == 0
 
 
 def test_assembly_of_stray_records(spark):

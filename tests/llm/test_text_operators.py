@@ -89,6 +89,34 @@ def test_fingerprints_of_ties(spark):
     assert len({r.fingerprint for r in plain}) == 3 and {r.n_shingles for r in plain} == {0.0, 1.0}
 
 
+def test_ranges_split_an_id():
+    keys, marks = np.array([1, 1, 1, 5, 5]), np.array([-9, 0, 7, -3, 3])
+    at, first = fingerprints.range_of(np.array([0, 1, 1, 1, 1, 3, 5, 5, 6]), np.array([0, -10, -9, -1, 9, 0, -3, 2, 0]), keys, marks)
+    assert at.tolist() == [0, 0, 0, 0, 2, 2, 3, 3, 4] and first.tolist() == [False, False, True, False, False, False, True, False, False]
+
+
+def test_hot_ids_and_long_texts(spark):
+    """A third of all rows without an id, and a third with one: their neighbours follow by hash and text, over many ranges."""
+    rnd = random.Random(9)
+    rows = [(None, random_text(rnd, rnd.randrange(60))) for _ in range(60)] + [(7, random_text(rnd, rnd.randrange(60))) for _ in range(60)] + [(i, random_text(rnd, 900, 10**5)) for i in range(8, 20)] + [(7, "same")] * 5
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        docs = spark.createDataFrame(rows, DOCS).repartition(4)
+        got = sorted(tuple(r) for r in fingerprints.edited_fingerprints(docs).select("n_chars", "edited_sha256", "fingerprint").collect())
+        marks = {r.text: r.m for r in docs.select("text", F.xxhash64("text").alias("m")).distinct().collect()}
+        plan = fingerprints.with_next(docs, "doc_id", "text")._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert "CASE" not in plan and len(plan) < 40_000
+    order = sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0], marks[r[1]], r[1]))
+    want = []
+    for (_, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        cut = len(t) // 4
+        want.append((len(t), hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest(), fingerprints.Sketch.of(t).text()))
+    assert got == sorted(want)
+
+
 def brute_removal(rows, window):
     seen = Counter()
     words = [(t or "").encode().split() for _, t in rows]
