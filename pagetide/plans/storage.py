@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Writes df below the cluster's spark.checkpoint.dir (a temporary folder where that is unset) and reads it again, which cuts its lineage."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/pagetide-shared"
+    """Writes df below the cluster's spark.checkpoint.dir and reads it again, which cuts its lineage. Where that is unset a temporary folder serves, but only in one process, as in tests."""
+    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not df.sparkSession.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/pagetide-shared"
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,36 +2,54 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetide.operators import diff, runs as run_ops
 
 
-def process_batch(batch: DataFrame, all_runs: DataFrame, pages: DataFrame, path: str) -> None:
-    """Appends the events of the batch's completed runs that path doesn't have yet. Doing it again for a batch changes nothing."""
-    spark = batch.sparkSession
-    new = batch.where("status = 'completed'").select("run_id").distinct()
-    pairs = run_ops.predecessors(all_runs).join(new.withColumnRenamed("run_id", "current_run_id"), "current_run_id", "left_semi")
-    events = diff.snapshot_events(diff.matched(pairs, pages))
+def appended(events: DataFrame, path: str, runs: DataFrame, key: tuple[str, ...]) -> None:
+    """Appends the events that path doesn't have yet, of which only those of the same runs are read."""
+    spark = events.sparkSession
     try:
-        stored = spark.read.parquet(path)
-    except Exception as e:  # nothing has been appended yet
-        if "PATH_NOT_FOUND" not in str(e):
+        stored = spark.read.parquet(path).join(runs, "current_run_id", "left_semi")
+    except AnalysisException as e:  # nothing has been appended yet
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         stored = events.limit(0)
-    diff.new_events(events, stored).write.mode("append").parquet(path)
+    diff.new_events(events, stored, key).write.mode("append").parquet(path)
 
 
-def start(run_stream: DataFrame, runs_path: str, pages_path: str, events_path: str, checkpoint: str):
+def process_batch(batch: DataFrame, all_runs: DataFrame, pages: DataFrame, path: str, price_path: str | None = None) -> None:
+    """Appends the snapshot events of the batch's completed runs that path doesn't have yet, and their price events to price_path. Doing it again for a batch changes nothing.
+
+    Only runs of the batch's sites take part, and only pages of the pairs' runs: a table that is laid out by run_id is read
+    in these places alone.
+    """
+    new = batch.where("status = 'completed'").select(F.col("run_id").alias("current_run_id"), "site_id").distinct().cache()
+    try:
+        runs = new.select("current_run_id")
+        own = all_runs.join(new.select("site_id").distinct(), "site_id", "left_semi")
+        pairs = run_ops.predecessors(own).join(runs, "current_run_id", "left_semi")
+        rows = diff.matched(pairs, pages)
+        appended(diff.snapshot_events(rows), path, runs, diff.EVENT_KEY)
+        if price_path:
+            appended(diff.price_events(rows), price_path, runs, diff.PRICE_KEY)
+    finally:
+        new.unpersist()
+
+
+def start(run_stream: DataFrame, runs_path: str, pages_path: str, events_path: str, checkpoint: str, prices_path: str | None = None, every: str | None = None):
     """run_stream: landed run records. A batch is compared with the tables as they are when it starts; a run that lands late makes
-    events of its neighbours' old pair stale, which diff.broken_sequence() finds."""
+    events of its neighbours' old pair stale, which diff.broken_sequence() finds. every: a processing-time interval; without one, what has landed is processed once."""
 
     def each(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        process_batch(batch, spark.read.parquet(runs_path), spark.read.parquet(pages_path), events_path)
+        process_batch(batch, spark.read.parquet(runs_path), spark.read.parquet(pages_path), events_path, prices_path)
 
-    return run_stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = run_stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def outcome_counts(records: DataFrame, late: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
