@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from pagetide.functions import ratio
 from pagetide.functions.decimals import decoded
 from pagetide.functions.text import distance
-from pagetide.schemas import EVENT_COLUMNS
+from pagetide.schemas import EVENT_COLUMNS, EVENT_TYPES
 
 COMPARED = ["page_id", "title", "description", "h1", "normalized_text", "internal_links", "prices"]
 #: What each metadata change weighs, in the order of the events.
@@ -34,21 +36,39 @@ def versions(records: DataFrame, prices: DataFrame) -> DataFrame:
 def matched(pairs: DataFrame, pages: DataFrame, compared: list[str] | None = None) -> DataFrame:
     """current_run_id, previous_run_id, current_completed_at, url, cur, prev: the pages of both runs of each pair by url.
 
-    pairs: as predecessors() gives them; baselines take no part. A run is the current one of its own pair and the previous
-    one of the next, so each page is read once and dealt out in both roles, and the two versions of a url meet in one sort.
-    A pair whose current run has no pages still has its previous ones. A url that a run has twice is an error.
+    pairs: as predecessors() gives them, all or some; baselines take no part. The versions of a url of a site lie in the
+    order of their runs, so that a page's other version is its neighbour if it is anywhere: each page is read, dealt out and
+    sorted once, for the pair it is new in and the one it is old in. A pair whose current run has no pages still has its
+    previous ones. A url that a run has twice is an error.
     """
     columns = [c for c in (compared or COMPARED) if c in pages.columns]
     known = pairs.where(F.col("previous_run_id").isNotNull())
-    role = lambda name, is_current: F.struct(F.col(name).alias("run_id"), F.lit(is_current).alias("is_current"))
-    roles = known.select("current_run_id", "previous_run_id", "current_completed_at", F.explode(F.array(role("current_run_id", True), role("previous_run_id", False))).alias("r"))
-    dealt = roles.select("current_run_id", "previous_run_id", "current_completed_at", "r.run_id", "r.is_current").join(pages.select("run_id", "url", F.struct(*columns).alias("version")), "run_id")
-    order = W.partitionBy("current_run_id", "url").orderBy("is_current")
-    rows = dealt.withColumns({"before": F.lag("version").over(order), "role": F.lag("is_current").over(order), "last": F.lead("is_current").over(order).isNull()})
+    at = F.struct("current_completed_at", "current_run_id")
+    new = known.select(F.col("current_run_id").alias("run_id"), "site_id", "previous_run_id", at.alias("new_at"))
+    old = known.select(F.col("previous_run_id").alias("run_id"), F.col("site_id").alias("old_site"), at.alias("next_at"))
+    # A run that is only the previous one of a pair lies right before that pair's current run.
+    place = F.struct(F.coalesce("new_at", "next_at").alias("at"), F.col("new_at").isNotNull().alias("current"))
+    roles = new.join(old, "run_id", "full_outer").select("run_id", F.coalesce("site_id", "old_site").alias("site_id"), "previous_run_id", "new_at", "next_at", place.alias("place"))
+    dealt = roles.join(pages.select("run_id", "url", F.struct(*columns).alias("version")), "run_id")
+    order = W.partitionBy("site_id", "url").orderBy("place")
+    before, after = F.lag("run_id").over(order), F.lead("run_id").over(order)
+    rows = dealt.withColumns({"before": before, "after": after, "earlier": F.lag("version").over(order)})
     twice = F.raise_error(F.concat(F.lit("a run has a url twice: "), "url")).cast("boolean")
-    rows = rows.where(F.when(F.col("role") == F.col("is_current"), twice).otherwise(F.col("last")))
-    current = F.col("is_current")
-    return rows.select("current_run_id", "previous_run_id", "current_completed_at", "url", F.when(current, F.col("version")).alias("cur"), F.when(current, F.col("before")).otherwise(F.col("version")).alias("prev"))
+    none = F.lit(None)
+    kind = rows.schema["version"].dataType
+    entry = lambda pair, previous, cur, prev: F.struct(pair["current_run_id"].alias("current_run_id"), previous.alias("previous_run_id"), pair["current_completed_at"].alias("current_completed_at"), "url", cur.cast(kind).alias("cur"), prev.cast(kind).alias("prev"))
+    present = F.when(F.col("new_at").isNotNull(), entry(F.col("new_at"), F.col("previous_run_id"), F.col("version"), F.when(F.col("before") == F.col("previous_run_id"), F.col("earlier"))))
+    gone = F.when(F.col("next_at").isNotNull() & ~F.col("after").eqNullSafe(F.col("next_at.current_run_id")), entry(F.col("next_at"), F.col("run_id"), none, F.col("version")))
+    checked = rows.where(F.when(F.col("before") == F.col("run_id"), twice).otherwise(F.lit(True)))
+    return checked.select(F.explode(F.array_compact(F.array(present, gone))).alias("m")).select("m.*")
+
+
+def one_sided(pairs: DataFrame, pages: DataFrame, added: bool) -> DataFrame:
+    """current_run_id, previous_run_id, url, page_id of pages that only the current run of a pair has, or only the previous one; nothing else of a page is read."""
+    known = pairs.where(F.col("previous_run_id").isNotNull()).select("current_run_id", "previous_run_id")
+    near, far = ("current_run_id", "previous_run_id") if added else ("previous_run_id", "current_run_id")
+    own = known.join(pages.select(F.col("run_id").alias(near), "url", "page_id"), near)
+    return own.join(pages.select(F.col("run_id").alias(far), "url"), [far, "url"], "left_anti").select("current_run_id", "previous_run_id", "url", "page_id")
 
 
 def text_change(cur: Column, prev: Column) -> Column:
@@ -59,12 +79,21 @@ def text_change(cur: Column, prev: Column) -> Column:
     return F.when(change > 0, F.struct(change.alias("distance"), r["num"].alias("num"), r["den"].alias("den")))
 
 
+def once(value: Column, then) -> Column:
+    """then(value), with value computed a single time however often then uses it: expressions within a condition aren't shared otherwise."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def link_change(cur: Column, prev: Column) -> Column:
-    """struct(added, removed, num, den), or null if the sets are the same."""
-    added, removed = F.array_sort(F.array_except(cur, prev)), F.array_sort(F.array_except(prev, cur))
-    moved, union = F.size(added) + F.size(removed), F.size(F.array_union(cur, prev))
-    r = ratio.reduced(moved, union)
-    return F.when(moved > 0, F.struct(added.alias("added"), removed.alias("removed"), r["num"].alias("num"), r["den"].alias("den")))
+    """struct(added, removed, num, den), or null if the sets are the same. Three passes over the links; only those that changed are sorted."""
+    parts = F.struct(F.array_except(cur, prev).alias("added"), F.array_except(prev, cur).alias("removed"), F.size(F.array_union(cur, prev)).alias("union"))
+
+    def told(p):
+        moved = F.size(p["added"]) + F.size(p["removed"])
+        whole = once(ratio.reduced(moved, p["union"]), lambda r: F.struct(F.array_sort(p["added"]).alias("added"), F.array_sort(p["removed"]).alias("removed"), r["num"].alias("num"), r["den"].alias("den")))
+        return F.when(moved > 0, whole)
+
+    return once(parts, told)
 
 
 def price_profile(prices: Column) -> Column:
@@ -80,11 +109,13 @@ def price_profile(prices: Column) -> Column:
     return F.when(sound & (F.size(prices) == 1) & (F.get(prices, F.lit(0))["kind"] == "price"), single).when(sound & two, pair)
 
 
-def all_events(pages: DataFrame) -> DataFrame:
+def all_events(pages: DataFrame, kinds: Iterable[str] | None = None, sides: bool = False) -> DataFrame:
     """Snapshot and price events of matched() pages in one pass, a list of events to a page.
 
-    The columns of EVENT_COLUMNS, price_profile and price_currency. A field that pages don't carry isn't compared.
+    The columns of EVENT_COLUMNS, price_profile and price_currency; with sides, also cur and prev. A field that pages don't
+    carry isn't compared, and nothing is computed for events that aren't among kinds.
     """
+    asked = set(EVENT_TYPES if kinds is None else kinds)
     cur, prev = F.col("cur"), F.col("prev")
     fields = [f.name for f in pages.schema["cur"].dataType.fields]
     none, long, word = F.lit(None).cast("int"), F.lit(None).cast("long"), F.lit(None).cast("string")
@@ -95,24 +126,25 @@ def all_events(pages: DataFrame) -> DataFrame:
 
     both = cur.isNotNull() & prev.isNotNull()
     events = [event("page_added", F.lit(2), prev.isNull()), event("page_removed", F.lit(3), cur.isNull())]
-    events += [event(f"{f}_changed", F.lit(w), both & ~cur[f].eqNullSafe(prev[f])) for f, w in METADATA_WEIGHTS.items() if f in fields]
+    events = [e for e, kind in zip(events, ("page_added", "page_removed"), strict=True) if kind in asked]
+    events += [event(f"{f}_changed", F.lit(w), both & ~cur[f].eqNullSafe(prev[f])) for f, w in METADATA_WEIGHTS.items() if f in fields and f"{f}_changed" in asked]
     rows = pages
-    if "normalized_text" in fields:
+    if "normalized_text" in fields and "text_changed" in asked:
         rows = rows.withColumn("__text", F.when(both, text_change(cur["normalized_text"], prev["normalized_text"])))
         t = F.col("__text")
         events.append(event("text_changed", F.when(t.isNotNull(), ratio.weight(t["num"], t["den"])), t.isNotNull(), t["distance"], t["num"], t["den"]))
-    if "internal_links" in fields:
+    if "internal_links" in fields and "internal_links_changed" in asked:
         rows = rows.withColumn("__links", F.when(both, link_change(cur["internal_links"], prev["internal_links"])))
         k = F.col("__links")
         events.append(event("internal_links_changed", F.when(k.isNotNull(), ratio.weight(k["num"], k["den"])), k.isNotNull(), none, k["num"], k["den"]))
-    if "prices" in fields:
+    if "prices" in fields and "price_changed" in asked:
         c, p = F.when(both, price_profile(cur["prices"])), F.when(both, price_profile(prev["prices"]))
         rows = rows.withColumns({"__new": c, "__old": p})
         c, p = F.col("__new"), F.col("__old")
         events.append(event("price_changed", none, price_moved(c, p), profile=c["profile"], currency=c["currency"]))
     listed = rows.select("*", F.explode(F.array_compact(F.array(*events))).alias("e"))
-    flat = listed.select("current_run_id", "previous_run_id", "url", cur["page_id"].alias("current_page_id"), prev["page_id"].alias("previous_page_id"), "current_completed_at", ratio.importance(F.col("e.weight")).alias("importance"), "e.*")
-    return flat.select(*EVENT_COLUMNS, "price_profile", "price_currency")
+    flat = listed.select("current_run_id", "previous_run_id", "url", cur["page_id"].alias("current_page_id"), prev["page_id"].alias("previous_page_id"), "current_completed_at", ratio.importance(F.col("e.weight")).alias("importance"), "e.*", *(["cur", "prev"] if sides else []))
+    return flat.select(*EVENT_COLUMNS, "price_profile", "price_currency", *(["cur", "prev"] if sides else []))
 
 
 def price_moved(c: Column, p: Column) -> Column:
@@ -140,7 +172,11 @@ def page_importance(events: DataFrame) -> DataFrame:
     return top.withColumn("importance", ratio.importance(F.col("weight")))
 
 
-def new_events(events: DataFrame, stored: DataFrame, key: tuple[str, ...] = ("current_run_id", "previous_run_id", "event_type", "url")) -> DataFrame:
+EVENT_KEY = ("current_run_id", "previous_run_id", "event_type", "url")
+PRICE_KEY = ("current_run_id", "previous_run_id", "url")
+
+
+def new_events(events: DataFrame, stored: DataFrame, key: tuple[str, ...] = EVENT_KEY) -> DataFrame:
     """Events that aren't stored yet: appending them twice changes nothing."""
     return events.join(stored.select(*key), list(key), "left_anti")
 

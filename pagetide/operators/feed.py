@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetide.functions.calendar import midnight_utc, utc_iso
-from pagetide.operators.diff import price_profile
+from pagetide.operators.diff import all_events, matched, price_profile
 from pagetide.schemas import EVENT_TYPES
 
 COLUMNS = [
@@ -57,9 +58,29 @@ def feed(events: DataFrame, runs: DataFrame, sites: DataFrame, views: DataFrame
     run = runs.select(F.col("run_id").alias("current_run_id"), "site_id")
     site = sites.select("site_id", F.col("name").alias("site_name"), F.col("url").alias("site_url"), "site_type")
     named = both.join(run, "current_run_id").join(site, "site_id")
+    columns = [*COLUMNS, *(c for c in ("cur", "prev") if c in events.columns)]
     if views is None:
-        return named.withColumn("viewed_at", F.lit(None).cast("timestamp")).select(*COLUMNS)
-    return named.join(views.select("source", "event_id", "viewed_at"), ["source", "event_id"], "left").select(*COLUMNS)
+        return named.withColumn("viewed_at", F.lit(None).cast("timestamp")).select(*columns)
+    return named.join(views.select("source", "event_id", "viewed_at"), ["source", "event_id"], "left").select(*columns)
+
+
+def asked_pairs(pairs: DataFrame, sites: DataFrame, site_id: int | None = None, site_type: str | None = None, from_time: datetime | None = None, before_time: datetime | None = None) -> DataFrame:
+    """The pairs of runs whose events such conditions of filtered() can let through: they are known before a page is read."""
+    at = F.col("current_completed_at")
+    if site_id is not None:
+        pairs = pairs.where(F.col("site_id") == site_id)
+    if from_time is not None:
+        pairs = pairs.where(at >= F.lit(from_time))
+    if before_time is not None:
+        pairs = pairs.where(at < F.lit(before_time))
+    return pairs if site_type is None else pairs.join(sites.where(F.col("site_type") == site_type).select("site_id"), "site_id", "left_semi")
+
+
+def changes(pairs: DataFrame, pages: DataFrame, runs: DataFrame, sites: DataFrame, with_ids: Callable[[DataFrame], DataFrame], views: DataFrame | None = None, sides: bool = False, **conditions) -> DataFrame:
+    """filtered(feed()) straight from the pages: only pairs that the conditions let through are compared, and only for the events that are asked for. with_ids adds event_id."""
+    early = {k: v for k, v in conditions.items() if k in ("site_id", "site_type", "from_time", "before_time")}
+    rows = matched(asked_pairs(pairs, sites, **early), pages)
+    return filtered(feed(with_ids(all_events(rows, conditions.get("event_types"), sides)), runs, sites, views), **conditions)
 
 
 def filtered(
@@ -148,23 +169,34 @@ def side(event_type: Column, url: Column, version: Column) -> Column:
     return F.struct(state.alias("state"), text.alias("text"), links.alias("links"), price["currency"].alias("currency"), amount_text(price["low"]).alias("low"), amount_text(price["high"]).alias("high"))
 
 
-def with_sides(events: DataFrame, pages: DataFrame) -> DataFrame:
-    """events with current and previous sides, from the page versions that they name; each is read once."""
+def with_sides(events: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """events with current and previous sides, from the page versions that they carry (cur and prev), or else name; each is read once."""
+    kind, url = F.col("event_type"), F.col("url")
+    if "cur" in events.columns and "prev" in events.columns:
+        return events.withColumns({"current": side(kind, url, F.col("cur")), "previous": side(kind, url, F.col("prev"))}).drop("cur", "prev")
     version = F.struct("title", "description", "h1", "normalized_text", "internal_links", "prices")
     at = lambda key, name: pages.select(F.col("page_id").alias(key), version.alias(name))
     joined = events.join(at("current_page_id", "c"), "current_page_id", "left").join(at("previous_page_id", "p"), "previous_page_id", "left")
-    kind, url = F.col("event_type"), F.col("url")
     return joined.withColumns({"current": side(kind, url, F.col("c")), "previous": side(kind, url, F.col("p"))}).drop("c", "p")
 
 
-def inconsistent(events: DataFrame, pages: DataFrame) -> DataFrame:
-    """Events that the page versions they name contradict: a side that must be there or not, another url, or equal values."""
-    own = with_sides(events, pages)
-    c, p = F.col("current"), F.col("previous")
-    one = F.col("event_type").isin("page_added", "page_removed")
-    sides = F.when(F.col("event_type") == "page_added", (c["state"] != "absent_side") & (p["state"] == "absent_side")).when(F.col("event_type") == "page_removed", (c["state"] == "absent_side") & (p["state"] != "absent_side")).otherwise((c["state"] != "absent_side") & (p["state"] != "absent_side"))
-    same = ~one & (F.col("event_type") != "price_changed") & c.eqNullSafe(p)
-    return own.where(~sides | same)
+def faulty() -> Column:
+    """Whether an event's sides contradict it: a side that must be there or not, or equal values."""
+    kind, here, before = F.col("event_type"), F.col("current.state") != "absent_side", F.col("previous.state") != "absent_side"
+    sides = F.when(kind == "page_added", here & ~before).when(kind == "page_removed", ~here & before).otherwise(here & before)
+    same = ~kind.isin("page_added", "page_removed", "price_changed") & F.col("current").eqNullSafe(F.col("previous"))
+    return ~sides | same
+
+
+def inconsistent(events: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Events that the page versions they name contradict."""
+    return with_sides(events, pages).where(faulty())
+
+
+def verified(events: DataFrame) -> DataFrame:
+    """with_sides() events, or an error at the first that is faulty: an export that meets one fails as a whole, as Spark commits none of its files."""
+    wrong = F.raise_error(F.concat(F.lit("an event contradicts its pages: "), F.col("event_type"), F.lit(" "), F.col("url"))).cast("boolean")
+    return events.where(F.when(faulty(), wrong).otherwise(F.lit(True)))
 
 
 def set_viewed(views: DataFrame, source: str, event_id: int, at: Column) -> DataFrame:
@@ -221,15 +253,24 @@ def json_rows(events: DataFrame) -> DataFrame:
 
 
 def write_csv(events: DataFrame, path: str, zone: str = "UTC") -> None:
-    """A folder of parts; each has the header, quotes where needed and CRLF line ends."""
-    csv_rows(events, zone).write.option("header", True).option("lineSep", "\r\n").option("escape", '"').csv(path)
+    """A folder of parts; each is a whole CSV file with a byte order mark, the header, quotes where needed and CRLF line ends. Events are verified()."""
+    rows = csv_rows(verified(events), zone)
+    marked = rows.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0])
+    marked.write.option("header", True).option("lineSep", "\r\n").option("escape", '"').csv(path)
 
 
 def write_json(events: DataFrame, path: str) -> None:
-    json_rows(events).write.text(path)
+    """A folder of parts, an event's JSON object to a line. Events are verified()."""
+    json_rows(verified(events)).write.text(path)
+
+
+#: Events of an export that may be put together to one document on the driver.
+DOCUMENT_EVENTS = 100_000
 
 
-def json_document(path: str, spark) -> str:
-    """The parts of write_json() as one document, a part at a time."""
-    rows = (r["value"] for r in spark.read.text(path).toLocalIterator())
+def json_document(path: str, spark, most: int = DOCUMENT_EVENTS) -> str:
+    """The parts of write_json() as one document. More than so many events are an error: they stay in parts."""
+    rows = [r["value"] for r in spark.read.text(path).limit(most + 1).collect()]
+    if len(rows) > most:
+        raise ValueError(f"over {most} events: take the parts")
     return '{"schema_version":1,"events":[' + ",".join(rows) + "]}\n"

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from pagetide.functions.decimals import canonical_position
-from pagetide.functions.urls import host_of, normalize_url
+from pagetide.functions.urls import bare_host, host_of, normalize_url, normalized
 
 MAX_URL = 2_048
 SHOWN_ERRORS = 100
@@ -36,14 +38,13 @@ def validated(rows: DataFrame, site_url: str) -> DataFrame:
     whole = lambda c: F.when(c.rlike("^[0-9]+$"), c.try_cast("long"))
     trimmed = rows.withColumns({c: F.trim(F.coalesce(F.col(c), F.lit(""))) for c in ("page", "clicks", "impressions", "position")})
     typed = trimmed.withColumns({"normalized_url": normalize_url(F.col("page")), "clicks_n": whole(F.col("clicks")), "impressions_n": whole(F.col("impressions")), "position_text": canonical_position(F.col("position"))})
-    own = typed.sparkSession.range(1).select(origin_of(normalize_url(F.lit(site_url))).alias("origin"))
-    sited = typed.join(F.broadcast(own))  # one row
+    own = re.match(r"https?://[^/?#]*", normalized(site_url) or "")
     url = F.col("normalized_url")
     long_url = (F.length("page") > MAX_URL) | url.isNull()
-    foreign = origin_of(url) != F.col("origin")
+    foreign = origin_of(url) != F.lit(own[0] if own else "")
     sound = (F.col("page") != "") & ~long_url & (F.length(url) <= MAX_URL) & ~foreign
     first = F.min(F.when(sound, F.col("line"))).over(W.partitionBy(F.when(sound, url).otherwise(F.concat(F.lit("\x00"), F.col("line").cast("string")))))
-    numbered = sited.withColumn("first_line", F.when(sound, first))
+    numbered = typed.withColumn("first_line", F.when(sound, first))
     missing = lambda c: F.col(c) == ""
     errors = F.array_compact(
         F.array(
@@ -57,7 +58,7 @@ def validated(rows: DataFrame, site_url: str) -> DataFrame:
             F.when(~missing("page") & long_url, "bad url").when(~missing("page") & (F.length(url) > MAX_URL), "long url").when(~missing("page") & foreign, "other origin").when(F.col("first_line") < F.col("line"), F.concat(F.lit("same url as line "), F.col("first_line").cast("string"))),
         )
     )
-    return numbered.withColumn("errors", errors).drop("origin")
+    return numbered.withColumn("errors", errors)
 
 
 def error_report(checked: DataFrame, shown: int = SHOWN_ERRORS) -> DataFrame:
@@ -114,12 +115,12 @@ def provider_rows(rows: DataFrame, site_url: str) -> DataFrame:
     """metric_date, normalized_url, clicks, impressions, position_text of a service's rows (text values); rows that don't hold are errors."""
     fail = lambda ok, value, message, kind: F.when(ok, value).otherwise(F.raise_error(F.lit(message)).cast(kind))
     url = normalize_url(F.col("url"))
-    own = rows.sparkSession.range(1).select(host_of(normalize_url(F.lit(site_url))).alias("own_host"))
-    typed = rows.withColumns({"normalized_url": url, "host": host_of(url)}).join(F.broadcast(own))
+    own = F.lit(bare_host(normalized(site_url) or ""))
+    typed = rows.withColumns({"normalized_url": url, "host": host_of(url)})
     whole = lambda c: F.when(F.col(c).isNull(), F.lit(None).cast("long")).otherwise(fail(F.coalesce(F.col(c).rlike(r"^[0-9]+(\.0*)?$"), F.lit(False)), F.col(c).try_cast("decimal(38,10)").cast("long"), "a count isn't a whole number", "long"))
     out = typed.select(
         fail(F.col("metric_date").isNotNull(), F.col("metric_date"), "a date is missing", "date").alias("metric_date"),
-        fail((F.length("url") <= MAX_URL) & (F.col("host") == F.col("own_host")), F.col("normalized_url"), "an address belongs to another host", "string").alias("normalized_url"),
+        fail((F.length("url") <= MAX_URL) & (F.col("host") == own), F.col("normalized_url"), "an address belongs to another host", "string").alias("normalized_url"),
         whole("clicks").alias("clicks"),
         whole("impressions").alias("impressions"),
         zero_position(F.col("position")).alias("position_text"),

@@ -7,11 +7,12 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetide.functions import calendar
+from pagetide.functions import calendar, ratio
 from pagetide.functions.text import distance, normalize_main_text
 from pagetide.operators import diff, feed, graph, metrics, schedule
 from pagetide.operators import runs as run_ops
 from pagetide.plans import bindings as b
+from pagetide.schemas import SNAPSHOT_EVENTS
 from pagetide.sources.pages import extract_pages
 
 QUERIES: dict = {}
@@ -38,10 +39,11 @@ def events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return diff.snapshot_events(matched(spark, sf_dir, ["page_id", *columns] if columns else None))
 
 
-def whole_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def whole_feed(spark: SparkSession, sf_dir: str, sides: bool = False, **conditions) -> DataFrame:
     """Every third event has been viewed a day after it was found."""
-    unseen = feed.feed(b.event_ids(diff.all_events(matched(spark, sf_dir))), b.runs(spark, sf_dir), b.sites(spark, sf_dir))
-    return unseen.withColumn("viewed_at", F.when(F.col("event_id") % 3 == 0, F.col("current_completed_at") + F.expr("INTERVAL 1 DAY")))
+    runs, viewed = b.runs(spark, sf_dir), conditions.pop("viewed", None)
+    rows = feed.changes(run_ops.predecessors(runs), b.pages(spark, sf_dir), runs, b.sites(spark, sf_dir), b.event_ids, sides=sides, **conditions)
+    return feed.filtered(rows.withColumn("viewed_at", F.when(F.col("event_id") % 3 == 0, F.col("current_completed_at") + F.expr("INTERVAL 1 DAY"))), viewed=viewed)
 
 
 def where_type(kind: str) -> str:
@@ -52,6 +54,14 @@ def of_type(rows: DataFrame, kind: str) -> DataFrame:
     return rows.where(F.col("event_type") == kind).drop("event_type", "current_completed_at")
 
 
+def whole_pages(rows: DataFrame, kind: str) -> DataFrame:
+    weight, none = (2, F.lit(None)) if kind == "page_added" else (3, F.lit(None))
+    ids = {"current_page_id": F.col("page_id"), "previous_page_id": none.cast("long")}
+    if kind == "page_removed":
+        ids = {"current_page_id": none.cast("long"), "previous_page_id": F.col("page_id")}
+    return rows.select("current_run_id", "previous_run_id", "url", *(c.alias(n) for n, c in ids.items()), ratio.importance(F.lit(weight)).alias("importance"), F.lit(weight).alias("weight"), none.cast("int").alias("text_distance"), none.cast("long").alias("ratio_numerator"), none.cast("long").alias("ratio_denominator"))
+
+
 @query(f"WITH {b.RUNS}, {b.PAIRS} SELECT * FROM pairs")
 def runs_predecessor(spark, sf_dir):
     return run_ops.predecessors(b.runs(spark, sf_dir))
@@ -85,12 +95,12 @@ def site_page_counts(spark, sf_dir):
 
 @query(where_type("page_added"))
 def pages_added(spark, sf_dir):
-    return of_type(events(spark, sf_dir, "title"), "page_added")
+    return whole_pages(diff.one_sided(run_ops.predecessors(b.runs(spark, sf_dir)), b.pages(spark, sf_dir), True), "page_added")
 
 
 @query(where_type("page_removed"))
 def pages_removed(spark, sf_dir):
-    return of_type(events(spark, sf_dir, "title"), "page_removed")
+    return whole_pages(diff.one_sided(run_ops.predecessors(b.runs(spark, sf_dir)), b.pages(spark, sf_dir), False), "page_removed")
 
 
 @query(f"{b.DIFF} SELECT current_run_id, previous_run_id, url, cp AS current_page_id, pp AS previous_page_id FROM twins")
@@ -107,8 +117,6 @@ def metadata_changes(spark, sf_dir):
 @query(f"""{b.DIFF}, {b.EVENTS} SELECT current_run_id, url, array_to_string(list_sort(list_filter(cl, lambda x: NOT list_contains(pl, x))), ' ') AS added, array_to_string(list_sort(list_filter(pl, lambda x: NOT list_contains(cl, x))), ' ') AS removed,
 CAST(n // gcd(n, d) AS BIGINT) AS ratio_numerator, CAST(d // gcd(n, d) AS BIGINT) AS ratio_denominator, {b.WEIGH.format(n="n", d="d")} AS weight FROM linkd WHERE n > 0""")
 def link_set_changes(spark, sf_dir):
-    from pagetide.functions import ratio
-
     rows = matched(spark, sf_dir, ["internal_links"]).where("cur IS NOT NULL AND prev IS NOT NULL")
     c = rows.select("current_run_id", "url", diff.link_change(F.col("cur.internal_links"), F.col("prev.internal_links")).alias("c")).where("c IS NOT NULL")
     return c.select("current_run_id", "url", F.array_join("c.added", " ").alias("added"), F.array_join("c.removed", " ").alias("removed"), F.col("c.num").alias("ratio_numerator"), F.col("c.den").alias("ratio_denominator"), ratio.weight(F.col("c.num"), F.col("c.den")).alias("weight"))
@@ -161,7 +169,7 @@ FILTER = "site_type = 'owned' AND event_type IN ('text_changed', 'internal_links
 
 def narrowed(spark, sf_dir):
     years = datetime(1995, 1, 1, tzinfo=UTC), datetime(1997, 1, 1, tzinfo=UTC)
-    return feed.filtered(whole_feed(spark, sf_dir), None, "owned", ["text_changed", "internal_links_changed", "price_changed"], ["medium", "high"], *years, viewed=False)
+    return whole_feed(spark, sf_dir, site_type="owned", event_types=["text_changed", "internal_links_changed", "price_changed"], importance=["medium", "high"], from_time=years[0], before_time=years[1], viewed=False)
 
 
 @query(f"{b.FEED} SELECT event_id, source, event_type, url, current_completed_at, importance FROM seen WHERE {FILTER}")
@@ -193,7 +201,7 @@ SIDES = "FROM {t} e LEFT JOIN pages c ON c.page_id = e.current_page_id LEFT JOIN
 @query(f"""{b.DIFF}, {b.EVENTS} SELECT e.current_run_id, event_type, e.url, {SIDE.format(id="current_page_id", v="c")} AS current_state, {SIDE_TEXT.format(id="current_page_id", v="c")} AS current_text,
 {SIDE.format(id="previous_page_id", v="p")} AS previous_state, {SIDE_TEXT.format(id="previous_page_id", v="p")} AS previous_text {SIDES.format(t="events")}""")
 def side_states(spark, sf_dir):
-    rows = feed.with_sides(events(spark, sf_dir), b.pages(spark, sf_dir))
+    rows = feed.with_sides(diff.all_events(matched(spark, sf_dir), SNAPSHOT_EVENTS, sides=True))
     return rows.select("current_run_id", "event_type", "url", F.col("current.state").alias("current_state"), F.col("current.text").alias("current_text"), F.col("previous.state").alias("previous_state"), F.col("previous.text").alias("previous_text"))
 
 
@@ -206,7 +214,7 @@ CASE WHEN source = 'price' THEN 'price' ELSE {SIDE.format(id="previous_page_id",
 SELECT CAST(site_id AS VARCHAR) AS site_id, site_name, site_url, source, CAST(event_id AS VARCHAR) AS event_id, map_extract_value(MAP {feed.TITLES}, event_type) AS event_type, strftime(current_completed_at, '%Y-%m-%dT%H:%M:%S') AS detected_at, url, coalesce(map_extract_value(MAP {feed.IMPORTANCE_TITLES}, importance), '{feed.NOT_RATED}') AS importance,
 coalesce(CAST(weight AS VARCHAR), '') AS weight, map_extract_value(MAP {feed.EXPLANATIONS}, event_type) AS explanation, CASE WHEN viewed_at IS NULL THEN '{feed.NOT_VIEWED}' ELSE '{feed.VIEWED}' END AS view_status, coalesce(strftime(viewed_at, '%Y-%m-%dT%H:%M:%S'), '') AS viewed_at, {cell("cs", "ctx", "cl", "cpr")} AS current, {cell("ps", "ptx", "pl", "ppr")} AS previous FROM x""")
 def export_csv_rows(spark, sf_dir):
-    return feed.csv_rows(feed.with_sides(whole_feed(spark, sf_dir), b.pages(spark, sf_dir)))
+    return feed.csv_rows(feed.verified(feed.with_sides(whole_feed(spark, sf_dir, sides=True))))
 
 
 def json_side(state: str, text: str, links: str, price: str) -> str:
@@ -220,7 +228,7 @@ CASE WHEN source = 'price' THEN 'price' ELSE {SIDE.format(id="previous_page_id",
 SELECT CAST(to_json({{'site_id': site_id, 'site_name': site_name, 'site_url': site_url, 'source': source, 'event_id': event_id, 'event_type': event_type, 'detected_at': strftime(current_completed_at, '%Y-%m-%dT%H:%M:%SZ'), 'url': url, 'importance': importance, 'importance_weight': weight,
 'explanation': map_extract_value(MAP {feed.EXPLANATIONS}, event_type), 'viewed': viewed_at IS NOT NULL, 'viewed_at': strftime(viewed_at, '%Y-%m-%dT%H:%M:%SZ'), 'current': {json_side("cs", "ctx", "cl", "cpr")}, 'previous': {json_side("ps", "ptx", "pl", "ppr")}}}) AS VARCHAR) AS value FROM x""")
 def export_json_rows(spark, sf_dir):
-    return feed.json_rows(feed.with_sides(whole_feed(spark, sf_dir), b.pages(spark, sf_dir)))
+    return feed.json_rows(feed.verified(feed.with_sides(whole_feed(spark, sf_dir, sides=True))))
 
 
 @query(f"WITH {b.METRICS} SELECT site_id, metric_date, impressions, clicks, clicks / impressions AS ctr FROM metrics", ("metric_date",))

@@ -92,4 +92,9 @@ def test_price_sides_and_exports(spark, tmp_path):
     assert document["schema_version"] == 1 and e["current"]["state"] == "price" and e["previous"] == {"state": "price_range", "text": None, "links": None, "currency": "EUR", "low": "1", "high": "20"} and e["detected_at"] == "2026-01-01T00:00:00Z"
     feed.write_csv(full, str(tmp_path / "c"))
     part = next((tmp_path / "c").glob("part-*.csv")).read_bytes()
-    assert part.count(b"\r\n") == 2 and part.startswith(b"site_id,")
+    assert part.count(b"\r\n") == 2 and part.startswith(b"\xef\xbb\xbfsite_id,")
+    with pytest.raises(ValueError, match="over 0"):
+        feed.json_document(str(tmp_path / "j"), spark, most=0)
+    for broken in (full.withColumn("event_type", F.lit("page_added")), full.withColumn("event_type", F.lit("h1_changed"))):
+        with pytest.raises(Exception, match="contradicts"):
+            feed.write_csv(broken, str(tmp_path / "never"))

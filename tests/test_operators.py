@@ -295,7 +295,70 @@ def test_stream(spark, tmp_path):
     snap.write.parquet(pages_path)
     all_runs.write.parquet(landed)
     for k in range(2):  # the second stream sees the same runs again
-        q = diff_stream.start(spark.readStream.schema(all_runs.schema).parquet(landed), runs_path, pages_path, events, str(tmp_path / f"c{k}"))
+        q = diff_stream.start(spark.readStream.schema(all_runs.schema).parquet(landed), runs_path, pages_path, events, str(tmp_path / f"c{k}"), str(tmp_path / "prices"))
         q.awaitTermination(60)
         assert q.exception() is None
-    assert kinds(spark.read.parquet(events)) == ["page_added", "page_removed"]
+    assert kinds(spark.read.parquet(events)) == ["page_added", "page_removed"] and spark.read.parquet(str(tmp_path / "prices")).isEmpty()
+
+
+def test_stream_appends_prices_once(spark, tmp_path):
+    from pagetide.streaming import diff_stream
+
+    snap = pages(spark, page(1, 1), page(2, 2, prices=({**PRICE, "amount": "12"},)), page(3, 3, text="other", prices=({**PRICE, "amount": "12"},)))
+    runs_ = spark.createDataFrame([(1, 9, datetime(2026, 1, 1), "completed"), (2, 9, datetime(2026, 1, 2), "completed"), (3, 9, datetime(2026, 1, 3), "completed"), (4, 8, datetime(2026, 1, 3), "completed")], "run_id long, site_id long, completed_at timestamp, status string")
+    for batch in ("run_id = 2", "run_id IN (2, 4)", "run_id = 3"):
+        diff_stream.process_batch(runs_.where(batch), runs_, snap, str(tmp_path / "e"), str(tmp_path / "p"))
+    assert [(r.current_run_id, str(r.current_low)[:2]) for r in spark.read.parquet(str(tmp_path / "p")).collect()] == [(2, "12")]
+    assert kinds(spark.read.parquet(str(tmp_path / "e"))) == ["text_changed"]
+
+
+def chain(rnd, n):
+    """Runs of a few sites with some pages each, several of them at the same moment."""
+    runs_ = [(i, i % 3, datetime(2026, 1, 1 + rnd.randrange(6)), rnd.choice(["completed"] * 4 + ["partial"])) for i in range(n)]
+    return runs_, [page(100 * i + k, i, f"/{k}", text=rnd.choice("ab")) for i in range(n) for k in rnd.sample(range(6), rnd.randrange(5))]
+
+
+def test_matched_against_joins(spark):
+    """All pairs, and any choice of them, against a plain join of both sides."""
+    import random
+
+    rnd = random.Random(3)
+    runs_, rows = chain(rnd, 40)
+    pairs = runs.predecessors(spark.createDataFrame(runs_, "run_id long, site_id long, completed_at timestamp, status string")).cache()
+    snap = pages(spark, *rows).cache()
+    by = {}
+    for r in rows:
+        by.setdefault(r[1], {})[r[2]] = r[0]
+    for chosen in (pairs, pairs.where("current_run_id % 2 = 0"), pairs.where("current_run_id % 5 = 1"), pairs.limit(0)):
+        want = set()
+        for p in chosen.where("previous_run_id IS NOT NULL").collect():
+            now, then = by.get(p.current_run_id, {}), by.get(p.previous_run_id, {})
+            want |= {(p.current_run_id, p.previous_run_id, p.current_completed_at, u, now.get(u), then.get(u)) for u in {*now, *then}}
+        out = diff.matched(chosen, snap).select("current_run_id", "previous_run_id", "current_completed_at", "url", "cur.page_id", F.col("prev.page_id").alias("old"))
+        got = [tuple(r) for r in out.collect()]
+        assert set(got) == want and len(got) == len(want)
+        for added, side_ in ((True, 4), (False, 5)):
+            ones = {(r.current_run_id, r.previous_run_id, r.url, r.page_id) for r in diff.one_sided(chosen, snap, added).collect()}
+            assert ones == {(*x[:2], x[3], x[side_]) for x in want if x[9 - side_] is None}
+
+
+def test_filters_reach_the_pairs(spark):
+    """A filtered feed is the whole feed filtered, and compares only the runs it shows; other kinds of change aren't computed."""
+    import random
+
+    rnd = random.Random(5)
+    runs_, rows = chain(rnd, 30)
+    table = spark.createDataFrame(runs_, "run_id long, site_id long, completed_at timestamp, status string")
+    sites = spark.createDataFrame([(i, f"s{i}", "u", "owned" if i else "competitor") for i in range(3)], "site_id long, name string, url string, site_type string")
+    snap = pages(spark, *rows)
+    with_ids = lambda e: e.withColumn("event_id", F.xxhash64("current_run_id", "event_type", "url"))
+    args = (runs.predecessors(table), snap, table, sites, with_ids)
+    day = lambda n: datetime(2026, 1, n, tzinfo=UTC)
+    for conditions in ({}, {"site_type": "owned", "event_types": ["text_changed"]}, {"site_id": 1, "from_time": day(2)}, {"before_time": day(4), "importance": ["high"], "event_types": ["page_removed", "price_changed"]}):
+        want = feed.filtered(feed.feed(with_ids(diff.all_events(diff.matched(args[0], snap))), table, sites), **conditions)
+        assert sorted(map(str, feed.changes(*args, **conditions).collect())) == sorted(map(str, want.collect()))
+    plan = feed.changes(*args, event_types=["text_changed"], from_time=day(2))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_except" not in plan and "page_added" not in plan and plan.rindex("2026-01-02 00:00:00") > plan.index("lag(version")
+    sided = feed.changes(*args, sides=True)
+    stored = feed.with_sides(sided.drop("cur", "prev"), snap)
+    assert sorted(map(str, feed.with_sides(sided).select(*stored.columns).collect())) == sorted(map(str, stored.collect()))
