@@ -107,7 +107,7 @@ def pagerank(nodes: DataFrame, arcs: DataFrame, damping: float = DAMPING, tolera
         targets = [[] if t is None else [int(x) for x in t] for t in pdf.targets]
         return pd.DataFrame({"run_id": pdf.run_id, "page_id": pdf.page_id, "pagerank": site_ranks([int(i) for i in pdf.page_id], targets, damping, tolerance, max_iterations)})
 
-    return rows.groupBy("run_id").applyInPandas(one, "run_id long, page_id long, pagerank double")
+    return held(rows, "PageRank").groupBy("run_id").applyInPandas(one, "run_id long, page_id long, pagerank double")
 
 
 def large_pagerank(nodes: DataFrame, arcs: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, max_iterations: int = MAX_ITERATIONS, steps: int = 6) -> DataFrame:
@@ -163,12 +163,17 @@ def reachable(start: DataFrame, arcs: DataFrame) -> DataFrame:
         seen = seen.unionByName(frontier) if k % 8 else written(seen.unionByName(frontier))
 
 
-def crawl_order(start_urls: DataFrame, links: DataFrame, max_pages: int, max_depth: int) -> DataFrame:
-    """run_id, url, depth, ord: a bounded breadth-first crawl over landed links (run_id, url, position, link). max_pages and max_depth are the crawl's own limits."""
+def crawl_order(start_urls: DataFrame, links: DataFrame, max_pages: int, max_depth: int, forbidden: DataFrame | None = None) -> DataFrame:
+    """run_id, url, depth, ord, forbidden, limited: a bounded breadth-first crawl over landed links (run_id, url, position, link).
+
+    max_pages and max_depth are the crawl's own limits; limited tells of a run whether they kept a page out. Pages of
+    forbidden (run_id, url), as robots.txt has them, are recorded and count, but nothing is read from them.
+    """
     from pyspark.sql import Window as W
 
+    closed = written(forbidden.select("run_id", "url").distinct()) if forbidden is not None else start_urls.select("run_id", "url").limit(0)
     seen = written(start_urls.select("run_id", "url", F.lit(0).alias("depth"), F.lit(1).cast("long").alias("ord")))
-    links = written(links)
+    links = written(links.join(closed, ["run_id", "url"], "left_anti"))
     for depth in range(1, max_depth + 1):
         from_last = seen.where(F.col("depth") == depth - 1).select("run_id", "url", "ord")
         found = links.join(from_last, ["run_id", "url"]).groupBy("run_id", F.col("link").alias("url")).agg(F.min(F.struct("ord", "position")).alias("at"))
@@ -179,7 +184,22 @@ def crawl_order(start_urls: DataFrame, links: DataFrame, max_pages: int, max_dep
         if new.isEmpty():
             break
         seen = written(seen.unionByName(new))
-    return seen
+    # Whatever a crawled page links to and the crawl hasn't seen was kept out by a limit.
+    out = links.join(seen.select("run_id", "url"), ["run_id", "url"]).select("run_id", F.col("link").alias("url")).join(seen, ["run_id", "url"], "left_anti").select("run_id").distinct()
+    marked = seen.join(closed.withColumn("closed", F.lit(True)), ["run_id", "url"], "left").join(out.withColumn("kept_out", F.lit(True)), "run_id", "left")
+    return marked.select("run_id", "url", "depth", "ord", F.coalesce("closed", F.lit(False)).alias("forbidden"), F.coalesce("kept_out", F.lit(False)).alias("limited"))
+
+
+#: Pages of a run whose graph a task may hold: far more than a crawl's own limit.
+HELD_PAGES = 200_000
+
+
+def held(rows: DataFrame, what: str) -> DataFrame:
+    """rows (run_id, ...), or an error where a run has more than HELD_PAGES, before any task gathers them."""
+    n = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("pages_held"))
+    large = F.raise_error(F.concat(F.lit(f"too many pages in a run for {what}: "), F.col("run_id").cast("string"))).cast("boolean")
+    fits = n.where(F.when(F.col("pages_held") > HELD_PAGES, large).otherwise(F.lit(True)))
+    return rows.join(fits.drop("pages_held"), "run_id")
 
 
 def strong_components(nodes: list[int], out: dict[int, list[int]]) -> list[list[int]]:
@@ -344,7 +364,7 @@ def signals(pages: DataFrame, e: DataFrame, ranks: DataFrame | None = None) -> D
         rank = {int(i): round(r, 9) for i, r in zip(known.page_id, known.pagerank, strict=True)}
         return analyzed(pdf, arcs, rank or None)
 
-    return rows.groupBy("run_id").applyInPandas(one, "run_id long, page_id long, signals array<string>, dead_end_is_page boolean, cycle array<long>, stranded int")
+    return held(rows, "signals").groupBy("run_id").applyInPandas(one, "run_id long, page_id long, signals array<string>, dead_end_is_page boolean, cycle array<long>, stranded int")
 
 
 def signal_counts(found: DataFrame) -> DataFrame:
@@ -395,7 +415,7 @@ def tree(pages: DataFrame, e: DataFrame) -> DataFrame:
         ids = sorted(up, key=sequence.__getitem__)
         return pd.DataFrame({"run_id": pdf.run_id.iloc[0], "page_id": ids, "parent_id": pd.array([up[v] for v in ids], "Int64"), "root_id": [at[v][0] for v in ids], "level": [at[v][1] for v in ids]})
 
-    return rows.groupBy("run_id").applyInPandas(one, "run_id long, page_id long, parent_id long, root_id long, level int")
+    return held(rows, "its tree").groupBy("run_id").applyInPandas(one, "run_id long, page_id long, parent_id long, root_id long, level int")
 
 
 def layout(pages: DataFrame, radius: float = 285.0, centre: tuple[float, float] = (450.0, 330.0), most: int = 100) -> DataFrame:

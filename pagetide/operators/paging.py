@@ -21,6 +21,12 @@ def order_of(name: str) -> list[Column]:
     return [F.asc(c) if up else F.desc(c) for c, up in LISTS[name][0]]
 
 
+def rows_of(rows: DataFrame, name: str, number: int, size: int | None = None) -> DataFrame:
+    """The rows of a page, without a count of them all; past the end there are none."""
+    size = size or LISTS[name][1]
+    return rows.orderBy(*order_of(name)).offset((max(number, 1) - 1) * size).limit(size)
+
+
 def page(rows: DataFrame, name: str, number: int, past_end: str = "error", size: int | None = None) -> tuple[DataFrame, int, int]:
     """The rows of a page, its number and the number of pages (at least 1). past_end: error, last or empty."""
     size = size or LISTS[name][1]
@@ -29,4 +35,4 @@ def page(rows: DataFrame, name: str, number: int, past_end: str = "error", size:
         if past_end == "error":
             raise ValueError(f"there are {pages} pages")
         number = min(max(number, 1), pages) if past_end == "last" else max(number, 1)
-    return rows.orderBy(*order_of(name)).offset((number - 1) * size).limit(size), number, pages
+    return rows_of(rows, name, number, size), number, pages

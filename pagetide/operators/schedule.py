@@ -51,3 +51,16 @@ def retries(entries: DataFrame) -> DataFrame:
 def recovered(entries: DataFrame) -> DataFrame:
     """What a restart makes of entries that were under way."""
     return entries.withColumn("status", F.when(F.col("status").isin("pending", "running"), "interrupted").otherwise(F.col("status")))
+
+
+def saved(schedules: DataFrame, entries: DataFrame, form: DataFrame, now: Column, zone: str) -> tuple[DataFrame, DataFrame]:
+    """schedules and entries after form (site_id, enabled, frequency, local_weekday, local_time) is saved.
+
+    A site's rule is replaced or added, with its next run if it is enabled; its entries that haven't begun are cancelled.
+    """
+    at = F.when(F.col("enabled"), calendar.next_run(now, F.col("frequency"), F.col("local_weekday"), F.col("local_time"), zone))
+    new = form.withColumn("next_run_at", at).select(*schedules.columns)
+    told = form.select("site_id", F.lit(True).alias("told"))
+    cancels = F.coalesce("told", F.lit(False)) & (F.col("status") == "pending")
+    after = entries.join(told, "site_id", "left").withColumns({"completed_at": F.when(cancels, now).otherwise(F.col("completed_at")), "status": F.when(cancels, "cancelled").otherwise(F.col("status"))})
+    return schedules.join(form.select("site_id"), "site_id", "left_anti").unionByName(new), after.select(*entries.columns)
