@@ -477,3 +477,6 @@ def long_text_distance(spark, sf_dir):
     docs = b.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     pairs = docs.withColumn("previous", F.lag("text").over(W.partitionBy("source").orderBy("doc_id"))).where("previous IS NOT NULL AND text <> previous")
     return pairs.select("doc_id", distance(F.col("text"), F.col("previous")).alias("text_distance"))
+
+
+from pagetide.plans import queries_control, queries_sources  # noqa: E402, F401  They register theirs, with what is defined above.
