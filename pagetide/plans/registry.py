@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagetide.functions import calendar, ratio
 from pagetide.functions.text import distance, normalize_main_text
-from pagetide.operators import diff, feed, graph, metrics, schedule
+from pagetide.operators import diff, feed, graph, metrics, neighbours, schedule
 from pagetide.operators import runs as run_ops
 from pagetide.plans import bindings as b
 from pagetide.schemas import SNAPSHOT_EVENTS
@@ -472,10 +472,8 @@ def normalize_text_unicode(spark, sf_dir):
 @query()
 def long_text_distance(spark, sf_dir):
     """Edit distance of consecutive documents of a source."""
-    from pyspark.sql import Window as W
-
     docs = b.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    pairs = docs.withColumn("previous", F.lag("text").over(W.partitionBy("source").orderBy("doc_id"))).where("previous IS NOT NULL AND text <> previous")
+    pairs = neighbours.with_previous(docs, "source", "doc_id", "text").where("previous IS NOT NULL AND text <> previous")
     return pairs.select("doc_id", distance(F.col("text"), F.col("previous")).alias("text_distance"))
 
 
