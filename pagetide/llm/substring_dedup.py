@@ -1,16 +1,15 @@
 """Substring deduplication: passages of 35 words or more that recur anywhere are confirmed, compiled to automata, and located.
 
-1. Every window of 35 words has an anchor, the one of its phrases of 8 words with the smallest hash, and a key: the 22 words
-   about the anchor that the window surely holds. Equal windows have equal keys, so only windows whose key recurs can recur;
-   there is about one place of a key to 7 words.
-2. Windows whose key recurs are counted by a hash of 96 bits over the whole corpus: those counted twice or more are
+1. Every window of 35 words has an anchor, the one of its phrases of 8 words with the smallest hash. Equal windows have the
+   same anchor, so only windows whose anchor recurs (about one place in 15 is an anchor) can recur.
+2. Windows whose anchor recurs are counted by a hash of 96 bits over the whole corpus: those counted twice or more are
    confirmed. One text that holds a confirmed window gives its words, so that a confirmed passage is known once, not where
    it occurs.
-3. Confirmed passages are dealt by key to shards, each of which compiles Aho-Corasick automata over word numbers. The
-   stretches of all texts about the places of recurring keys, which are all that the passages can lie in, are streamed
-   through the shard of their key. What the automata locate there, word by word, is removed.
+3. Confirmed passages are dealt by anchor to shards, each of which compiles Aho-Corasick automata over word numbers. The
+   stretches of all texts about the places of recurring anchors, which are all that the passages can lie in, are streamed
+   through the shard of their anchor. What the automata locate there, word by word, is removed.
 
-Equal texts take part once, with the number of their copies.
+A text of several copies recurs as a whole, which its digest tells; it takes part for the sake of other texts only.
 """
 
 from __future__ import annotations
@@ -38,36 +37,28 @@ HOT = 500
 
 
 class Windows:
-    """A text's words, and for each of its windows where its key begins, on which side of the anchor, and the key's hash."""
+    """A text's words, and for each of its windows where its anchor begins, and the anchor's hash."""
 
     def __init__(self, words: list[bytes], window: int, phrase: int):
         self.words, self.window = words, window
         self.hashes = HASHES.of(words)
         grams = runs_of(self.hashes, phrase)
         span = np.lib.stride_tricks.sliding_window_view(grams, window - phrase + 1)  # of equal hashes, the first is the anchor
-        at = np.concatenate([span[i : i + 65536].argmin(axis=1) + np.arange(i, min(i + 65536, len(span))) for i in range(0, len(span), 65536)])
-        slack = window - phrase
-        half = (slack + 1) // 2
-        self.left = at - np.arange(len(at)) >= half  # so many words of the window lie before the anchor
-        self.begin = np.where(self.left, at - half, at)
-        self.key = np.empty(len(at), np.uint64)
-        for side, length in ((self.left, phrase + half), (~self.left, phrase + slack - half + 1)):
-            if side.any():
-                self.key[side] = runs_of(self.hashes, length)[self.begin[side]]
+        self.at = np.concatenate([span[i : i + 65536].argmin(axis=1) + np.arange(i, min(i + 65536, len(span))) for i in range(0, len(span), 65536)])
+        self.key = grams[self.at]
 
     def keys(self) -> np.ndarray:
-        """The key of each place where one lies."""
-        new = (np.diff(self.begin) != 0) | (self.left[1:] != self.left[:-1])
-        return self.key[np.concatenate([[0], np.flatnonzero(new) + 1])].view(np.int64)
+        """The anchor of each place where one lies."""
+        return self.key[np.flatnonzero(np.diff(self.at, prepend=-1))].view(np.int64)
 
     def pieces(self, chosen: np.ndarray) -> list[tuple[int, int]]:
-        """First and last start of each run of chosen windows that have their key in one place."""
+        """First and last start of each run of chosen windows that have their anchor in one place."""
         starts = np.flatnonzero(chosen)
         if not len(starts):
             return []
-        new = (np.diff(starts) > 1) | (np.diff(self.begin[starts]) != 0) | (self.left[starts][1:] != self.left[starts][:-1])
+        new = (np.diff(starts) > 1) | (np.diff(self.at[starts]) != 0)
         cut = np.concatenate([[0], np.flatnonzero(new) + 1, [len(starts)]])
-        return [(int(starts[i]), int(starts[j - 1])) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        return list(zip(starts[cut[:-1]].tolist(), starts[cut[1:] - 1].tolist(), strict=True))
 
     def piece(self, first: int, last: int) -> str:
         return b" ".join(self.words[first : last + self.window]).decode()
@@ -81,7 +72,7 @@ def small(batches, rows: int = BATCH):
 
 
 def first_pass(docs: DataFrame, window: int, phrase: int, with_text: bool) -> DataFrame:
-    """row, doc_id, digest, n_words, kept_sha256 (of all words), keys (a hash for each place of a key), all_text (null unless with_text)."""
+    """row, doc_id, digest, n_words, kept_sha256 (of all words), keys (the anchor of each place where one lies), all_text (null unless with_text)."""
 
     def of(batches):
         row = TaskContext.get().partitionId() << 40
@@ -100,11 +91,16 @@ def first_pass(docs: DataFrame, window: int, phrase: int, with_text: bool) -> Da
     return docs.mapInArrow(of, "row long, doc_id long, digest binary, n_words long, kept_sha256 string, keys array<long>, all_text string")
 
 
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    known = np.sort(known)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+
+
 def opened(batch: pa.RecordBatch, window: int, phrase: int):
     """For each text of row, text, keys, ...: its row, its place in the batch, its windows, and which have one of its keys."""
     for k, (row, text, keys) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True)):
         w = Windows((text.as_py() or "").encode().split(), window, phrase)
-        yield row, k, w, np.isin(w.key, np.asarray(keys.values).view(np.uint64))
+        yield row, k, w, among(w.key, np.asarray(keys.values).view(np.uint64))
 
 
 def windows_of(texts: DataFrame, window: int, phrase: int) -> DataFrame:
@@ -127,14 +123,14 @@ def windows_of(texts: DataFrame, window: int, phrase: int) -> DataFrame:
 
 
 def pieces_of(texts: DataFrame, window: int, phrase: int, confirmed: bool) -> DataFrame:
-    """key, row, start, piece: the words of windows with one key place. texts: row, text, keys and, if confirmed, the first hashes of those windows that are, which alone are given then."""
+    """key, row, start, piece: the words of windows with their anchor in one place. texts: row, text, keys and, if confirmed, the first hashes of those windows that are, which alone are given then."""
 
     def of(batches):
         for b in small(batches):
             out = []
             for row, k, w, asked in opened(b, window, phrase):
                 if confirmed:
-                    asked &= np.isin(runs_of(w.hashes, window), np.asarray(b.column(3)[k].values).view(np.uint64))
+                    asked &= among(runs_of(w.hashes, window), np.asarray(b.column(3)[k].values).view(np.uint64))
                 out += [(int(w.key[i : i + 1].view(np.int64)[0]), row, i, w.piece(i, j)) for i, j in w.pieces(asked)]
                 if len(out) >= 10_000:
                     yield batch(out)
@@ -246,18 +242,20 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = written(own.select("digest", F.least("copies", F.lit(2)).alias("copies"), "own.row", F.col("own.doc_id").alias("own_id"), "keys"))
     at = distinct.select("row", "copies", F.explode("keys").alias("key"))
     # Written, so that both sides of the join are dealt out for it alone and a common key's rows can be split.
-    recurring = written(at.groupBy("key").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("places")).where("n > 1").select("key", F.ceil(F.col("places") / F.lit(hot)).cast("int").alias("parts")))
+    alone = F.min("copies") == 1  # else only texts that recur as a whole have it
+    recurring = written(at.groupBy("key").agg(F.sum("copies").alias("n"), alone.alias("alone"), F.count(F.lit(1)).alias("places")).where("n > 1 AND alone").select("key", F.ceil(F.col("places") / F.lit(hot)).cast("int").alias("parts")))
     hits = at.join(recurring.select("key"), "key").groupBy("row").agg(F.collect_set("key").alias("keys"))
     asked = distinct.select("row", "digest", "own_id", "copies").join(hits, "row")
     # Of the copies of a text, the first is read again. Where rows repeat it comes twice, which changes nothing: such a text recurs, and its verdicts are alike.
     own_text = rows.withColumn("own_digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
     texts = written(own_text.join(asked, (F.col("own_digest") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select("row", "text", "keys", "copies", "digest"))
+    singles = texts.where("copies = 1")
     # 96 bits: of 10^12 windows, no two that differ are likely to share them.
-    counted = windows_of(texts.select("row", "text", "keys", "copies"), window, phrase).groupBy("first", "second").agg(F.sum("copies").alias("n"), F.min("row").alias("row"), F.first("key").alias("key"))
-    confirmed = written(counted.where("n > 1").select("row", "key", "first"))
+    counted = windows_of(texts.select("row", "text", "keys", "copies"), window, phrase).groupBy("first", "second").agg(F.sum("copies").alias("n"), alone.alias("alone"), F.min("row").alias("row"), F.first("key").alias("key"))
+    confirmed = written(counted.where("n > 1 AND alone").select("row", "key", "first"))
     sources = texts.select("row", "text", "keys").join(confirmed.groupBy("row").agg(F.collect_list("first").alias("windows")), "row")
     passages = pieces_of(sources.select("row", "text", "keys", "windows"), window, phrase, confirmed=True)
-    stretches = pieces_of(texts.select("row", "text", "keys"), window, phrase, confirmed=False)
+    stretches = pieces_of(singles.select("row", "text", "keys"), window, phrase, confirmed=False)
     # A frequent key's stretches are split, and each part meets all passages; where passages are many they are split too, and each part meets all stretches.
     most = max(1, automaton_words // window)
     heavy = confirmed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key", F.ceil(F.col("n") / F.lit(most)).cast("int").alias("subs"))
@@ -273,16 +271,20 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     both = passages.withColumn("stretch", F.lit(False)).unionByName(stretches.withColumn("stretch", F.lit(True)))
     dealt = both.select(F.pmod(F.xxhash64("key", "part", "sub"), F.lit(shards)).alias("shard"), "stretch", "row", "start", "piece").repartition(n, "shard").sortWithinPartitions("shard", "stretch")
     spans = located(dealt, window, automaton_words).groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    verdicts = written(removed_words(texts.select("row", "digest", "text").join(spans, "row").select("digest", "text", "spans"), with_text).dropDuplicates(["digest"]))
+    less = removed_words(singles.select("row", "digest", "text").join(spans, "row").select("digest", "text", "spans"), with_text).withColumn("copied", F.lit(False))
+    copied = distinct.where("copies > 1").select("digest", F.lit(True).alias("copied"))
+    # One table of verdicts, so that a text of many copies meets them in one join, which can be split.
+    verdicts = written(less.unionByName(copied, allowMissingColumns=True))
     out = first.select("doc_id", "digest", "n_words", F.col("kept_sha256").alias("all_sha256"), "all_text").join(verdicts, "digest", "left")
+    gone = F.coalesce("copied", F.lit(False))
     columns = [
         "doc_id",
         "n_words",
-        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("kept_sha256", "all_sha256").alias("kept_sha256"),
+        F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "all_sha256")).alias("kept_sha256"),
     ]
     if with_text:
-        columns.append(F.coalesce("kept_text", "all_text").alias("kept_text"))
+        columns.append(F.when(gone, "").otherwise(F.coalesce("kept_text", "all_text")).alias("kept_text"))
     return out.select(*columns)
 
 
