@@ -5,16 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Writes df below the cluster's spark.checkpoint.dir and reads it again, which cuts its lineage. Where that is unset a temporary folder serves, but only in one process, as in tests."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below the cluster's spark.checkpoint.dir, which all executors share. Where that is unset a temporary folder serves, but only in one process, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not df.sparkSession.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/pagetide-shared"
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Writes df to a shared_dir() and reads it again, which cuts its lineage."""
+    path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

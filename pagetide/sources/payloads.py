@@ -26,7 +26,8 @@ def row_payload(landed: DataFrame, payload_col: str = "payload") -> DataFrame:
 
 def nested_statistics(landed: DataFrame, payload_col: str = "payload") -> DataFrame:
     """metric_date, url, field, value of payloads that nest statistics below each address."""
-    body = F.from_json(payload_col, NESTED, {"mode": "FAILFAST"})
+    fits = F.octet_length(payload_col) <= MAX_PAYLOAD_BYTES
+    body = F.from_json(require(fits, F.col(payload_col), "a payload is over 2 MiB"), NESTED, {"mode": "FAILFAST"})
     items = landed.select(F.explode(body["text_indicator_to_statistics"]).alias("i")).select(require(F.col("i.text_indicator.type") == "URL", F.col("i.text_indicator.value"), "an indicator isn't an address").alias("url"), F.explode("i.statistics").alias("s"))
     return items.select(F.to_date("s.date").alias("metric_date"), "url", require(F.col("s.field").isin(*FIELDS), F.col("s.field"), "an unknown statistic").alias("field"), F.col("s.value").alias("value"))
 

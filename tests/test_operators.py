@@ -362,3 +362,34 @@ def test_filters_reach_the_pairs(spark):
     sided = feed.changes(*args, sides=True)
     stored = feed.with_sides(sided.drop("cur", "prev"), snap)
     assert sorted(map(str, feed.with_sides(sided).select(*stored.columns).collect())) == sorted(map(str, stored.collect()))
+
+
+def test_graphs_that_no_task_may_hold(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, k, k, 0) for k in range(1, 6)], "run_id long, page_id long, sequence_number int, depth int")
+    arcs = spark.createDataFrame([(1, 1, 2)], "run_id long, source_id long, target_id long")
+    assert graph.pagerank(rows, arcs).count() == 5
+    monkeypatch.setattr(graph, "HELD_PAGES", 4)
+    with pytest.raises(Exception, match="too many pages"):
+        graph.pagerank(rows, arcs).collect()
+    assert graph.large_pagerank(rows, arcs).count() == 5
+
+
+def test_limits_of_a_crawl(spark):
+    links = spark.createDataFrame([(1, "a", 0, "b"), (1, "a", 1, "c"), (1, "b", 0, "d"), (1, "c", 0, "x"), (2, "a", 0, "a")], "run_id long, url string, position int, link string")
+    start = spark.createDataFrame([(1, "a"), (2, "a")], "run_id long, url string")
+    closed = spark.createDataFrame([(1, "c")], "run_id long, url string")
+    told = lambda *args: {(r.run_id, r.url): (r.depth, r.ord, r.forbidden, r.limited) for r in graph.crawl_order(start, links, *args).collect()}
+    assert told(10, 5) == {(1, "a"): (0, 1, False, False), (1, "b"): (1, 2, False, False), (1, "c"): (1, 3, False, False), (1, "d"): (2, 4, False, False), (1, "x"): (2, 5, False, False), (2, "a"): (0, 1, False, False)}
+    assert {k[1]: v[2:] for k, v in told(10, 1).items() if k[0] == 1} == {"a": (False, True), "b": (False, True), "c": (False, True)}
+    assert sorted(k[1] for k in told(2, 5) if k[0] == 1) == ["a", "b"] and told(2, 5)[1, "a"][3] and not told(2, 5)[2, "a"][3]
+    shut = told(10, 5, closed)
+    assert shut[1, "c"] == (1, 3, True, False) and (1, "x") not in shut
+
+
+def test_payloads_are_bounded(spark):
+    from pagetide.sources import payloads
+
+    landed = spark.createDataFrame([("{" + " " * (2 * 1024 * 1024) + "}",)], "payload string")
+    for read in (payloads.row_payload, payloads.nested_statistics):
+        with pytest.raises(Exception, match="2 MiB"):
+            read(landed).collect()
