@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
+from pagetide.plans.storage import shared_dir
+
 #: Words are runs of anything but ASCII white space; bytes.split() cuts at the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -24,15 +23,6 @@ def content(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's spark.checkpoint.dir. Where it is unset a temporary folder serves, but only in one process, as in tests."""
-    if not (base := spark.conf.get("spark.checkpoint.dir", None)):
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{os.path.join(tempfile.gettempdir(), 'pagetide-shared')}"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 #: For each open scratch(), the folders written within it.
 _OPEN: list[list[str]] = []
 
