@@ -130,22 +130,23 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, k: int = K) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: a row for each row of docs.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_shingles, held_in_edited: a row for each row of docs.
 
     A text's edit replaces its last quarter (in whole code points) by as many first code points of the next document's, or
-    all of them. The next document has the next doc_id, and after the last comes the first; a sole document is its own next.
+    all of them. n_shingles estimates the text's distinct shingles, held_in_edited the part of them that its edit holds. The next document has the next doc_id, and after the last comes the first; a sole document is its own next.
     Null and empty texts have no code points and no shingles; two texts without shingles are alike (1), one without and one
     with are not (0). Documents without an id come first; documents of equal ids follow each other by a
     hash of the text, then by the text, null first. An empty table gives no rows. Other columns aren't read.
     """
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_shingles", "held_in_edited"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 4]
 
     def pair(doc_id, text, sketch, next_text, next_sketch):
         cut = len(text) // 4
         edited = text[: len(text) - cut] + next_text[:cut]
         other = Sketch.of(edited, shingle, k) if cut else sketch
-        return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), sketch.text(), other.text(), sketch.resemblance(other), sketch.resemblance(next_sketch)
+        held = sketch.containment(other) if cut else 1.0
+        return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), sketch.text(), other.text(), sketch.resemblance(other), sketch.resemblance(next_sketch), sketch.distinct(), held
 
     def of(batches):
         before = None
@@ -163,7 +164,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return with_next(docs, id_col, text_col).mapInArrow(of, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(docs, id_col, text_col).mapInArrow(of, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles double, held_in_edited double")
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,6 +78,8 @@ def test_edited_fingerprints(spark, shuffle):
         r = got[i]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert r.fingerprint == fingerprints.Sketch.of(t).text() and r.edited_fingerprint == fingerprints.Sketch.of(edited).text()
+        mine = shingles(t)
+        assert r.n_shingles == len(mine) and abs(r.held_in_edited - (len(mine & shingles(edited)) / len(mine) if mine else 1)) < 1e-9
         assert abs(r.near_edited - likeness(shingles(t), shingles(edited))) < 1e-9 and abs(r.near_next - likeness(shingles(t), shingles(after))) < 1e-9
 
 
