@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,6 +69,19 @@ def availability(crawl_status: Column, outcome: Column) -> Column:
     )
 
 
+def store_snapshots(pages: DataFrame, path: str) -> None:
+    """Appends the pages of runs that path doesn't have yet, laid out by run_id, so that a reader of few runs reads no others. A run that is stored stays as it is."""
+    spark = pages.sparkSession
+    try:
+        stored = spark.read.schema("run_id long").parquet(path).select("run_id").distinct()
+        pages = pages.join(stored, "run_id", "left_anti")
+    except AnalysisException as e:  # nothing is stored yet
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pages.repartition(n, "run_id").write.mode("append").partitionBy("run_id").parquet(path)
+
+
 def without_sites(table: DataFrame, deleted: DataFrame, key: str = "site_id") -> DataFrame:
     """A cascade's delete from one table."""
     return table.join(deleted.select(key), key, "left_anti")

@@ -60,6 +60,11 @@ def transferred(sites: DataFrame, ids: DataFrame, source: str, target: str, *blo
     return marked.withColumn("site_type", F.when(F.col("moves") & (F.col("site_type") == source), target).otherwise(F.col("site_type"))).select(*sites.columns)
 
 
+def backfilled(sites: DataFrame) -> DataFrame:
+    """Sites from before there were types are competitors'."""
+    return sites.withColumn("site_type", F.coalesce("site_type", F.lit(TYPES[0])))
+
+
 def listed(sites: DataFrame, site_type: str | None = None) -> DataFrame:
     """Sites from the latest on, of one type or of all."""
     if site_type is not None and site_type not in TYPES:

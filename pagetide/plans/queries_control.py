@@ -9,6 +9,7 @@ from pagetide.operators import diff, feed, graph, paging, schedule, sites, sync
 from pagetide.operators import runs as run_ops
 from pagetide.plans import bindings as b
 from pagetide.plans.registry import query
+from pagetide.plans.storage import shared_dir
 
 def eid():
     return F.col("event_id")
@@ -170,6 +171,23 @@ def sites_transferred(spark, sf_dir):
     return sites.transferred(rows, rows.where("site_id % 3 = 0"), "owned", "competitor", imports).select("site_id", "site_type")
 
 
+@query(f"WITH {b.SITES} SELECT site_id, CASE WHEN site_id % 3 = 0 THEN 'competitor' ELSE site_type END AS site_type FROM sites")
+def sites_backfilled(spark, sf_dir):
+    rows = b.sites(spark, sf_dir)
+    return sites.backfilled(rows.withColumn("site_type", F.when(F.col("site_id") % 3 > 0, F.col("site_type")))).select("site_id", "site_type")
+
+
+@query(f"WITH {b.RUNS}, {b.PAGES} SELECT page_id, run_id, CASE WHEN run_id % 2 = 0 THEN title ELSE 'later' END AS title FROM pages WHERE run_id < 60")
+def snapshots_stored(spark, sf_dir):
+    """Snapshots of some runs are stored, then of all under another title: what is stored stays."""
+    path = shared_dir(spark)
+    rows = b.pages(spark, sf_dir).where("run_id < 60").select("page_id", "run_id", "title")
+    run_ops.store_snapshots(rows.where("run_id % 2 = 0"), path)
+    for _ in range(2):
+        run_ops.store_snapshots(rows.withColumn("title", F.lit("later")), path)
+    return spark.read.schema("page_id long, title string, run_id long").parquet(path).select("page_id", "run_id", "title")
+
+
 SITE_CASES = [("n", "https://example.com"), (" ", ""), ("n", " http://example.com:8080/x "), ("n", "https://exa mple.com"), ("n", "https://example.com:x/"), ("n", "example.com"), ("n", "ftp://example.com"), ("", "https://u:p@example.com/"), ("n", "https://example.com:99999"), ("n", "https:///x"), ("n", "http://[::1]:80/")]
 SITE_WANT = ["", "no name|no url", "", "space in url", "bad port", "no full url", "no full url", "no name|credentials", "bad port", "no full url", ""]
 
