@@ -5,7 +5,7 @@
 2. Windows whose anchor recurs are counted by a hash of 96 bits over the whole corpus: those counted twice or more are
    confirmed. One text that holds a confirmed window gives its words, so that a confirmed passage is known once, not where
    it occurs.
-3. Confirmed passages are dealt by anchor to shards, each of which compiles Aho-Corasick automata over word numbers. The
+3. Confirmed passages are dealt by anchor to shards, each of which compiles Aho-Corasick automata over numbers of words. The
    stretches of all texts about the places of recurring anchors, which are all that the passages can lie in, are streamed
    through the shard of their anchor. What the automata locate there, word by word, is removed.
 
@@ -15,6 +15,7 @@ A text of several copies recurs as a whole, which its digest tells; it takes par
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -28,10 +29,12 @@ from pagetide.llm.hashing import HASHES, MULT_2, runs_of
 
 WINDOW = 35
 PHRASE = 8
-#: Words of the windows that one automaton holds, about: some 100 bytes each.
+#: Words of the windows that one automaton holds at most: two nodes of some 50 bytes each, less what windows share.
 AUTOMATON_WORDS = 400_000
 #: Texts that a task works on at once, and stretches.
 BATCH = 500
+#: Stretches whose spans a task remembers.
+KNOWN = 20_000
 #: Stretches of one key that go to one shard; those of a more frequent key are split, each part with the key's passages.
 HOT = 500
 
@@ -144,22 +147,41 @@ def pieces_of(texts: DataFrame, window: int, phrase: int, confirmed: bool) -> Da
     return texts.mapInArrow(of, "key long, row long, start int, piece string")
 
 
+def digits(n: int) -> tuple[int, int]:
+    """A word's number as two symbols, each of its own range: an automaton looks through a node's edges one by one, and so meets few."""
+    return n & 127, 128 + (n >> 7)
+
+
+class Symbols(dict):
+    """Symbols of words, numbered from 1 on; what isn't known is 0, which no window holds."""
+
+    def __missing__(self, word: bytes) -> tuple[int, int]:
+        return digits(0)
+
+    def of(self, words: list[bytes]) -> tuple[int, ...]:
+        return tuple(chain.from_iterable(map(self.__getitem__, words)))
+
+
 class Automata:
-    """A shard's confirmed windows in as many automata as they need, over numbers of their words."""
+    """A shard's confirmed windows in as many automata as they need, over symbols of their words."""
 
     def __init__(self, window: int, limit: int = AUTOMATON_WORDS):
         self.window, self.most = window, max(1, limit // window)
-        self.number: dict[bytes, int] = {}
+        self.symbols = Symbols()
         self.compiled: list[ahocorasick.Automaton] = []
         self.open = None
 
     def add(self, piece: bytes) -> None:
         """Takes up all windows of a passage."""
-        numbers = [self.number.setdefault(w, len(self.number) + 1) for w in piece.split()]
-        for i in range(len(numbers) - self.window + 1):
+        words = piece.split()
+        for w in words:
+            if w not in self.symbols:
+                self.symbols[w] = digits(len(self.symbols) + 1)
+        symbols = self.symbols.of(words)
+        for i in range(0, 2 * (len(words) - self.window + 1), 2):
             if self.open is None:
                 self.open = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-            self.open.add_word(tuple(numbers[i : i + self.window]), 1)
+            self.open.add_word(symbols[i : i + 2 * self.window], 1)
             if len(self.open) >= self.most:
                 self.close()
 
@@ -172,14 +194,16 @@ class Automata:
     def locate(self, stretch: bytes) -> list[tuple[int, int]]:
         """Where windows of the shard cover words of the stretch: [begin, end) of each run, ascending."""
         self.close()
-        numbers = tuple(self.number.get(w, 0) for w in stretch.split())
-        ends = sorted({end for a in self.compiled for end, _ in a.iter(numbers)})
+        symbols = self.symbols.of(stretch.split())
+        ends = [end // 2 + 1 for a in self.compiled for end, _ in a.iter(symbols)]
+        if len(self.compiled) > 1:
+            ends = sorted(set(ends))
         out: list[tuple[int, int]] = []
         for end in ends:
-            if out and end + 1 - self.window <= out[-1][1]:
-                out[-1] = out[-1][0], end + 1
+            if out and end - self.window <= out[-1][1]:
+                out[-1] = out[-1][0], end
             else:
-                out.append((end + 1 - self.window, end + 1))
+                out.append((end - self.window, end))
         return out
 
 
@@ -188,14 +212,20 @@ def located(dealt: DataFrame, window: int, limit: int = AUTOMATON_WORDS) -> Data
 
     def of(batches):
         shard, automata = None, None
+        known: dict[bytes, list[tuple[int, int]]] = {}  # near copies have many stretches in common
         for b in small(batches, 5_000):
             out = []
             for at, stretch, row, start, piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), strict=True):
                 if at != shard:
                     shard, automata = at, Automata(window, limit)
+                    known.clear()
                 words = piece.as_py().encode()
                 if stretch:
-                    out += [(row, start + i, start + j) for i, j in automata.locate(words)]
+                    if (spans := known.get(words)) is None:
+                        if len(known) >= KNOWN:
+                            known.clear()
+                        spans = known[words] = automata.locate(words)
+                    out += [(row, start + i, start + j) for i, j in spans]
                 else:
                     automata.add(words)
             if out:
@@ -267,7 +297,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     passages = passages.withColumn("sub", F.pmod(F.xxhash64("piece"), subs).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     stretches = stretches.withColumn("part", F.pmod(F.xxhash64("row"), parts).cast("int")).withColumn("sub", F.explode(F.sequence(F.lit(0), subs - 1)))
     n = partitions(rows.sparkSession)
-    shards = max(n, -(-confirmed.count() * window // automaton_words))
+    shards = max(n, -(-2 * confirmed.count() * window // automaton_words))  # so that one automaton holds most shards
     both = passages.withColumn("stretch", F.lit(False)).unionByName(stretches.withColumn("stretch", F.lit(True)))
     dealt = both.select(F.pmod(F.xxhash64("key", "part", "sub"), F.lit(shards)).alias("shard"), "stretch", "row", "start", "piece").repartition(n, "shard").sortWithinPartitions("shard", "stretch")
     spans = located(dealt, window, automaton_words).groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
