@@ -85,12 +85,12 @@ def once(value: Column, then) -> Column:
 
 
 def link_change(cur: Column, prev: Column) -> Column:
-    """struct(added, removed, num, den), or null if the sets are the same. Three passes over the links; only those that changed are sorted."""
-    parts = F.struct(F.array_except(cur, prev).alias("added"), F.array_except(prev, cur).alias("removed"), F.size(F.array_union(cur, prev)).alias("union"))
+    """struct(added, removed, num, den), or null if the sets are the same. Two passes over both lists and one over the first; only what changed is sorted."""
+    parts = F.struct(F.array_except(cur, prev).alias("added"), F.array_except(prev, cur).alias("removed"), F.size(F.array_distinct(cur)).alias("now"))
 
     def told(p):
         moved = F.size(p["added"]) + F.size(p["removed"])
-        whole = once(ratio.reduced(moved, p["union"]), lambda r: F.struct(F.array_sort(p["added"]).alias("added"), F.array_sort(p["removed"]).alias("removed"), r["num"].alias("num"), r["den"].alias("den")))
+        whole = once(ratio.reduced(moved, p["now"] + F.size(p["removed"])), lambda r: F.struct(F.array_sort(p["added"]).alias("added"), F.array_sort(p["removed"]).alias("removed"), r["num"].alias("num"), r["den"].alias("den")))
         return F.when(moved > 0, whole)
 
     return once(parts, told)
