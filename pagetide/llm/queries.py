@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from pagetide.llm import bpe, divergence, exact_dedup, filter_audit, fingerprints, html_extract, mixing, quality, simhash, substring_dedup, token_counts, warc
+from pagetide.llm import bpe, divergence, exact_dedup, filter_audit, fingerprints, html_extract, lm_scoring, mixing, quality, simhash, substring_dedup, token_counts, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_html": html_extract.op9_html,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_lm_scoring": lm_scoring.op11_lm_scoring,
     "op12_divergence": divergence.op12_divergence,
     "op13_filter_audit": filter_audit.op13_filter_audit,
     "pipeline": corpus_pipeline.run,
