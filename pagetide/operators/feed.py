@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pagetide.functions.calendar import midnight_utc, utc_iso
 from pagetide.operators.diff import all_events, matched, price_profile
+from pagetide.plans.storage import published
 from pagetide.schemas import EVENT_TYPES
 
 COLUMNS = [
@@ -181,11 +182,13 @@ def with_sides(events: DataFrame, pages: DataFrame | None = None) -> DataFrame:
 
 
 def faulty() -> Column:
-    """Whether an event's sides contradict it: a side that must be there or not, or equal values."""
+    """Whether an event's sides contradict it: a side that must be there or not, a value of another kind of event, or equal values."""
     kind, here, before = F.col("event_type"), F.col("current.state") != "absent_side", F.col("previous.state") != "absent_side"
+    own = lambda s: F.when(kind == "price_changed", s.isin("price", "price_range")).when(kind == "internal_links_changed", s.isin("links", "empty_links")).otherwise(s.isin("text", "none", "empty_text"))
+    strange = (here & ~own(F.col("current.state"))) | (before & ~own(F.col("previous.state")))
     sides = F.when(kind == "page_added", here & ~before).when(kind == "page_removed", ~here & before).otherwise(here & before)
     same = ~kind.isin("page_added", "page_removed", "price_changed") & F.col("current").eqNullSafe(F.col("previous"))
-    return ~sides | same
+    return ~sides | strange | same
 
 
 def inconsistent(events: DataFrame, pages: DataFrame | None = None) -> DataFrame:
@@ -194,7 +197,7 @@ def inconsistent(events: DataFrame, pages: DataFrame | None = None) -> DataFrame
 
 
 def verified(events: DataFrame) -> DataFrame:
-    """with_sides() events, or an error at the first that is faulty: an export that meets one fails as a whole, as Spark commits none of its files."""
+    """with_sides() events, or an error at the first that is faulty: an export that meets one fails as a whole."""
     wrong = F.raise_error(F.concat(F.lit("an event contradicts its pages: "), F.col("event_type"), F.lit(" "), F.col("url"))).cast("boolean")
     return events.where(F.when(faulty(), wrong).otherwise(F.lit(True)))
 
@@ -253,15 +256,21 @@ def json_rows(events: DataFrame) -> DataFrame:
 
 
 def write_csv(events: DataFrame, path: str, zone: str = "UTC") -> None:
-    """A folder of parts; each is a whole CSV file with a byte order mark, the header, quotes where needed and CRLF line ends. Events are verified()."""
+    """A folder of parts; each is a whole CSV file with a byte order mark, the header, quotes where needed and CRLF line ends.
+
+    Events are verified(), and path appears when all of them are written: a refused export leaves nothing, and the corrected
+    one may take the same path. A path that is there already stays as it is and is an error.
+    """
     rows = csv_rows(verified(events), zone)
     marked = rows.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0])
-    marked.write.option("header", True).option("lineSep", "\r\n").option("escape", '"').csv(path)
+    with published(events.sparkSession, path) as staged:
+        marked.write.option("header", True).option("lineSep", "\r\n").option("escape", '"').csv(staged)
 
 
 def write_json(events: DataFrame, path: str) -> None:
-    """A folder of parts, an event's JSON object to a line. Events are verified()."""
-    json_rows(verified(events)).write.text(path)
+    """A folder of parts, an event's JSON object to a line. Events are verified(), and path appears as write_csv()'s does."""
+    with published(events.sparkSession, path) as staged:
+        json_rows(verified(events)).write.text(staged)
 
 
 #: Events of an export that may be put together to one document on the driver.

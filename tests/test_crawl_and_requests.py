@@ -95,6 +95,15 @@ def test_price_sides_and_exports(spark, tmp_path):
     assert part.count(b"\r\n") == 2 and part.startswith(b"\xef\xbb\xbfsite_id,")
     with pytest.raises(ValueError, match="over 0"):
         feed.json_document(str(tmp_path / "j"), spark, most=0)
+    never = tmp_path / "never"
     for broken in (full.withColumn("event_type", F.lit("page_added")), full.withColumn("event_type", F.lit("h1_changed"))):
-        with pytest.raises(Exception, match="contradicts"):
-            feed.write_csv(broken, str(tmp_path / "never"))
+        for write in (feed.write_csv, feed.write_json):
+            with pytest.raises(Exception, match="contradicts"):
+                write(full.unionByName(broken), str(never))
+            assert not list(tmp_path.glob("never*"))
+    feed.write_csv(full, str(never))  # the corrected export takes the path that a refused one asked for
+    assert len(list(never.glob("part-*.csv"))) == 1
+    for write in (feed.write_csv, feed.write_json):
+        with pytest.raises(FileExistsError):
+            write(full, str(never))
+    assert [p.name for p in tmp_path.glob("never*")] == ["never"] and len(list(never.glob("part-*.csv"))) == 1
