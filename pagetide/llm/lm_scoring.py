@@ -5,8 +5,8 @@ P(w | h) = a c(h w) / c(h) + (1 - a) P(w | h'), where h' is h without its first
 P(w | h'). P(w) is the base distribution, which gives all unknown words together the share of half an occurrence. As each word
 of a text is followed by another or by the end, c(h) is also the times that h occurs.
 
-As an automaton: contexts that occur in training are states; an n-gram that occurs is an arc from its context's state, and
-weighs log10 P; a state's failure arc leads to the context without its first word and weighs log10(1 - a).
+As an automaton: contexts that occur in training are states; an n-gram that occurs is an arc from its context's state to that
+of its last words, and weighs log10 P; a state's failure arc leads to the context without its first word and weighs log10(1 - a).
 
 The n-grams of a large corpus fit no worker. So texts are dealt in blocks; a block names its distinct n-grams, with their
 counts in its own training texts, to the buckets of their hashes; a bucket adds up what all blocks say of an n-gram and tells
@@ -17,7 +17,6 @@ it is, so no bucket is much larger than others.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -68,7 +67,6 @@ class Block:
         #: By order less one: distinct n-grams' hashes, the number of the n-gram at each place, and of distinct ones the numbers of what they begin and end with.
         distinct, at = np.unique(flat, return_inverse=True)
         self.words, self.at, self.keys, self.heads, self.tails = len(distinct), [at], [mixed(distinct)], [None], [None]
-        self.word = [np.arange(len(distinct))]
         self.begin = int(np.searchsorted(distinct, BEGIN))
         rolled, left = distinct, np.repeat(self.lengths, self.lengths) - (np.arange(len(flat)) - np.repeat(self.starts[:-1], self.lengths))
         for k in range(1, order):
@@ -86,7 +84,6 @@ class Block:
             self.keys.append(mixed(rolled + np.uint64(k)))
             self.heads.append(head)
             self.tails.append(tail)
-            self.word.append(word)
 
     def counts(self, training: np.ndarray) -> np.ndarray:
         """Of each distinct n-gram of all orders, the times that it is in texts that are for training."""
@@ -95,53 +92,46 @@ class Block:
 
 
 class Automaton:
-    """States are the n-grams of all orders but the last that occur, by number; arcs by state and word lead to a weight and a state."""
+    """The model as far as a block's texts can tell.
+
+    States are the n-grams of all orders but the last, and the empty one. The arcs of an n-gram's state are the n-grams that
+    begin with it, so a word's arc is known by the n-gram that it ends; its weight is NONE if that doesn't occur in training.
+    All states but the empty one have a failure arc of the same weight.
+    """
+
+    #: No weight of an arc, as those are logarithms of probabilities.
+    NONE = 1.0
 
     def __init__(self, block: Block, counts: np.ndarray, total: int, distinct: int, higher: float = HIGHER):
         sizes = [len(k) for k in block.keys]
-        self.first = np.concatenate(([0], np.cumsum(sizes)))
-        order = len(sizes)
-        n = np.split(counts.astype(np.float64), self.first[1:-1])
+        first = np.concatenate(([0], np.cumsum(sizes)))
+        n = np.split(counts.astype(np.float64), first[1:-1])
         whole = total + 0.5 * (distinct + 1)
-        p = (n[0] + 0.5) / whole
-        self.unknown, self.width = float(np.log10(0.5 / whole)), block.words
-        self.base, self.known = np.log10(p), n[0] > 0
-        self.backoff, self.fail = np.zeros(self.first[-2]), np.full(self.first[-2], EMPTY)
-        target = np.arange(sizes[0]) if order > 1 else np.full(sizes[0], EMPTY)
-        self.arcs: dict[int, int] = {}
-        weights, targets = [np.log10(p)], [target]
-        self._arcs(np.full(sizes[0], EMPTY), np.arange(sizes[0]), 0, n[0] > 0)
-        for k in range(1, order):
-            head, tail = block.heads[k], block.tails[k]
-            p = higher * n[k] / np.maximum(1, n[k - 1][head]) + (1 - higher) * p[tail]
-            weights.append(np.log10(p))
-            targets.append(self.first[k] + np.arange(sizes[k]) if k + 1 < order else self.first[k - 1] + tail)
-            self._arcs(self.first[k - 1] + head, block.word[k], self.first[k], n[k] > 0)
-            here = slice(self.first[k - 1], self.first[k])
-            self.backoff[here] = np.log10(1 - higher)
-            if k > 1:
-                self.fail[here] = self.first[k - 2] + block.tails[k - 1]
-        self.start = block.begin if order > 1 and n[0][block.begin] > 0 else EMPTY
-        self.weight, self.target = array("d", np.concatenate(weights).tobytes()), array("q", np.concatenate(targets).astype(np.int64).tobytes())
-        self.backoff, self.fail = array("d", self.backoff.tobytes()), array("q", self.fail.tobytes())
-
-    def _arcs(self, state: np.ndarray, word: np.ndarray, first: int, seen: np.ndarray) -> None:
-        keys = (state[seen] + 1) * self.width + word[seen]
-        self.arcs.update(zip(keys.tolist(), (first + np.flatnonzero(seen)).tolist(), strict=True))
-
-    def score(self, text: list[int]) -> float:
-        """log10 of the text's probability: one pass over its words and its end, from state to state, by failure arcs where a state has no arc for the word."""
-        arcs, weight, target, backoff, fail, width = self.arcs.get, self.weight, self.target, self.backoff, self.fail, self.width
+        p = [(n[0] + 0.5) / whole]
+        for k in range(1, len(sizes)):
+            p.append(higher * n[k] / np.maximum(1, n[k - 1][block.heads[k]]) + (1 - higher) * p[-1][block.tails[k]])
+        self.unknown, self.failure, self.top = float(np.log10(0.5 / whole)), float(np.log10(1 - higher)), len(sizes) - 1
+        self.base, self.known = np.log10(p[0]), n[0] > 0
+        self.weight = np.where(counts > 0, np.log10(np.concatenate(p)), self.NONE).tolist()
+        #: By order less one, the arc that the word at each place takes from a state of so many words.
+        self.arcs = [first[k] + np.concatenate((np.full(k, EMPTY), at))[: len(block.at[0])] for k, at in enumerate(block.at)]
+        self.start = int(self.top > 0 and n[0][block.begin] > 0) if len(n[0]) else 0
+
+    def score(self, first: int, end: int) -> float:
+        """log10 of the probability of the words at these places, the last being an end: one pass from state to state, by failure arcs where a state has no arc for the word."""
+        weight, unknown, failure, top = self.weight, self.unknown, self.failure, self.top
         state, total = self.start, 0.0
-        for w in text:
-            while (arc := arcs((state + 1) * width + w)) is None and state != EMPTY:
-                total += backoff[state]
-                state = fail[state]
-            if arc is None:
-                total += self.unknown
+        for arcs in zip(*(a[first:end].tolist() for a in self.arcs), strict=True):
+            while (w := weight[arcs[state]]) > 0:
+                if not state:
+                    total += unknown
+                    break
+                total += failure
+                state -= 1
             else:
-                total += weight[arc]
-                state = target[arc]
+                total += w
+                if state < top:
+                    state += 1
         return total
 
 
@@ -248,11 +238,11 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
             raise RuntimeError("a block has n-grams without answers")
         automaton = Automaton(block, counts, total, distinct, higher)
         base, known, scores = [], [], []
-        for i, j in zip(block.starts[:-1].tolist(), block.starts[1:].tolist(), strict=True):
-            text = block.at[0][i + 1 : j]  # without its begin
+        for i, j in zip((block.starts[:-1] + 1).tolist(), block.starts[1:].tolist(), strict=True):  # without its begin
+            text = block.at[0][i:j]
             base.append(float(automaton.base[text].sum()))
             known.append(int(automaton.known[text].sum()))
-            scores.append(automaton.score(text.tolist()))
+            scores.append(automaton.score(i, j))
         n = pa.array(block.lengths - 1, pa.int64())
         columns = [own.column("doc_id"), own.column("held_out"), n, pa.array(known, pa.int64()), pa.array([total] * len(n), pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64())]
         return pa.Table.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

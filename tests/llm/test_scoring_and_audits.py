@@ -65,25 +65,24 @@ def test_scores_equal_brute_force(spark, order, block_tokens):
 
 
 def test_probabilities_add_up():
-    """From any state, over all words and the unknown one."""
+    """After any words, over all words, the end and the unknown word."""
     rnd = random.Random(7)
-    texts = [random_text(rnd, 40, 12) for _ in range(20)]
+    texts = [random_text(rnd, 40, 9) for _ in range(20)]
+    vocabulary = sorted({w.lower() for t in texts for w in t.split()})
     for order in (1, 2, 3):
-        # With each word after each context that occurs, so that the automaton of these texts has every arc that there is.
-        vocabulary = sorted({w for t in texts for w in t.split()})
-        block = lm_scoring.Block([*texts, *(" ".join(x) for x in itertools.product(vocabulary, repeat=min(order, 3))), "unseen"], order)
-        training = np.array([True] * len(texts) + [False] * (len(block.lengths) - len(texts)))
+        befores = [" ".join(c) for n in range(order + 1) for c in itertools.product(vocabulary, repeat=n)]
+        asked = [(c, w) for c in befores for w in (*vocabulary, "unseen", "")]
+        block = lm_scoring.Block([*texts, *(f"{c} {w}" for c, w in asked)], order)
+        training = np.array([True] * len(texts) + [False] * len(asked))
         counts = block.counts(training)
         own = counts[: block.words].copy()
         own[block.begin] = 0
-        unseen = int(block.at[0][block.starts[-2] + 1])
         a = lm_scoring.Automaton(block, counts, int(own.sum()), int((own > 0).sum()))
-        end = int(block.at[0][-1])
-        reached = {a.target[x] for key, x in a.arcs.items() if key % a.width != end}  # after the end there is no word
-        for state in {a.start, lm_scoring.EMPTY, *sorted(reached)[::7]}:
-            a.start = state
-            known = [w for w in range(block.words) if own[w]]
-            assert sum(10 ** a.score([w]) for w in known) + 10 ** a.score([unseen]) == pytest.approx(1)
+        sums = Counter()
+        for (c, w), i, j in zip(asked, block.starts[len(texts) : -1] + 1, block.starts[len(texts) + 1 :], strict=True):
+            last = j - 1 if w == "" else j - 2  # the place of w, or of the end
+            sums[c] += 10 ** (a.score(i, last + 1) - a.score(i, last))
+        assert len(sums) == len(befores) and list(sums.values()) == pytest.approx([1] * len(sums))
 
 
 def test_held_out_texts_are_likelier_than_by_words_alone(spark, sf):
