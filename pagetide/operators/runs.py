@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagetide.operators.store import BUCKETS, Store, View
 from pagetide.schemas import ERROR_OUTCOMES
 
 
@@ -69,17 +69,92 @@ def availability(crawl_status: Column, outcome: Column) -> Column:
     )
 
 
-def store_snapshots(pages: DataFrame, path: str) -> None:
-    """Appends the pages of runs that path doesn't have yet, laid out by run_id, so that a reader of few runs reads no others. A run that is stored stays as it is."""
-    spark = pages.sparkSession
-    try:
-        stored = spark.read.schema("run_id long").parquet(path).select("run_id").distinct()
-        pages = pages.join(stored, "run_id", "left_anti")
-    except AnalysisException as e:  # nothing is stored yet
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pages.repartition(n, "run_id").write.mode("append").partitionBy("run_id").parquet(path)
+#: The tables that a crawl's outcome goes to, and where each row's place follows from.
+CRAWL_TABLES = {"runs": "run_id", "pages": "run_id", "snapshots": "run_id", "prices": "run_id"}
+#: The statuses of runs whose pages are stored.
+STORED = ("completed", "partial")
+
+
+def crawl_store(spark: SparkSession, root: str, buckets: int = BUCKETS) -> Store:
+    return Store(spark, root, CRAWL_TABLES, buckets)
+
+
+def whole_crawl(tables: dict[str, DataFrame]) -> None:
+    """Raises a ValueError unless html pages, and only they, have a snapshot, prices belong to snapshots, and a run has each page id, url, sequence number and place of a price once."""
+    pages, snapshots, prices = tables["pages"], tables["snapshots"], tables["prices"]
+    html, key = pages.where("outcome = 'html'").select("run_id", "page_id"), ["run_id", "page_id"]
+    twice = lambda rows, *by: rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    faults = {
+        "an html page has no snapshot": html.join(snapshots, key, "left_anti"),
+        "a snapshot has no html page": snapshots.join(html, key, "left_anti"),
+        "a price has no snapshot": prices.join(snapshots, key, "left_anti"),
+        "a run is there twice": twice(tables["runs"], "run_id"),
+        "a page is there twice": twice(pages, "page_id"),
+        "a run has a url twice": twice(pages, "run_id", "url"),
+        "a run has a sequence number twice": twice(pages, "run_id", "sequence_number"),
+        "a snapshot is there twice": twice(snapshots, "page_id"),
+        "a snapshot has a price's place twice": twice(prices, "page_id", "sequence_number"),
+    }
+    found = None
+    for what, rows in faults.items():
+        first = rows.select(F.lit(what).alias("what"), F.concat_ws(" ", *(F.col(c).cast("string") for c in rows.columns if c in ("run_id", "page_id"))).alias("where"))
+        found = first if found is None else found.unionByName(first)
+    if bad := found.limit(1).collect():
+        raise ValueError(f"{bad[0]['what']}: {bad[0]['where']}")
+
+
+def commit_crawls(store: Store, id: str, runs: DataFrame, pages: DataFrame, snapshots: DataFrame, prices: DataFrame) -> int:
+    """Stores what crawls have found, all of it or nothing, and returns the commit's number.
+
+    runs (run_id, status, ...), pages (run_id, page_id, sequence_number, url, outcome, ...), snapshots (run_id, page_id, ...),
+    prices (run_id, page_id, sequence_number, ...). A run that is stored stays as it is, whichever commit it came with;
+    runs that aren't among STORED leave no pages. What isn't whole_crawl() is refused.
+    """
+
+    def new(base: View) -> dict[str, DataFrame]:
+        stored = base.table("runs", runs.select("run_id"))
+        fresh = runs if stored is None else runs.join(stored.select("run_id"), "run_id", "left_anti")
+        kept = fresh.where(F.col("status").isin(*STORED)).select("run_id")
+        return {"runs": fresh} | {name: rows.join(kept, "run_id", "left_semi") for name, rows in (("pages", pages), ("snapshots", snapshots), ("prices", prices))}
+
+    return store.commit(id, new, whole_crawl)
+
+
+COUNTERS = ("processed", "requested", "successful", "forbidden", "errors")
+#: What a run's message says as it starts, when a restart has ended it, and before the error that has.
+RUNNING_MESSAGE = "Обход выполняется."
+INTERRUPTED_MESSAGE = "Обход был прерван перезапуском приложения."
+FAILED_MESSAGE = "Обход завершился неожиданной ошибкой: "
+
+
+def started(runs: DataFrame, sites: DataFrame, asked: DataFrame) -> DataFrame:
+    """runs (run_id, site_id, status, message, started_at, completed_at and COUNTERS) with the run of asked (run_id, site_id, started_at; one row) as a running one.
+
+    A site that isn't known is a LookupError. While a run is going on, whatever its site, another is refused by a
+    RuntimeError that names the one that started first.
+    """
+    if unknown := asked.join(sites.select("site_id"), "site_id", "left_anti").limit(1).collect():
+        raise LookupError(f"no such site: {unknown[0]['site_id']}")
+    going = runs.where("status = 'running'").agg(F.min(F.struct("started_at", "run_id")).alias("r")).first()["r"]
+    if going is not None:
+        raise RuntimeError(f"a crawl is running: {going['run_id']}")
+    row = asked.select("run_id", "site_id", F.lit("running").alias("status"), F.lit(RUNNING_MESSAGE).alias("message"), "started_at", *(F.lit(0).alias(c) for c in COUNTERS))
+    return runs.unionByName(row, allowMissingColumns=True)
+
+
+def progressed(runs: DataFrame, progress: DataFrame) -> DataFrame:
+    """runs with the counters of progress (run_id and COUNTERS) where they are running; others stay as they are. Of a run's rows the one with most processed counts."""
+    last = progress.groupBy("run_id").agg(F.max(F.struct(*COUNTERS)).alias("p"))
+    going = (F.col("status") == "running") & F.col("p").isNotNull()
+    return runs.join(last, "run_id", "left").withColumns({c: F.when(going, F.col("p")[c]).otherwise(F.col(c)) for c in COUNTERS}).drop("p")
+
+
+def failed(runs: DataFrame, failures: DataFrame) -> DataFrame:
+    """runs, of which those in failures (run_id, error, at) have failed: with the error in their message and the time as their end. Of a run's rows the earliest counts."""
+    of = failures.groupBy("run_id").agg(F.min(F.struct("at", "error")).alias("f"))
+    hit = F.col("f").isNotNull()
+    new = {"status": F.lit("failed"), "message": F.concat(F.lit(FAILED_MESSAGE), F.col("f.error")), "completed_at": F.col("f.at")}
+    return runs.join(of, "run_id", "left").withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in new.items()}).drop("f")
 
 
 def without_sites(table: DataFrame, deleted: DataFrame, key: str = "site_id") -> DataFrame:

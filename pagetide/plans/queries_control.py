@@ -177,15 +177,38 @@ def sites_backfilled(spark, sf_dir):
     return sites.backfilled(rows.withColumn("site_type", F.when(F.col("site_id") % 3 > 0, F.col("site_type")))).select("site_id", "site_type")
 
 
-@query(f"WITH {b.RUNS}, {b.PAGES} SELECT page_id, run_id, CASE WHEN run_id % 2 = 0 THEN title ELSE 'later' END AS title FROM pages WHERE run_id < 60")
-def snapshots_stored(spark, sf_dir):
-    """Snapshots of some runs are stored, then of all under another title: what is stored stays."""
-    path = shared_dir(spark)
-    rows = b.pages(spark, sf_dir).where("run_id < 60").select("page_id", "run_id", "title")
-    run_ops.store_snapshots(rows.where("run_id % 2 = 0"), path)
+def committed(spark, sf_dir):
+    """A store to which the crawls of even runs were committed, then those of all runs, whose titles had changed by then, twice. Every tenth page couldn't be read."""
+    runs, rows = b.runs(spark, sf_dir), b.pages(spark, sf_dir)
+    slug = F.col("page_id") % 10
+    pages = rows.select("run_id", "page_id", (slug + 1).alias("sequence_number"), "url", F.when(slug == 9, "http_error").otherwise("html").alias("outcome"))
+    snapshots = rows.where(slug != 9).select("run_id", "page_id", "title", "prices")
+    prices = snapshots.select("run_id", "page_id", F.posexplode("prices").alias("place", "p")).select("run_id", "page_id", (F.col("place") + 1).alias("sequence_number"), F.col("p.amount").alias("amount"))
+    store = run_ops.crawl_store(spark, shared_dir(spark))
+    run_ops.commit_crawls(store, "even", runs.where("run_id % 2 = 0"), pages, snapshots.drop("prices"), prices)
     for _ in range(2):
-        run_ops.store_snapshots(rows.withColumn("title", F.lit("later")), path)
-    return spark.read.schema("page_id long, title string, run_id long").parquet(path).select("page_id", "run_id", "title")
+        run_ops.commit_crawls(store, "all", runs, pages, snapshots.drop("prices").withColumn("title", F.lit("later")), prices)
+    return store
+
+
+KEPT = f"{b.RUNS}, {b.PAGES}, kept AS (SELECT pages.*, runs.status FROM pages JOIN runs USING (run_id) WHERE status IN ('completed', 'partial'))"
+
+
+@query(f"WITH {KEPT} SELECT page_id, run_id, CASE WHEN run_id % 2 = 0 THEN title ELSE 'later' END AS title FROM kept WHERE page_id % 10 < 9")
+def snapshots_stored(spark, sf_dir):
+    """What is stored stays, whatever a later commit says of it."""
+    return committed(spark, sf_dir).view().table("snapshots").select("page_id", "run_id", "title")
+
+
+@query(f"""WITH {KEPT} SELECT runs.run_id, runs.status, count(page_id) AS pages, count(page_id) FILTER (page_id % 10 < 9) AS snapshots, sum(price) FILTER (page_id % 10 < 9) AS prices
+FROM runs LEFT JOIN kept USING (run_id) GROUP BY ALL""")
+def crawls_committed(spark, sf_dir):
+    """Runs, pages, snapshots and prices as of one commit: runs that failed have left nothing but themselves."""
+    view = committed(spark, sf_dir).view()
+    count = lambda name: view.table(name).groupBy("run_id").agg(F.count(F.lit(1)).alias(name))
+    total = view.table("prices").groupBy("run_id").agg(F.sum(F.col("amount").cast("decimal(18, 2)")).alias("prices"))
+    joined = view.table("runs").join(count("pages"), "run_id", "left").join(count("snapshots"), "run_id", "left").join(total, "run_id", "left")
+    return joined.select("run_id", "status", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("pages", "snapshots")), "prices")
 
 
 SITE_CASES = [("n", "https://example.com"), (" ", ""), ("n", " http://example.com:8080/x "), ("n", "https://exa mple.com"), ("n", "https://example.com:x/"), ("n", "example.com"), ("n", "ftp://example.com"), ("", "https://u:p@example.com/"), ("n", "https://example.com:99999"), ("n", "https:///x"), ("n", "http://[::1]:80/")]

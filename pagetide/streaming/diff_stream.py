@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pagetide.operators import diff, runs as run_ops
+from pagetide.operators.store import in_buckets, near
+from pagetide.plans.storage import exists
 
 
 def appended(events: DataFrame, path: str, runs: DataFrame, key: tuple[str, ...]) -> None:
-    """Appends the events that path doesn't have yet, of which only those of the same runs are read."""
+    """Appends the events that path doesn't have yet. They lie in folders by a hash of their run, and of what is stored only the folders of the batch's runs are read."""
     spark = events.sparkSession
-    try:
-        stored = spark.read.parquet(path).join(runs, "current_run_id", "left_semi")
-    except AnalysisException as e:  # nothing has been appended yet
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        stored = events.limit(0)
-    diff.new_events(events, stored, key).write.mode("append").parquet(path)
+    if exists(spark, path):
+        schema = StructType([*events.schema.fields]).add("bucket", "integer")
+        stored = near(spark.read.schema(schema).parquet(path), "current_run_id", runs).join(runs, "current_run_id", "left_semi")
+        events = diff.new_events(events, stored, key)
+    else:  # an empty file, so that a table without events can be read
+        events.limit(0).coalesce(1).write.mode("append").parquet(f"{path}/bucket=0")
+    in_buckets(events, "current_run_id").write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def process_batch(batch: DataFrame, all_runs: DataFrame, pages: DataFrame, path: str, price_path: str | None = None) -> None:
