@@ -1,7 +1,8 @@
 """Link graphs of crawl runs: edges and their states, degrees, PageRank, reachability, structural signals, spanning trees.
 
 Pages are run_id, page_id, sequence_number, url, depth, outcome, http_status, internal_links (null unless outcome is html).
-Whole-graph measures are joins that iterate. Signals and trees are found run by run: a crawl's own page limit bounds its graph.
+Whole-graph measures are joins that iterate. Ranks, signals and trees of runs that a task may hold are found run by run, those
+of larger ones by joins.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagetide.operators import forests
+from pagetide.operators.forests import reachable
 from pagetide.plans.storage import written
 from pagetide.schemas import OUTCOMES
 
@@ -98,7 +101,8 @@ def site_ranks(ids: list[int], targets: list[list[int]], damping: float = DAMPIN
 
 
 def pagerank(nodes: DataFrame, arcs: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, max_iterations: int = MAX_ITERATIONS) -> DataFrame:
-    """run_id, page_id, pagerank: ranks within each run sum to 1. A run's graph is held in one task; see large_pagerank() for graphs that a crawl's limit doesn't bound."""
+    """run_id, page_id, pagerank: ranks within each run sum to 1. A run of up to HELD_PAGES pages is held in one task; larger ones go through large_pagerank()."""
+    nodes, large = by_size(nodes)
     lists = arcs.groupBy("run_id", F.col("source_id").alias("page_id")).agg(F.sort_array(F.collect_list("target_id")).alias("targets"))
     rows = nodes.select("run_id", "page_id").join(lists, ["run_id", "page_id"], "left")
 
@@ -107,7 +111,10 @@ def pagerank(nodes: DataFrame, arcs: DataFrame, damping: float = DAMPING, tolera
         targets = [[] if t is None else [int(x) for x in t] for t in pdf.targets]
         return pd.DataFrame({"run_id": pdf.run_id, "page_id": pdf.page_id, "pagerank": site_ranks([int(i) for i in pdf.page_id], targets, damping, tolerance, max_iterations)})
 
-    return held(rows, "PageRank").groupBy("run_id").applyInPandas(one, "run_id long, page_id long, pagerank double")
+    ranks = rows.groupBy("run_id").applyInPandas(one, "run_id long, page_id long, pagerank double")
+    if large is None:
+        return ranks
+    return ranks.unionByName(large_pagerank(large, arcs.join(large.select("run_id").distinct(), "run_id", "left_semi"), damping, tolerance, max_iterations))
 
 
 def large_pagerank(nodes: DataFrame, arcs: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, max_iterations: int = MAX_ITERATIONS, steps: int = 6) -> DataFrame:
@@ -149,20 +156,6 @@ def starts(pages: DataFrame) -> DataFrame:
     return first.where("f.outcome = 'html'").select("run_id", "f.page_id")
 
 
-def reachable(start: DataFrame, arcs: DataFrame) -> DataFrame:
-    """run_id, page_id, steps: pages that can be reached from each run's start, by widening frontiers."""
-    arcs = written(arcs)
-    seen = frontier = written(start.select("run_id", "page_id", F.lit(0).alias("steps")))
-    k = 0
-    while True:
-        k += 1
-        ahead = arcs.join(frontier.select("run_id", F.col("page_id").alias("source_id")), ["run_id", "source_id"]).select("run_id", F.col("target_id").alias("page_id")).distinct()
-        frontier = written(ahead.join(seen, ["run_id", "page_id"], "left_anti").withColumn("steps", F.lit(k)))
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier) if k % 8 else written(seen.unionByName(frontier))
-
-
 def crawl_order(start_urls: DataFrame, links: DataFrame, max_pages: int, max_depth: int, forbidden: DataFrame | None = None) -> DataFrame:
     """run_id, url, depth, ord, forbidden, limited: a bounded breadth-first crawl over landed links (run_id, url, position, link).
 
@@ -194,12 +187,12 @@ def crawl_order(start_urls: DataFrame, links: DataFrame, max_pages: int, max_dep
 HELD_PAGES = 200_000
 
 
-def held(rows: DataFrame, what: str) -> DataFrame:
-    """rows (run_id, ...), or an error where a run has more than HELD_PAGES, before any task gathers them."""
-    n = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("pages_held"))
-    large = F.raise_error(F.concat(F.lit(f"too many pages in a run for {what}: "), F.col("run_id").cast("string"))).cast("boolean")
-    fits = n.where(F.when(F.col("pages_held") > HELD_PAGES, large).otherwise(F.lit(True)))
-    return rows.join(fits.drop("pages_held"), "run_id")
+def by_size(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows (run_id, ...) of runs that a task may hold, and those of the others if there are any."""
+    large = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HELD_PAGES).select("run_id")
+    if large.isEmpty():
+        return rows, None
+    return rows.join(large, "run_id", "left_anti"), rows.join(large, "run_id", "left_semi")
 
 
 def strong_components(nodes: list[int], out: dict[int, list[int]]) -> list[list[int]]:
@@ -353,7 +346,12 @@ def analyzed(pages: pd.DataFrame, arcs: list[tuple[int, int]], rank: dict[int, f
 
 
 def signals(pages: DataFrame, e: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
-    """run_id, page_id, signals (in order), dead_end_is_page, cycle (its pages in crawl order), stranded. Without ranks, low connectivity isn't judged."""
+    """run_id, page_id, signals (in order), dead_end_is_page, cycle (its pages in crawl order), stranded. Without ranks, low connectivity isn't judged.
+
+    Runs of over HELD_PAGES pages go through large_signals(). As a cycle of theirs may be too large for a row, cycle is null
+    there; large_signals() names it.
+    """
+    pages, large = by_size(pages)
     targets = e.where(F.col("target_id").isNotNull()).groupBy("run_id", F.col("source_id").alias("page_id")).agg(F.collect_list("target_id").alias("targets"))
     rows = pages.select("run_id", "page_id", "sequence_number", "depth", "outcome").join(targets, ["run_id", "page_id"], "left")
     rows = rows.join(ranks, ["run_id", "page_id"], "left") if ranks is not None else rows.withColumn("pagerank", F.lit(None).cast("double"))
@@ -364,7 +362,49 @@ def signals(pages: DataFrame, e: DataFrame, ranks: DataFrame | None = None) -> D
         rank = {int(i): round(r, 9) for i, r in zip(known.page_id, known.pagerank, strict=True)}
         return analyzed(pdf, arcs, rank or None)
 
-    return held(rows, "signals").groupBy("run_id").applyInPandas(one, "run_id long, page_id long, signals array<string>, dead_end_is_page boolean, cycle array<long>, stranded int")
+    found = rows.groupBy("run_id").applyInPandas(one, "run_id long, page_id long, signals array<string>, dead_end_is_page boolean, cycle array<long>, stranded int")
+    if large is None:
+        return found
+    own = e.join(large.select("run_id").distinct(), "run_id", "left_semi")
+    more = large_signals(large, own, ranks).withColumn("cycle", F.lit(None).cast("array<long>")).withColumn("stranded", F.col("stranded").cast("int"))
+    return found.unionByName(more.select(found.columns))
+
+
+def large_signals(pages: DataFrame, e: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
+    """run_id, page_id, signals (in order), dead_end_is_page, trap (the least page_id of the cycle trap that a page is in), stranded: as signals(), by joins, for graphs of any size."""
+    page = ["run_id", "page_id"]
+    pages = written(pages.select(*page, "url", "sequence_number", "depth", "outcome"))
+    nodes, arcs = html_graph(pages, e)
+    nodes, arcs = written(nodes), written(arcs)
+    start = written(starts(pages))
+    first = pages.groupBy("run_id").agg(F.min_by("page_id", "sequence_number").alias("first_id"))
+    reached = forests.reachable(start, arcs)
+    hung = written(forests.subtree_sizes(forests.dominators(reached, arcs)).select(*page, (F.col("size") - 1).alias("below")))
+    parts = written(forests.components(nodes, arcs))
+    ends = parts.join(forests.sinks(parts, arcs), ["run_id", "component"]).select(*page, F.lit(True).alias("ends"), F.when(F.col("cycle"), F.col("component")).alias("trap"))
+    into = arcs.groupBy("run_id", F.col("target_id").alias("page_id")).agg(F.count(F.lit(1)).alias("into"))
+    ways = arcs.select("run_id", F.col("source_id").alias("page_id"), F.lit(True).alias("ways")).distinct()
+    known = ranks.select(*page, F.round("pagerank", 9).alias("rank")) if ranks is not None else pages.select(*page, F.lit(None).cast("double").alias("rank"))
+
+    rows = pages.join(first, "run_id").join(reached.select(*page, F.lit(True).alias("reached")), page, "left").join(hung, page, "left").join(ends, page, "left").join(into, page, "left").join(ways, page, "left").join(known, page, "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    html, is_first = F.col("outcome") == "html", F.col("page_id") == F.col("first_id")
+    rows = written(rows.select(*page, "depth", "rank", "trap", html.alias("html"), is_first.alias("is_first"), yes("reached").alias("reached"), yes("ends").alias("ends"), yes("ways").alias("ways"), F.coalesce("into", F.lit(0)).alias("into"), F.coalesce("below", F.lit(0)).alias("below")))
+    judged = F.col("reached") & ~F.col("is_first")
+    low = forests.nearest_rank(rows.where(judged & F.col("rank").isNotNull()), "rank", 0.2, "low").withColumnRenamed("n", "ranked")
+    deep = forests.nearest_rank(rows.where("reached"), "depth", 0.9, "deep").withColumnRenamed("n", "within")
+    rows = rows.join(low, "run_id", "left").join(deep, "run_id", "left")
+    lost = (F.col("below") >= F.greatest(F.lit(2), F.ceil(F.lit(0.10) * (F.col("within") - 1)))) & judged
+    found = {
+        "low_connectivity": judged & (F.col("ranked") >= LEAST_PAGES) & (F.col("rank") < F.col("low")) & (F.col("into") <= 1),
+        "dead_end": F.col("ends"),
+        "island": F.col("html") & ~F.col("reached") & ~F.col("is_first"),
+        "cycle_trap": F.col("trap").isNotNull(),
+        "anomalous_depth": F.col("reached") & (F.col("within") >= LEAST_PAGES) & (F.col("depth") >= LEAST_DEPTH) & (F.col("depth") > F.col("deep")),
+        "bottleneck": lost,
+    }
+    listed = F.array_compact(F.array(*(F.when(found[s], F.lit(s)) for s in SIGNALS)))
+    return rows.select(*page, listed.alias("signals"), (F.col("ends") & ~F.col("ways")).alias("dead_end_is_page"), "trap", F.when(lost, F.col("below")).otherwise(0).alias("stranded"))
 
 
 def signal_counts(found: DataFrame) -> DataFrame:
@@ -396,7 +436,8 @@ def unlooped(parents: dict[int, int | None], sequence: dict[int, int]) -> dict[i
 
 
 def tree(pages: DataFrame, e: DataFrame) -> DataFrame:
-    """run_id, page_id, parent_id, root_id, level: the spanning forest, whose roots are the start and pages that nothing outside their cycle links to."""
+    """run_id, page_id, parent_id, root_id, level: the spanning forest, whose roots are the start and pages that nothing outside their cycle links to. Runs of over HELD_PAGES pages go through large_tree()."""
+    pages, large = by_size(pages)
     rows = first_parents(pages, e).join(pages.select("run_id", "page_id", "sequence_number"), ["run_id", "page_id"])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -415,7 +456,14 @@ def tree(pages: DataFrame, e: DataFrame) -> DataFrame:
         ids = sorted(up, key=sequence.__getitem__)
         return pd.DataFrame({"run_id": pdf.run_id.iloc[0], "page_id": ids, "parent_id": pd.array([up[v] for v in ids], "Int64"), "root_id": [at[v][0] for v in ids], "level": [at[v][1] for v in ids]})
 
-    return held(rows, "its tree").groupBy("run_id").applyInPandas(one, "run_id long, page_id long, parent_id long, root_id long, level int")
+    found = rows.groupBy("run_id").applyInPandas(one, "run_id long, page_id long, parent_id long, root_id long, level int")
+    return found if large is None else found.unionByName(large_tree(large, e))
+
+
+def large_tree(pages: DataFrame, e: DataFrame) -> DataFrame:
+    """As tree(), by doubling pointers, for graphs of any size and chains of any length."""
+    parents = first_parents(pages, e).join(pages.select("run_id", "page_id", "sequence_number"), ["run_id", "page_id"])
+    return forests.levels(forests.loops_cut(written(parents)))
 
 
 def layout(pages: DataFrame, radius: float = 285.0, centre: tuple[float, float] = (450.0, 330.0), most: int = 100) -> DataFrame:

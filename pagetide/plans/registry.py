@@ -448,6 +448,21 @@ def bottlenecks(spark, sf_dir):
     return graph.signals(pages, graph.edges(pages)).where(F.array_contains("signals", "bottleneck")).select("run_id", "page_id", "stranded")
 
 
+@query(ORACLE_SQL["structure_tree"])
+def structure_tree_joined(spark, sf_dir):
+    """The forest of runs of any size."""
+    pages = b.graph_pages(spark, sf_dir)
+    return graph.large_tree(pages, graph.edges(pages))
+
+
+@query(ORACLE_SQL["scc_signals"])
+def structure_signals_joined(spark, sf_dir):
+    """Components, traps, islands and dominators of runs of any size."""
+    pages = b.graph_pages(spark, sf_dir)
+    return graph.signal_counts(graph.large_signals(pages, graph.edges(pages)))
+
+
+
 @query(f"""{b.GRAPH}, n AS (SELECT *, -pi() / 2 + 2 * pi() * (row_number() OVER (PARTITION BY run_id ORDER BY sequence_number) - 1) / count(*) OVER (PARTITION BY run_id) AS angle FROM gpages)
 SELECT run_id, page_id, round(450.0 + 285.0 * cos(angle), 2) AS x, round(330.0 + 285.0 * sin(angle), 2) AS y FROM n""")
 def graph_layout(spark, sf_dir):
