@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
+from pagetide.plans import storage
 from pagetide.plans.storage import shared_dir
 
 #: Words are runs of anything but ASCII white space; bytes.split() cuts at the same six characters.
@@ -23,8 +25,8 @@ def content(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-#: For each open scratch(), the folders written within it.
-_OPEN: list[list[str]] = []
+#: The folders written within the scratch() that is open in this thread or task, if any. Work in other threads has its own.
+_OPEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -35,25 +37,26 @@ def written(df: DataFrame) -> DataFrame:
     """
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if (own := _OPEN.get()) is not None:
+        own.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def removed(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        storage.removed(spark, path)
 
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """Removes, at its end, what is written within it. For work whose result is itself written outside of it, or collected."""
-    _OPEN.append([])
+    """Removes, at its end, what this thread has written within it. For work whose result is itself written outside of it, or collected."""
+    own: list[str] = []
+    outer = _OPEN.set(own)
     try:
         yield
     finally:
-        removed(spark, _OPEN.pop())
+        _OPEN.reset(outer)
+        removed(spark, own)
 
 
 def numbered(df: DataFrame) -> DataFrame:
