@@ -59,6 +59,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     The payload is the html in UTF-8, null counts as empty. Of equal payloads of at least revisit_bytes, the largest id's is
     a response and others revisit it; rows that repeat it are responses under one name. Control characters and spaces of a url are written as %20; a null url is
     empty. A null id is named by its url and payload. Other columns aren't read.
+
+    An archive's payloads have ARCHIVE_BYTES at most and one payload more, wherever large pages lie.
     """
     rows = captures(pages, id_col, url_col, html_col, revisit_bytes)
     key = F.concat_ws("-", F.coalesce(F.col("id").cast("string"), F.md5("url")), "digest")
@@ -75,9 +77,12 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     revisit = record("revisit", name, [target, ("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", record_id("response", F.concat_ws("-", F.col("refers_to").cast("string"), "digest"))), digest, http], answer)
     request = record("request", record_id("request", key), [target, ("WARC-Concurrent-To", name), ("Content-Type", F.lit("application/http; msgtype=request"))], F.concat(F.lit("GET "), path_of, F.lit(f" HTTP/1.1{CRLF}Host: "), host, F.lit(CRLF + CRLF)))
     about = record("metadata", record_id("metadata", key), [target, ("WARC-Concurrent-To", name), ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("page-id: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(f"{CRLF}payload-length: "), size, F.lit(CRLF)))
-    lines = rows.select(F.explode(F.array(request, F.when(again, revisit).otherwise(response), about)).alias("value"))
     n, total = pages.agg(F.count(F.lit(1)), F.sum(F.octet_length(content(html_col)))).first()
     captured = max(1, min(ARCHIVE_CAPTURES, ARCHIVE_BYTES * n // max(1, total or 0)))
+    # The writer counts rows, so a row stands for so many bytes: a larger payload is followed by empty rows, which are blank lines.
+    share = max(1, ARCHIVE_BYTES // (3 * captured))
+    blank = F.array_repeat(F.lit(""), F.when(again, 0).otherwise(F.greatest(F.lit(0), F.ceil(F.octet_length("payload") / share) - 3)).cast("int"))
+    lines = rows.select(F.explode(F.concat(F.array(request, F.when(again, revisit).otherwise(response), about), blank)).alias("value"))
     lines.write.option("lineSep", CRLF + CRLF).option("compression", compression).option("maxRecordsPerFile", 3 * captured).text(path)
 
 

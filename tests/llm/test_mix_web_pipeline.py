@@ -177,6 +177,19 @@ def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "w").glob("part*"))) >= 3 and warc.transactions(spark, str(tmp_path / "w")).count() == 8
 
 
+def test_large_pages_that_lie_together(spark, tmp_path, monkeypatch):
+    """Many small pages and some neighbouring large ones: by their mean, all large ones would go to one archive."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 40_000)
+    rows = [(i, f"https://e.org/{i}", f"{i} " * (4000 if 50 <= i < 70 else 5)) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "w"), compression="none")
+    sizes = [p.stat().st_size for p in (tmp_path / "w").glob("part*")]
+    largest = max(len(r[2]) for r in rows)
+    assert max(sizes) < 2 * (40_000 + largest) and len(sizes) >= sum(len(r[2]) for r in rows) // (40_000 + largest)
+    got = warc.transactions(spark, str(tmp_path / "w"))
+    assert sorted(bytes(r.response.payload).decode() for r in got.collect()) == sorted(r[2] for r in rows)
+
+
 def test_warc_of_no_pages(spark, tmp_path):
     spark.createDataFrame([], PAGES).write.parquet(str(tmp_path / "pages.parquet"))
     assert warc.op7_warc(spark, str(tmp_path)).count() == 0

@@ -236,3 +236,16 @@ def test_scores_do_not_depend_on_other_columns(spark):
     a = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
     b = {r.doc_id: r.score for r in quality.classify(docs.withColumns({"lang": F.lit("x"), "source": F.lit("y"), "n_chars": F.lit(0)}), labels).collect()}
     assert a == b
+
+
+def test_a_labelled_id_trains_once_however_often_it_is_there(spark, monkeypatch):
+    """What comes to the driver is bounded by labelled ids, not by the rows that repeat them."""
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, good: seen.append((len(x), int(good.sum()))) or fit(x, good))
+    docs = spark.createDataFrame([(3, f"text {i}") for i in range(300)] + [(i, f"some words {i}") for i in range(40)] + [(None, "x")], DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 3, "doc_id long, quality int")
+    a = quality.train(docs.repartition(5), labels)
+    b = quality.train(docs.repartition(2), labels)
+    ids = docs.select("doc_id").distinct().where("doc_id IS NOT NULL").where(~quality.held_out()).count()
+    assert seen[0] == seen[1] and seen[0][0] == ids and a["weights"].tolist() == b["weights"].tolist()
