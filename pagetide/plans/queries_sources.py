@@ -12,7 +12,8 @@ from pagetide.operators import crawl, diff, metrics
 from pagetide.operators import runs as run_ops
 from pagetide.plans import bindings as b
 from pagetide.plans.registry import FOLDED, query
-from pagetide.sources import csv_pages, payloads
+from pagetide.plans.storage import shared_dir
+from pagetide.sources import csv_pages, landed, payloads
 from pagetide.sources.pages import extract_pages
 
 def eid():
@@ -266,3 +267,18 @@ def run_titles(spark, sf_dir):
     rows = b.runs(spark, sf_dir)
     after = run_ops.interrupted(rows.withColumn("status", F.when(F.col("status") == "failed", "running").otherwise(F.col("status")))).select("run_id", F.col("status").alias("recovered"))
     return rows.select("run_id", titles.title(titles.RUN_STATUS, F.col("status"), titles.STATUS_UNKNOWN).alias("title")).join(after, "run_id")
+
+
+@query("""SELECT url, CASE page_id % 5 WHEN 0 THEN 'http_error' WHEN 1 THEN 'redirect' WHEN 2 THEN 'non_html' ELSE 'html' END AS outcome, CASE WHEN page_id % 5 > 2 THEN html END AS html,
+CAST(octet_length(encode(html)) AS BIGINT) AS body_bytes FROM pages""")
+def landed_outcomes(spark, sf_dir):
+    """The pages as responses of all kinds in WARC files, read back through the data source."""
+    landed.register(spark)
+    kind = F.col("page_id") % 5
+    status = F.when(kind == 0, "404 Not Found").when(kind == 1, "302 Found").otherwise("200 OK")
+    head = F.concat(F.lit("HTTP/1.1 "), status, F.lit("\r\nContent-Type: "), F.when(kind == 2, "application/pdf").otherwise("text/html"), F.lit("\r\n\r\n"))
+    block = F.concat(head, "html")
+    record = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "), "url", F.lit("\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block)
+    path = shared_dir(spark)
+    b.table(spark, sf_dir, "pages").select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    return landed.with_outcome(spark.read.format("landed_crawl").load(path)).select("url", "outcome", "html", "body_bytes")
