@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagetide.functions import calendar
-from pagetide.operators import diff, feed, graph, paging, schedule, sites, sync
+from pagetide.operators import connections, diff, feed, graph, paging, schedule, sites, sync
 from pagetide.operators import runs as run_ops
 from pagetide.plans import bindings as b
 from pagetide.plans.registry import query
@@ -356,6 +356,63 @@ def sync_disconnected(spark, sf_dir):
     return sync.disconnected(connections, gone)
 
 
+def services(spark, sf_dir):
+    """A connection for each customer, with as many sources, runs and revisions as its key says."""
+    key = F.col("c_custkey")
+    rows = b.table(spark, sf_dir, "customer").select(key.alias("connection_id"), key.alias("site_id"), F.lit("search").alias("provider"), F.when(key % 7 == 0, "disconnected").otherwise("connected").alias("status"), (key % 3).cast("int").alias("revision"), moment(F.lit(0)).alias("updated_at"))
+    each = lambda n: rows.select("connection_id", F.explode(F.sequence(F.lit(0), n)).alias("v")).where("v > 0")
+    versions = each(F.col("revision")).withColumn("last", F.col("connection_id") % 3)
+    sources = versions.select((F.col("connection_id") * 10 + F.col("v")).alias("source_id"), "connection_id", F.lit("search").alias("provider"), "v", F.concat(F.lit("r"), F.col("v").cast("string")).alias("resource_id"), F.lit("R").alias("resource_label"), (F.col("v") == F.col("last")).alias("active")).withColumnRenamed("v", "version")
+    runs = each((F.col("connection_id") % 4).cast("int")).select((F.col("connection_id") * 10 + F.col("v")).alias("id"), "connection_id", F.lit(None).cast("long").alias("source_id"), F.lit("manual").alias("trigger"), F.when(F.col("v") == 1, "pending").when(F.col("v") == 2, "running").otherwise("completed").alias("status"), moment(F.lit(0)).alias("created_at"), F.lit(None).cast("timestamp").alias("completed_at"), F.lit("").alias("message"))
+    schedules = rows.where("connection_id % 2 = 0").select("connection_id", F.lit(True).alias("enabled"), F.lit("daily").alias("frequency"), F.lit(1).alias("local_weekday"), F.lit("08:00").alias("local_time"), moment(F.lit(5)).alias("next_run_at"))
+    return connections.Tables(rows, sources, runs, schedules)
+
+
+SERVICES = """WITH conn AS (SELECT c_custkey AS id, c_custkey % 2 = 0 AS own, c_custkey % 7 > 0 AS open, CAST(c_custkey % 3 AS INT) AS revision FROM customer),
+src AS (SELECT id AS connection_id, CAST(v AS INT) AS version, 'r' || v AS resource_id, v = revision AS active FROM conn, range(1, 3) t(v) WHERE v <= revision),
+run AS (SELECT id * 10 + v AS id, id AS connection_id, CASE v WHEN 1 THEN 'pending' WHEN 2 THEN 'running' ELSE 'completed' END AS status FROM conn, range(1, 4) t(v) WHERE v <= id % 4),
+choice AS (SELECT id, 'r' || id % 4 AS resource_id, CASE WHEN NOT own OR NOT open OR id % 11 = 0 THEN 'connection_changed' WHEN id % 13 = 0 AND revision > 0 THEN 'stale_resource' END AS reason, revision FROM conn),
+made AS (SELECT id, resource_id, revision FROM choice WHERE reason IS NULL AND NOT (revision > 0 AND resource_id = 'r' || revision))"""
+
+
+def taken(spark, sf_dir):
+    """Each connection is to take another resource; some ask of an older revision, some of another source."""
+    key, tables = F.col("connection_id"), services(spark, sf_dir)
+    source = F.when((F.col("revision") > 0) & (key % 13 != 0), key * 10 + F.col("revision"))
+    choices = tables.connections.select(key.alias("choice_id"), "connection_id", F.when(key % 11 == 0, F.col("revision") + 1).otherwise(F.col("revision")).alias("revision"), source.alias("expected_source_id"), F.concat(F.lit("r"), (key % 4).cast("string")).alias("resource_id"), F.lit("R").alias("resource_label"), (key * 10 + 9).alias("source_id"), (key * 10 + 9).alias("run_id"))
+    return connections.chosen(tables, b.sites(spark, sf_dir), choices, moment(F.lit(9)))
+
+
+@query(f"""{SERVICES} SELECT connection_id, version, resource_id, active AND connection_id NOT IN (SELECT id FROM made) AS active FROM src
+UNION ALL SELECT id, revision + 1, resource_id, true FROM made""")
+def sources_chosen(spark, sf_dir):
+    return taken(spark, sf_dir)[0].sources.select("connection_id", "version", "resource_id", "active")
+
+
+@query(f"{SERVICES} SELECT id AS connection_id, reason FROM choice WHERE reason IS NOT NULL")
+def sources_refused(spark, sf_dir):
+    return taken(spark, sf_dir)[1].select("connection_id", "reason")
+
+
+@query(f"""{SERVICES} SELECT connection_id, id, CASE WHEN status = 'pending' AND connection_id IN (SELECT id FROM made) THEN 'cancelled' ELSE status END AS status FROM run
+UNION ALL SELECT id, id * 10 + 9, 'pending' FROM made""")
+def sources_chosen_runs(spark, sf_dir):
+    return taken(spark, sf_dir)[0].runs.select("connection_id", "id", "status")
+
+
+@query(f"""{SERVICES}, gone AS (SELECT id FROM conn WHERE own AND id % 5 < 3) SELECT conn.id AS connection_id, CASE WHEN NOT open OR conn.id IN (FROM gone) THEN 'disconnected' ELSE 'connected' END AS status, CAST(revision + CAST(conn.id IN (FROM gone) AS INT) AS INT) AS revision,
+CAST(count(run.id) FILTER (run.status = 'pending' AND conn.id IN (FROM gone)) AS BIGINT) AS cancelled, own AND conn.id NOT IN (FROM gone) AS enabled FROM conn LEFT JOIN run ON run.connection_id = conn.id GROUP BY ALL""")
+def sources_disconnected(spark, sf_dir):
+    """What closing connections does to their runs and schedules."""
+    tables = services(spark, sf_dir)
+    key = F.col("connection_id")
+    gone = tables.connections.where(key % 5 < 4).select("site_id", "provider", F.when(key % 5 == 3, F.col("revision") + 1).when(key % 5 == 2, F.col("revision")).alias("revision"))
+    out, _ = connections.disconnected(tables, b.sites(spark, sf_dir), gone, moment(F.lit(9)))
+    stopped = out.runs.where("status = 'cancelled'").groupBy("connection_id").agg(F.count(F.lit(1)).alias("cancelled"))
+    rows = out.connections.join(stopped, "connection_id", "left").join(out.schedules.select("connection_id", "enabled"), "connection_id", "left")
+    return rows.select("connection_id", "status", "revision", F.coalesce("cancelled", F.lit(0)).alias("cancelled"), F.coalesce("enabled", F.lit(False)).alias("enabled"))
+
+
 @query("SELECT CAST(1 AS BIGINT) AS connection_id, CAST(v AS INT) AS version, 'r' || v AS resource, v = 3 AS active FROM range(1, 4) t(v)")
 def source_versions(spark, sf_dir):
     """A connection takes one resource after another, the last one twice."""
