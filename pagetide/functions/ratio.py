@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 
 def gcd(a: Column, b: Column) -> Column:
-    """Euclid's steps over a fixed sequence: 96 are enough for any two longs."""
+    """Euclid's steps, of which five for each digit of the smaller number are enough, and one to put the larger first."""
     start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
     step = lambda s, _: F.struct(F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"), F.when(s["b"] == 0, F.lit(0).cast("long")).otherwise(s["a"] % s["b"]).alias("b"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(96)), start, step, lambda s: s["a"])
+    return F.aggregate(F.sequence(F.lit(0), 5 * F.length(F.least(a, b).cast("string")) + 1), start, step, lambda s: s["a"])
 
 
 def reduced(numerator: Column, denominator: Column) -> Column:

@@ -71,29 +71,29 @@ def one_sided(pairs: DataFrame, pages: DataFrame, added: bool) -> DataFrame:
     return own.join(pages.select(F.col("run_id").alias(far), "url"), [far, "url"], "left_anti").select("current_run_id", "previous_run_id", "url", "page_id")
 
 
-def text_change(cur: Column, prev: Column) -> Column:
-    """struct(distance, num, den), or null if the texts are the same. Hashes that are stored aren't trusted: the texts are compared."""
-    change = F.when(~cur.eqNullSafe(prev), distance(cur, prev))
-    whole = F.greatest(F.length(cur), F.length(prev))
-    r = ratio.reduced(change, whole)
-    return F.when(change > 0, F.struct(change.alias("distance"), r["num"].alias("num"), r["den"].alias("den")))
+def with_ratio(rows: DataFrame, part: str, whole: str, name: str, **more: Column) -> DataFrame:
+    """rows with name: struct(more, num, den), the ratio of two columns in lowest terms, or null where the part isn't positive. Each value is a column of its own, as what a condition guards would be computed once for each use of it."""
+    some, g = F.col(part) > 0, f"{name}__gcd"
+    rows = rows.withColumn(g, F.when(some, ratio.gcd(F.col(part), F.col(whole))))
+    lowest = {k: F.expr(f"{c} div {g}") for k, c in (("num", part), ("den", whole))}
+    return rows.withColumn(name, F.when(some, F.struct(*(c.alias(k) for k, c in {**more, **lowest}.items())))).drop(g)
 
 
-def once(value: Column, then) -> Column:
-    """then(value), with value computed a single time however often then uses it: expressions within a condition aren't shared otherwise."""
-    return F.element_at(F.transform(F.array(value), then), 1)
+def with_text_change(rows: DataFrame, cur: Column, prev: Column, name: str) -> DataFrame:
+    """rows with name: struct(distance, num, den), or null if the texts are the same or one is missing. Hashes that are stored aren't trusted: the texts are compared."""
+    differ = cur.isNotNull() & prev.isNotNull() & (cur != prev)
+    part, whole = f"{name}__distance", f"{name}__whole"
+    rows = rows.withColumns({part: F.when(differ, distance(cur, prev)), whole: F.when(differ, F.greatest(F.length(cur), F.length(prev)))})
+    return with_ratio(rows, part, whole, name, distance=F.col(part)).drop(part, whole)
 
 
-def link_change(cur: Column, prev: Column) -> Column:
-    """struct(added, removed, num, den), or null if the sets are the same. Two passes over both lists and one over the first; only what changed is sorted."""
-    parts = F.struct(F.array_except(cur, prev).alias("added"), F.array_except(prev, cur).alias("removed"), F.size(F.array_distinct(cur)).alias("now"))
-
-    def told(p):
-        moved = F.size(p["added"]) + F.size(p["removed"])
-        whole = once(ratio.reduced(moved, p["now"] + F.size(p["removed"])), lambda r: F.struct(F.array_sort(p["added"]).alias("added"), F.array_sort(p["removed"]).alias("removed"), r["num"].alias("num"), r["den"].alias("den")))
-        return F.when(moved > 0, whole)
-
-    return once(parts, told)
+def with_link_change(rows: DataFrame, cur: Column, prev: Column, name: str) -> DataFrame:
+    """rows with name: struct(added, removed, num, den), or null if the sets are the same or one is missing. A pass over both lists for each side, and one over the first where they differ; only what changed is sorted."""
+    added, removed, part, whole = (f"{name}__{x}" for x in ("added", "removed", "moved", "whole"))
+    rows = rows.withColumns({added: F.array_except(cur, prev), removed: F.array_except(prev, cur)})
+    rows = rows.withColumn(part, F.when(F.col(added).isNotNull(), F.size(added) + F.size(removed)))
+    rows = rows.withColumn(whole, F.when(F.col(part) > 0, F.size(F.array_distinct(cur)) + F.size(removed)))
+    return with_ratio(rows, part, whole, name, added=F.sort_array(added), removed=F.sort_array(removed)).drop(added, removed, part, whole)
 
 
 def price_profile(prices: Column) -> Column:
@@ -130,11 +130,11 @@ def all_events(pages: DataFrame, kinds: Iterable[str] | None = None, sides: bool
     events += [event(f"{f}_changed", F.lit(w), both & ~cur[f].eqNullSafe(prev[f])) for f, w in METADATA_WEIGHTS.items() if f in fields and f"{f}_changed" in asked]
     rows = pages
     if "normalized_text" in fields and "text_changed" in asked:
-        rows = rows.withColumn("__text", F.when(both, text_change(cur["normalized_text"], prev["normalized_text"])))
+        rows = with_text_change(rows, cur["normalized_text"], prev["normalized_text"], "__text")
         t = F.col("__text")
         events.append(event("text_changed", F.when(t.isNotNull(), ratio.weight(t["num"], t["den"])), t.isNotNull(), t["distance"], t["num"], t["den"]))
     if "internal_links" in fields and "internal_links_changed" in asked:
-        rows = rows.withColumn("__links", F.when(both, link_change(cur["internal_links"], prev["internal_links"])))
+        rows = with_link_change(rows, cur["internal_links"], prev["internal_links"], "__links")
         k = F.col("__links")
         events.append(event("internal_links_changed", F.when(k.isNotNull(), ratio.weight(k["num"], k["den"])), k.isNotNull(), none, k["num"], k["den"]))
     if "prices" in fields and "price_changed" in asked:

@@ -118,7 +118,7 @@ def metadata_changes(spark, sf_dir):
 CAST(n // gcd(n, d) AS BIGINT) AS ratio_numerator, CAST(d // gcd(n, d) AS BIGINT) AS ratio_denominator, {b.WEIGH.format(n="n", d="d")} AS weight FROM linkd WHERE n > 0""")
 def link_set_changes(spark, sf_dir):
     rows = matched(spark, sf_dir, ["internal_links"]).where("cur IS NOT NULL AND prev IS NOT NULL")
-    c = rows.select("current_run_id", "url", diff.link_change(F.col("cur.internal_links"), F.col("prev.internal_links")).alias("c")).where("c IS NOT NULL")
+    c = diff.with_link_change(rows, F.col("cur.internal_links"), F.col("prev.internal_links"), "c").where("c IS NOT NULL")
     return c.select("current_run_id", "url", F.array_join("c.added", " ").alias("added"), F.array_join("c.removed", " ").alias("removed"), F.col("c.num").alias("ratio_numerator"), F.col("c.den").alias("ratio_denominator"), ratio.weight(F.col("c.num"), F.col("c.den")).alias("weight"))
 
 
