@@ -403,26 +403,60 @@ class _Spread:
         return self.bits[plane] * ALL
 
 
-def whole_blocks(batches, binary: int | None = None):
-    """Columns as arrays, of whole blocks of rows sorted by the first column; and where each row's block begins and ends. binary: the column that holds bytes, if one does."""
+def whole_blocks(batches, binary: int | None = None, most: int | None = None):
+    """Columns as arrays, of whole blocks of rows sorted by the first column; and where each row's block begins and ends. binary: the column that holds bytes, if one does. most: a block of more rows comes in pieces of so many."""
     left = None
     for batch in _ended(batches):
         own = None if batch is None else [np.array(c.to_pylist(), object) if k == binary else np.asarray(c) for k, c in enumerate(batch.columns)]
         rows = own if left is None else left if own is None else [np.concatenate(x) for x in zip(left, own, strict=True)]
         if rows is None or not len(rows[0]):
             continue
-        last = len(rows[0]) if batch is None else int(np.searchsorted(rows[0], rows[0][-1]))
+        open_at = int(np.searchsorted(rows[0], rows[0][-1]))
+        last = len(rows[0]) if batch is None else open_at + (0 if most is None else (len(rows[0]) - open_at) // most * most)
         left, rows = [c[last:] for c in rows], [c[:last] for c in rows]
         if last:
             cut = np.concatenate([[0], np.flatnonzero(np.diff(rows[0])) + 1, [last]])
+            if most is not None:
+                cut = np.unique(np.concatenate([cut, *(np.arange(i, j, most) for i, j in zip(cut[:-1], cut[1:], strict=True) if j - i > most)]))
             yield rows, np.repeat(cut[:-1], np.diff(cut)), np.repeat(cut[1:], np.diff(cut))
 
 
+def trees(batches, fan: int, most: int):
+    """block, fp, up for rows (block, place, fp, n) sorted by block: in each block, the fingerprint that each row is compared with, as a tree of so many branches; null where sizes forbid similarity. Of a block of more than most rows, each piece's first row is compared with that of the piece before."""
+    block_before = root_before = size_before = None
+    for (block, _, fp, size), start, end in whole_blocks(batches, most=most):
+        at = np.arange(len(block))
+        up = np.where(at > start, start + (at - start - 1) // fan, at)
+        over, over_size = fp[up], size[up]
+        linked, many = at > start, end - start > 1
+        first = 0
+        while first < len(block):  # pieces: a block's second one goes on with the first
+            if block[first] == block_before:
+                over[first], over_size[first], linked[first], many[first] = root_before, size_before, True, True
+            block_before, root_before, size_before = block[first], fp[first], size[first]
+            first = int(end[first])
+        fits = many & linked & sizes_fit(size, over_size)
+        yield block[many], fp[many], over[many], fits[many]
+
+
+def tiled(asked: DataFrame, tile: int) -> DataFrame:
+    """asked (block, ...), with a block of more than so many rows as blocks of two tiles each, dealt by fingerprint: each two rows meet in one of them at least, and no task compares more."""
+    sizes = asked.groupBy("block").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > tile).select("block", F.ceil(F.col("members") / tile).cast("int").alias("tiles"))
+    rows = asked.join(sizes, "block", "left").withColumn("tile", F.pmod(F.xxhash64("fp"), F.coalesce("tiles", F.lit(1))))
+    each = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)))
+    pair = F.xxhash64("block", F.least("tile", "other"), F.greatest("tile", "other"))
+    return each.select(F.when(F.col("tiles").isNull(), F.col("block")).otherwise(pair).alias("block"), *(c for c in asked.columns if c != "block"))
+
+
 def _ended(batches):
     yield from batches
     yield None
 
 
+#: Members of a block that are compared in a task, and rows of a block that a tree is made of.
+TILE, PIECE = 8192, 65_536
+
+
 def similar_pairs(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) of nodes that are similar, by comparing their shingles."""
 
@@ -464,7 +498,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts that share a band of min-wise hashes are a block. In each block, some pairs are compared that would connect it if
     all were similar, so that a large group of near copies takes as many comparisons as it has members. Then the wide
     fingerprints of what is still in different components are compared bit-sliced, all with all; only pairs within the
-    radius leave the task, and their shingles are compared. The radius is one that no similar pair exceeds.
+    radius leave the task, and their shingles are compared. The radius is one that no similar pair exceeds. A block of more
+    than TILE members is compared in many tasks, by pairs of tiles, and no task holds more than two of them.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -478,13 +513,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp), pa.array([len(x) for x in found], pa.int64()), prints, keys], ["doc_id", "digest", "fp", "n", "wide", "bands"])
 
     def tree(batches):
-        for (block, _, fp, size), start, end in whole_blocks(batches):
-            at = np.arange(len(block))
-            up = np.where(at > start, start + (at - start - 1) // FAN, at)
-            many = end - start > 1
-            fits = many & (at > start) & sizes_fit(size, size[up])
-            up = pa.array(fp[up][many], pa.int64(), mask=~fits[many])
-            yield pa.RecordBatch.from_arrays([pa.array(block[many]), pa.array(fp[many]), up], ["block", "fp", "up"])
+        for block, fp, up, fits in trees(batches, FAN, PIECE):
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(fp), pa.array(up, pa.int64(), mask=~fits)], ["block", "fp", "up"])
 
     def rest(batches):
         for (_, fp, size, root, prints), start, _ in whole_blocks(batches, 4):
@@ -503,7 +533,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = written(shared.select("block", "fp").join(roots, shared.fp == roots.node, "left").select("block", "fp", F.coalesce("root", "fp").alias("root")))
     open_blocks = named.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("block")
     asked = named.join(open_blocks, "block").join(nodes.select("fp", "n", "wide"), "fp").select("block", "fp", "n", "root", "wide")
-    second = written(asked.repartition(n, "block").sortWithinPartitions("block", "fp").mapInArrow(rest, "a long, b long").distinct())
+    second = written(tiled(asked, TILE).repartition(n, "block").sortWithinPartitions("block", "fp").mapInArrow(rest, "a long, b long").distinct())
     if not second.isEmpty():
         links = written(similar_pairs(docs, nodes, second, id_col, text_col)).unionByName(links)
     return named_by(sketches.select("doc_id", "digest", "fp"), nodes.select("fp", "least"), links)

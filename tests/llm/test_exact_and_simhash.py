@@ -274,3 +274,63 @@ def test_long_chain_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(1000, 1001), (7, 7)], "a long, b long")
     roots = {r.node: r.root for r in simhash.components(links).collect()}
     assert roots == {i: 0 for i in range(61)} | {1000: 1000, 1001: 1000}
+
+
+def test_trees_of_blocks_in_pieces():
+    """Whatever the pieces and batches, a block's members are one tree; singles are left out."""
+    import pyarrow as pa
+
+    rnd = random.Random(4)
+    rows = sorted((block, place, rnd.randrange(2**40)) for block, n in ((3, 1), (5, 50), (6, 2), (7, 33), (9, 1), (11, 17)) for place in range(n))
+    columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)] + [pa.array([10] * len(rows), pa.int64())]
+    whole = pa.RecordBatch.from_arrays(columns, ["block", "place", "fp", "n"])
+    for most in (2, 16, 33, 1000):
+        for step in (1, 7, 200):
+            batches = [whole.slice(k, step) for k in range(0, len(rows), step)]
+            got = [(int(b), int(f), int(u), bool(x)) for out in simhash.trees(batches, 3, most) for b, f, u, x in zip(*out, strict=True)]
+            by = {}
+            for b, f, u, x in got:
+                by.setdefault(b, []).append((f, u, x))
+            assert {b: len(x) for b, x in by.items()} == {5: 50, 6: 2, 7: 33, 11: 17}
+            for links in by.values():
+                assert sum(not x for *_, x in links) == 1  # the root
+                root = {f: f for f, _, _ in links}
+
+                def top(v, root=root):
+                    while root[v] != v:
+                        v = root[v]
+                    return v
+
+                for f, u, x in links:
+                    if x:
+                        root[top(f)] = top(u)
+                assert len({top(f) for f in root}) == 1
+
+
+def test_tiles_bring_all_pairs_together(spark):
+    rows = [(1, i) for i in range(100)] + [(2, 1000 + i) for i in range(7)] + [(3, 5)]
+    asked = spark.createDataFrame(rows, "block long, fp long").withColumn("n", F.lit(1))
+    dealt = {}
+    for r in simhash.tiled(asked, 10).collect():
+        dealt.setdefault(r.block, set()).add(r.fp)
+    met = {frozenset((a, b)) for own in dealt.values() for a in own for b in own}
+    for block in (1, 2, 3):
+        own = [f for b, f in rows if b == block]
+        assert all(frozenset((a, b)) in met for a in own for b in own)
+    assert dealt[2] == set(range(1000, 1007)) and max(map(len, dealt.values())) < 60 and len(dealt) == 55 + 2
+
+
+def test_near_groups_of_large_blocks(spark, monkeypatch):
+    """Near copies among texts that share a long passage, hence bands: the same groups however small the tiles and pieces."""
+    rnd = random.Random(5)
+    common = [f"c{k}" for k in range(60)]
+    texts = []
+    for k in range(40):
+        own = [f"o{k}_{j}" for j in range(rnd.choice([3, 10, 14, 20]))]
+        texts += [" ".join(common + own), " ".join([*common, *own, "end"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(tuple, simhash.similar_groups(docs).collect()), key=str)
+    monkeypatch.setattr(simhash, "TILE", 4)
+    monkeypatch.setattr(simhash, "PIECE", 5)
+    got = sorted(map(tuple, simhash.similar_groups(docs.repartition(3)).collect()), key=str)
+    assert got == want
