@@ -43,10 +43,31 @@ NOTIFICATION = {
 NOTIFICATION_UNKNOWN = "неизвестно"
 
 
+ENTRY_STATUS = {
+    "pending": "Ожидает",
+    "running": "Выполняется",
+    "completed": "Завершён",
+    "partial": "Завершён частично",
+    "deferred": "Отложен",
+    "failed": "Ошибка",
+    "interrupted": "Прерван",
+    "missed": "Пропущен",
+    "cancelled": "Отменён",
+}
+FREQUENCY = {"daily": "Ежедневно", "weekly": "Еженедельно"}
+#: From Monday on.
+WEEKDAYS = ("Понедельник", "Вторник", "Среда", "Четверг", "Пятница", "Суббота", "Воскресенье")
+
+
 def title(table: dict[str, str], key: Column, unknown: str) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[key], F.lit(unknown))
 
 
+def weekday_title(day: Column) -> Column:
+    """The name of a weekday, 0 being Monday; null for what is none."""
+    return F.get(F.array(*map(F.lit, WEEKDAYS)), day)
+
+
 def count_text(n: Column, one: str, few: str, many: str) -> Column:
     """A count with its noun in the form that the number asks for."""
     tens, ones = n % 100, n % 10

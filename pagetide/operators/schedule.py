@@ -48,6 +48,29 @@ def retries(entries: DataFrame) -> DataFrame:
     return entries.where(F.col("status").isin(*RETRYABLE)).select("site_id", F.col("id").alias("retry_of_id"), F.lit("pending").alias("status"))
 
 
+#: What a crawl is asked to do; a retry does the same, whatever the site's settings are by then.
+SETTINGS = ("max_pages", "max_depth", "delay", "timeout", "user_agent")
+#: Fixed value: what a retry's message says while it waits.
+RETRY_MESSAGE = "Ручной повтор ожидает освобождения очереди."
+
+
+def retried(entries: DataFrame, asked: DataFrame, now: Column) -> DataFrame:
+    """The entries to add for asked (site_id, entry_id): pending ones at now, outside any schedule, with the settings of the entry that each repeats.
+
+    entries: id, site_id, status and SETTINGS. An entry that the site doesn't have is a LookupError, one whose status can't be
+    tried again a ValueError; then nothing is added. Who asks twice gets two.
+    """
+    own = entries.select(F.col("id").alias("entry_id"), "site_id", F.col("status").alias("__status"), *SETTINGS)
+    found = asked.join(own, ["site_id", "entry_id"], "left")
+    bad = found.where(F.col("__status").isNull() | ~F.col("__status").isin(*RETRYABLE)).select("entry_id", "__status").limit(1).collect()
+    if bad and bad[0]["__status"] is None:
+        raise LookupError(f"the site has no entry {bad[0]['entry_id']}")
+    if bad:
+        raise ValueError(f"entry {bad[0]['entry_id']} is {bad[0]['__status']}")
+    none = F.lit(None).cast("long").alias("schedule_id")
+    return found.select("site_id", none, now.alias("scheduled_for"), F.lit("pending").alias("status"), F.lit(RETRY_MESSAGE).alias("message"), *SETTINGS, F.col("entry_id").alias("retry_of_id"), F.lit("not_applicable").alias("notification_status"))
+
+
 def recovered(entries: DataFrame) -> DataFrame:
     """What a restart makes of entries that were under way."""
     return entries.withColumn("status", F.when(F.col("status").isin("pending", "running"), "interrupted").otherwise(F.col("status")))

@@ -492,4 +492,4 @@ def long_text_distance(spark, sf_dir):
     return pairs.select("doc_id", distance(F.col("text"), F.col("previous")).alias("text_distance"))
 
 
-from pagetide.plans import queries_control, queries_sources  # noqa: E402, F401  They register theirs, with what is defined above.
+from pagetide.plans import queries_control, queries_sources, queries_sql  # noqa: E402, F401  They register theirs, with what is defined above.
