@@ -37,18 +37,30 @@ def robots_status(status: Column, failure: Column) -> Column:
     )
 
 
+#: Characters of robots.txt files that are sent to all workers together.
+SENT_RULES = 32 << 20
+
+
 def allowed(pages: DataFrame, robots: DataFrame, user_agent: str) -> DataFrame:
-    """pages (site_id, url) with allowed. robots: site_id, status, body; a site with 404 or no row allows everything. Each site's rules are read once for a group of its pages."""
-    rules = robots.select("site_id", F.when(F.col("status") != 404, F.col("body")).alias("__rules"))
-    joined = pages.join(rules, "site_id", "left")
+    """pages (site_id, url) with allowed. robots: site_id, status, body; a site with 404 or no row allows everything.
+
+    Rules of up to SENT_RULES characters in all are sent to each worker once, and pages move nowhere. Beyond that the rules
+    are joined to the pages, with which they then travel.
+    """
+    spark = pages.sparkSession
+    rules = robots.where(F.coalesce(F.col("status") != 404, F.lit(True)) & F.col("body").isNotNull()).select("site_id", F.col("body").alias("__rules"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields) + ", allowed boolean"
     columns = pages.columns
+    size = rules.agg(F.sum(F.length("__rules") + 50)).first()[0] or 0
+    sent = spark.sparkContext.broadcast({r["site_id"]: r["__rules"] for r in rules.collect()}) if size <= SENT_RULES else None
+    joined = pages if sent else pages.join(rules, "site_id", "left").select(*columns, "__rules")
 
     def of(frames):
         known: dict[str, RobotFileParser] = {}
         for f in frames:
+            texts = [sent.value.get(s) for s in f["site_id"]] if sent else f["__rules"]
             out = []
-            for url, text in zip(f["url"], f["__rules"], strict=True):
+            for url, text in zip(f["url"], texts, strict=True):
                 if text is None or pd.isna(text):
                     out.append(True)
                     continue
@@ -58,9 +70,9 @@ def allowed(pages: DataFrame, robots: DataFrame, user_agent: str) -> DataFrame:
                     known[text] = RobotFileParser()
                     known[text].parse(text.splitlines())
                 out.append(url is not None and known[text].can_fetch(user_agent, url))
-            yield f.drop(columns="__rules").assign(allowed=out)[[*columns, "allowed"]]
+            yield f[columns].assign(allowed=out)
 
-    return joined.select(*columns, "__rules").mapInPandas(of, schema)
+    return joined.mapInPandas(of, schema)
 
 
 def encoded_links(links: Column) -> Column:

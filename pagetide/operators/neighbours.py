@@ -22,3 +22,13 @@ def with_previous(rows: DataFrame, group: str, order: str, value: str) -> DataFr
     before = F.lag(F.struct(F.col(group).alias("g"), F.col(value).alias("v"))).over(W.partitionBy("part").orderBy(group, order))
     out = dealt.withColumn("before", before).join(carried, "part").withColumn("before", F.coalesce("before", "carried"))
     return out.withColumn("previous", F.when(F.col("before.g").eqNullSafe(F.col(group)), F.col("before.v"))).drop("part", "before", "carried")
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with place: their number from 1 on in that order, whatever their number. Ranges are numbered each in a task, and begin where those before them end; rows that tie are numbered in any order."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()))
+    counts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # a row for each range
+    place = F.row_number().over(W.partitionBy("part").orderBy(*order))
+    return dealt.withColumn("place", place).join(before, "part").withColumn("place", F.col("place") + F.col("before")).drop("part", "before")

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagetide.operators.neighbours import numbered
 from pagetide.operators.runs import transferable
 
 TYPES = ("competitor", "owned")
@@ -35,10 +35,9 @@ def site_errors(name: Column, url: Column) -> Column:
 
 def added(sites: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     """sites with the rows of new (name, url, site_type) after them, numbered on; a row with errors, or of an unknown type, stops it."""
-    last = sites.agg(F.coalesce(F.max("site_id"), F.lit(0)).alias("last"))
-    place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("name", "url"))  # a user's few entries
+    last = sites.agg(F.max("site_id")).first()[0] or 0
     wrong = F.when((F.size(site_errors(F.col("name"), F.col("url"))) > 0) | ~F.col("site_type").isin(*TYPES), F.raise_error(F.lit("a site can't be stored")).cast("long"))
-    rows = new.withColumn("place", place).crossJoin(F.broadcast(last)).select(F.coalesce(wrong, F.col("last") + F.col("place")).alias("site_id"), stripped(F.col("name")).alias("name"), stripped(F.col("url")).alias("url"), "site_type", now.alias("created_at"))
+    rows = numbered(new, "name", "url").select(F.coalesce(wrong, F.lit(last) + F.col("place")).alias("site_id"), stripped(F.col("name")).alias("name"), stripped(F.col("url")).alias("url"), "site_type", now.alias("created_at"))
     return sites.unionByName(rows)
 
 

@@ -24,13 +24,18 @@ def test_page_outcomes(spark):
     assert df.where(crawl.page_outcome(*(F.col(c) for c in "sfcdbp")) != F.col("want")).isEmpty()
 
 
-def test_robots(spark):
+def test_robots(spark, monkeypatch):
     rows = [(200, None, "completed"), (404, None, "completed"), (301, None, "robots_redirect"), (503, None, "robots_deferred"), (None, "timeout", "robots_timeout"), (None, "network_error", "robots_network_error")]
     df = spark.createDataFrame(rows, "s int, f string, want string")
     assert df.where(crawl.robots_status(F.col("s"), F.col("f")) != F.col("want")).isEmpty()
     pages = spark.createDataFrame([(1, "https://a/x"), (1, "https://a/private/x"), (2, "https://b/private"), (3, "https://c/private")], "site_id long, url string")
     robots = spark.createDataFrame([(1, 200, "User-agent: *\nDisallow: /private\n"), (2, 404, "Disallow: /")], "site_id long, status int, body string")
-    assert {r.url: r.allowed for r in crawl.allowed(pages, robots, "bot").collect()} == {"https://a/x": True, "https://a/private/x": False, "https://b/private": True, "https://c/private": True}
+    want = {"https://a/x": True, "https://a/private/x": False, "https://b/private": True, "https://c/private": True}
+    assert {r.url: r.allowed for r in crawl.allowed(pages, robots, "bot").collect()} == want
+    plan = crawl.allowed(pages, robots, "bot")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "body" not in plan
+    monkeypatch.setattr(crawl, "SENT_RULES", 10)  # more rules than are sent
+    assert {r.url: r.allowed for r in crawl.allowed(pages, robots, "bot").collect()} == want
 
 
 def test_link_codec(spark):

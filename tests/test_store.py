@@ -202,3 +202,12 @@ def test_appended_events_read_their_own_folders(spark, tmp_path):
     assert len(list((tmp_path / "e").glob("bucket=*"))) <= stores.BUCKETS
     own = stores.near(spark.read.parquet(path), "current_run_id", ids([7, 300]))
     assert scanned_buckets(spark, own) == [pruned(spark, [7, 300], stores.BUCKETS)]
+
+
+def test_numbers_by_ranges(spark):
+    from pagetide.operators import neighbours
+
+    rows = spark.createDataFrame([(f"n{k * 37 % 100:02}", k) for k in range(100)], "name string, k int").repartition(5)
+    got = neighbours.numbered(rows, "name", "k").collect()
+    assert [r.place for r in sorted(got, key=lambda r: (r.name, r.k))] == list(range(1, 101))
+    assert neighbours.numbered(rows.limit(0), "name").isEmpty()
