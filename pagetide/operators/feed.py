@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetide.functions.calendar import midnight_utc, utc_iso
 from pagetide.operators.diff import all_events, matched, price_profile
-from pagetide.plans.storage import published
+from pagetide.plans import storage
+from pagetide.plans.storage import files, published, removed, renamed
 from pagetide.schemas import EVENT_TYPES
 
 COLUMNS = [
@@ -223,8 +226,8 @@ def side_text(s: Column) -> Column:
     return F.when(s["state"] == "text", s["text"]).when(s["state"] == "links", F.array_join(s["links"], "\n")).when(s["state"].isin("price", "price_range"), price).otherwise(lookup(STATE_TITLES, s["state"]))
 
 
-def csv_rows(events: DataFrame, zone: str = "UTC") -> DataFrame:
-    """The 15 columns of the CSV export, cells made safe. events: with_sides() of the feed."""
+def csv_rows(events: DataFrame, zone: str = "UTC", *more: Column) -> DataFrame:
+    """The 15 columns of the CSV export, cells made safe, and more. events: with_sides() of the feed."""
     local = lambda c: F.date_format(F.from_utc_timestamp(c, zone), "yyyy-MM-dd'T'HH:mm:ss")
     cells = {
         "site_id": F.col("site_id"),
@@ -243,16 +246,16 @@ def csv_rows(events: DataFrame, zone: str = "UTC") -> DataFrame:
         "current": side_text(F.col("current")),
         "previous": side_text(F.col("previous")),
     }
-    return events.select(*(safe_cell(c).alias(n) for n, c in cells.items()))
+    return events.select(*(safe_cell(c).alias(n) for n, c in cells.items()), *more)
 
 
-def json_rows(events: DataFrame) -> DataFrame:
-    """value: an event's JSON object, for write.text(); nulls are kept."""
+def json_rows(events: DataFrame, *more: str) -> DataFrame:
+    """value: an event's JSON object, for write.text(), nulls kept; and more columns of events."""
     fields = F.struct(
         "site_id", "site_name", "site_url", "source", "event_id", "event_type", utc_iso(F.col("current_completed_at")).alias("detected_at"), "url", "importance", F.col("weight").alias("importance_weight"), lookup(EXPLANATIONS, F.col("event_type")).alias("explanation"),
         F.col("viewed_at").isNotNull().alias("viewed"), utc_iso(F.col("viewed_at")).alias("viewed_at"), "current", "previous",
     )
-    return events.select(F.to_json(fields, {"ignoreNullFields": "false"}).alias("value"))
+    return events.select(F.to_json(fields, {"ignoreNullFields": "false"}).alias("value"), *more)
 
 
 def write_csv(events: DataFrame, path: str, zone: str = "UTC") -> None:
@@ -273,6 +276,50 @@ def write_json(events: DataFrame, path: str) -> None:
         json_rows(verified(events)).write.text(staged)
 
 
+def write_document(events: DataFrame, path: str, kind: str = "json", zone: str = "UTC") -> None:
+    """One file: the JSON document, or CSV with one byte order mark and header, of all events in the order of the feed.
+
+    Events are verified() and made to text in parallel; as one file has one writer, a last task sorts the lines, spilling
+    what it can't hold, and passes them on batch by batch. The file appears when it is whole: a refused export leaves
+    nothing. What path has already stays: it is an error.
+    """
+    spark = events.sparkSession
+    if kind not in ("json", "csv"):
+        raise ValueError("a document is json or csv")
+    keys = ["current_completed_at", "source_rank", "event_id"]
+    sound = verified(events)
+    if kind == "json":
+        lines, first, last, before = json_rows(sound, *keys), '{"schema_version":1,"events":[', "]}", ","
+    else:
+        cells = csv_rows(sound, zone)
+        lines = csv_rows(sound, zone, *(F.col(k).alias(f"__{k}") for k in keys))
+        lines = lines.select(F.to_csv(F.struct(*cells.columns), {"escape": '"', "nullValue": "", "emptyValue": ""}).alias("value"), *(F.col(f"__{k}").alias(k) for k in keys))
+        first, last, before = "\ufeff" + ",".join(cells.columns), None, ""
+
+    def of(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([first], pa.string())], ["value"])
+        begun = False
+        for b in batches:
+            texts = [t for t in b.column(0).to_pylist() if t is not None]
+            out = [t if k == 0 and not begun else before + t for k, t in enumerate(texts)]
+            begun = begun or bool(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([last], pa.string())], ["value"])
+
+    if storage.exists(spark, path):
+        raise FileExistsError(path)
+    staged = f"{path}.{uuid.uuid4().hex}"
+    try:
+        none = spark.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in lines.schema.fields))  # so that there is a task where there is no event
+        one = lines.unionByName(none).repartition(1).sortWithinPartitions(F.desc_nulls_last(keys[0]), F.asc_nulls_last(keys[1]), F.desc_nulls_last(keys[2]))
+        one.select("value").mapInArrow(of, "value string").write.option("lineSep", "\n" if kind == "json" else "\r\n").text(staged)
+        (part,) = [f for f in files(spark, staged) if f.rsplit("/", 1)[-1].startswith("part-")]
+        renamed(spark, part, path)
+    finally:
+        removed(spark, staged)
+
+
 #: Events of an export that may be put together to one document on the driver.
 DOCUMENT_EVENTS = 100_000
 

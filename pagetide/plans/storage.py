@@ -38,6 +38,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def files(spark: SparkSession, path: str) -> list[str]:
+    """The files and folders in a folder."""
+    fs, at = file_system(spark, path)
+    return [f.getPath().toString() for f in fs.listStatus(at)]
+
+
 def removed(spark: SparkSession, path: str) -> None:
     fs, at = file_system(spark, path)
     fs.delete(at, True)
