@@ -205,7 +205,7 @@ def test_assembly_of_stray_records(spark):
 def test_native_sql_oracles(spark):
     for sf in ("/root/testdata/sf0.001",):
         c = duckdb.connect()
-        for name in ("documents", "pages"):
+        for name in ("documents", "pages", "labels"):
             c.execute(f"create view {name} as select * from '{sf}/{name}.parquet'")
         for name, sql in queries.ORACLE_SQL.items():
             df = queries.QUERIES[name](spark, sf)
