@@ -151,10 +151,11 @@ def amount_text(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
-def side(event_type: Column, url: Column, version: Column) -> Column:
+def side(event_type: Column, url: Column, version: Column, raw: bool = False) -> Column:
     """struct(state, text, links, currency, low, high) of what an event shows of one side.
 
-    state is absent_side, none, empty_text, text, empty_links, links, price or price_range.
+    state is absent_side, none, empty_text, text, empty_links, links, price or price_range. links: each once, sorted; or, raw,
+    as the page has them.
     """
     value = F.when(event_type == "title_changed", version["title"]).when(event_type == "description_changed", version["description"]).when(event_type == "h1_changed", version["h1"]).otherwise(version["normalized_text"])
     whole = event_type.isin("page_added", "page_removed")
@@ -169,19 +170,19 @@ def side(event_type: Column, url: Column, version: Column) -> Column:
         .otherwise("text")
     )
     text = F.when(state == "text", F.when(whole, url).otherwise(value))
-    links = F.when(state == "links", F.array_sort(F.array_distinct(version["internal_links"])))
+    links = F.when(state == "links", version["internal_links"] if raw else F.sort_array(F.array_distinct(version["internal_links"])))
     return F.struct(state.alias("state"), text.alias("text"), links.alias("links"), price["currency"].alias("currency"), amount_text(price["low"]).alias("low"), amount_text(price["high"]).alias("high"))
 
 
-def with_sides(events: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """events with current and previous sides, from the page versions that they carry (cur and prev), or else name; each is read once."""
+def with_sides(events: DataFrame, pages: DataFrame | None = None, raw: bool = False) -> DataFrame:
+    """events with current and previous sides, from the page versions that they carry (cur and prev), or else name; each is read once. raw: links as the pages have them."""
     kind, url = F.col("event_type"), F.col("url")
     if "cur" in events.columns and "prev" in events.columns:
-        return events.withColumns({"current": side(kind, url, F.col("cur")), "previous": side(kind, url, F.col("prev"))}).drop("cur", "prev")
+        return events.withColumns({"current": side(kind, url, F.col("cur"), raw), "previous": side(kind, url, F.col("prev"), raw)}).drop("cur", "prev")
     version = F.struct("title", "description", "h1", "normalized_text", "internal_links", "prices")
     at = lambda key, name: pages.select(F.col("page_id").alias(key), version.alias(name))
     joined = events.join(at("current_page_id", "c"), "current_page_id", "left").join(at("previous_page_id", "p"), "previous_page_id", "left")
-    return joined.withColumns({"current": side(kind, url, F.col("c")), "previous": side(kind, url, F.col("p"))}).drop("c", "p")
+    return joined.withColumns({"current": side(kind, url, F.col("c"), raw), "previous": side(kind, url, F.col("p"), raw)}).drop("c", "p")
 
 
 def faulty() -> Column:
@@ -190,7 +191,8 @@ def faulty() -> Column:
     own = lambda s: F.when(kind == "price_changed", s.isin("price", "price_range")).when(kind == "internal_links_changed", s.isin("links", "empty_links")).otherwise(s.isin("text", "none", "empty_text"))
     strange = (here & ~own(F.col("current.state"))) | (before & ~own(F.col("previous.state")))
     sides = F.when(kind == "page_added", here & ~before).when(kind == "page_removed", ~here & before).otherwise(here & before)
-    same = ~kind.isin("page_added", "page_removed", "price_changed") & F.col("current").eqNullSafe(F.col("previous"))
+    value = lambda s: F.struct(s["state"].alias("s"), s["text"].alias("t"), F.sort_array(F.array_distinct(s["links"])).alias("l"))  # noqa: E731  links in whatever order
+    same = ~kind.isin("page_added", "page_removed", "price_changed") & value(F.col("current")).eqNullSafe(value(F.col("previous")))
     return ~sides | strange | same
 
 

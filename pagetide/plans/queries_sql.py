@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagetide.functions import calendar, titles
-from pagetide.operators import schedule
+from pagetide.operators import runs, schedule
 from pagetide.plans import bindings as b
+from pagetide.plans.queries_control import committed
 from pagetide.plans.queries_sources import PARTS, cases, unescaped
 from pagetide.plans.registry import query
+from pagetide.plans.storage import shared_dir
 from pagetide.sources import sql_functions
+from pagetide.streaming import sequence_stream
 
 
 @query(rf"""{PARTS}, x AS (SELECT page_id, url, home, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) AS k FROM p),
@@ -115,3 +118,43 @@ def queue_titles(spark, sf_dir):
     rows = b.entries(spark, sf_dir)
     frequency = F.when(F.col("id") % 3 == 0, "daily").otherwise("weekly")
     return rows.select("id", titles.title(titles.ENTRY_STATUS, F.col("status"), titles.STATUS_UNKNOWN).alias("status"), titles.title(titles.FREQUENCY, frequency, "").alias("frequency"), titles.weekday_title(F.weekday("scheduled_for")).alias("weekday"))
+
+
+# Runs --------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {b.RUNS}, {b.PAGES} SELECT page_id, run_id, url FROM pages JOIN runs USING (run_id) WHERE run_id % 50 = 7 AND status IN ('completed', 'partial')")
+def crawls_looked_up(spark, sf_dir):
+    """The pages of some runs, by their numbers, from the folders in which these lie."""
+    view = committed(spark, sf_dir).view()
+    return view.table("pages", b.runs(spark, sf_dir).where("run_id % 50 = 7").select("run_id")).select("page_id", "run_id", "url")
+
+
+LIVES = f"""WITH {b.RUNS}, lines AS (SELECT l_orderkey AS run_id, count(*) AS n, max(l_linenumber) AS last FROM lineitem GROUP BY 1)
+SELECT run_id, CASE WHEN run_id % 10 = 3 THEN 'failed' WHEN status = 'failed' THEN 'running' ELSE status END AS status, CASE WHEN run_id % 10 = 3 THEN '{runs.FAILED_MESSAGE}e' || run_id END AS message,
+CAST(CASE WHEN status = 'failed' THEN coalesce(last, 0) ELSE 0 END AS INT) AS processed FROM runs LEFT JOIN lines USING (run_id)"""
+
+
+@query(LIVES)
+def runs_going_on(spark, sf_dir):
+    """Runs that go on take in their progress, of which the furthest counts; every tenth then fails."""
+    rows = b.runs(spark, sf_dir)
+    rows = rows.withColumns({"status": F.when(F.col("status") == "failed", "running").otherwise(F.col("status")), "message": F.lit(None).cast("string"), "started_at": F.col("completed_at"), **{c: F.lit(0) for c in runs.COUNTERS}})
+    n = F.col("l_linenumber").cast("int")
+    progress = b.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), *(n.alias(c) for c in runs.COUNTERS))
+    failures = rows.where("run_id % 10 = 3").select("run_id", F.concat(F.lit("e"), F.col("run_id").cast("string")).alias("error"), F.col("completed_at").alias("at"))
+    return runs.failed(runs.progressed(rows, progress), failures).select("run_id", "status", "message", "processed")
+
+
+@query(f"WITH {b.RUNS}, {b.PAIRS} SELECT current_run_id, previous_run_id FROM pairs")
+def runs_in_order_by_stream(spark, sf_dir):
+    """Runs that land in three parts, out of their order: the pairs that the stream has told and not taken back."""
+    landed, told, checkpoint = (shared_dir(spark) for _ in range(3))
+    rows = b.runs(spark, sf_dir).withColumn("part", F.col("run_id") % 3)
+    for part in (2, 0, 1):
+        rows.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(landed)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", sequence_stream.ROCKSDB)
+    stream = spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    writer = sequence_stream.pairs_of(stream).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    writer.start(told).awaitTermination()
+    return sequence_stream.holding(spark.read.schema(sequence_stream.PAIRS).parquet(told)).select("current_run_id", "previous_run_id")

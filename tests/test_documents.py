@@ -63,3 +63,13 @@ def test_a_document_of_many_events(spark, tmp_path):
     with path.open(encoding="utf-8-sig", newline="") as f:
         ids = [int(r["event_id"]) for r in csv.DictReader(f)]
     assert ids == list(range(199_999, -1, -1))
+
+
+def test_links_as_the_page_has_them(spark):
+    pages = spark.createDataFrame([(1, "b a b".split()), (2, ["a"]), (3, ["a", "b"])], "page_id long, internal_links array<string>").withColumns({c: F.lit(None).cast("string") for c in ("title", "description", "h1", "normalized_text")} | {"prices": F.lit(None).cast("array<struct<amount: string, currency: string, kind: string, source: string>>")})
+    event = lambda c, p: spark.createDataFrame([(c, p, "/x", "internal_links_changed")], "current_page_id long, previous_page_id long, url string, event_type string")
+    raw, told = feed.with_sides(event(1, 2), pages, raw=True).first(), feed.with_sides(event(1, 2), pages).first()
+    assert raw.current.links == ["b", "a", "b"] and told.current.links == ["a", "b"] and raw.previous.links == told.previous.links == ["a"]
+    for r in (True, False):  # the same set in another order is no change
+        with pytest.raises(Exception, match="contradicts"):
+            feed.verified(feed.with_sides(event(1, 3), pages, raw=r)).collect()
