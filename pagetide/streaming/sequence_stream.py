@@ -3,13 +3,16 @@
 A run that lands after all others of its site makes a pair with the last of them. One that lands late, between two others,
 makes two pairs, and the pair of these two no longer holds: that is told apart, so that what was found for it can be passed
 over. So what has been told at any moment adds up to what predecessors() says of all runs that have landed.
+
+Sites are dealt into shards, whose runs are kept and compared as arrays: a call of the state takes longer than a run does,
+and most sites have few runs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,49 +25,64 @@ PAIRS = "kind string, site_id long, current_run_id long, previous_run_id long, c
 #: What a row says: a pair of a run that came last; of one that came late; of the run after that one; and a pair that no longer holds.
 NEXT, LATE, MOVED, STALE = "next", "late", "moved", "stale"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-At = tuple[datetime, int]
+#: Shards of sites, as many as a stream began with. A batch reads what is known of the shards that it has runs of.
+SHARDS = 256
+#: A shard's runs are kept in so many parts at most: a batch adds some, and once they are more they are dealt anew.
+PARTS = 32
+#: Runs in a part, and rows told at once, at most.
+PIECE = 200_000
+#: nowhere: without a site. at: microseconds.
+RUN = np.dtype([("nowhere", "?"), ("site", "<i8"), ("at", "<i8"), ("run", "<i8")])
+
+
+def told(known: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, pd.DataFrame]:
+    """The runs of new that aren't known, once each, and what they say when those of a site land one by one in their order."""
+    runs, fresh = np.concatenate([known, new]), np.repeat([False, True], [len(known), len(new)])
+    order = np.lexsort((fresh, runs["run"], runs["at"], runs["site"], runs["nowhere"]))
+    runs, fresh = runs[order], fresh[order]
+    once = np.concatenate([[True], runs[1:] != runs[:-1]])[: len(runs)]  # a known run comes before its repeats
+    runs, fresh = runs[once], fresh[once]
+    n = np.arange(len(runs))
+    same = lambda i, j: (runs["site"][i] == runs["site"][j]) & (runs["nowhere"][i] == runs["nowhere"][j])
+    before = np.where((n > 0) & same(n, n - 1), n - 1, -1)
+    # The next run that was known: those of the batch that come after a run land after it.
+    after = np.minimum.accumulate(np.where(fresh, len(runs), n)[::-1])[::-1]
+    after = np.where((after < len(runs)) & same(n, np.minimum(after, len(runs) - 1)), after, -1)
+    last, late = n[fresh & (after < 0)], n[fresh & (after >= 0)]
+    parts = [(NEXT, last, before[last]), (LATE, late, before[late]), (MOVED, after[late], late), (STALE, after[late], before[late])]
+    one, other = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
+    out = pd.DataFrame({
+        "kind": np.repeat([p[0] for p in parts], [len(p[1]) for p in parts]).astype(object),
+        "site_id": pd.arrays.IntegerArray(runs["site"][one], runs["nowhere"][one]),
+        "current_run_id": runs["run"][one],
+        "previous_run_id": pd.arrays.IntegerArray(runs["run"][other], other < 0),
+        "at": runs["at"][one],
+    })
+    return runs[fresh], out
 
 
 class Sequence(StatefulProcessor):
-    """Keeps a site's completed runs by (completed_at, run_id): the last one at hand, all of them for those that come late."""
+    """Keeps the completed runs of a shard's sites."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "completed_at timestamp, run_id long")
-        self.known = handle.getMapState("known", "completed_at timestamp, run_id long", "late boolean")
+        self.known = handle.getListState("known", "runs binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        (site,) = key
+        new = []
         for frame in rows:
-            out: list[tuple] = []
-            for r in frame.sort_values(["completed_at", "run_id"]).itertuples():
-                out += self._landed(int(site), (r.completed_at.to_pydatetime(), int(r.run_id)))
-            yield pd.DataFrame(out, columns=["kind", "site_id", "current_run_id", "previous_run_id", "current_completed_at"]).astype({"current_run_id": "Int64", "previous_run_id": "Int64", "site_id": "Int64", "current_completed_at": "datetime64[ns]"})
-
-    def _landed(self, site: int, at: At) -> list[tuple]:
-        if self.known.containsKey(at):
-            return []
-        last = self.last.get() if self.last.exists() else None
-        last = (last[0], int(last[1])) if last else None
-        late = last is not None and at < last
-        before, after = self._neighbours(at) if late else (last, None)
-        self.known.updateValue(at, (late,))
-        pair = lambda kind, one, other: (kind, site, one[1], other[1] if other else None, one[0])
-        if not late:
-            self.last.update(at)
-            return [pair(NEXT, at, before)]
-        return [pair(LATE, at, before), pair(MOVED, after, at), pair(STALE, after, before)]
-
-    def _neighbours(self, at: At) -> tuple[At | None, At]:
-        """The runs before and after a late one."""
-        before = after = None
-        for key in self.known.keys():  # noqa: SIM118  a state, not a dict
-            k = (key[0], int(key[1]))
-            if k < at:
-                before = k if before is None else max(before, k)
-            else:
-                after = k if after is None else min(after, k)
-        return before, after
+            new.append(np.empty(len(frame), RUN))
+            for name in RUN.names:
+                new[-1][name] = frame[name].to_numpy()
+        parts = [np.frombuffer(p, RUN) for (p,) in self.known.get()]
+        known = np.concatenate([np.empty(0, RUN), *parts])
+        fresh, out = told(known, np.concatenate(new))
+        pieces = lambda x: [(x[k : k + PIECE].tobytes(),) for k in range(0, len(x), PIECE)]
+        if len(parts) >= max(PARTS, 2 * len(known) // PIECE):
+            self.known.put(pieces(np.concatenate([known, fresh])))
+        elif len(fresh):
+            self.known.appendList(pieces(fresh))
+        for k in range(0, len(out), PIECE):
+            yield out[k : k + PIECE]
 
     def close(self) -> None:
         pass
@@ -72,8 +90,11 @@ class Sequence(StatefulProcessor):
 
 def pairs_of(run_stream: DataFrame) -> DataFrame:
     """PAIRS of a stream of run records (run_id, site_id, completed_at, status); those that aren't completed and those that have landed before say nothing."""
-    done = run_stream.where("status = 'completed' AND completed_at IS NOT NULL").select("run_id", "site_id", "completed_at")
-    return done.groupBy("site_id").transformWithStateInPandas(Sequence(), PAIRS, "Append", "None")
+    done = run_stream.where("status = 'completed' AND completed_at IS NOT NULL")
+    site = F.col("site_id").cast("long")
+    runs = done.select(F.pmod(F.xxhash64(site), F.lit(SHARDS)).alias("shard"), site.isNull().alias("nowhere"), F.coalesce(site, F.lit(0)).alias("site"), F.unix_micros("completed_at").alias("at"), F.col("run_id").cast("long").alias("run"))
+    pairs = runs.groupBy("shard").transformWithStateInPandas(Sequence(), "kind string, site_id long, current_run_id long, previous_run_id long, at long", "Append", "None")
+    return pairs.select("kind", "site_id", "current_run_id", "previous_run_id", F.timestamp_micros("at").alias("current_completed_at"))
 
 
 def holding(told: DataFrame) -> DataFrame:

@@ -92,3 +92,55 @@ def test_pairs_told_together(spark):
     assert sorted(map(tuple, seq.holding(told).select("current_run_id", "previous_run_id").collect()), key=str) == [(1, 8), (2, 1), (3, 2), (8, None)]
     table = spark.createDataFrame([(8, 1, datetime(2025, 1, 1), "completed"), (1, 1, datetime(2026, 1, 1), "completed"), (2, 1, datetime(2026, 1, 2), "completed"), (3, 1, datetime(2026, 1, 3), "completed")], RUNS)
     assert sorted(map(tuple, runs.predecessors(table).select("current_run_id", "previous_run_id").collect()), key=str) == [(1, 8), (2, 1), (3, 2), (8, None)]
+
+
+def test_a_shard_of_many_sites(monkeypatch):
+    """Sites of any number, without one, with repeats and late runs, against runs that land one by one; a visit calls the state twice at most, however many runs it has."""
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(seq, "PIECE", 50)
+    monkeypatch.setattr(seq, "PARTS", 5)
+    calls, held = [], []
+
+    class State:
+        get = lambda self: calls.append("get") or iter(list(held))
+        put = lambda self, rows: calls.append("put") or held.__setitem__(slice(None), rows)
+        appendList = lambda self, rows: calls.append("append") or held.extend(rows)
+
+    class Handle:
+        getListState = lambda self, name, schema: State()
+
+    rnd = random.Random(3)
+    shard = seq.Sequence()
+    shard.init(Handle())
+    known: dict = {}
+    for visit in range(12):
+        runs = [(rnd.choice([None, *range(40)]), rnd.randrange(60), rnd.randrange(30)) for _ in range(rnd.choice([1, 30, 200]))]
+        want = []
+        for site, at, run in sorted(runs, key=lambda r: r[1:]):
+            own = known.setdefault(site, [])
+            if (at, run) in own:
+                continue
+            before, after = max((x for x in own if x < (at, run)), default=None), min((x for x in own if x > (at, run)), default=None)
+            own.append((at, run))
+            pair = lambda kind, one, other, site=site: (kind, site, one[1], other and other[1], one[0])
+            want += [pair("late", (at, run), before), pair("moved", after, (at, run)), pair("stale", after, before)] if after else [pair("next", (at, run), before)]
+        frame = pd.DataFrame({"nowhere": [r[0] is None for r in runs], "site": [r[0] or 0 for r in runs], "at": [r[1] for r in runs], "run": [r[2] for r in runs]})
+        calls.clear()
+        got = [tuple(None if x is pd.NA else x for x in r) for out in shard.handleInputRows((0,), iter([frame[:7], frame[7:]]), None) for r in out.astype(object).itertuples(index=False)]
+        assert sorted(got, key=str) == sorted(want, key=str) and len(calls) <= 2
+    assert sum(len(np.frombuffer(p, seq.RUN)) for (p,) in held) == sum(map(len, known.values())) and len(held) <= 60
+
+
+def test_runs_without_a_site(spark, tmp_path):
+    """They are a group of their own, as predecessors() has them."""
+    day = lambda n: datetime(2026, 1, n)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", seq.ROCKSDB)
+    rows = [(1, None, day(1), "completed"), (2, None, day(2), "completed"), (3, 0, day(1), "completed"), (4, 0, datetime(1890, 1, 1), "completed")]
+    landed(spark, str(tmp_path / "r"), rows)
+    told = []
+    q = seq.pairs_of(spark.readStream.schema(RUNS).parquet(str(tmp_path / "r"))).writeStream.foreachBatch(lambda b, _: told.extend(map(tuple, b.select("site_id", "current_run_id", "previous_run_id", "current_completed_at").collect()))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    want = runs.predecessors(spark.createDataFrame(rows, RUNS)).select("site_id", "current_run_id", "previous_run_id", "current_completed_at").collect()
+    assert sorted(told, key=str) == sorted(map(tuple, want), key=str) and len(told) == 4
