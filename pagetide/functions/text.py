@@ -62,20 +62,19 @@ def edit_distance(a: str, b: str) -> int:
     at: dict[str, int] = {}
     for i, ch in enumerate(a):
         at[ch] = at.get(ch, 0) | 1 << i
-    whole, last = (1 << m) - 1, 1 << (m - 1)
-    rises, falls, score = whole, 0, m  # where the column steps up, and down
-    for ch in b:
-        hit = at.get(ch, 0)
-        diagonal = (((hit & rises) + rises) ^ rises) | hit | falls
-        across_up, across_down = falls | (whole & ~(diagonal | rises)), rises & diagonal
-        if across_up & last:
-            score += 1
-        elif across_down & last:
-            score -= 1
-        across_up = (across_up << 1 | 1) & whole
-        across_down = (across_down << 1) & whole
-        rises, falls = across_down | (whole & ~(diagonal | across_up)), across_up & diagonal
-    return score
+    whole = (1 << m) - 1
+    rises, falls = whole, 0  # where the column steps up, and down
+    # Bits above the column's reach no lower ones, so they are cut off only now and then.
+    step = 32 + m // 16
+    for k in range(0, len(b), step):
+        for ch in b[k : k + step]:
+            hit = at.get(ch, 0) | falls
+            diagonal = (((hit & rises) + rises) ^ rises) | hit
+            across_up = (falls | (whole ^ (diagonal | rises))) << 1 | 1
+            rises = (rises & diagonal) << 1 | (whole ^ (diagonal | across_up))
+            falls = across_up & diagonal
+        rises, falls = rises & whole, falls & whole
+    return len(b) + rises.bit_count() - falls.bit_count()
 
 
 @F.pandas_udf(IntegerType())

@@ -486,9 +486,10 @@ def normalize_text_unicode(spark, sf_dir):
 
 @query()
 def long_text_distance(spark, sf_dir):
-    """Edit distance of consecutive documents of a source."""
+    """Edit distance of consecutive documents of a source. Pairs are dealt anew: their time grows with the product of their lengths, and long documents may lie together."""
     docs = b.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     pairs = neighbours.with_previous(docs, "source", "doc_id", "text").where("previous IS NOT NULL AND text <> previous")
+    pairs = pairs.select("doc_id", "text", "previous").repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     return pairs.select("doc_id", distance(F.col("text"), F.col("previous")).alias("text_distance"))
 
 

@@ -94,3 +94,14 @@ def test_long_text_distance(spark, tmp_path):
             assert want[i] == edit_distance(last[s], t)
         last[s] = t
     assert got == want
+
+
+def test_long_pairs_are_dealt_anew(spark, tmp_path):
+    """Long documents that lie together are compared in many tasks."""
+    from pagetide.functions.text import edit_distance
+
+    texts = ["ab" * 400 + str(i) * 30 for i in range(40)]
+    spark.createDataFrame([(i, "a", t) for i, t in enumerate(texts)], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = registry.QUERIES["long_text_distance"](spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() == 16
+    assert {r.doc_id: r.text_distance for r in rows.collect()} == {i: edit_distance(texts[i - 1], texts[i]) for i in range(1, 40)}
