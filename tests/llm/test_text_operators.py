@@ -249,3 +249,20 @@ def test_a_labelled_id_trains_once_however_often_it_is_there(spark, monkeypatch)
     b = quality.train(docs.repartition(2), labels)
     ids = docs.select("doc_id").distinct().where("doc_id IS NOT NULL").where(~quality.held_out()).count()
     assert seen[0] == seen[1] and seen[0][0] == ids and a["weights"].tolist() == b["weights"].tolist()
+
+
+def test_all_labelled_rows_train(spark):
+    """More rows than the driver takes are fitted where they lie, to what it would have found in all of them; each counts."""
+    texts = [(i, f"Some words {'!' * (i % 7)} {'UP ' * (i % 5)}{i * 7919 % 1000} and more {'x' * (i % 11)}") for i in range(600)]
+    docs = spark.createDataFrame(texts, DOCS)
+    labels = spark.createDataFrame([(i, int(i % 7 < 3 or i % 13 == 0)) for i, _ in texts], "doc_id long, quality int")
+    whole, parted = quality.train(docs, labels), quality.train(docs.repartition(5), labels, rows=20)
+    for name in ("weights", "mean", "scale", "threshold"):
+        assert np.allclose(whole[name], parted[name], rtol=0, atol=1e-12), name
+    # The loss over all pairs has no slope there, up to the bins' width.
+    x, good = np.array([quality.features(t) for i, t in texts]), np.array([i % 7 < 3 or i % 13 == 0 for i, _ in texts])
+    model = quality.fit(x, good)
+    z = (x - model["mean"]) / model["scale"]
+    d = (z[good][:, None] - z[~good]).reshape(-1, z.shape[1])
+    slope = -(d / (1 + np.exp(d @ model["weights"]))[:, None]).mean(axis=0) + 1e-3 * model["weights"]
+    assert np.abs(slope).max() < 1e-3
