@@ -33,32 +33,54 @@ def versions(records: DataFrame, prices: DataFrame) -> DataFrame:
     return records.join(each, "page_id", "left").withColumn("prices", F.coalesce(listed, empty)).drop("p")
 
 
-def matched(pairs: DataFrame, pages: DataFrame, compared: list[str] | None = None) -> DataFrame:
-    """current_run_id, previous_run_id, current_completed_at, url, cur, prev: the pages of both runs of each pair by url.
+#: Bits of what perhaps_paired() knows of runs, 32,768 to a row of 4 KB: 16 MB at most, however many runs there are.
+RUN_BITS = 1 << 27
+
+
+def perhaps_paired(rows: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
+    """rows without most of those whose run (key, a whole number) is in no pair: no row of a run in a pair is lost, a share of the others may stay (with 26 million runs in pairs about 18 of 100), which a join with the pairs then drops.
+
+    A bit for each hash of a run is sent to the rows before they are dealt out.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(RUN_BITS)) + 1
+    known = pairs.where(F.col("previous_run_id").isNotNull())
+    runs = known.select(F.explode(F.array("current_run_id", "previous_run_id")).alias("run_id")).select(place(F.col("run_id")).alias("at"))
+    bits = runs.groupBy(F.bitmap_bucket_number("at").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__bits"))
+    at = F.bitmap_bit_position(place(F.col(key)))
+    byte = F.conv(F.hex(F.substring("__bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    near = (F.bitmap_bucket_number(place(F.col(key))) == F.col("__bucket")) & (F.getbit(byte, (at % 8).cast("int")) == 1)
+    return rows.join(F.broadcast(bits), near, "left_semi")
+
+
+def matched(pairs: DataFrame, pages: DataFrame, compared: list[str] | None = None, carried: Iterable[str] = ()) -> DataFrame:
+    """current_run_id, previous_run_id, current_completed_at, url, cur, prev: the pages of both runs of each pair by url; and the columns of pairs that are carried, which follow from the site.
 
     pairs: as predecessors() gives them, all or some; baselines take no part. The versions of a url of a site lie in the
     order of their runs, so that a page's other version is its neighbour if it is anywhere: each page is read, dealt out and
-    sorted once, for the pair it is new in and the one it is old in. A pair whose current run has no pages still has its
+    sorted once, for the pair it is new in and the one it is old in; pages that are dealt out by their run already join its
+    pairs where they lie. A pair whose current run has no pages still has its
     previous ones. A url that a run has twice is an error.
     """
     columns = [c for c in (compared or COMPARED) if c in pages.columns]
     known = pairs.where(F.col("previous_run_id").isNotNull())
-    at = F.struct("current_completed_at", "current_run_id")
-    new = known.select(F.col("current_run_id").alias("run_id"), "site_id", "previous_run_id", at.alias("new_at"))
-    old = known.select(F.col("previous_run_id").alias("run_id"), F.col("site_id").alias("old_site"), at.alias("next_at"))
-    # A run that is only the previous one of a pair lies right before that pair's current run.
-    place = F.struct(F.coalesce("new_at", "next_at").alias("at"), F.col("new_at").isNotNull().alias("current"))
-    roles = new.join(old, "run_id", "full_outer").select("run_id", F.coalesce("site_id", "old_site").alias("site_id"), "previous_run_id", "new_at", "next_at", place.alias("place"))
-    dealt = roles.join(pages.select("run_id", "url", F.struct(*columns).alias("version")), "run_id")
-    order = W.partitionBy("site_id", "url").orderBy("place")
+    site = ["site_id", *(c for c in carried if c != "site_id")]
+    new = known.select(F.col("current_run_id").alias("run_id"), "previous_run_id", F.col("current_completed_at").alias("new_at"), F.struct(*site).alias("new_site"))
+    old = known.select(F.col("previous_run_id").alias("run_id"), F.col("current_run_id").alias("next_run_id"), F.col("current_completed_at").alias("next_at"), F.struct(*site).alias("old_site"))
+    current, previous = F.col("previous_run_id").isNotNull(), F.col("next_run_id").isNotNull()
+    roles = pages.select("run_id", "url", F.struct(*columns).alias("version")).join(new, "run_id", "left").join(old, "run_id", "left").where(current | previous)
+    of_site = F.coalesce("new_site", "old_site")
+    # A run that is only the previous one of a pair lies right before that pair's current run: it has no previous_run_id.
+    place = {"at": F.when(current, F.col("new_at")).otherwise(F.col("next_at")), "id": F.when(current, F.col("run_id")).otherwise(F.col("next_run_id"))}
+    dealt = roles.select("run_id", "url", "version", "previous_run_id", "next_run_id", "next_at", *(c.alias(k) for k, c in place.items()), *(of_site[c].alias(c) for c in site))
+    order = W.partitionBy("site_id", "url").orderBy("at", "id", F.asc_nulls_first("previous_run_id"))
     before, after = F.lag("run_id").over(order), F.lead("run_id").over(order)
     rows = dealt.withColumns({"before": before, "after": after, "earlier": F.lag("version").over(order)})
     twice = F.raise_error(F.concat(F.lit("a run has a url twice: "), "url")).cast("boolean")
     none = F.lit(None)
     kind = rows.schema["version"].dataType
-    entry = lambda pair, previous, cur, prev: F.struct(pair["current_run_id"].alias("current_run_id"), previous.alias("previous_run_id"), pair["current_completed_at"].alias("current_completed_at"), "url", cur.cast(kind).alias("cur"), prev.cast(kind).alias("prev"))
-    present = F.when(F.col("new_at").isNotNull(), entry(F.col("new_at"), F.col("previous_run_id"), F.col("version"), F.when(F.col("before") == F.col("previous_run_id"), F.col("earlier"))))
-    gone = F.when(F.col("next_at").isNotNull() & ~F.col("after").eqNullSafe(F.col("next_at.current_run_id")), entry(F.col("next_at"), F.col("run_id"), none, F.col("version")))
+    entry = lambda run, other, at, cur, prev: F.struct(F.col(run).alias("current_run_id"), F.col(other).alias("previous_run_id"), F.col(at).alias("current_completed_at"), "url", cur.cast(kind).alias("cur"), prev.cast(kind).alias("prev"), *carried)
+    present = F.when(current, entry("run_id", "previous_run_id", "at", F.col("version"), F.when(F.col("before") == F.col("previous_run_id"), F.col("earlier"))))
+    gone = F.when(previous & ~F.col("after").eqNullSafe(F.col("next_run_id")), entry("next_run_id", "run_id", "next_at", none, F.col("version")))
     checked = rows.where(F.when(F.col("before") == F.col("run_id"), twice).otherwise(F.lit(True)))
     return checked.select(F.explode(F.array_compact(F.array(present, gone))).alias("m")).select("m.*")
 
@@ -109,10 +131,10 @@ def price_profile(prices: Column) -> Column:
     return F.when(sound & (F.size(prices) == 1) & (F.get(prices, F.lit(0))["kind"] == "price"), single).when(sound & two, pair)
 
 
-def all_events(pages: DataFrame, kinds: Iterable[str] | None = None, sides: bool = False) -> DataFrame:
+def all_events(pages: DataFrame, kinds: Iterable[str] | None = None, sides: bool = False, carried: Iterable[str] = ()) -> DataFrame:
     """Snapshot and price events of matched() pages in one pass, a list of events to a page.
 
-    The columns of EVENT_COLUMNS, price_profile and price_currency; with sides, also cur and prev. A field that pages don't
+    The columns of EVENT_COLUMNS, price_profile and price_currency; with sides, also cur and prev; and those carried. A field that pages don't
     carry isn't compared, and nothing is computed for events that aren't among kinds.
     """
     asked = set(EVENT_TYPES if kinds is None else kinds)
@@ -142,9 +164,10 @@ def all_events(pages: DataFrame, kinds: Iterable[str] | None = None, sides: bool
         rows = rows.withColumns({"__new": c, "__old": p})
         c, p = F.col("__new"), F.col("__old")
         events.append(event("price_changed", none, price_moved(c, p), profile=c["profile"], currency=c["currency"]))
+    more = [*(["cur", "prev"] if sides else []), *carried]
     listed = rows.select("*", F.explode(F.array_compact(F.array(*events))).alias("e"))
-    flat = listed.select("current_run_id", "previous_run_id", "url", cur["page_id"].alias("current_page_id"), prev["page_id"].alias("previous_page_id"), "current_completed_at", ratio.importance(F.col("e.weight")).alias("importance"), "e.*", *(["cur", "prev"] if sides else []))
-    return flat.select(*EVENT_COLUMNS, "price_profile", "price_currency", *(["cur", "prev"] if sides else []))
+    flat = listed.select("current_run_id", "previous_run_id", "url", cur["page_id"].alias("current_page_id"), prev["page_id"].alias("previous_page_id"), "current_completed_at", ratio.importance(F.col("e.weight")).alias("importance"), "e.*", *more)
+    return flat.select(*EVENT_COLUMNS, "price_profile", "price_currency", *more)
 
 
 def price_moved(c: Column, p: Column) -> Column:

@@ -57,12 +57,16 @@ def feed(events: DataFrame, runs: DataFrame, sites: DataFrame, views: DataFrame
 
     views: source, event_id, viewed_at of the events that have been viewed.
     """
-    price = F.col("event_type") == "price_changed"
-    both = events.withColumns({"source": F.when(price, "price").otherwise("snapshot"), "source_rank": F.when(price, 1).otherwise(0)})
     run = runs.select(F.col("run_id").alias("current_run_id"), "site_id")
     site = sites.select("site_id", F.col("name").alias("site_name"), F.col("url").alias("site_url"), "site_type")
-    named = both.join(run, "current_run_id").join(site, "site_id")
-    columns = [*COLUMNS, *(c for c in ("cur", "prev") if c in events.columns)]
+    return of_sites(events.join(run, "current_run_id").join(site, "site_id"), views)
+
+
+def of_sites(named: DataFrame, views: DataFrame | None = None) -> DataFrame:
+    """feed() of events that have their site's columns already."""
+    price = F.col("event_type") == "price_changed"
+    named = named.withColumns({"source": F.when(price, "price").otherwise("snapshot"), "source_rank": F.when(price, 1).otherwise(0)})
+    columns = [*COLUMNS, *(c for c in ("cur", "prev") if c in named.columns)]
     if views is None:
         return named.withColumn("viewed_at", F.lit(None).cast("timestamp")).select(*columns)
     return named.join(views.select("source", "event_id", "viewed_at"), ["source", "event_id"], "left").select(*columns)
@@ -81,10 +85,17 @@ def asked_pairs(pairs: DataFrame, sites: DataFrame, site_id: int | None = None,
 
 
 def changes(pairs: DataFrame, pages: DataFrame, runs: DataFrame, sites: DataFrame, with_ids: Callable[[DataFrame], DataFrame], views: DataFrame | None = None, sides: bool = False, **conditions) -> DataFrame:
-    """filtered(feed()) straight from the pages: only pairs that the conditions let through are compared, and only for the events that are asked for. with_ids adds event_id."""
+    """filtered(feed()) straight from the pages: only pairs that the conditions let through are compared, and only for the events that are asked for. with_ids adds event_id.
+
+    Sites join the pairs, not the events, which are many for a page and hold its versions: they are dealt out no more. Nor
+    are runs read for them: pairs know their site.
+    """
     early = {k: v for k, v in conditions.items() if k in ("site_id", "site_type", "from_time", "before_time")}
-    rows = matched(asked_pairs(pairs, sites, **early), pages)
-    return filtered(feed(with_ids(all_events(rows, conditions.get("event_types"), sides)), runs, sites, views), **conditions)
+    each = F.struct(F.col("name").alias("site_name"), F.col("url").alias("site_url"), "site_type")
+    named = asked_pairs(pairs, sites, **early).join(sites.groupBy("site_id").agg(F.collect_list(each).alias("named")), "site_id")
+    carried = ["site_id", "named"]
+    events = with_ids(all_events(matched(named, pages, carried=carried), conditions.get("event_types"), sides, carried))
+    return filtered(of_sites(events.select("*", F.inline("named")), views), **conditions)
 
 
 def filtered(

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagetide.operators import diff
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,15 +31,18 @@ RUNS = "runs AS (SELECT o_orderkey AS run_id, o_custkey AS site_id, o_orderdate
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page for each run and slug: its first line. The run's parts are the links of all its pages."""
-    lines = table(spark, sf_dir, "lineitem").withColumn("slug", F.col("l_suppkey") % 10)
+def pages(spark: SparkSession, sf_dir: str, pairs: DataFrame | None = None) -> DataFrame:
+    """A page for each run and slug: its first line. The run's parts are the links of all its pages. A line is dealt out once, by its run, for both, and lies where the run's row can join it. With pairs, most lines of runs that aren't among them stay behind."""
+    lines = table(spark, sf_dir, "lineitem").where("l_orderkey IS NOT NULL").select("l_orderkey", *LINE_ORDER)
+    lines = (lines if pairs is None else diff.perhaps_paired(lines, "l_orderkey", pairs)).sortWithinPartitions("l_orderkey")
+    whole = W.partitionBy("l_orderkey").orderBy("l_orderkey").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     order = W.partitionBy("l_orderkey", "slug").orderBy(*LINE_ORDER)
-    first = lines.withColumn("rn", F.row_number().over(order)).where("rn = 1").select(F.col("l_orderkey").alias("run_id"), "slug", F.struct(*LINE_ORDER).alias("l"))
-    links = lines.groupBy(F.col("l_orderkey").alias("run_id")).agg(F.array_sort(F.collect_set(F.concat(F.lit("/p/"), (F.col("l_partkey") % 50).cast("string")))).alias("internal_links"))
+    linked = lines.withColumn("parts", F.collect_set("l_partkey").over(whole)).withColumn("slug", F.col("l_suppkey") % 10)
+    links = F.array_sort(F.array_distinct(F.transform("parts", lambda p: F.concat(F.lit("/p/"), (p % 50).cast("string")))))
+    first = linked.withColumn("rn", F.row_number().over(order)).where("rn = 1").select(F.col("l_orderkey").alias("run_id"), "slug", F.struct(*LINE_ORDER).alias("l"), links.alias("internal_links"))
     text = F.concat_ws(" ", "l.l_returnflag", "l.l_linestatus", F.date_format("l.l_shipdate", "yyyy-MM-dd"), F.col("l.l_quantity").cast("int").cast("string"))
     price = F.array(F.struct(F.regexp_replace(F.col("l.l_extendedprice").cast("decimal(18,2)").cast("string"), r"\.?0+$", "").alias("amount"), F.lit("USD").alias("currency"), F.lit("price").alias("kind"), F.lit("json-ld").alias("source")))
-    return first.join(links, "run_id").select(
+    return first.select(
         (F.col("run_id") * 10 + F.col("slug")).alias("page_id"),
         "run_id",
         F.concat(F.lit("https://example.com/p/"), F.col("slug").cast("string")).alias("url"),

@@ -42,7 +42,8 @@ def events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 def whole_feed(spark: SparkSession, sf_dir: str, sides: bool = False, **conditions) -> DataFrame:
     """Every third event has been viewed a day after it was found."""
     runs, viewed = b.runs(spark, sf_dir), conditions.pop("viewed", None)
-    rows = feed.changes(run_ops.predecessors(runs), b.pages(spark, sf_dir), runs, b.sites(spark, sf_dir), b.event_ids, sides=sides, **conditions)
+    pairs = run_ops.predecessors(runs)
+    rows = feed.changes(pairs, b.pages(spark, sf_dir, pairs if sides else None), runs, b.sites(spark, sf_dir), b.event_ids, sides=sides, **conditions)
     return feed.filtered(rows.withColumn("viewed_at", F.when(F.col("event_id") % 3 == 0, F.col("current_completed_at") + F.expr("INTERVAL 1 DAY"))), viewed=viewed)
 
 

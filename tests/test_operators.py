@@ -364,6 +364,46 @@ def test_filters_reach_the_pairs(spark):
     assert sorted(map(str, feed.with_sides(sided).select(*stored.columns).collect())) == sorted(map(str, stored.collect()))
 
 
+def test_exports_deal_a_page_out_once(spark, sf):
+    """Lines go to their run, pages to their url; events, which hold two versions each, stay where they are made."""
+    from pagetide.plans import registry
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("export_json_rows", "export_csv_rows"):
+            plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("FileScan parquet [l_orderkey") == 1
+            assert "Exchange" not in plan[: plan.index("lag(version")]
+            dealt = [line for line in plan[: plan.index("FileScan parquet [l_orderkey")].splitlines() if "Exchange hashpartitioning" in line]
+            assert len(dealt) == 2 and "url" in dealt[0] and "l_orderkey" in dealt[1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_sites_that_are_there_twice(spark):
+    """A site's events come once for each of its rows, as a join with them gives them, and not at all without one."""
+    import random
+
+    runs_, rows = chain(random.Random(7), 20)
+    table = spark.createDataFrame(runs_, "run_id long, site_id long, completed_at timestamp, status string")
+    sites = spark.createDataFrame([(1, "a", "u", "owned"), (1, "b", "v", "competitor"), (2, "c", "w", None)], "site_id long, name string, url string, site_type string")
+    snap, with_ids = pages(spark, *rows), lambda e: e.withColumn("event_id", F.xxhash64("current_run_id", "event_type", "url"))
+    pairs = runs.predecessors(table)
+    want = feed.feed(with_ids(diff.all_events(diff.matched(pairs, snap))), table, sites)
+    got = feed.changes(pairs, snap, table, sites, with_ids)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 0
+
+
+def test_no_row_of_a_pair_is_left_behind(spark):
+    pairs = spark.range(-3000, 3000).selectExpr("id * 7 AS current_run_id", "CASE WHEN id % 2 = 0 THEN id * 7 + 1 END AS previous_run_id")
+    paired = {r for x in range(-3000, 3000, 2) for r in (x * 7, x * 7 + 1)}
+    rows = spark.range(-25000, 25000).selectExpr("CAST(id AS INT) AS run").union(spark.sql("SELECT CAST(NULL AS INT)"))
+    kept = [r.run for r in diff.perhaps_paired(rows, "run", pairs).collect()]
+    assert paired <= set(kept) and len(kept) == len(set(kept)) < len(paired) + 50
+    assert diff.perhaps_paired(rows, "run", pairs.limit(0)).isEmpty()
+
+
 def test_graphs_that_no_task_may_hold(spark, monkeypatch):
     rows = spark.createDataFrame([(1, k, k, 0) for k in range(1, 6)], "run_id long, page_id long, sequence_number int, depth int")
     arcs = spark.createDataFrame([(1, 1, 2)], "run_id long, source_id long, target_id long")
