@@ -33,12 +33,12 @@ def versions(records: DataFrame, prices: DataFrame) -> DataFrame:
     return records.join(each, "page_id", "left").withColumn("prices", F.coalesce(listed, empty)).drop("p")
 
 
-#: Bits of what perhaps_paired() knows of runs, 32,768 to a row of 4 KB: 16 MB at most, however many runs there are.
+#: Bits of what perhaps_paired() knows of runs, 32,768 to a row of 4 KB: 16 MB of bits at most, however many runs there are.
 RUN_BITS = 1 << 27
 
 
 def perhaps_paired(rows: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
-    """rows without most of those whose run (key, a whole number) is in no pair: no row of a run in a pair is lost, a share of the others may stay (with 26 million runs in pairs about 18 of 100), which a join with the pairs then drops.
+    """rows without most of those whose run (key, a whole number) is in no pair: no row of a run in a pair is lost, a share of the others may stay (with 26 million runs in pairs about 18 of 100, by computation), which a join with the pairs then drops.
 
     A bit for each hash of a run is sent to the rows before they are dealt out.
     """
