@@ -15,63 +15,103 @@ A text of several copies recurs as a whole, which its digest tells; it takes par
 from __future__ import annotations
 
 import hashlib
-from itertools import chain
+from itertools import islice
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetide.llm.common import partitions, table, written
-from pagetide.llm.hashing import HASHES, MULT_2, runs_of
+from pagetide.llm.hashing import MULT, MULT_2, runs_of, word_hashes
 
 WINDOW = 35
 PHRASE = 8
 #: Words of the windows that one automaton holds at most: two nodes of some 50 bytes each, less what windows share.
 AUTOMATON_WORDS = 400_000
-#: Texts that a task works on at once, and stretches.
+#: Texts that a task works on at once, and their bytes, unless one has more.
 BATCH = 500
+BYTES = 4_000_000
+#: Windows of one anchor that a piece holds at most; it shares all but one word of a window with the next.
+PART = 1_000
+LOW = np.uint64(0xFFFFFFFF)
 #: Stretches whose spans a task remembers.
 KNOWN = 20_000
 #: Stretches of one key that go to one shard; those of a more frequent key are split, each part with the key's passages.
 HOT = 500
 
 
-class Windows:
-    """A text's words, and for each of its windows where its anchor begins, and the anchor's hash."""
-
-    def __init__(self, words: list[bytes], window: int, phrase: int):
-        self.words, self.window = words, window
-        self.hashes = HASHES.of(words)
-        grams = runs_of(self.hashes, phrase)
-        span = np.lib.stride_tricks.sliding_window_view(grams, window - phrase + 1)  # of equal hashes, the first is the anchor
-        self.at = np.concatenate([span[i : i + 65536].argmin(axis=1) + np.arange(i, min(i + 65536, len(span))) for i in range(0, len(span), 65536)])
+def places(grams: np.ndarray, n: int) -> np.ndarray:
+    """Where the smallest of each n consecutive hashes lies, by their upper halves; of equal ones, the first."""
+    least = (grams & ~LOW) | np.arange(len(grams), dtype=np.uint64)
+    width = 1
+    while 2 * width <= n:
+        least, width = np.minimum(least[:-width], least[width:]), 2 * width
+    if width < n:
+        least = np.minimum(least[: width - n], least[n - width :])
+    return (least & LOW).astype(np.int64)
+
+
+class Texts:
+    """The words of a batch of texts, one after another, and the windows that lie in one text: where each starts, its text, where its anchor begins, and the anchor's hash."""
+
+    def __init__(self, texts: pa.Array, window: int, phrase: int):
+        trimmed = pc.ascii_trim_whitespace(pc.fill_null(texts, ""))
+        lists = pc.ascii_split_whitespace(trimmed)  # at the same six characters as bytes.split(); of an empty text, one empty word
+        self.window, self.joined = window, pc.binary_join(lists, " ")
+        self.counts = np.where(pc.binary_length(trimmed).to_numpy() > 0, pc.list_value_length(lists).to_numpy(), 0).astype(np.int64)
+        words = lists.flatten()
+        if not self.counts.all():
+            words = words.filter(pc.greater(pc.binary_length(words), 0))
+        self.hashes = word_hashes(words)
+        self.bounds = np.concatenate([[0], np.cumsum(self.counts)])
+        self.bytes = np.concatenate([[0], np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)])
+        text = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.starts = np.flatnonzero(text[: len(text) - window + 1] == text[window - 1 :]) if len(text) >= window else np.empty(0, np.int64)
+        self.text = text[self.starts]
+        grams = runs_of(self.hashes, phrase) if len(self.starts) else self.hashes[:0]
+        self.at = places(grams, window - phrase + 1)[self.starts] if len(grams) else self.starts
         self.key = grams[self.at]
 
-    def keys(self) -> np.ndarray:
-        """The anchor of each place where one lies."""
-        return self.key[np.flatnonzero(np.diff(self.at, prepend=-1))].view(np.int64)
-
-    def pieces(self, chosen: np.ndarray) -> list[tuple[int, int]]:
-        """First and last start of each run of chosen windows that have their anchor in one place."""
-        starts = np.flatnonzero(chosen)
-        if not len(starts):
-            return []
-        new = (np.diff(starts) > 1) | (np.diff(self.at[starts]) != 0)
-        cut = np.concatenate([[0], np.flatnonzero(new) + 1, [len(starts)]])
-        return list(zip(starts[cut[:-1]].tolist(), starts[cut[1:] - 1].tolist(), strict=True))
-
-    def piece(self, first: int, last: int) -> str:
-        return b" ".join(self.words[first : last + self.window]).decode()
-
-
-def small(batches, rows: int = BATCH):
-    """The batches in pieces, so that what is made of one stays small."""
+    def keys(self) -> pa.ListArray:
+        """For each text, the anchor of each place where one lies."""
+        new = np.flatnonzero(np.diff(self.at, prepend=-1))
+        ends = np.cumsum(np.bincount(self.text[new], minlength=len(self.counts)))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(self.key[new].view(np.int64)))
+
+    def first(self, multiplier: np.uint64 = MULT) -> np.ndarray:
+        """A hash of each window."""
+        return runs_of(self.hashes, self.window, multiplier)[self.starts] if len(self.starts) else self.hashes[:0]
+
+    def pieces(self, chosen: np.ndarray):
+        """Of each run of chosen windows with one anchor, wherever it lies: the anchor, the text, the first window's start in it, and the run's words. Long runs come in parts."""
+        starts, text, key = self.starts[chosen], self.text[chosen], self.key[chosen]
+        new = np.concatenate([[True], (np.diff(starts) > 1) | (np.diff(text) != 0) | (key[1:] != key[:-1])])[: len(starts)]
+        begin = np.maximum.accumulate(np.where(new, starts, 0))
+        cut = np.flatnonzero((starts - begin) % PART == 0)
+        first, last, text = starts[cut], starts[np.append(cut, len(starts))[1:] - 1], text[cut]
+        offsets = np.frombuffer(self.joined.buffers()[1], np.int32)[self.joined.offset :].astype(np.int64)
+        data = memoryview(self.joined.buffers()[2] or b"")
+        shift = offsets[text] - self.bytes[self.bounds[text]]
+        ends = self.bytes[last + self.window] + shift - 1
+        words = (data[i:j].tobytes() for i, j in zip((self.bytes[first] + shift).tolist(), ends.tolist(), strict=True))
+        return key[cut].view(np.int64), text, first - self.bounds[text], words
+
+
+def small(batches, column: int, rows: int = BATCH):
+    """The batches in pieces of a few rows, and bytes of a column, so that what is made of one stays small."""
     for b in batches:
-        for k in range(0, b.num_rows, rows):
-            yield b.slice(k, rows)
+        begin = have = 0
+        for k, size in enumerate(pc.fill_null(pc.binary_length(b.column(column)), 0).to_pylist()):
+            if k > begin and (k - begin == rows or have + size > BYTES):
+                yield b.slice(begin, k - begin)
+                begin, have = k, 0
+            have += size
+        if begin < b.num_rows:
+            yield b.slice(begin)
 
 
 def first_pass(docs: DataFrame, window: int, phrase: int, with_text: bool) -> DataFrame:
@@ -79,18 +119,15 @@ def first_pass(docs: DataFrame, window: int, phrase: int, with_text: bool) -> Da
 
     def of(batches):
         row = TaskContext.get().partitionId() << 40
-        for b in small(batches):
-            out = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                raw = (text.as_py() or "").encode()
-                words = raw.split()
-                keys = Windows(words, window, phrase).keys() if len(words) >= window else []
-                out.append((row, doc_id, hashlib.sha256(raw).digest(), len(words), hashlib.sha256(joined := b" ".join(words)).hexdigest(), keys, joined.decode() if with_text else None))
-                row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), TYPES, strict=True)], NAMES)
+        for b in small(batches, 1):
+            w = Texts(b.column(1), window, phrase)
+            digest = pa.array([hashlib.sha256(x or b"").digest() for x in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())
+            kept = pa.array([hashlib.sha256(x).hexdigest() for x in w.joined.cast(pa.binary()).to_pylist()], pa.string())
+            rows = pa.array(np.arange(row, row + b.num_rows))
+            row += b.num_rows
+            yield pa.RecordBatch.from_arrays([rows, b.column(0), digest, pa.array(w.counts), kept, w.keys(), w.joined if with_text else pa.nulls(b.num_rows, pa.string())], NAMES)
 
     NAMES = ["row", "doc_id", "digest", "n_words", "kept_sha256", "keys", "all_text"]
-    TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string()]
     return docs.mapInArrow(of, "row long, doc_id long, digest binary, n_words long, kept_sha256 string, keys array<long>, all_text string")
 
 
@@ -99,67 +136,71 @@ def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
 
 
-def opened(batch: pa.RecordBatch, window: int, phrase: int):
-    """For each text of row, text, keys, ...: its row, its place in the batch, its windows, and which have one of its keys."""
-    for k, (row, text, keys) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True)):
-        w = Windows((text.as_py() or "").encode().split(), window, phrase)
-        yield row, k, w, among(w.key, np.asarray(keys.values).view(np.uint64))
+def opened(batch: pa.RecordBatch, window: int, phrase: int) -> tuple[Texts, np.ndarray]:
+    """The texts of row, text, keys, ..., and which windows have one of the keys: whether a key recurs is the same for all texts."""
+    w = Texts(batch.column(1), window, phrase)
+    return w, among(w.key, np.unique(batch.column(2).flatten().to_numpy().view(np.uint64)))
 
 
 def windows_of(texts: DataFrame, window: int, phrase: int) -> DataFrame:
     """row, copies, key, first, second: the key and two hashes of each window that has one of its text's keys. texts: row, text, keys, copies."""
 
     def of(batches):
-        for b in small(batches):
-            out = [[], [], [], [], []]
-            copies = b.column(3).to_pylist()
-            for row, k, w, asked in opened(b, window, phrase):
-                first, second = (runs_of(w.hashes, window, *m)[asked] for m in ((), (MULT_2,)))
-                short = (second >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                for column, x in zip(out, (np.full(len(first), row), np.full(len(first), copies[k]), w.key[asked].view(np.int64), first.view(np.int64), short), strict=True):
-                    column.append(x)
-            arrays = [np.concatenate(x) for x in out]
-            for i in range(0, len(arrays[0]), 50_000):
+        for b in small(batches, 1):
+            w, asked = opened(b, window, phrase)
+            text = w.text[asked]
+            row, copies = (b.column(k).to_numpy()[text] for k in (0, 3))
+            first, second = (w.first(m)[asked] for m in (MULT, MULT_2))
+            short = (second >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            arrays = [row, copies, w.key[asked].view(np.int64), first.view(np.int64), short]
+            for i in range(0, len(row), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in arrays], ["row", "copies", "key", "first", "second"])
 
     return texts.mapInArrow(of, "row long, copies long, key long, first long, second int")
 
 
+def once(w: Texts, asked: np.ndarray, windows: pa.Array) -> np.ndarray:
+    """Of the windows asked for, those whose first hash is among the ones given for their text; of equal ones in a text, the first."""
+    hashes, out = w.first(), np.zeros(len(asked), bool)
+    ends = np.searchsorted(w.text, np.arange(len(w.counts) + 1))
+    for k, (i, j) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+        if i < j:
+            have = i + np.flatnonzero(asked[i:j] & among(hashes[i:j], np.asarray(windows[k].values).view(np.uint64)))
+            out[have[np.unique(hashes[have], return_index=True)[1]]] = True
+    return out
+
+
 def pieces_of(texts: DataFrame, window: int, phrase: int, confirmed: bool) -> DataFrame:
-    """key, row, start, piece: the words of windows with their anchor in one place. texts: row, text, keys and, if confirmed, the first hashes of those windows that are, which alone are given then."""
+    """key, row, start, piece: the words of consecutive windows with one anchor. texts: row, text, keys and, if confirmed, the first hashes of those windows that are, which alone are given then, each once for a text."""
 
     def of(batches):
-        for b in small(batches):
-            out = []
-            for row, k, w, asked in opened(b, window, phrase):
-                if confirmed:
-                    asked &= among(runs_of(w.hashes, window), np.asarray(b.column(3)[k].values).view(np.uint64))
-                out += [(int(w.key[i : i + 1].view(np.int64)[0]), row, i, w.piece(i, j)) for i, j in w.pieces(asked)]
-                if len(out) >= 10_000:
-                    yield batch(out)
-                    out = []
-            if out:
-                yield batch(out)
-
-    def batch(out):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], ["key", "row", "start", "piece"])
+        for b in small(batches, 1):
+            w, asked = opened(b, window, phrase)
+            if confirmed:
+                asked = once(w, asked, b.column(3))
+            key, text, start, words = w.pieces(asked)
+            row = b.column(0).to_numpy()[text]
+            for i in range(0, len(key), 10_000):
+                part = slice(i, i + 10_000)
+                piece = pa.array(list(islice(words, 10_000)), pa.binary()).view(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(row[part]), pa.array(start[part].astype(np.int32)), piece], ["key", "row", "start", "piece"])
 
     return texts.mapInArrow(of, "key long, row long, start int, piece string")
 
 
-def digits(n: int) -> tuple[int, int]:
+def digits(n: int) -> str:
     """A word's number as two symbols, each of its own range: an automaton looks through a node's edges one by one, and so meets few."""
-    return n & 127, 128 + (n >> 7)
+    return chr(n & 127) + chr(128 + (n >> 7))
 
 
 class Symbols(dict):
     """Symbols of words, numbered from 1 on; what isn't known is 0, which no window holds."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    def __missing__(self, word: bytes) -> str:
         return digits(0)
 
-    def of(self, words: list[bytes]) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.__getitem__, words)))
+    def of(self, words: list[bytes]) -> str:
+        return "".join(map(self.__getitem__, words))
 
 
 class Automata:
@@ -180,7 +221,7 @@ class Automata:
         symbols = self.symbols.of(words)
         for i in range(0, 2 * (len(words) - self.window + 1), 2):
             if self.open is None:
-                self.open = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+                self.open = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_STRING)
             self.open.add_word(symbols[i : i + 2 * self.window], 1)
             if len(self.open) >= self.most:
                 self.close()
@@ -213,13 +254,12 @@ def located(dealt: DataFrame, window: int, limit: int = AUTOMATON_WORDS) -> Data
     def of(batches):
         shard, automata = None, None
         known: dict[bytes, list[tuple[int, int]]] = {}  # near copies have many stretches in common
-        for b in small(batches, 5_000):
+        for b in small(batches, 4, 5_000):
             out = []
-            for at, stretch, row, start, piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), strict=True):
+            for at, stretch, row, start, words in zip(*(b.column(k).to_pylist() for k in range(4)), b.column(4).cast(pa.binary()).to_pylist(), strict=True):
                 if at != shard:
                     shard, automata = at, Automata(window, limit)
                     known.clear()
-                words = piece.as_py().encode()
                 if stretch:
                     if (spans := known.get(words)) is None:
                         if len(known) >= KNOWN:
@@ -238,7 +278,7 @@ def removed_words(texts: DataFrame, with_text: bool) -> DataFrame:
     """digest, n_removed, kept_sha256, kept_text (null unless with_text). texts: digest, text, spans [begin, end) that go."""
 
     def of(batches):
-        for b in small(batches):
+        for b in small(batches, 1):
             gone, sha, kept = [], [], []
             for text, spans in zip(b.column(1), b.column(2), strict=True):
                 words = (text.as_py() or "").encode().split()

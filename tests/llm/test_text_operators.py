@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pagetide.llm import fingerprints, hashing, quality, substring_dedup
 from pyspark.sql import functions as F
@@ -182,6 +183,52 @@ def test_substring_dedup_of_frequent_keys(spark, hot, words):
     assert sorted(got) == brute_removal(rows, 10)
 
 
+def test_pieces_of_a_repetitive_text(spark):
+    """A window that recurs within a text is one passage, and neighbouring windows of one anchor are one stretch, in parts if long."""
+    text = " ".join(["the"] * 3000)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    texts = substring_dedup.first_pass(docs, 35, 8, False).select("row", F.lit(text).alias("text"), "keys", F.lit(1).cast("long").alias("copies"))
+    stretches = substring_dedup.pieces_of(texts.select("row", "text", "keys"), 35, 8, confirmed=False).collect()
+    sizes = [(r.start, len(r.piece.split())) for r in stretches]
+    assert {k for start, n in sizes for k in range(start, start + n - 34)} == set(range(2966)) and sum(n for _, n in sizes) < 3200
+    known = substring_dedup.windows_of(texts, 35, 8).agg(F.collect_set("first").alias("windows"))
+    passages = substring_dedup.pieces_of(texts.select("row", "text", "keys").crossJoin(known), 35, 8, confirmed=True).collect()
+    assert [r.piece for r in passages] == [" ".join(["the"] * 35)]
+
+
+@pytest.mark.parametrize(("window", "phrase"), [(35, 8), (6, 3), (4, 4), (3, 1), (1, 1)])
+def test_windows_of_many_texts(window, phrase):
+    """The texts of a batch don't run into each other, and equal windows have one anchor."""
+    rnd = random.Random(window)
+    texts = ["", None, " \n", "a", *(random_text(rnd, n) for n in (window - 1, window, window + 1, 200)), "a " * 90, "É\x85\xa0\x1c \t\x0b\x0c\r b " * 40, " ".join(["z" * n for n in range(1, 140)] * 2), "same text " * 20, None]
+    texts += [texts[7], f"x {texts[7]}"]
+    b = pa.RecordBatch.from_arrays([pa.array(["first", *texts])], ["text"]).slice(1)
+    w = substring_dedup.Texts(b.column(0), window, phrase)
+    words = [(t or "").encode().split() for t in texts]
+    flat = [x for t in words for x in t]
+    assert w.counts.tolist() == [len(t) for t in words] and w.joined.to_pylist() == [b" ".join(t).decode() for t in words]
+    assert len({*zip(flat, w.hashes.tolist(), strict=True)}) == len(set(flat)) == len(set(w.hashes.tolist()))
+    want = [(k, i) for k, t in enumerate(words) for i in range(len(t) - window + 1)]
+    assert [*zip(w.text.tolist(), (w.starts - w.bounds[w.text]).tolist(), strict=True)] == want
+    anchors = {}
+    for (k, i), key, at in zip(want, w.key.tolist(), (w.at - w.starts).tolist(), strict=True):
+        assert anchors.setdefault(tuple(words[k][i : i + window]), (key, at)) == (key, at) and 0 <= at <= window - phrase
+    for part in (3, 1000):
+        substring_dedup.PART, before = part, substring_dedup.PART
+        try:
+            key, text, start, pieces = w.pieces(np.arange(len(want)) % 7 > 0)
+            got = [(k, i + j, tuple(p[j : j + window]), x) for x, k, i, p in zip(key.view(np.uint64).tolist(), text.tolist(), start.tolist(), (p.split() for p in pieces), strict=True) for j in range(len(p) - window + 1)]
+        finally:
+            substring_dedup.PART = before
+        assert got == [(k, i, tuple(words[k][i : i + window]), x) for n, ((k, i), x) in enumerate(zip(want, w.key.tolist(), strict=True)) if n % 7]
+
+
+def test_batches_by_rows_and_bytes(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BYTES", 10)
+    b = pa.RecordBatch.from_arrays([pa.array(["x" * n if n else None for n in (0, 4, 6, 1, 30, 0, 0, 0, 0, 9, 2)])], ["text"])
+    assert [x.num_rows for x in substring_dedup.small([b, b.slice(0, 0)], 0, 4)] == [3, 1, 1, 4, 1, 1]
+
+
 def test_occurrences_come_from_the_automata(spark, monkeypatch):
     rows = [(i, "p q r s " * 10 + str(i)) for i in range(3)]
     docs = spark.createDataFrame(rows, DOCS)
